@@ -1,0 +1,44 @@
+"""Join rows to a one-row-per-key table when a few keys may own most of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MOST_HOT_KEYS = 1000
+
+
+def join_hot_keys(
+    many: DataFrame, one: DataFrame, keys: Sequence[str], how: str, spread: Sequence[str], fan: int = 64
+) -> DataFrame:
+    """``many JOIN one`` on ``keys`` with the rows of hot keys split over ``fan`` tasks.
+
+    A key is hot when it owns more than 1/1000 of all rows, so there are fewer than 1000
+    hot keys at any size of the data and their list is safe to broadcast. ``spread`` names
+    columns that tell the rows of one key apart; the split is a hash of them, not a random
+    number, so that a repeated task sends every row to the same place again.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"unsupported join type: {how}")
+    weights = many.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = weights.agg(F.sum("_n")).scalar()
+    hot = weights.where(F.col("_n") * MOST_HOT_KEYS > total).select(*keys, F.lit(True).alias("_hot"))
+
+    no_key = F.lit(False)
+    for key in keys:
+        no_key = no_key | F.col(key).isNull()
+    slot = F.pmod(F.xxhash64(*spread), F.lit(fan))
+    left = (
+        many.join(F.broadcast(hot), list(keys), "left")
+        .withColumn("_slot", F.when(F.col("_hot") | no_key, slot).otherwise(F.lit(0).cast("bigint")))
+        .drop("_hot")
+    )
+    slots = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(fan - 1).cast("bigint"))).otherwise(
+        F.array(F.lit(0).cast("bigint"))
+    )
+    right = (
+        one.join(F.broadcast(hot), list(keys), "left").withColumn("_slot", F.explode(slots)).drop("_hot")
+    )
+    return left.join(right, [*keys, "_slot"], how).drop("_slot")
