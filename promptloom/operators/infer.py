@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.outcomes import PERMANENT, RETRYABLE, SUCCESS, UNEXPECTED
 from promptloom.schemas import ATTEMPTS
-from promptloom.session import materialise
+from promptloom.session import materialise, ship_package
 
 
 class RetryableError(Exception):
@@ -195,6 +195,7 @@ def infer(
     Requests come from ``request_columns``. Chunks are hashed to partitions, so one large
     job spreads over all tasks. A task works through its rows in slices of ``chunk_rows``.
     """
+    ship_package(requests.sparkSession)
     slots = requests.sparkSession.sparkContext.defaultParallelism
     plan = layout or CallLayout(slots * 4, 4)
 

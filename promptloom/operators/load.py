@@ -36,20 +36,35 @@ def stack_rows(valid: DataFrame, failed: DataFrame) -> DataFrame:
     return valid.unionByName(failed, allowMissingColumns=True)
 
 
+def _rank(row_number: Column, failed: Column, flush_rows: int) -> Column:
+    """(flush, failed, row_number) as one number in the same order.
+
+    A number can be minimised in a hash aggregation; a struct would have to be sorted.
+    """
+    flush = flush_number(row_number, flush_rows)
+    place = row_number - 1 - flush * flush_rows
+    return flush * (2 * flush_rows) + failed.cast("bigint") * flush_rows + place
+
+
+def _ranked_row(rank: Column, flush_rows: int) -> Column:
+    """Row number out of ``_rank``."""
+    return whole_quotient(rank, 2 * flush_rows) * flush_rows + F.pmod(rank, F.lit(flush_rows)) + 1
+
+
 def winners(judged: DataFrame, flush_rows: int = FLUSH_ROWS) -> DataFrame:
     """The row that gets each (job_id, external_id): (job_id, external_id, row_number)."""
-    claim = F.struct(
-        flush_number(F.col("row_number"), flush_rows).alias("flush"),
-        (F.col("status") == "FAILED").alias("failed"),
-        F.col("row_number").alias("row_number"),
-    )
+    rank = _rank(F.col("row_number"), F.col("status") == "FAILED", flush_rows)
     return (
         judged.groupBy(*_ITEM)
-        .agg(F.min(claim).alias("_claim"))
-        .select(*_ITEM, F.col("_claim.row_number").alias("row_number"))
+        .agg(F.min(rank).alias("_rank"))
+        .select(*_ITEM, _ranked_row(F.col("_rank"), flush_rows).alias("row_number"))
     )
 
 
+def _known_items(existing: DataFrame) -> DataFrame:
+    return existing.select(*_ITEM, F.lit(True).alias("_known"))
+
+
 def idempotent_load(judged: DataFrame, existing: DataFrame | None = None, flush_rows: int = FLUSH_ROWS) -> DataFrame:
     """Add ``disposition`` to every judged row; the three values together cover the input.
 
@@ -60,8 +75,7 @@ def idempotent_load(judged: DataFrame, existing: DataFrame | None = None, flush_
     if existing is None:
         decided = won.withColumn("disposition", F.lit(INSERTED))
     else:
-        known = existing.select(*_ITEM, F.lit(True).alias("_known"))
-        decided = won.join(known, _ITEM, "left").withColumn(
+        decided = won.join(_known_items(existing), _ITEM, "left").withColumn(
             "disposition", F.when(F.col("_known"), DROPPED_EXISTING).otherwise(INSERTED)
         )
     return judged.join(decided.select(*_ROW, "disposition"), _ROW, "left").withColumn(
@@ -73,8 +87,9 @@ def judge_and_load(
     items: DataFrame,
     rules: Sequence[Rule] | None = None,
     flush_rows: int = FLUSH_ROWS,
+    existing: DataFrame | None = None,
 ) -> DataFrame:
-    """``validate`` and in-batch ``idempotent_load`` with one aggregation and one join.
+    """``validate`` and ``idempotent_load`` with one aggregation and one join of the rows.
 
     Per (job_id, external_id) only two rows matter: the first parseable row, which alone can
     be accepted, and the first row of any kind. If the first parseable row passes its rules
@@ -83,41 +98,42 @@ def judge_and_load(
     """
     messages = row_messages(standard_rules() if rules is None else rules)
     judged = items.withColumn("errors", messages)
-    first = F.min(
-        F.when(
-            ~F.col("is_malformed"),
-            F.struct(F.col("row_number").alias("row_number"), (F.size("errors") > 0).alias("failed")),
-        )
+    # Row number and failure in one number: even if the row passes, odd if it fails.
+    coded = F.col("row_number") * 2 + (F.size("errors") > 0).cast("bigint")
+    per_id = judged.groupBy(*_ITEM).agg(
+        F.min(F.when(~F.col("is_malformed"), coded)).alias("_first"), F.min("row_number").alias("_lowest")
     )
-    per_id = judged.groupBy(*_ITEM).agg(first.alias("first"), F.min("row_number").alias("lowest"))
-
-    def claim(row: Column, failed: bool) -> Column:
-        return F.struct(
-            flush_number(row, flush_rows).alias("flush"), F.lit(failed).alias("failed"), row.alias("row_number")
-        )
-
-    best = F.when(
-        F.col("first").isNotNull() & ~F.col("first.failed"),
-        F.least(claim(F.col("first.row_number"), False), claim(F.col("lowest"), True))["row_number"],
-    ).otherwise(F.col("lowest"))
+    first_row = whole_quotient(F.col("_first"), 2)
+    first_passes = F.col("_first").isNotNull() & (F.pmod(F.col("_first"), F.lit(2)) == 0)
+    best = F.least(
+        _rank(first_row, F.lit(False), flush_rows), _rank(F.col("_lowest"), F.lit(True), flush_rows)
+    )
+    winner_row = F.when(first_passes, _ranked_row(best, flush_rows)).otherwise(F.col("_lowest"))
+    decided = per_id.select(*_ITEM, first_row.alias("_first_row"), winner_row.alias("_winner_row"))
+    taken = F.lit(INSERTED)
+    if existing is not None:
+        decided = decided.join(_known_items(existing), _ITEM, "left")
+        taken = F.when(F.col("_known"), DROPPED_EXISTING).otherwise(INSERTED)
     marks = (
-        per_id.select("job_id", F.col("first.row_number").alias("first_row"), best.alias("winner_row"))
-        .withColumn("row_number", F.explode(F.array_distinct(F.array_compact(F.array("first_row", "winner_row")))))
+        decided.withColumn("_taken", taken)
+        .withColumn(
+            "row_number", F.explode(F.array_distinct(F.array_compact(F.array("_first_row", "_winner_row"))))
+        )
         .select(
             *_ROW,
-            F.coalesce(F.col("row_number") == F.col("first_row"), F.lit(False)).alias("_first"),
-            (F.col("row_number") == F.col("winner_row")).alias("_winner"),
+            F.coalesce(F.col("row_number") == F.col("_first_row"), F.lit(False)).alias("_is_first"),
+            F.when(F.col("row_number") == F.col("_winner_row"), F.col("_taken")).alias("_won"),
         )
     )
     marked = judged.join(marks, _ROW, "left").withColumn(
-        "is_repeat", ~F.col("is_malformed") & ~F.coalesce("_first", F.lit(False))
+        "is_repeat", ~F.col("is_malformed") & ~F.coalesce("_is_first", F.lit(False))
     )
     return (
         with_outcome(
             marked.withColumn("errors", F.array_compact(F.concat("errors", F.array(repeat_message()))))
         )
-        .withColumn("disposition", F.when(F.col("_winner"), INSERTED).otherwise(DROPPED_IN_BATCH))
-        .drop("is_repeat", "_first", "_winner")
+        .withColumn("disposition", F.coalesce("_won", F.lit(DROPPED_IN_BATCH)))
+        .drop("is_repeat", "_is_first", "_won")
     )
 
 

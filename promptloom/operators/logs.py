@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,16 +29,18 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
     A line that is no JSON object with level, logger and msg keeps its text in ``bad_line``.
     """
-    parsed = lines.withColumn("extras", F.try_parse_json(column)).withColumn(
-        "_f", F.from_json(F.col(column), LOG_LINE)
-    )
-    known = [F.col(f"_f.{field.name}").alias(field.name) for field in LOG_LINE.fields]
-    whole = F.col("extras").isNotNull()
-    for name in ("level", "logger", "msg"):
-        whole = whole & F.col(f"_f.{name}").isNotNull()
+    parsed = lines.withColumn("extras", F.try_parse_json(column))
+    known = {
+        field.name: F.try_variant_get("extras", f"$.{field.name}", "string") for field in LOG_LINE.fields
+    }
+    whole = known["level"].isNotNull() & known["logger"].isNotNull() & known["msg"].isNotNull()
     rest = [name for name in lines.columns if name != column]
-    return parsed.select(*rest, *known, "extras", F.when(~whole, F.col(column)).alias("bad_line")).withColumn(
-        "at", F.try_to_timestamp("ts")
+    return parsed.select(
+        *rest,
+        *[value.alias(name) for name, value in known.items()],
+        F.try_to_timestamp(known["ts"]).alias("at"),
+        "extras",
+        F.when(~whole, F.col(column)).alias("bad_line"),
     )
 
 
@@ -60,19 +62,24 @@ def message_fields(parsed: DataFrame, fields: Mapping[str, str] = MESSAGE_FIELDS
     return parsed.withColumns({name: field(name, kind) for name, kind in fields.items()})
 
 
-def correlate(parsed: DataFrame, by: str) -> DataFrame:
-    """All lines of one request, job or worker: count, first and last time, worst level."""
-    rank = F.array_position(F.array(*[F.lit(level) for level in LEVELS]), F.col("level"))
+def correlate(parsed: DataFrame, by: Sequence[str] = ("request_id", "job_id", "worker_id")) -> DataFrame:
+    """All lines of each request, job or worker: (kind, id, lines, first_at, last_at, worst_level).
+
+    One pass over the lines serves all kinds of ids.
+    """
+    levels = F.array(*[F.lit(level) for level in LEVELS])
+    ids = F.array(*[F.struct(F.lit(name).alias("kind"), F.col(name).alias("id")) for name in by])
     return (
-        parsed.where(F.col(by).isNotNull())
-        .groupBy(by)
+        parsed.select(F.explode(ids).alias("_id"), "at", F.array_position(levels, F.col("level")).alias("_rank"))
+        .where(F.col("_id.id").isNotNull())
+        .groupBy(F.col("_id.kind").alias("kind"), F.col("_id.id").alias("id"))
         .agg(
             F.count("*").alias("lines"),
             F.min("at").alias("first_at"),
             F.max("at").alias("last_at"),
-            F.max(rank).alias("_worst"),
+            F.max("_rank").alias("_worst"),
         )
-        .withColumn("worst_level", F.try_element_at(F.array(*[F.lit(level) for level in LEVELS]), F.nullif(F.col("_worst"), F.lit(0)).cast("int")))
+        .withColumn("worst_level", F.try_element_at(levels, F.nullif("_worst", F.lit(0)).cast("int")))
         .drop("_worst")
     )
 

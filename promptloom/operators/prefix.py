@@ -52,18 +52,39 @@ def _with_carry(placed: DataFrame, group: Sequence[str], totals: Mapping[str, Co
 
 
 def number_rows(
-    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], name: str = "seq"
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str | Column],
+    name: str = "seq",
+    last: str | None = None,
 ) -> DataFrame:
     """Number the rows of each group 1, 2, 3, … in the given order.
 
-    ``df`` is written once, so hand in keys rather than long texts.
+    ``last`` names a further column that is true for the last row of each group. ``df`` is
+    written once, so hand in keys rather than long texts.
     """
     placed = placed_rows(df, group, order)
-    if group:
-        local = F.row_number().over(Window.partitionBy(*group, _PART).orderBy(_PLACE)).cast("bigint")
-    else:
-        local = F.col(_PLACE) + 1
-    return _with_carry(placed.withColumn(name, local), group, {name: F.lit(1).cast("bigint")})
+    local = Window.partitionBy(*group, _PART).orderBy(_PLACE)
+    # Without groups a row's place is its number within the partition.
+    number = F.row_number().over(local).cast("bigint") if group else F.col(_PLACE) + 1
+    placed = placed.withColumn(name, number)
+    if last is not None:
+        placed = _with_last(placed.withColumn(last, F.lead(_PLACE).over(local).isNull()), group, last)
+    return _with_carry(placed, group, {name: F.lit(1).cast("bigint")})
+
+
+def _with_last(placed: DataFrame, group: Sequence[str], last: str) -> DataFrame:
+    """Clear the mark of a partition's last row if its group goes on in a later partition."""
+    later = Window.partitionBy(*group).orderBy(_PART).rowsBetween(1, 1)
+    goes_on = (
+        placed.select(*group, _PART)
+        .distinct()
+        .withColumn("_more", F.count("*").over(later) > 0)
+        .where("_more")
+    )
+    # Again at most one row per partition border.
+    joined = placed.join(F.broadcast(goes_on), [*group, _PART], "left")
+    return joined.withColumn(last, F.col(last) & F.col("_more").isNull()).drop("_more")
 
 
 def running_totals(

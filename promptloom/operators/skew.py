@@ -7,38 +7,62 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A key is hot when it owns more than one row in a thousand, so there are fewer than a
+# thousand hot keys at any size of the data.
 MOST_HOT_KEYS = 1000
+# Below this number of rows one task handles a key without effort.
+LEAST_ROWS = 1_000_000
+
+
+def hot_keys(rows: DataFrame, keys: Sequence[str], least_rows: int = LEAST_ROWS) -> DataFrame | None:
+    """The hot keys of ``rows`` as a small local frame, or None if there are none.
+
+    Runs one aggregation over the key columns. Fewer than ``MOST_HOT_KEYS`` rows reach the
+    driver, whatever the size of the data; a null key counts as a key.
+    """
+    weights = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = weights.agg(F.sum("_n")).scalar()
+    found = (
+        weights.where((F.col("_n") >= least_rows) & (F.col("_n") * MOST_HOT_KEYS > total)).select(*keys).collect()
+    )
+    if not found:
+        return None
+    return rows.sparkSession.createDataFrame(found, rows.select(*keys).schema)
 
 
 def join_hot_keys(
-    many: DataFrame, one: DataFrame, keys: Sequence[str], how: str, spread: Sequence[str], fan: int = 64
+    many: DataFrame,
+    one: DataFrame,
+    keys: Sequence[str],
+    how: str,
+    spread: Sequence[str],
+    fan: int = 64,
+    least_rows: int = LEAST_ROWS,
 ) -> DataFrame:
     """``many JOIN one`` on ``keys`` with the rows of hot keys split over ``fan`` tasks.
 
-    A key is hot when it owns more than 1/1000 of all rows, so there are fewer than 1000
-    hot keys at any size of the data and their list is safe to broadcast. ``spread`` names
-    columns that tell the rows of one key apart; the split is a hash of them, not a random
-    number, so that a repeated task sends every row to the same place again.
+    ``spread`` names columns that tell the rows of one key apart. The split is a hash of
+    them and not a random number, so that a repeated task sends every row to the same place
+    again. Without hot keys this is the plain join.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    weights = many.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = weights.agg(F.sum("_n")).scalar()
-    hot = weights.where(F.col("_n") * MOST_HOT_KEYS > total).select(*keys, F.lit(True).alias("_hot"))
+    keys = list(keys)
+    found = hot_keys(many, keys, least_rows)
+    if found is None:
+        return many.join(one, keys, how)
+
+    marks = found.withColumn("_hot", F.lit(True)).withColumnsRenamed({key: f"_h_{key}" for key in keys})
+
+    def marked(rows: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for key in keys:
+            same = same & F.col(key).eqNullSafe(F.col(f"_h_{key}"))
+        return rows.join(F.broadcast(marks), same, "left").drop(*[f"_h_{key}" for key in keys])
 
-    no_key = F.lit(False)
-    for key in keys:
-        no_key = no_key | F.col(key).isNull()
+    zero = F.lit(0).cast("bigint")
     slot = F.pmod(F.xxhash64(*spread), F.lit(fan))
-    left = (
-        many.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_slot", F.when(F.col("_hot") | no_key, slot).otherwise(F.lit(0).cast("bigint")))
-        .drop("_hot")
-    )
-    slots = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(fan - 1).cast("bigint"))).otherwise(
-        F.array(F.lit(0).cast("bigint"))
-    )
-    right = (
-        one.join(F.broadcast(hot), list(keys), "left").withColumn("_slot", F.explode(slots)).drop("_hot")
-    )
+    left = marked(many).withColumn("_slot", F.when(F.col("_hot"), slot).otherwise(zero)).drop("_hot")
+    slots = F.when(F.col("_hot"), F.sequence(zero, F.lit(fan - 1).cast("bigint"))).otherwise(F.array(zero))
+    right = marked(one).withColumn("_slot", F.explode(slots)).drop("_hot")
     return left.join(right, [*keys, "_slot"], how).drop("_slot")

@@ -106,9 +106,10 @@ def validate(items: DataFrame, rules: Sequence[Rule] | None = None, reject_dupli
     messages = row_messages(standard_rules() if rules is None else rules)
     if not reject_duplicates:
         return with_outcome(items.withColumn("errors", messages))
-    marked = mark_repeats(items)
+    # Texts are judged before rows move: a plan that needs no prompt does not shuffle any.
+    marked = mark_repeats(items.withColumn("errors", messages))
     return with_outcome(
-        marked.withColumn("errors", F.array_compact(F.concat(messages, F.array(repeat_message())))).drop("is_repeat")
+        marked.withColumn("errors", F.array_compact(F.concat("errors", F.array(repeat_message())))).drop("is_repeat")
     )
 
 

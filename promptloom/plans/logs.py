@@ -67,18 +67,14 @@ FROM log WHERE {by} IS NOT NULL GROUP BY {by}
 def log_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every job, worker and request: how many, from when to when, worst level."""
     good = logs.good_lines(logs.parse_lines(event_log_lines(spark, sf_dir)))
-    parts = [
-        logs.correlate(good, by).select(
-            F.lit(by).alias("kind"),
-            F.col(by).alias("id"),
-            "lines",
-            F.unix_micros("first_at").alias("first_us"),
-            F.unix_micros("last_at").alias("last_us"),
-            "worst_level",
-        )
-        for by in ("job_id", "worker_id", "request_id")
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return logs.correlate(good).select(
+        "kind",
+        "id",
+        "lines",
+        F.unix_micros("first_at").alias("first_us"),
+        F.unix_micros("last_at").alias("last_us"),
+        "worst_level",
+    )
 
 
 @query(f"""

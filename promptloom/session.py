@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
+_SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def build_session(app: str = "promptloom", master: str | None = None, **settings: str) -> SparkSession:
@@ -59,3 +62,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    folder = tempfile.TemporaryDirectory(prefix="promptloom-", ignore_cleanup_errors=True)
+    package = Path(__file__).resolve().parent
+    archive = Path(folder.name) / "promptloom.zip"
+    with zipfile.ZipFile(archive, "w") as target:
+        for module in sorted(package.rglob("*.py")):
+            target.write(module, module.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _SHIPPED[app] = folder

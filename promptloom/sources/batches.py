@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptloom.operators.prefix import number_rows
+from promptloom.session import ship_package
 
 BROKEN_BATCH = "batch is not a JSON array"
 
@@ -122,6 +123,7 @@ def check_sources(manifest: DataFrame, default_model: str | None = None) -> Data
     Needs ``input_path`` and ``model``. Only the first bytes of each file are fetched, by the
     task that holds its manifest row, so many batches are checked at once.
     """
+    ship_package(manifest.sparkSession)
     columns = manifest.columns
     schema = T.StructType(
         [

@@ -66,13 +66,10 @@ def array_lines(results: DataFrame, order: Sequence[str] = ("row_number",)) -> D
     The brackets go to the first and last row of a job, so an array of any length is made
     without ever being in one place.
     """
-    numbered = number_rows(results, ["job_id"], list(order))
-    last = numbered.groupBy("job_id").agg(F.max("seq").alias("seq")).withColumn("_last", F.lit(True))
+    numbered = number_rows(results, ["job_id"], list(order), last="is_last")
     opening = F.when(F.col("seq") == 1, "[").otherwise("")
-    closing = F.when(F.col("_last"), "]").otherwise(",")
-    return numbered.join(last, ["job_id", "seq"], "left").select(
-        "job_id", "seq", F.concat(opening, as_json(*RESULT_FIELDS), closing).alias("line")
-    )
+    closing = F.when(F.col("is_last"), "]").otherwise(",")
+    return numbered.select("job_id", "seq", F.concat(opening, as_json(*RESULT_FIELDS), closing).alias("line"))
 
 
 def write_array(results: DataFrame, path: str) -> None:

@@ -29,10 +29,10 @@ def load_epoch(
     def load(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         number = first_epoch + epoch
-        rows = item_rows(judge_and_load(batch, rules, flush_rows))
+        existing = None
         if exists(spark, path):
-            earlier = spark.read.schema(STORED).parquet(path).where(F.col("epoch") < number)
-            rows = rows.join(earlier.select("job_id", "external_id"), ["job_id", "external_id"], "left_anti")
+            existing = spark.read.schema(STORED).parquet(path).where(F.col("epoch") < number)
+        rows = item_rows(judge_and_load(batch, rules, flush_rows, existing))
         rows.write.mode("overwrite").parquet(f"{path}/epoch={number}")
 
     return load
