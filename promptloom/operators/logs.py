@@ -29,7 +29,8 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
     A line that is no JSON object with level, logger and msg keeps its text in ``bad_line``.
     """
-    parsed = lines.withColumn("extras", F.try_parse_json(column))
+    # Filters do not pass an explode, so that each line is parsed once and not again per filter.
+    parsed = lines.withColumn("extras", F.explode(F.array(F.try_parse_json(column))))
     known = {
         field.name: F.try_variant_get("extras", f"$.{field.name}", "string") for field in LOG_LINE.fields
     }

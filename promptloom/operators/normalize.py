@@ -23,7 +23,8 @@ def normalise_elements(elements: DataFrame) -> DataFrame:
     null or empty id becomes ``row-N``; other ids keep their JSON text form.
     """
     element = F.col("element")
-    kind = F.coalesce(F.regexp_extract(F.schema_of_variant(element), "^[A-Z]+", 0), F.lit("UNPARSEABLE"))
+    schema = F.schema_of_variant(element)
+    kind = F.coalesce(F.substring_index(F.substring_index(schema, "<", 1), "(", 1), F.lit("UNPARSEABLE"))
     given = F.try_variant_get(element, "$.id", "string")
     prompt = F.try_variant_get(element, "$.prompt", "variant")
     has_prompt = F.coalesce(F.schema_of_variant(prompt) == "STRING", F.lit(False))
