@@ -10,7 +10,7 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from datetime import UTC, datetime, timedelta
 from typing import Any, Protocol
@@ -183,6 +183,13 @@ def _tries(client: Client, rule: RetryRule, clock: _Clock, row: dict[str, Any])
     return done
 
 
+def _rows(batches: Iterator[pa.RecordBatch], slice_rows: int) -> Iterator[dict[str, Any]]:
+    """Rows of Arrow batches; only a slice at a time becomes Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, slice_rows):
+            yield from batch.slice(start, slice_rows).to_pylist()
+
+
 def infer(
     requests: DataFrame,
     client_factory: Callable[[], Client],
@@ -193,7 +200,9 @@ def infer(
     """One row per try (schema ``ATTEMPTS``) for every request; no row can fail the job.
 
     Requests come from ``request_columns``. Chunks are hashed to partitions, so one large
-    job spreads over all tasks. A task works through its rows in slices of ``chunk_rows``.
+    job spreads over all tasks. A task keeps its calls going without pause: a row that waits
+    for its next try holds one place and no other row. Finished rows leave in batches of
+    ``chunk_rows``, so a task never holds more than that and its open calls.
     """
     ship_package(requests.sparkSession)
     slots = requests.sparkSession.sparkContext.defaultParallelism
@@ -202,15 +211,29 @@ def infer(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = client_factory()
         clock = _Clock()
+        waiting: set[Future] = set()
+        done: list[dict[str, Any]] = []
+
+        def packed() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_pylist(done, schema=_ATTEMPT_BATCH)
+            done.clear()
+            return batch
+
         try:
             with ThreadPoolExecutor(plan.calls_per_task) as pool:
-                for batch in batches:
-                    for start in range(0, batch.num_rows, chunk_rows):
-                        rows = batch.slice(start, chunk_rows).to_pylist()
-                        tries = pool.map(lambda row: _tries(client, rule, clock, row), rows)
-                        yield pa.RecordBatch.from_pylist(
-                            [entry for row in tries for entry in row], schema=_ATTEMPT_BATCH
-                        )
+                for row in _rows(batches, chunk_rows):
+                    waiting.add(pool.submit(_tries, client, rule, clock, row))
+                    if len(waiting) < 2 * plan.calls_per_task:
+                        continue
+                    finished, waiting = wait(waiting, return_when=FIRST_COMPLETED)
+                    for future in finished:
+                        done.extend(future.result())
+                    if len(done) >= chunk_rows:
+                        yield packed()
+                for future in waiting:
+                    done.extend(future.result())
+                if done:
+                    yield packed()
         finally:
             close = getattr(client, "close", None)
             if close is not None:

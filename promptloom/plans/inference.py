@@ -142,8 +142,8 @@ def results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written as files, twice, and read back."""
     root = new_folder(spark, "results")
     produced = document_results(spark, sf_dir)
-    result_files.write_results(produced, root, chunks_per_group=4)
-    result_files.write_results(produced, root, chunks_per_group=4)
+    result_files.write_results(produced, root, chunks_per_group=20)
+    result_files.write_results(produced, root, chunks_per_group=20)
     reference = F.concat(F.lit("jobs/"), F.col("job_id"), F.lit("/chunks/"), F.col("chunk_id"), F.lit(".jsonl"))
     return result_files.read_results(spark, root).select(
         "job_id",

@@ -17,6 +17,7 @@ from promptloom.streaming.ingest import STORED, ingest_stream
 from promptloom.streaming.runs import run_available, stream_table
 
 TOKENS = 1000
+WINDOW = ["window_start", "window_end", "status"]
 
 
 @query(f"""
@@ -72,14 +73,15 @@ FROM events GROUP BY 1, 2
 """)
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First row and number of rows of every id, kept while the stream runs."""
-    return _complete(spark, duplicates.seen_counts(_event_items(spark, sf_dir)), "stream-seen")
+    return _kept_up(spark, duplicates.seen_counts(_event_items(spark, sf_dir)), ["job_id", "external_id"], "stream-seen")
 
 
-def _complete(spark: SparkSession, result: DataFrame, label: str) -> DataFrame:
+def _kept_up(spark: SparkSession, result: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Run a streaming aggregation to its end and return the state its epochs left."""
     root = new_folder(spark, label)
-    writer = result.writeStream.outputMode("complete").foreachBatch(progress.latest_table(f"{root}/out"))
+    writer = result.writeStream.outputMode("update").foreachBatch(progress.changed_rows(f"{root}/out"))
     run_available(writer, f"{root}/checkpoint")
-    return progress.read_latest(spark.read.parquet(f"{root}/out"))
+    return progress.read_latest(spark, f"{root}/out", result.schema, keys)
 
 
 @query("""
@@ -90,7 +92,7 @@ def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = stream_table(spark, sf_dir, "events.parquet").select(
         F.col("user_id").cast("string").alias("job_id"), F.col("event_type").alias("status")
     )
-    return _complete(spark, progress.running_status(items), "stream-status")
+    return _kept_up(spark, progress.running_status(items), ["job_id", "status"], "stream-status")
 
 
 def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +114,8 @@ FROM events GROUP BY 1, 2, 3
 """)
 def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished items per hour and status."""
-    return _windows(_complete(spark, progress.throughput(_finished(spark, sf_dir), "at", "1 hour"), "stream-rate"))
+    rate = progress.throughput(_finished(spark, sf_dir), "at", "1 hour")
+    return _windows(_kept_up(spark, rate, WINDOW, "stream-rate"))
 
 
 @query("""
@@ -124,7 +127,7 @@ SELECT start_us, start_us + 3600000000 AS end_us, status, count(*) AS items FROM
 def stream_throughput_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished items per status in hours that start every half hour."""
     rate = progress.throughput(_finished(spark, sf_dir), "at", "1 hour", "30 minutes")
-    return _windows(_complete(spark, rate, "stream-slide"))
+    return _windows(_kept_up(spark, rate, WINDOW, "stream-slide"))
 
 
 @query("""

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
 _SHIPPED: dict[str, tempfile.TemporaryDirectory] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "promptloom", master: str | None = None, **settings: str) -> SparkSession:
@@ -23,6 +24,8 @@ def build_session(app: str = "promptloom", master: str | None = None, **settings
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Prompts may be long: keep the batches that go to Python workers small.
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **settings}.items():
@@ -49,7 +52,23 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that no other call uses."""
-    return f"{shared_root(spark)}/promptloom/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/promptloom/{label}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def drop_folders(spark: SparkSession) -> int:
+    """Delete the intermediate tables this application wrote; call it when results are stored."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return len(made)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptloom.operators.prefix import number_rows
-from promptloom.session import ship_package
+from promptloom.operators.skew import join_hot_keys
+from promptloom.session import materialise, ship_package
 
 BROKEN_BATCH = "batch is not a JSON array"
 
@@ -34,28 +37,151 @@ TOPICS = (
     "neural networks", "gravity", "evolution", "encryption",
 )
 
+# Fixed value: bytes a preflight check looks at.
 HEAD_BYTES = 64
 
+WHOLE_BYTES = 128 << 20
+PIECE_BYTES = 4 << 20
 
-def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
+_DECODER = json.JSONDecoder()
+
+
+def read_json_arrays(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """Elements of JSON-array files: (path, row_number, element VARIANT, batch_error).
 
     Every element is a row, whatever its kind, numbered from 1 within its file. A file that
     is no valid array yields one row with ``batch_error`` and no element. A JSON array cannot
-    be split, so one task reads one file: keep large batches as JSON lines or parquet.
+    be split, so one task reads one file: files up to ``whole_bytes`` at once, longer ones
+    piece by piece. Very large batches are better kept as JSON lines or parquet.
     """
-    files = spark.read.text(path, wholetext=True).select(
+    sizes = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), "length")
+    long_files = sizes.where(F.col("length") > whole_bytes).select("path")
+    texts = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_size") <= whole_bytes)
+    files = texts.select(
         F.col("_metadata.file_path").alias("path"), F.from_json("value", "array<variant>").alias("_all")
     )
     exploded = files.select(
         "path", F.col("_all").isNull().alias("_broken"), F.posexplode_outer("_all").alias("_pos", "element")
     )
-    return exploded.where(F.col("_broken") | F.col("_pos").isNotNull()).select(
+    short = exploded.where(F.col("_broken") | F.col("_pos").isNotNull()).select(
         "path",
         (F.col("_pos").cast("bigint") + 1).alias("row_number"),
         "element",
         F.when(F.col("_broken"), BROKEN_BATCH).alias("batch_error"),
     )
+    if long_files.isEmpty():
+        return short
+    return short.unionByName(_read_piecewise(long_files))
+
+
+def _read_piecewise(files: DataFrame) -> DataFrame:
+    """As ``read_json_arrays`` for files too long to be held as one value."""
+    ship_package(files.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                yield from _array_batches(path)
+
+    stored = materialise(files.mapInArrow(read, "path string, row_number bigint, value string"), "elements")
+    parsed = parse_elements(stored.withColumn("_text", F.col("value")), "_text")
+    # A file with any unreadable part is refused as a whole.
+    broken = parsed.where(F.col("element").isNull()).select("path").distinct()
+    whole = join_hot_keys(parsed, broken, ["path"], "left_anti", ["row_number"])
+    return whole.select(
+        "path", "row_number", "element", F.lit(None).cast("string").alias("batch_error")
+    ).unionByName(
+        broken.select("path", F.lit(BROKEN_BATCH).alias("batch_error")), allowMissingColumns=True
+    )
+
+
+class _PieceReader:
+    """Text of a stream, of which only the part being looked at is in memory."""
+
+    def __init__(self, stream: pa.NativeFile) -> None:
+        self.stream = stream
+        self.decode = codecs.getincrementaldecoder("utf-8")().decode
+        self.text = ""
+        self.at = 0
+
+    def more(self, size: int = PIECE_BYTES) -> bool:
+        piece = self.stream.read(size)
+        self.text = self.text[self.at :] + self.decode(piece, final=not piece)
+        self.at = 0
+        return bool(piece)
+
+    def mark(self) -> str:
+        """Next character that is no white space, or an empty text at the end."""
+        while True:
+            while self.at < len(self.text) and self.text[self.at] in " \t\r\n":
+                self.at += 1
+            if self.at < len(self.text):
+                return self.text[self.at]
+            if not self.more():
+                return ""
+
+    def element(self) -> str:
+        """Text of the JSON value that starts here."""
+        self.mark()
+        size = PIECE_BYTES
+        while True:
+            try:
+                end = _DECODER.raw_decode(self.text, self.at)[1]
+                # A value at the very end of the text may go on in the next piece.
+                if end < len(self.text) or not self.more(size):
+                    value, self.at = self.text[self.at : end], end
+                    return value
+            except json.JSONDecodeError:
+                if not self.more(size):
+                    raise
+            size *= 2
+
+
+def _array_elements(stream: pa.NativeFile) -> Iterator[str]:
+    """Texts of the elements of a JSON array; ValueError where it is none."""
+    reader = _PieceReader(stream)
+    if reader.mark() != "[":
+        raise ValueError("no opening bracket")
+    reader.at += 1
+    if reader.mark() == "]":
+        return
+    while True:
+        yield reader.element()
+        mark = reader.mark()
+        if mark == "]":
+            return
+        if mark != ",":
+            raise ValueError("no separator")
+        reader.at += 1
+
+
+def _array_batches(path: str) -> Iterator[pa.RecordBatch]:
+    """Elements of one file as (path, row_number, value); a last row without value if it is broken."""
+    numbers: list[int | None] = []
+    values: list[str | None] = []
+
+    def packed() -> pa.RecordBatch:
+        columns = [pa.array([path] * len(values), pa.string()), pa.array(numbers, pa.int64()), pa.array(values, pa.string())]
+        numbers.clear()
+        values.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["path", "row_number", "value"])
+
+    held = 0
+    try:
+        system, inner = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(inner) as stream:
+            for number, value in enumerate(_array_elements(stream), 1):
+                numbers.append(number)
+                values.append(value)
+                held += len(value)
+                if held > PIECE_BYTES:
+                    yield packed()
+                    held = 0
+    except ValueError:
+        numbers.append(None)
+        values.append(None)
+    if values:
+        yield packed()
 
 
 def parse_elements(rows: DataFrame, column: str) -> DataFrame:

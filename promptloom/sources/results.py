@@ -11,6 +11,7 @@ from promptloom.functions.outcomes import as_json
 from promptloom.functions.text import whole_quotient
 from promptloom.operators.prefix import number_rows
 from promptloom.schemas import RESULT_FIELDS, RESULTS
+from promptloom.session import path_exists
 
 # A group of chunks is one folder and about one file: with 50 rows per chunk up to a million rows.
 CHUNKS_PER_GROUP = 20_000
@@ -42,14 +43,9 @@ def write_results(
     writer.save(root)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def read_results(spark: SparkSession, root: str, job_id: str | None = None, file_format: str = "json") -> DataFrame:
     """Results below ``root``, of one job or of all; none if nothing was written yet."""
-    if not _exists(spark, root):
+    if not path_exists(spark, root):
         return spark.createDataFrame([], RESULTS)
     rows = spark.read.schema(RESULTS).format(file_format).load(root)
     return rows if job_id is None else rows.where(F.col("job_id") == job_id)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from promptloom.operators.load import FLUSH_ROWS, item_rows, judge_and_load
 from promptloom.operators.validate import Rule
-from promptloom.streaming.runs import exists
+from promptloom.session import path_exists
 
 STORED = (
     "job_id string, row_number bigint, external_id string, prompt string, status string, error string, epoch bigint"
@@ -30,8 +30,11 @@ def load_epoch(
         spark = batch.sparkSession
         number = first_epoch + epoch
         existing = None
-        if exists(spark, path):
-            existing = spark.read.schema(STORED).parquet(path).where(F.col("epoch") < number)
+        if path_exists(spark, path):
+            earlier = spark.read.schema(STORED).parquet(path).where(F.col("epoch") < number)
+            # The table is scanned for this batch's ids only; it is not shuffled if they are few.
+            ids = batch.select("job_id", "external_id").distinct()
+            existing = earlier.select("job_id", "external_id").join(ids, ["job_id", "external_id"], "left_semi")
         rows = item_rows(judge_and_load(batch, rules, flush_rows, existing))
         rows.write.mode("overwrite").parquet(f"{path}/epoch={number}")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptloom.operators.reports import count_by_status
 
@@ -26,16 +27,21 @@ def throughput(finished: DataFrame, at: str, width: str, slide: str | None = Non
     )
 
 
-def latest_table(path: str) -> Callable[[DataFrame, int], None]:
-    """Sink for complete-mode results: each epoch is a folder holding the whole result."""
+def changed_rows(path: str) -> Callable[[DataFrame, int], None]:
+    """Sink for update-mode results: each epoch stores the groups it changed, and only those.
 
-    def store(result: DataFrame, epoch: int) -> None:
-        result.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    A repeated epoch overwrites its own folder.
+    """
+
+    def store(changed: DataFrame, epoch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return store
 
 
-def read_latest(stored: DataFrame) -> DataFrame:
-    """The result as of the last epoch."""
-    newest = stored.agg(F.max("epoch")).scalar()
-    return stored.where(F.col("epoch") == newest).drop("epoch")
+def read_latest(spark: SparkSession, path: str, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """Current state of every group: its row of the last epoch that changed it."""
+    stored = spark.read.schema(T.StructType([*schema.fields, T.StructField("epoch", T.LongType())])).parquet(path)
+    values = [name for name in schema.fieldNames() if name not in keys]
+    latest = F.max_by(F.struct(*values), "epoch")
+    return stored.groupBy(*keys).agg(latest.alias("_v")).select(*keys, "_v.*")

@@ -31,7 +31,3 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     finally:
         query.stop()
 
-
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)

@@ -167,6 +167,33 @@ def test_array_files(spark, tmp_path):
     assert by_file == {("a.json", None): 2, ("c.json", batches.BROKEN_BATCH): 1, ("d.json", batches.BROKEN_BATCH): 1}
 
 
+@pytest.mark.parametrize("piece", [1, 7, 4096])
+def test_long_arrays_are_read_in_pieces(spark, tmp_path, monkeypatch, piece):
+    write(tmp_path, "a.json", "\n" + json.dumps([*MIXED, 1.5, -12, True, {"é": ["😀", "]\\\",["]}], indent=2, ensure_ascii=False))
+    write(tmp_path, "b.json", " [ ] ")
+    write(tmp_path, "c.json", '[1, {"id": "x"}, tru]')
+    write(tmp_path, "d.json", '[1, 2')
+    write(tmp_path, "e.json", "[1 2]")
+    write(tmp_path, "f.json", '{"id": 1}')
+    folder = write(tmp_path, "g.json", "[12345]")
+
+    def found(whole_bytes):
+        frame = batches.read_json_arrays(spark, folder, whole_bytes)
+        return Counter(
+            (r.path.rsplit("/", 1)[-1], r.row_number, r.text, r.batch_error)
+            for r in frame.withColumn("text", F.to_json("element")).collect()
+        )
+
+    pieces = Counter()
+    monkeypatch.setattr(batches, "PIECE_BYTES", piece)
+    for path in sorted((tmp_path / "in").glob("*.json")):
+        for batch in batches._array_batches(f"file://{path}"):
+            pieces.update((path.name, r["row_number"], r["value"] is None) for r in batch.to_pylist())
+    assert {name for name, _, bad in pieces if bad} == {"c.json", "d.json", "e.json", "f.json"}
+    assert sum(n for (name, _, _), n in pieces.items() if name == "a.json") == 20
+    assert found(0) == found(1 << 20)
+
+
 def test_json_lines_are_numbered_in_file_order(spark, tmp_path):
     lines = [json.dumps({"id": f"i{n}", "prompt": "x" * (n % 50)}) for n in range(3000)]
     folder = write(tmp_path, "a.jsonl", "\n".join(lines) + "\nnot json\n")

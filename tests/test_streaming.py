@@ -55,11 +55,12 @@ def test_distinct_items_over_micro_batches(spark, batches):
 
 def test_seen_counts(spark, batches):
     stream = stream_table(spark, str(batches), "items.parquet", files_per_trigger=2).where("NOT is_malformed")
-    counts = duplicates.seen_counts(stream)
-    writer = counts.writeStream.outputMode("complete").foreachBatch(progress.latest_table(f"{batches}/seen"))
+    counts = duplicates.seen_counts(stream.withColumn("job_id", F.lit("one")))
+    writer = counts.writeStream.outputMode("update").foreachBatch(progress.changed_rows(f"{batches}/seen"))
     run_available(writer, f"{batches}/ck")
-    got = progress.read_latest(spark.read.parquet(f"{batches}/seen"))
-    batch = duplicates.seen_counts(spark.read.parquet(f"{batches}/items.parquet").where("NOT is_malformed"))
+    got = progress.read_latest(spark, f"{batches}/seen", counts.schema, ["job_id", "external_id"])
+    whole = spark.read.parquet(f"{batches}/items.parquet").where("NOT is_malformed")
+    batch = duplicates.seen_counts(whole.withColumn("job_id", F.lit("one")))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
 
 
