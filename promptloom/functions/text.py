@@ -28,6 +28,20 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITE_SPACE))
 
 
+def stripped_shorter_than(text: Column, count: int) -> Column:
+    """``char_length(strip(text)) < count`` without stripping most texts.
+
+    Two characters that are no white space and lie ``count`` places apart settle it, and are
+    mostly found near the start. Only a text without such a pair there is stripped as a whole.
+    """
+    if count <= 0:
+        return F.lit(False)
+    solid = "[^" + "".join(f"\\u{ord(c):04x}" for c in WHITE_SPACE) + "]"
+    pair = solid if count == 1 else f"(?s){solid}.{{{count - 2}}}{solid}"
+    settled = F.substring(text, 1, max(64, 2 * count)).rlike(pair)
+    return F.when(settled, F.lit(False)).otherwise(F.char_length(strip(text)) < count)
+
+
 def whole_quotient(value: Column, divisor: int) -> Column:
     return F.call_function("div", value, F.lit(divisor))
 

@@ -1,9 +1,9 @@
 """Gap-free numbering and running totals without a single-task window.
 
 Rows are range-sorted by (group, order), so one large group spans many partitions, and
-stored together with their partition and place. Everything after that is local to a
-partition, except the carry of a group that crosses a partition border. At most one group
-crosses each border, so the carry table has fewer rows than there are partitions.
+stored together with their partition and place. What a row still lacks is what its group
+holds in earlier partitions. That comes from a table with one row per group and partition,
+which is made from counts and never from rows.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from promptloom.session import materialise
 
-_PART, _PLACE, _CARRY = "_part", "_place", "_carry"
+_PART, _PLACE = "_part", "_place"
 _PLACE_BITS = 33  # layout of monotonically_increasing_id
 
+# Largest table of groups per partition that is sent to all executors (some MB).
+MOST_BROADCAST_ROWS = 100_000
+
 
 def placed_rows(df: DataFrame, group: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """``df`` range-sorted by (group, order) with partition number and place, written once."""
@@ -34,21 +37,20 @@ def placed_rows(df: DataFrame, group: Sequence[str], order: Sequence[str | Colum
     )
 
 
-def _with_carry(placed: DataFrame, group: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
-    """Add to each total what earlier partitions hold of the row's group."""
-    parts = placed.groupBy(*group, _PART).agg(*[F.sum(value).alias(name) for name, value in totals.items()])
-    earlier = Window.partitionBy(*group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        parts.withColumns({_CARRY + name: F.sum(name).over(earlier) for name in totals})
-        .withColumn(_CARRY, F.count("*").over(earlier))
-        .where(F.col(_CARRY) > 0)
-        .select(*group, _PART, *[_CARRY + name for name in totals])
-    )
-    # Fewer rows than partitions (see above), whatever the size of the data.
-    joined = placed.join(F.broadcast(carry), [*group, _PART], "left")
-    return joined.withColumns(
-        {name: F.col(name) + F.coalesce(F.col(_CARRY + name), F.lit(0)) for name in totals}
-    ).drop(_PART, _PLACE, *[_CARRY + name for name in totals])
+def _join_parts(placed: DataFrame, parts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Look up each row's (group, partition) in a stored table that holds all of them.
+
+    The table is broadcast only if it was counted and found small; a larger one is joined by
+    (group, partition), of which no pair has more rows than a partition.
+    """
+    keys = [*group, _PART]
+    renamed = parts.withColumnsRenamed({key: f"_p{key}" for key in keys})
+    if renamed.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS:
+        renamed = F.broadcast(renamed)
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_p{key}"))
+    return placed.join(renamed, same).drop(*[f"_p{key}" for key in keys])
 
 
 def number_rows(
@@ -61,30 +63,26 @@ def number_rows(
     """Number the rows of each group 1, 2, 3, … in the given order.
 
     ``last`` names a further column that is true for the last row of each group. ``df`` is
-    written once, so hand in keys rather than long texts.
+    written once, so hand in keys rather than long texts where that is possible.
     """
     placed = placed_rows(df, group, order)
-    local = Window.partitionBy(*group, _PART).orderBy(_PLACE)
-    # Without groups a row's place is its number within the partition.
-    number = F.row_number().over(local).cast("bigint") if group else F.col(_PLACE) + 1
-    placed = placed.withColumn(name, number)
-    if last is not None:
-        placed = _with_last(placed.withColumn(last, F.lead(_PLACE).over(local).isNull()), group, last)
-    return _with_carry(placed, group, {name: F.lit(1).cast("bigint")})
-
-
-def _with_last(placed: DataFrame, group: Sequence[str], last: str) -> DataFrame:
-    """Clear the mark of a partition's last row if its group goes on in a later partition."""
-    later = Window.partitionBy(*group).orderBy(_PART).rowsBetween(1, 1)
-    goes_on = (
-        placed.select(*group, _PART)
-        .distinct()
-        .withColumn("_more", F.count("*").over(later) > 0)
-        .where("_more")
+    by_part = Window.partitionBy(*group).orderBy(_PART)
+    earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        placed.groupBy(*group, _PART)
+        .agg(F.count("*").alias("_n"), F.min(_PLACE).alias("_start"))
+        .select(
+            *group,
+            _PART,
+            (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start") + 1).alias("_shift"),
+            F.when(F.lead(_PART).over(by_part).isNull(), F.col("_start") + F.col("_n") - 1).alias("_end"),
+        )
     )
-    # Again at most one row per partition border.
-    joined = placed.join(F.broadcast(goes_on), [*group, _PART], "left")
-    return joined.withColumn(last, F.col(last) & F.col("_more").isNull()).drop("_more")
+    joined = _join_parts(placed, materialise(parts, "parts"), group)
+    numbered = joined.withColumn(name, F.col(_PLACE) + F.col("_shift"))
+    if last is not None:
+        numbered = numbered.withColumn(last, F.coalesce(F.col(_PLACE) == F.col("_end"), F.lit(False)))
+    return numbered.drop(_PART, _PLACE, "_shift", "_end")
 
 
 def running_totals(
@@ -92,6 +90,14 @@ def running_totals(
 ) -> DataFrame:
     """For each ``name: column`` in ``values`` the sum from the group's first row to this one."""
     placed = placed_rows(df, group, order)
+    earlier = Window.partitionBy(*group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy(*group, _PART).agg(*[F.sum(column).alias(name) for name, column in values.items()])
+    before = parts.select(
+        *group, _PART, *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_b{name}") for name in values]
+    )
     upto = Window.partitionBy(*group, _PART).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumns({name: F.sum(column).over(upto) for name, column in values.items()})
-    return _with_carry(local, group, {name: F.col(column) for name, column in values.items()})
+    joined = _join_parts(local, materialise(before, "parts"), group)
+    return joined.withColumns({name: F.col(name) + F.col(f"_b{name}") for name in values}).drop(
+        _PART, _PLACE, *[f"_b{name}" for name in values]
+    )

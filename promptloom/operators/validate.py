@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.functions.text import prompt_size, strip
+from promptloom.functions.text import prompt_size, strip, stripped_shorter_than
 from promptloom.operators.normalize import failure_text
 
 Rule = Callable[[], Column]
@@ -30,7 +30,7 @@ def id_present() -> Rule:
 
 def prompt_long_enough(min_chars: int = MIN_CHARS) -> Rule:
     return lambda: F.when(
-        F.char_length(strip(F.coalesce(F.col("prompt"), F.lit("")))) < min_chars,
+        stripped_shorter_than(F.coalesce(F.col("prompt"), F.lit("")), min_chars),
         F.lit(f"prompt shorter than min_chars={min_chars}"),
     )
 

@@ -94,3 +94,11 @@ def test_cost_and_prices(spark):
     assert values(spark, [("a",), ("b",), ("c",), (None,)], "m string", prices) == [1.0, 2.0, 9.0, 9.0]
     with pytest.raises(ValueError):
         money.price_of(F.col("m"), {str(i): 1.0 for i in range(1001)}, 0.0)
+
+
+@pytest.mark.parametrize("count", [0, 1, 2, 3, 40])
+def test_short_texts_are_found(spark, count):
+    samples = ["", "   ", "a", " a ", " ab ", "a　b", "a  b", "😀 😀", " " * 200 + "abc" + " " * 200, "x" + " " * 300 + "y"]
+    samples += ["a" * 39, "a" * 40, " " * 100 + "b" * 39 + "\n", "word " * 50]
+    got = values(spark, [(s,) for s in samples], "s string", text.stripped_shorter_than(F.col("s"), count))
+    assert got == [len(s.strip()) < count for s in samples]
