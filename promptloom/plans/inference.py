@@ -12,7 +12,7 @@ from promptloom.operators.validate import standard_rules, validate
 from promptloom.plans.clients import EchoClient, FlakyClient
 from promptloom.plans.registry import query
 from promptloom.plans.tables import DOCUMENT_ITEMS_SQL, document_items, judged_sql, table
-from promptloom.session import new_folder
+from promptloom.session import materialise, new_folder
 from promptloom.sources import results as result_files
 
 CHUNK = 7
@@ -191,7 +191,10 @@ FROM judged j JOIN doc_results r ON j.row_number = r.row_number
 """)
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Processed documents and those rejected at ingest together."""
-    judged = validate(document_items(spark, sf_dir), standard_rules(max_tokens=TOKENS))
+    # Both sides of the report need the outcome; it is judged once and kept without texts.
+    judged = materialise(
+        validate(document_items(spark, sf_dir), standard_rules(max_tokens=TOKENS)).drop("prompt"), "judged"
+    )
     accepted = judged.where("ok").select("job_id", "row_number")
     processed = document_results(spark, sf_dir).join(accepted, ["job_id", "row_number"], "left_semi")
     return results.full_report(processed, judged)

@@ -38,7 +38,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = new_folder(spark, "stream-ingest")
     rules = standard_rules(max_tokens=TOKENS)
     run_available(ingest_stream(items, f"{root}/items", rules), f"{root}/first")
-    run_available(ingest_stream(items, f"{root}/items", rules, first_epoch=1_000_000), f"{root}/second")
+    run_available(ingest_stream(items, f"{root}/items", rules), f"{root}/second")
     stored = spark.read.schema(STORED).parquet(f"{root}/items")
     return stored.select(
         "job_id",

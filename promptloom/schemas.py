@@ -36,7 +36,7 @@ ITEMS = _schema(
 RESULT_FIELDS = ("external_id", "status", "response", "error", "attempts", "latency_ms")
 
 RESULTS = _schema(
-    "job_id string, chunk_group bigint, chunk_id string, row_number bigint, external_id string, "
+    "job_id string, run_id string, chunk_group bigint, chunk_id string, row_number bigint, external_id string, "
     "status string, response string, error string, attempts int, latency_ms bigint"
 )
 

@@ -16,19 +16,26 @@ from promptloom.session import path_exists
 # A group of chunks is one folder and about one file: with 50 rows per chunk up to a million rows.
 CHUNKS_PER_GROUP = 20_000
 
-LAYOUT = ("job_id", "chunk_group")
+LAYOUT = ("job_id", "run_id", "chunk_group")
 
 
 def write_results(
-    results: DataFrame, root: str, file_format: str = "json", chunks_per_group: int = CHUNKS_PER_GROUP
+    results: DataFrame,
+    root: str,
+    run_id: str = "run-0",
+    file_format: str = "json",
+    chunks_per_group: int = CHUNKS_PER_GROUP,
 ) -> None:
-    """Write results below ``root``; writing the same chunks again replaces them.
+    """Write the results of a run below ``root``; writing a run again replaces what it wrote.
 
     ``root`` may have any path scheme Spark knows. One file per chunk would mean one file
-    for 50 rows; a folder holds a run of chunks instead, and ``chunk_id`` is a column. Null
-    fields are written. A run must hand in all chunks of each group it touches.
+    for 50 rows; a folder holds a group of chunks instead, and ``chunk_id`` is a column. Null
+    fields are written. A run that resumes another one takes a ``run_id`` of its own and
+    leaves the other's files alone; ``replay_winners`` settles rows that both hold.
     """
-    grouped = results.withColumn("chunk_group", whole_quotient(F.col("chunk_no"), chunks_per_group))
+    grouped = results.withColumn("run_id", F.lit(run_id)).withColumn(
+        "chunk_group", whole_quotient(F.col("chunk_no"), chunks_per_group)
+    )
     names = [name for name in RESULTS.fieldNames() if name not in LAYOUT]
     writer = (
         grouped.select(*LAYOUT, *names)

@@ -5,39 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from promptloom.operators.infer import Client, infer
 from promptloom.operators.results import collapse_attempts
 from promptloom.schemas import ATTEMPTS
+from promptloom.session import path_exists
+from promptloom.streaming.runs import run_folder
 
 
 def infer_stream(
     requests: DataFrame, client_factory: Callable[[], Client], path: str, **options: Any
 ) -> DataStreamWriter:
-    """Writer that sends a stream of requests and stores attempts, then results, per epoch.
+    """Writer that sends a stream of requests and stores attempts, then results, per micro-batch.
 
-    Attempts are written before results are derived from them, so calls are not repeated for
-    the second write. A repeated epoch calls again but overwrites its own folders: calls are
-    at least once, results exactly once.
+    Results are derived from the stored attempts. A micro-batch that is repeated after a crash
+    reuses attempts that were completely written, and calls again only if they were not; its
+    results replace themselves.
     """
 
     def send(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        tries = f"{path}/attempts/epoch={epoch}"
-        infer(batch, client_factory, **options).write.mode("overwrite").parquet(tries)
+        folder = run_folder(spark, epoch)
+        tries = f"{path}/attempts/{folder}"
+        if not path_exists(spark, f"{tries}/_SUCCESS"):
+            infer(batch, client_factory, **options).write.mode("overwrite").parquet(tries)
         stored = spark.read.schema(ATTEMPTS).parquet(tries)
-        results = collapse_attempts(stored, ["row_number", "chunk_no"])
-        results.write.mode("overwrite").parquet(f"{path}/results/epoch={epoch}")
+        results = collapse_attempts(stored, ["row_number", "chunk_no", "ended_at"])
+        results.write.mode("overwrite").parquet(f"{path}/results/{folder}")
 
     return requests.writeStream.foreachBatch(send)
 
 
-def read_stream_results(spark, path: str) -> DataFrame:
-    """Results of all epochs; an item sent again in a later epoch keeps its latest result."""
+def read_stream_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results of all micro-batches; an item that was sent again keeps its latest result."""
     rows = spark.read.parquet(f"{path}/results")
-    payload = [c for c in rows.columns if c not in ("job_id", "external_id", "epoch")]
-    latest = F.max_by(F.struct(*payload), "epoch")
+    payload = [name for name in rows.columns if name not in ("job_id", "external_id", "run_id", "epoch")]
+    latest = F.max_by(F.struct(*payload), "ended_at")
     return rows.groupBy("job_id", "external_id").agg(latest.alias("_r")).select("job_id", "external_id", "_r.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,46 +11,39 @@ from pyspark.sql.streaming import DataStreamWriter
 from promptloom.operators.load import FLUSH_ROWS, item_rows, judge_and_load
 from promptloom.operators.validate import Rule
 from promptloom.session import path_exists
+from promptloom.streaming.runs import run_folder
 
 STORED = (
-    "job_id string, row_number bigint, external_id string, prompt string, status string, error string, epoch bigint"
+    "job_id string, row_number bigint, external_id string, prompt string, status string, error string, "
+    "run_id string, epoch bigint"
 )
+_ITEM = ["job_id", "external_id"]
 
 
-def load_epoch(
-    path: str, rules: Sequence[Rule] | None, flush_rows: int, first_epoch: int
-) -> Callable[[DataFrame, int], None]:
-    """Loader of one micro-batch: judge it, drop what the item table has, write its own folder.
+def load_batch(batch: DataFrame, epoch: int, path: str, rules: Sequence[Rule] | None, flush_rows: int) -> None:
+    """Judge a micro-batch, drop what the item table has and write the rest to its own folder.
 
-    A repeated micro-batch overwrites its folder with the same rows, so no row is stored
-    twice. Only the keys of earlier epochs are read.
+    A repeated micro-batch overwrites its folder with the same rows, so no row is stored twice.
     """
-
-    def load(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        number = first_epoch + epoch
-        existing = None
-        if path_exists(spark, path):
-            earlier = spark.read.schema(STORED).parquet(path).where(F.col("epoch") < number)
-            # The table is scanned for this batch's ids only; it is not shuffled if they are few.
-            ids = batch.select("job_id", "external_id").distinct()
-            existing = earlier.select("job_id", "external_id").join(ids, ["job_id", "external_id"], "left_semi")
-        rows = item_rows(judge_and_load(batch, rules, flush_rows, existing))
-        rows.write.mode("overwrite").parquet(f"{path}/epoch={number}")
-
-    return load
+    spark = batch.sparkSession
+    folder = run_folder(spark, epoch)
+    existing = None
+    if path_exists(spark, path):
+        run_id = folder.split("/")[0].removeprefix("run_id=")
+        repeated = (F.col("run_id") == run_id) & (F.col("epoch") >= epoch)
+        earlier = spark.read.schema(STORED).parquet(path).where(~repeated)
+        # The table is scanned for this batch's ids only; it is not shuffled if they are few.
+        existing = earlier.select(*_ITEM).join(batch.select(*_ITEM).distinct(), _ITEM, "left_semi")
+    rows = item_rows(judge_and_load(batch, rules, flush_rows, existing))
+    rows.write.mode("overwrite").parquet(f"{path}/{folder}")
 
 
 def ingest_stream(
-    items: DataFrame,
-    path: str,
-    rules: Sequence[Rule] | None = None,
-    flush_rows: int = FLUSH_ROWS,
-    first_epoch: int = 0,
+    items: DataFrame, path: str, rules: Sequence[Rule] | None = None, flush_rows: int = FLUSH_ROWS
 ) -> DataStreamWriter:
     """Writer that loads a stream of items into the item table below ``path``.
 
     A batch whose ids repeat should arrive in one micro-batch; across micro-batches the
-    earlier one wins. A new run over the same table starts at a higher ``first_epoch``.
+    earlier one wins.
     """
-    return items.writeStream.foreachBatch(load_epoch(path, rules, flush_rows, first_epoch))
+    return items.writeStream.foreachBatch(lambda batch, epoch: load_batch(batch, epoch, path, rules, flush_rows))

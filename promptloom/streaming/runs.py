@@ -23,6 +23,15 @@ def stream_table(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
+def run_folder(spark: SparkSession, epoch: int) -> str:
+    """Folder name of a micro-batch: the same when it is repeated, another for every stream.
+
+    The id of a stream is kept in its checkpoint, so it survives restarts.
+    """
+    stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+    return f"run_id={stream}/epoch={epoch}"
+
+
 def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     """Work off everything that is available and stop; a failure of the stream is raised."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -243,3 +243,19 @@ def test_item_ids_continue(spark):
     items = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1)], "job_id string, row_number bigint")
     got = {(r.job_id, r.row_number): r.id for r in load.with_item_ids(items, after=10).collect()}
     assert got == {("a", 1): 11, ("a", 2): 12, ("b", 1): 13}
+
+
+def test_rule_of_ones_own(spark):
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def shouting(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: "prompt is all capitals" if text.isupper() else None)
+
+    items = spark.createDataFrame(
+        [("j", 1, "a", "HELLO", False), ("j", 2, "b", "Hello", False)],
+        "job_id string, row_number bigint, external_id string, prompt string, is_malformed boolean",
+    )
+    rules = [*standard_rules(), lambda: shouting(F.col("prompt"))]
+    got = {r.external_id: r.error for r in load.judge_and_load(items, rules).collect()}
+    assert got == {"a": "validation: prompt is all capitals", "b": None}

@@ -42,6 +42,8 @@ def test_files_round_trip_and_rewrite(spark, tmp_path):
     assert files.read_results(spark, root).count() == 13
     one_file = next((tmp_path / "r" / "job_id=k").rglob("*.json")).read_text(encoding="utf-8")
     assert json.loads(one_file.splitlines()[0])["error"] is None
+    files.write_results(result_rows(spark, 2, status="FAILED"), root, run_id="run-1", chunks_per_group=2)
+    assert files.read_results(spark, root, "j").count() == 12
     plan = files.read_results(spark, root, "j")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(job_id" in plan
 

@@ -32,15 +32,15 @@ def test_ingest_equals_batch_and_is_idempotent(spark, batches):
     stream = stream_table(spark, source, "items.parquet", files_per_trigger=1)
     run_available(ingest_stream(stream, path), f"{source}/ck1")
     stored = spark.read.schema(STORED).parquet(path)
-    assert stored.select("epoch").distinct().count() == 4
+    assert stored.select("run_id", "epoch").distinct().count() == 4
     whole = load.item_rows(load.judge_and_load(spark.read.parquet(f"{source}/items.parquet")))
     expected = sorted(map(tuple, whole.collect()), key=str)
-    assert sorted(map(tuple, stored.drop("epoch").collect()), key=str) == expected
+    assert sorted(map(tuple, stored.drop("run_id", "epoch").collect()), key=str) == expected
 
     run_available(ingest_stream(stream, path), f"{source}/ck1")  # restart: nothing new
-    run_available(ingest_stream(stream, path, first_epoch=100), f"{source}/ck2")  # handed in again
+    run_available(ingest_stream(stream, path), f"{source}/ck2")  # handed in again
     again = spark.read.schema(STORED).parquet(path)
-    assert sorted(map(tuple, again.drop("epoch").collect()), key=str) == expected
+    assert sorted(map(tuple, again.drop("run_id", "epoch").collect()), key=str) == expected
 
 
 def test_distinct_items_over_micro_batches(spark, batches):
@@ -104,7 +104,29 @@ def test_inference_survives_a_restart(spark, tmp_path):
     events.where("event_id >= 40").coalesce(1).write.mode("append").parquet(source)
     run(f"{tmp_path}/ck")
     assert read_stream_results(spark, out).count() == 80
-    run(f"{tmp_path}/lost-checkpoint")  # the same epochs again overwrite their own folders
+    first = read_stream_results(spark, out).agg(F.max("ended_at")).first()[0]
+    run(f"{tmp_path}/lost-checkpoint")  # everything is sent again: the later results count
     rows = read_stream_results(spark, out)
+    assert rows.agg(F.min("ended_at")).first()[0] > first
     assert rows.count() == 80
     assert rows.where("status = 'SUCCEEDED'").count() == 50
+
+
+def test_stored_attempts_are_not_sent_again(spark, tmp_path):
+    events = spark.range(20).select(
+        F.col("id").alias("event_id"), F.to_timestamp(F.lit("2024-01-01")).alias("ts"), F.lit("m").alias("event_type")
+    )
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    out, checkpoint = f"{tmp_path}/out", tmp_path / "ck"
+
+    def run():
+        stream = flaky_requests(stream_table(spark, str(tmp_path), "events.parquet"))
+        run_available(infer_stream(stream, FlakyClient, out, rule=NO_WAIT), str(checkpoint))
+
+    run()
+    before = read_stream_results(spark, out).select("external_id", "ended_at").collect()
+    for name in ("0", ".0.crc"):  # as after a crash between the writes and the commit
+        (checkpoint / "commits" / name).unlink()
+    run()
+    after = read_stream_results(spark, out).select("external_id", "ended_at").collect()
+    assert sorted(before) == sorted(after)
