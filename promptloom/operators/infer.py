@@ -10,9 +10,9 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
-from datetime import UTC, datetime, timedelta
+from queue import SimpleQueue
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -140,54 +140,75 @@ def call_layout(slots: int, max_concurrency: int, tasks_per_slot: int = 8) -> Ca
 
 
 class _Clock:
-    """Wall-clock stamps whose differences come from the monotonic clock."""
+    """Wall-clock stamps in microseconds whose differences come from the monotonic clock."""
 
     def __init__(self) -> None:
-        self._wall = datetime.now(UTC)
-        self._start = time.monotonic()
+        self._offset = time.time_ns() - time.monotonic_ns()
 
-    def now(self) -> datetime:
-        return self._wall + timedelta(seconds=time.monotonic() - self._start)
+    def now(self) -> int:
+        return (time.monotonic_ns() + self._offset) // 1000
 
 
-def _call(client: Client, request: Request) -> dict[str, Any]:
+# What a try yields: outcome, error, response, prompt tokens, completion tokens.
+Outcome = tuple[str, str | None, str | None, int | None, int | None]
+
+
+def _call(client: Client, request: Request) -> Outcome:
     try:
         response = client.complete(request)
-        return {
-            "outcome": SUCCESS,
-            "response": response.text or "",
-            "prompt_tokens": response.prompt_tokens or 0,
-            "completion_tokens": response.completion_tokens or 0,
-        }
+        return SUCCESS, None, response.text or "", response.prompt_tokens or 0, response.completion_tokens or 0
     except RetryableError as error:
-        return {"outcome": RETRYABLE, "error": str(error)}
+        return RETRYABLE, str(error), None, None, None
     except PermanentError as error:
-        return {"outcome": PERMANENT, "error": str(error)}
+        return PERMANENT, str(error), None, None, None
     except Exception as error:  # whatever a client raises stays with its row
-        return {"outcome": UNEXPECTED, "error": f"unexpected: {error}"}
+        return UNEXPECTED, f"unexpected: {error}", None, None, None
+
 
+_REQUEST_COLUMNS = (
+    "job_id", "chunk_no", "row_number", "external_id", "model", "prompt", "max_tokens", "temperature", "top_p",
+)
 
-def _tries(client: Client, rule: RetryRule, clock: _Clock, row: dict[str, Any]) -> list[dict[str, Any]]:
-    keys = {name: row[name] for name in ("job_id", "chunk_no", "row_number", "external_id", "model")}
-    done: list[dict[str, Any]] = []
+
+def _tries(client: Client, rule: RetryRule, clock: _Clock, row: tuple[Any, ...]) -> list[tuple[Any, ...]]:
+    """All tries of one request as rows of the attempts table."""
+    job_id, chunk_no, row_number, external_id, model, prompt, max_tokens, temperature, top_p = row
+    done: list[tuple[Any, ...]] = []
     for attempt in range(1, rule.max_attempts + 1):
-        request = Request(
-            row["model"], row["prompt"], row["max_tokens"], row["temperature"], row["top_p"], attempt
-        )
+        request = Request(model, prompt, max_tokens, temperature, top_p, attempt)
         started = clock.now()
-        outcome = _call(client, request)
-        done.append({**keys, "attempt": attempt, "started_at": started, "ended_at": clock.now(), **outcome})
-        if outcome["outcome"] != RETRYABLE or attempt == rule.max_attempts:
+        outcome, error, response, prompt_tokens, completion_tokens = _call(client, request)
+        done.append(
+            (
+                job_id,
+                chunk_no,
+                row_number,
+                external_id,
+                attempt,
+                model,
+                outcome,
+                error,
+                response,
+                started,
+                clock.now(),
+                prompt_tokens,
+                completion_tokens,
+            )
+        )
+        if outcome != RETRYABLE or attempt == rule.max_attempts:
             break
-        time.sleep(rule.wait(attempt - 1))
+        pause = rule.wait(attempt - 1)
+        if pause > 0:
+            time.sleep(pause)
     return done
 
 
-def _rows(batches: Iterator[pa.RecordBatch], slice_rows: int) -> Iterator[dict[str, Any]]:
+def _rows(batches: Iterator[pa.RecordBatch], slice_rows: int) -> Iterator[tuple[Any, ...]]:
     """Rows of Arrow batches; only a slice at a time becomes Python objects."""
     for batch in batches:
         for start in range(0, batch.num_rows, slice_rows):
-            yield from batch.slice(start, slice_rows).to_pylist()
+            part = batch.slice(start, slice_rows)
+            yield from zip(*[part.column(name).to_pylist() for name in _REQUEST_COLUMNS], strict=True)
 
 
 def infer(
@@ -211,27 +232,31 @@ def infer(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = client_factory()
         clock = _Clock()
-        waiting: set[Future] = set()
-        done: list[dict[str, Any]] = []
+        finished: SimpleQueue[Future] = SimpleQueue()
+        done: list[tuple[Any, ...]] = []
 
         def packed() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_pylist(done, schema=_ATTEMPT_BATCH)
+            columns = [
+                pa.array(values, field.type)
+                for values, field in zip(zip(*done, strict=True), _ATTEMPT_BATCH, strict=True)
+            ]
             done.clear()
-            return batch
+            return pa.RecordBatch.from_arrays(columns, schema=_ATTEMPT_BATCH)
 
         try:
             with ThreadPoolExecutor(plan.calls_per_task) as pool:
+                waiting = 0
                 for row in _rows(batches, chunk_rows):
-                    waiting.add(pool.submit(_tries, client, rule, clock, row))
-                    if len(waiting) < 2 * plan.calls_per_task:
-                        continue
-                    finished, waiting = wait(waiting, return_when=FIRST_COMPLETED)
-                    for future in finished:
-                        done.extend(future.result())
+                    pool.submit(_tries, client, rule, clock, row).add_done_callback(finished.put)
+                    waiting += 1
+                    # As many rows again as calls are open stand by, so no place is ever idle.
+                    if waiting >= 2 * plan.calls_per_task:
+                        done.extend(finished.get().result())
+                        waiting -= 1
                     if len(done) >= chunk_rows:
                         yield packed()
-                for future in waiting:
-                    done.extend(future.result())
+                for _ in range(waiting):
+                    done.extend(finished.get().result())
                 if done:
                     yield packed()
         finally:
