@@ -37,13 +37,12 @@ def placed_rows(df: DataFrame, group: Sequence[str], order: Sequence[str | Colum
     )
 
 
-def _join_parts(placed: DataFrame, parts: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Look up each row's (group, partition) in a stored table that holds all of them.
+def _join_parts(placed: DataFrame, parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Look up each row's (group, part) in a stored table that holds all of them.
 
     The table is broadcast only if it was counted and found small; a larger one is joined by
-    (group, partition), of which no pair has more rows than a partition.
+    (group, part), of which no pair has more rows than a partition.
     """
-    keys = [*group, _PART]
     renamed = parts.withColumnsRenamed({key: f"_p{key}" for key in keys})
     if renamed.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS:
         renamed = F.broadcast(renamed)
@@ -53,6 +52,33 @@ def _join_parts(placed: DataFrame, parts: DataFrame, group: Sequence[str]) -> Da
     return placed.join(renamed, same).drop(*[f"_p{key}" for key in keys])
 
 
+def number_placed(
+    placed: DataFrame, group: Sequence[str], part: str, place: str, name: str, last: str | None = None
+) -> DataFrame:
+    """Number stored rows that stand in order already.
+
+    The parts of a group follow each other by ``part``; within one part the rows of a group
+    have consecutive ``place`` numbers, from whatever start. No row is moved or sorted.
+    """
+    by_part = Window.partitionBy(*group).orderBy(part)
+    earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    parts = (
+        placed.groupBy(*group, part)
+        .agg(F.count("*").alias("_n"), F.min(place).alias("_start"))
+        .select(
+            *group,
+            part,
+            (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start") + 1).alias("_shift"),
+            F.when(F.lead(part).over(by_part).isNull(), F.col("_start") + F.col("_n") - 1).alias("_end"),
+        )
+    )
+    joined = _join_parts(placed, materialise(parts, "parts"), [*group, part])
+    numbered = joined.withColumn(name, F.col(place) + F.col("_shift"))
+    if last is not None:
+        numbered = numbered.withColumn(last, F.coalesce(F.col(place) == F.col("_end"), F.lit(False)))
+    return numbered.drop(part, place, "_shift", "_end")
+
+
 def number_rows(
     df: DataFrame,
     group: Sequence[str],
@@ -65,24 +91,7 @@ def number_rows(
     ``last`` names a further column that is true for the last row of each group. ``df`` is
     written once, so hand in keys rather than long texts where that is possible.
     """
-    placed = placed_rows(df, group, order)
-    by_part = Window.partitionBy(*group).orderBy(_PART)
-    earlier = by_part.rowsBetween(Window.unboundedPreceding, -1)
-    parts = (
-        placed.groupBy(*group, _PART)
-        .agg(F.count("*").alias("_n"), F.min(_PLACE).alias("_start"))
-        .select(
-            *group,
-            _PART,
-            (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start") + 1).alias("_shift"),
-            F.when(F.lead(_PART).over(by_part).isNull(), F.col("_start") + F.col("_n") - 1).alias("_end"),
-        )
-    )
-    joined = _join_parts(placed, materialise(parts, "parts"), group)
-    numbered = joined.withColumn(name, F.col(_PLACE) + F.col("_shift"))
-    if last is not None:
-        numbered = numbered.withColumn(last, F.coalesce(F.col(_PLACE) == F.col("_end"), F.lit(False)))
-    return numbered.drop(_PART, _PLACE, "_shift", "_end")
+    return number_placed(placed_rows(df, group, order), group, _PART, _PLACE, name, last)
 
 
 def running_totals(
@@ -97,7 +106,7 @@ def running_totals(
     )
     upto = Window.partitionBy(*group, _PART).orderBy(_PLACE).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.withColumns({name: F.sum(column).over(upto) for name, column in values.items()})
-    joined = _join_parts(local, materialise(before, "parts"), group)
+    joined = _join_parts(local, materialise(before, "parts"), [*group, _PART])
     return joined.withColumns({name: F.col(name) + F.col(f"_b{name}") for name in values}).drop(
         _PART, _PLACE, *[f"_b{name}" for name in values]
     )

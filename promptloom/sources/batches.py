@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptloom.operators.prefix import number_rows
+from promptloom.operators.prefix import number_placed
 from promptloom.operators.skew import join_hot_keys
 from promptloom.session import materialise, ship_package
 
@@ -192,15 +192,16 @@ def parse_elements(rows: DataFrame, column: str) -> DataFrame:
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Elements of JSON-lines files: (path, row_number, element). Files are split freely.
 
-    Lines are numbered per file in file order: by split, then by place in the split.
+    Lines are numbered per file in file order: by split, then by place in the split. They are
+    stored with both as they are read, so numbering them neither sorts nor shuffles any text.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_at"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_line"),
         "value",
     )
-    numbered = number_rows(lines, ["path"], ["_start", "_at"], "row_number")
+    numbered = number_placed(materialise(lines, "lines"), ["path"], "_split", "_line", "row_number")
     return parse_elements(numbered, "value").select("path", "row_number", "element")
 
 
