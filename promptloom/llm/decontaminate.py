@@ -172,7 +172,7 @@ def find_benchmark_words(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
     """The rows of ``docs`` without a benchmark window, with the columns of ``docs``."""
-    fresh = {name: f"_doc_{name}" for name in _FIELDS.names if name in docs.columns}
+    fresh = {name: f"__own_{name}" for name in _FIELDS.names if name in docs.columns}
     found = find_benchmark_words(docs.withColumnsRenamed(fresh), benchmark, **names)
     kept = found.where(F.size("hits") == 0).drop(*_FIELDS.names)
     return kept.withColumnsRenamed({new: old for old, new in fresh.items()}).select(*[f"`{c}`" for c in docs.columns])

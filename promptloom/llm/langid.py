@@ -312,7 +312,7 @@ def op3_language_id(spark, sf_dir):
 def drop_unclear_languages(docs: DataFrame, id_col: str = "doc_id", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` with a learned language and a score of at least ``least``."""
     model = train(docs.where(_remainder(id_col) != 1))
-    fresh = {name: f"_doc_{name}" for name in ("lang_pred", "score") if name in docs.columns}
+    fresh = {name: f"__own_{name}" for name in ("lang_pred", "score") if name in docs.columns}
     found = predict(docs.withColumnsRenamed(fresh), model)
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).drop("lang_pred", "score")
     return kept.withColumnsRenamed({new: old for old, new in fresh.items()}).select(*[f"`{c}`" for c in docs.columns])

@@ -115,11 +115,11 @@ def drop_repeated_lines(
     gone = (
         runs.withColumn("all_words", F.sum("words").over(whole))
         .where(F.col("all_words") >= min_words)
-        .groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"))
-        .agg(F.collect_set("line").alias("_gone"))
+        .groupBy(F.col("doc").alias("__dup_doc"), F.col("tag").alias("__dup_tag"))
+        .agg(F.collect_set("line").alias("__dup_gone"))
     )
     doc, tag = _keys(id_col, text_col)
-    joined = docs.join(gone, (doc == F.col("_doc")) & (tag == F.col("_tag")), "left")
+    joined = docs.join(gone, (doc == F.col("__dup_doc")) & (tag == F.col("__dup_tag")), "left")
     fields = T.StructType(
         [
             T.StructField(text_col, T.StringType()),
@@ -141,7 +141,7 @@ def drop_repeated_lines(
 
         return step
 
-    done = add_columns(joined, [text_col, "_gone"], fields, make, docs.columns)
+    done = add_columns(joined, [text_col, "__dup_gone"], fields, make, docs.columns)
     rest = [name for name in docs.columns if name not in ("n_lines", "n_removed")]
     return done.select(*[f"`{name}`" for name in rest], "n_lines", "n_removed")
 
@@ -155,7 +155,7 @@ def op2_line_dedup(spark, sf_dir):
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without later copies of runs; rows of which no word is left by that are dropped."""
-    fresh = {name: f"_doc_{name}" for name in ("n_lines", "n_removed") if name in docs.columns}
+    fresh = {name: f"__dup_own_{name}" for name in ("n_lines", "n_removed") if name in docs.columns}
     done = drop_repeated_lines(docs.withColumnsRenamed(fresh), id_col, text_col)
     kept = done.where((F.col("n_removed") == 0) | F.col(text_col).rlike(NOT_SPACE)).drop("n_lines", "n_removed")
     return kept.withColumnsRenamed({new: old for old, new in fresh.items()}).select(*[f"`{c}`" for c in docs.columns])
