@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from promptloom.llm import decontaminate, jaccard, langid, linedup, mixture, substrings  # noqa: F401
+from promptloom.llm import decontaminate, jaccard, langid, linedup, mixture, secrets, substrings, vectors  # noqa: F401
 from promptloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
