@@ -1,6 +1,17 @@
 """All queries of this subpackage."""
 
-from promptloom.llm import decontaminate, jaccard, langid, linedup, mixture, personal, secrets, substrings, vectors  # noqa: F401
+from promptloom.llm import (  # noqa: F401
+    decontaminate,
+    jaccard,
+    langid,
+    linedup,
+    mixture,
+    personal,
+    secrets,
+    substrings,
+    toxicity,
+    vectors,
+)
 from promptloom.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
