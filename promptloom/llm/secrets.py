@@ -53,12 +53,12 @@ def window_entropies(run: bytes, window: int = WINDOW) -> Iterator[float]:
     counts = [0] * 256
     total = 0.0  # sum of n log n over the window's characters
     for at, char in enumerate(run):
-        total += term[counts[char] + 1] - term[counts[char]]
-        counts[char] += 1
         if at >= window:
             gone = run[at - window]
             total += term[counts[gone] - 1] - term[counts[gone]]
             counts[gone] -= 1
+        total += term[counts[char] + 1] - term[counts[char]]
+        counts[char] += 1
         if at >= window - 1:
             yield math.log2(window) - total / window
 
