@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import codecs
-import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from promptloom.operators.prefix import number_placed
-from promptloom.operators.skew import join_hot_keys
 from promptloom.session import materialise, ship_package
 
 BROKEN_BATCH = "batch is not a JSON array"
@@ -37,156 +35,236 @@ TOPICS = (
     "neural networks", "gravity", "evolution", "encryption",
 )
 
+# Hadoop's names of object stores and those of the file-system library.
+_STORES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "gs": "gs"}
+
+# Messages of the preflight check.
+NOT_FOUND = "input file not found: "
+NOT_AN_ARRAY = "input file must be a JSON array"
+UNREADABLE = "cannot read input file: "
+NO_MODEL = "no model configured"
+
 # Fixed value: bytes a preflight check looks at.
 HEAD_BYTES = 64
 
-WHOLE_BYTES = 128 << 20
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
-_DECODER = json.JSONDecoder()
+# JSON outside and inside strings. A string that is not closed ends with the piece.
+_OUTSIDE = re.compile(r'"(?:[^"\\]+|\\.)*(?:"|\Z)|[\[\]{},]', re.S)
+_INSIDE = re.compile(r'(?:[^"\\]+|\\.)*(?:"|\Z)', re.S)
+_BLANK = " \t\r\n"
 
 
-def read_json_arrays(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
     """Elements of JSON-array files: (path, row_number, element VARIANT, batch_error).
 
-    Every element is a row, whatever its kind, numbered from 1 within its file. A file that
-    is no valid array yields one row with ``batch_error`` and no element. A JSON array cannot
-    be split, so one task reads one file: files up to ``whole_bytes`` at once, longer ones
-    piece by piece. Very large batches are better kept as JSON lines or parquet.
+    Every element is a row, whatever its kind, numbered from 1 within its file. A file that is
+    no valid array yields one row with ``batch_error`` and no element: an empty file, text
+    before or after the array, a missing bracket, bytes that are not UTF-8, or an element that
+    is not strict JSON. Errors of the file system are raised.
+
+    Files of any size are read the same way, from any store Spark reads, and are split. Text
+    is cut at closing braces. A first pass tells for each split how it changes the state of a
+    scan (within a string, depth), for both states it may begin in; there is one small row per
+    split. A second pass cuts out the elements. Parts of those that cross splits are put
+    together by number. A task holds one piece or one element at a time.
     """
-    sizes = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), "length")
-    long_files = sizes.where(F.col("length") > whole_bytes).select("path")
-    texts = spark.read.text(path, wholetext=True).where(F.col("_metadata.file_size") <= whole_bytes)
-    files = texts.select(
-        F.col("_metadata.file_path").alias("path"), F.from_json("value", "array<variant>").alias("_all")
+    ship_package(spark)
+    listed = spark.read.text(path).inputFiles()  # also the empty files, which no scan reads
+    pieces = (
+        spark.read.option("lineSep", "}")
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("split"),
+            F.col("value").cast("binary").alias("value"),
+        )
     )
-    exploded = files.select(
-        "path", F.col("_all").isNull().alias("_broken"), F.posexplode_outer("_all").alias("_pos", "element")
+    changes = pieces.mapInArrow(_split_changes, "path string, split bigint, odd boolean, blank boolean, depth bigint, depth_inside bigint")
+    entered = spark.sparkContext.broadcast(_entry_states(changes.collect()))
+    cut = materialise(
+        pieces.mapInArrow(
+            lambda batches: _cut_elements(batches, entered.value),
+            "path string, split bigint, place bigint, text string, opens boolean, closes boolean, broken boolean",
+        ),
+        "elements",
     )
-    short = exploded.where(F.col("_broken") | F.col("_pos").isNotNull()).select(
-        "path",
-        (F.col("_pos").cast("bigint") + 1).alias("row_number"),
-        "element",
-        F.when(F.col("_broken"), BROKEN_BATCH).alias("batch_error"),
-    )
-    if long_files.isEmpty():
-        return short
-    return short.unionByName(_read_piecewise(long_files))
-
 
-def _read_piecewise(files: DataFrame) -> DataFrame:
-    """As ``read_json_arrays`` for files too long to be held as one value."""
-    ship_package(files.sparkSession)
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                yield from _array_batches(path)
-
-    stored = materialise(files.mapInArrow(read, "path string, row_number bigint, value string"), "elements")
-    parsed = parse_elements(stored.withColumn("_text", F.col("value")), "_text")
-    # A file with any unreadable part is refused as a whole.
-    broken = parsed.where(F.col("element").isNull()).select("path").distinct()
-    whole = join_hot_keys(parsed, broken, ["path"], "left_anti", ["row_number"])
-    return whole.select(
+    # Elements before each split: a comma or the end of the array closes one.
+    closed = cut.groupBy("path", "split").agg(F.sum(F.col("closes").cast("bigint")).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    before = closed.select("path", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbered = cut.where("NOT broken").join(before, ["path", "split"]).withColumn("row_number", F.col("before") + F.col("place") + 1)
+    whole = numbered.where("opens AND closes").select("path", "row_number", "text")
+    parts = (
+        numbered.where("NOT (opens AND closes)")
+        .groupBy("path", "row_number")
+        .agg(F.array_sort(F.collect_list(F.struct("split", "text"))).alias("parts"))
+        .select("path", "row_number", F.array_join("parts.text", "").alias("text"))
+    )
+    texts = materialise(whole.unionByName(parts), "texts")
+    alone = texts.groupBy("path").agg(F.count("*").alias("n"), F.max(F.trim("text", F.lit(_BLANK)) == "").alias("blank"))
+    none = alone.where("n = 1 AND blank").select("path")
+    parsed = parse_elements(texts.join(none, "path", "left_anti"), "text")
+    # The list comes from the driver's file index, which is as long as the number of files.
+    # It writes local paths as file:///x, rows name them file:/x.
+    names = spark.createDataFrame([(name.replace("file:///", "file:/", 1),) for name in listed], "path string")
+    unread = names.join(cut.select("path").distinct(), "path", "left_anti")
+    broken = unread.unionByName(cut.where("broken").select("path")).unionByName(parsed.where(F.col("element").isNull()).select("path")).distinct()
+    kept = parsed.join(broken, "path", "left_anti").select(
         "path", "row_number", "element", F.lit(None).cast("string").alias("batch_error")
-    ).unionByName(
-        broken.select("path", F.lit(BROKEN_BATCH).alias("batch_error")), allowMissingColumns=True
     )
+    refused = broken.select("path", F.lit(BROKEN_BATCH).alias("batch_error"))
+    return kept.unionByName(refused, allowMissingColumns=True)
 
 
-class _PieceReader:
-    """Text of a stream, of which only the part being looked at is in memory."""
-
-    def __init__(self, stream: pa.NativeFile) -> None:
-        self.stream = stream
-        self.decode = codecs.getincrementaldecoder("utf-8")().decode
-        self.text = ""
-        self.at = 0
-
-    def more(self, size: int = PIECE_BYTES) -> bool:
-        piece = self.stream.read(size)
-        self.text = self.text[self.at :] + self.decode(piece, final=not piece)
-        self.at = 0
-        return bool(piece)
-
-    def mark(self) -> str:
-        """Next character that is no white space, or an empty text at the end."""
-        while True:
-            while self.at < len(self.text) and self.text[self.at] in " \t\r\n":
-                self.at += 1
-            if self.at < len(self.text):
-                return self.text[self.at]
-            if not self.more():
-                return ""
-
-    def element(self) -> str:
-        """Text of the JSON value that starts here."""
-        self.mark()
-        size = PIECE_BYTES
-        while True:
-            try:
-                end = _DECODER.raw_decode(self.text, self.at)[1]
-                # A value at the very end of the text may go on in the next piece.
-                if end < len(self.text) or not self.more(size):
-                    value, self.at = self.text[self.at : end], end
-                    return value
-            except json.JSONDecodeError:
-                if not self.more(size):
-                    raise
-            size *= 2
-
-
-def _array_elements(stream: pa.NativeFile) -> Iterator[str]:
-    """Texts of the elements of a JSON array; ValueError where it is none."""
-    reader = _PieceReader(stream)
-    if reader.mark() != "[":
-        raise ValueError("no opening bracket")
-    reader.at += 1
-    if reader.mark() == "]":
-        return
-    while True:
-        yield reader.element()
-        mark = reader.mark()
-        if mark == "]":
-            return
-        if mark != ",":
-            raise ValueError("no separator")
-        reader.at += 1
-
-
-def _array_batches(path: str) -> Iterator[pa.RecordBatch]:
-    """Elements of one file as (path, row_number, value); a last row without value if it is broken."""
-    numbers: list[int | None] = []
-    values: list[str | None] = []
+def _joined_pieces(batches: Iterator[pa.RecordBatch], entered: dict | None = None) -> Iterator[tuple[str, int, str | None, bool]]:
+    """Text of each split in order, about ``PIECE_BYTES`` at a time, and whether the split goes on.
 
-    def packed() -> pa.RecordBatch:
-        columns = [pa.array([path] * len(values), pa.string()), pa.array(numbers, pa.int64()), pa.array(values, pa.string())]
-        numbers.clear()
-        values.clear()
-        return pa.RecordBatch.from_arrays(columns, names=["path", "row_number", "value"])
+    None stands for bytes that are not UTF-8. Braces that the reader took off are put back,
+    but for the end of a file, which is known once there are entry states.
+    """
+    key, held, size = None, [], 0
+
+    def text(more: bool) -> tuple[str, int, str | None, bool]:
+        at_end = not more and entered is not None and entered[key][3]
+        data = b"}".join(held) + (b"" if at_end else b"}")
+        try:
+            return *key, data.decode("utf-8"), more
+        except UnicodeDecodeError:
+            return *key, None, more
+
+    for batch in batches:
+        for path, split, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if key != (path, split) or size > PIECE_BYTES:
+                if key is not None:
+                    yield text(key == (path, split))
+                key, held, size = (path, split), [], 0
+            piece = value.as_py()
+            held.append(piece)
+            size += len(piece) + 1
+    if key is not None:
+        yield text(False)
+
+
+def _split_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per split: whether it has an odd number of quotes, no text at all, and its change of depth.
+
+    The depth is counted twice, for a split that begins outside and for one inside a string.
+    """
+    rows: list[list] = []
+    for path, split, text, _ in _joined_pieces(batches):
+        if not rows or rows[-1][:2] != [path, split]:
+            rows.append([path, split, False, True, 0, 0])
+        row = rows[-1]
+        bare = re.sub(r"\\.", "", text or "x", flags=re.S).split('"')
+        for at, part in enumerate(bare):
+            deeper = part.count("{") + part.count("[") - part.count("}") - part.count("]")
+            row[4 + (at % 2 != row[2])] += deeper
+        row[2] ^= len(bare) % 2 == 0
+        row[3] &= not (text or "x").removesuffix("}").strip(_BLANK)
+    types = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
+    names = ("path", "split", "odd", "blank", "depth", "depth_inside")
+    yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], t) for i, t in enumerate(types)], names)
+
+
+def _entry_states(changes: list) -> dict[tuple[str, int], tuple[bool, int, bool, bool]]:
+    """Per split: it begins inside a string, the depth there, text came before it, it is the last."""
+    states: dict[tuple[str, int], tuple[bool, int, bool, bool]] = {}
+    ordered = sorted(changes, key=lambda r: (r["path"], r["split"]))
+    for at, row in enumerate(ordered):
+        if at == 0 or row["path"] != ordered[at - 1]["path"]:
+            inside, depth, begun = False, 0, False
+        last = at + 1 == len(ordered) or ordered[at + 1]["path"] != row["path"]
+        states[row["path"], row["split"]] = (inside, depth, begun, last)
+        depth += row["depth_inside"] if inside else row["depth"]
+        inside ^= row["odd"]
+        begun |= not row["blank"]
+    return states
+
+
+def _cut_elements(batches: Iterator[pa.RecordBatch], entered: dict) -> Iterator[pa.RecordBatch]:
+    """Elements and parts of elements: (path, split, place, text, opens, closes, broken).
+
+    ``place`` counts the elements that ended earlier in the split. ``opens`` and ``closes``
+    tell whether the part has the element's beginning and end. ``broken`` marks a row without
+    text: the file is no array.
+    """
+    rows: list[tuple] = []
+    key, held = None, 0
 
-    held = 0
-    try:
-        system, inner = fs.FileSystem.from_uri(path)
-        with system.open_input_stream(inner) as stream:
-            for number, value in enumerate(_array_elements(stream), 1):
-                numbers.append(number)
-                values.append(value)
+    def packed() -> pa.RecordBatch:
+        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+        names = ("path", "split", "place", "text", "opens", "closes", "broken")
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+        rows.clear()
+        return batch
+
+    for path, split, text, more in _joined_pieces(batches, entered):
+        if key != (path, split):
+            key = (path, split)
+            inside, depth, started, last = entered[key]
+            over = started and not inside and depth <= 0
+            opens, place, broken, part = not started or over, 0, False, []
+        broken |= text is None
+        at = 0
+        while text is not None and not broken and at < len(text):
+            if over:
+                broken = bool(text[at:].strip(_BLANK))
+                break
+            if not started:
+                rest = text[at:].lstrip(_BLANK)
+                if rest:
+                    broken = rest[0] != "["
+                    at, started, depth = len(text) - len(rest) + 1, True, 1
+                    continue
+                break
+            found = (_INSIDE if inside else _OUTSIDE).search(text, at)
+            if found is None:
+                part.append(text[at:])
+                break
+            token = found.group()
+            if inside or token[0] == '"':
+                closed = token.endswith('"') and (inside or len(token) > 1) and not _ends_escaped(token)
+                part.append(text[at : found.end()])
+                inside, at = not closed, found.end()
+                continue
+            depth += (token in "[{") - (token in "]}")
+            if depth > 1 or depth == 1 and token != ",":
+                part.append(text[at : found.end()])
+            else:  # a comma between elements, or the end of the array
+                part.append(text[at : found.start()])
+                value = "".join(part)
+                rows.append((path, split, place, value, opens, True, False))
                 held += len(value)
-                if held > PIECE_BYTES:
-                    yield packed()
-                    held = 0
-    except ValueError:
-        numbers.append(None)
-        values.append(None)
-    if values:
-        yield packed()
+                part, opens, place = [], True, place + 1
+                if depth == 0:
+                    over, broken = True, token != "]"
+            at = found.end()
+        if not more:
+            if part or not opens:
+                rows.append((path, split, place, "".join(part), opens, False, False))
+            if broken or last and not over:  # the end of the file has to be behind the end of the array
+                rows.append((path, split, place, None, False, False, True))
+        if held > PIECE_BYTES:
+            yield packed()
+            held = 0
+    yield packed()
+
+
+def _ends_escaped(token: str) -> bool:
+    """Whether the last quote of a string token is escaped, so that the string goes on."""
+    body = token[:-1]
+    return (len(body) - len(body.rstrip("\\"))) % 2 == 1
 
 
 def parse_elements(rows: DataFrame, column: str) -> DataFrame:
-    """Replace a column of JSON texts by ``element`` (VARIANT)."""
-    return rows.withColumn("element", F.try_parse_json(column)).drop(column)
+    """Replace a column of JSON texts by ``element`` (VARIANT), null where a text is not one value.
+
+    The parser stops after the first value; in brackets it has to read on to the end.
+    """
+    closed = F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit("]")))
+    return rows.withColumn("element", F.variant_get(closed, "$[0]", "variant")).drop(column)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -232,15 +310,20 @@ def sample_batch(spark: SparkSession, count: int) -> DataFrame:
 
 def _head(path: str) -> tuple[str, bytes, str | None]:
     """State of a path (found / missing / unreadable) and its first bytes."""
+    # Hadoop writes local paths as file:/x; the URI form needs three slashes.
+    local = "://" not in path or path.startswith("file:///")
+    if local:
+        system, inner = fs.LocalFileSystem(), path.removeprefix("file:").replace("///", "/", 1)
+    else:
+        scheme, _, rest = path.partition("://")
+        # An unknown store is an error of the caller, not a fault of the batch, and is raised.
+        system, inner = fs.FileSystem.from_uri(f"{_STORES.get(scheme, scheme)}://{rest}")
     try:
-        # Hadoop writes local paths as file:/x; the URI form needs three slashes.
-        uri = path if "://" in path else path.removeprefix("file:")
-        system, inner = fs.FileSystem.from_uri(uri)
         if system.get_file_info(inner).type != fs.FileType.File:
             return "missing", b"", None
         with system.open_input_stream(inner) as stream:
             return "found", stream.read(HEAD_BYTES), None
-    except (OSError, pa.ArrowException) as error:
+    except OSError as error:
         return "unreadable", b"", str(error)
 
 
@@ -275,9 +358,9 @@ def check_sources(manifest: DataFrame, default_model: str | None = None) -> Data
     first = F.ltrim(F.decode(F.col("_head"), "ISO-8859-1"), blank)
     model = F.coalesce(F.nullif("model", F.lit("")), F.lit(default_model), F.lit(""))
     messages = F.array(
-        F.when(F.col("_state") == "missing", F.concat(F.lit("input file not found: "), F.coalesce("input_path", F.lit("")))),
-        F.when((F.col("_state") == "found") & ~first.startswith("["), F.lit("input file must be a JSON array")),
-        F.when(F.col("_state") == "unreadable", F.concat(F.lit("cannot read input file: "), F.col("_why"))),
-        F.when(model == "", F.lit("no model configured")),
+        F.when(F.col("_state") == "missing", F.concat(F.lit(NOT_FOUND), F.coalesce("input_path", F.lit("")))),
+        F.when((F.col("_state") == "found") & ~first.startswith("["), F.lit(NOT_AN_ARRAY)),
+        F.when(F.col("_state") == "unreadable", F.concat(F.lit(UNREADABLE), F.col("_why"))),
+        F.when(model == "", F.lit(NO_MODEL)),
     )
     return looked.select(*columns, F.array_compact(messages).alias("errors")).withColumn("ok", F.size("errors") == 0)

@@ -2,6 +2,7 @@
 
 import json
 from collections import Counter
+from urllib.parse import unquote
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -167,31 +168,61 @@ def test_array_files(spark, tmp_path):
     assert by_file == {("a.json", None): 2, ("c.json", batches.BROKEN_BATCH): 1, ("d.json", batches.BROKEN_BATCH): 1}
 
 
-@pytest.mark.parametrize("piece", [1, 7, 4096])
-def test_long_arrays_are_read_in_pieces(spark, tmp_path, monkeypatch, piece):
-    write(tmp_path, "a.json", "\n" + json.dumps([*MIXED, 1.5, -12, True, {"é": ["😀", "]\\\",["]}], indent=2, ensure_ascii=False))
-    write(tmp_path, "b.json", " [ ] ")
-    write(tmp_path, "c.json", '[1, {"id": "x"}, tru]')
-    write(tmp_path, "d.json", '[1, 2')
-    write(tmp_path, "e.json", "[1 2]")
-    write(tmp_path, "f.json", '{"id": 1}')
-    folder = write(tmp_path, "g.json", "[12345]")
-
-    def found(whole_bytes):
-        frame = batches.read_json_arrays(spark, folder, whole_bytes)
-        return Counter(
-            (r.path.rsplit("/", 1)[-1], r.row_number, r.text, r.batch_error)
-            for r in frame.withColumn("text", F.to_json("element")).collect()
-        )
-
-    pieces = Counter()
-    monkeypatch.setattr(batches, "PIECE_BYTES", piece)
-    for path in sorted((tmp_path / "in").glob("*.json")):
-        for batch in batches._array_batches(f"file://{path}"):
-            pieces.update((path.name, r["row_number"], r["value"] is None) for r in batch.to_pylist())
-    assert {name for name, _, bad in pieces if bad} == {"c.json", "d.json", "e.json", "f.json"}
-    assert sum(n for (name, _, _), n in pieces.items() if name == "a.json") == 20
-    assert found(0) == found(1 << 20)
+ARRAYS = {
+    "a.json": "\n" + json.dumps([*MIXED, 1.5, -12, True, {"é": ["😀", "}]\\\",["]}], indent=2, ensure_ascii=False) + " \n",
+    "b.json": " [ ] ",
+    "c.json": '[1, {"id": "x"}, tru]',
+    "d.json": "[1, 2",
+    "e.json": "[1 2]",
+    "f.json": '{"id": 1}',
+    "g ä%20#.json": "[12345]",
+    "h.json": "",
+    "i.json": '[{"id":"1"}]\n[{"id":"2"}]',
+    "j.json": "[{'id':'a','prompt':'b'}]",
+    "k.json": '[{"id":"a","prompt":"b"}, NaN]',
+    "l.json": '[{"id":"}{][\\\\"},{"id":"a\\"}b"},{"n":[{},{"m":[[1],{}]}]}]',
+    "m.json": "[1,]",
+    "n.json": " \n ",
+    "o.json": '[{"a":1}}]',
+    "p.json": '[{"id":"open',
+    "q.json": "  \n" * 50 + '[{"id":"late"},' + " " * 300 + '{"id":"later"}' + "\n" * 200 + "]" + " " * 100,
+    "r.json": json.dumps([{"id": f"i{n}", "prompt": "x}{" * (n % 40)} for n in range(60)]),
+}
+REFUSED = {"c.json", "d.json", "e.json", "f.json", "h.json", "i.json", "j.json", "k.json", "m.json", "n.json", "o.json", "p.json", "s.json"}
+
+
+def array_rows(spark, folder, bytes_per_split):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(bytes_per_split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = batches.read_json_arrays(spark, folder).withColumn("text", F.to_json("element")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    return Counter((unquote(r.path).rsplit("/", 1)[-1], r.row_number, r.text, r.batch_error) for r in rows)
+
+
+@pytest.mark.parametrize("bytes_per_split", [64, 1000, 1 << 27])
+def test_arrays_of_any_size_have_one_contract(spark, tmp_path, monkeypatch, bytes_per_split):
+    for name, text in ARRAYS.items():
+        folder = write(tmp_path, name, text)
+    (tmp_path / "in" / "s.json").write_bytes(b'[{"id":"\xff"}]')
+    monkeypatch.setattr(batches, "PIECE_BYTES", bytes_per_split)
+    found = array_rows(spark, folder, bytes_per_split)
+    assert {name for name, _, _, error in found if error} == REFUSED
+    assert all(n == 1 for n in found.values())
+    expected = Counter()
+    for name in set(ARRAYS) - REFUSED:
+        expected.update((name, at) for at, _ in enumerate(json.loads(ARRAYS[name]), 1))
+    assert Counter((name, at) for name, at, _, error in found if not error) == expected
+    for name, at, text, error in found:
+        if not error:
+            assert json.loads(text) == json.loads(ARRAYS[name])[at - 1]
+
+
+def test_a_missing_file_is_an_error(spark, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        batches.read_json_arrays(spark, str(tmp_path / "gone")).collect()
 
 
 def test_json_lines_are_numbered_in_file_order(spark, tmp_path):
