@@ -2,25 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 PER_MILLION = 1_000_000
-MOST_PRICES = 1000
 
 
 def cost_usd(prompt_tokens: Column, output_tokens: Column, input_price: Column, output_price: Column) -> Column:
     """Dollars for a number of tokens at prices per million tokens."""
     return prompt_tokens / PER_MILLION * input_price + output_tokens / PER_MILLION * output_price
-
-
-def price_of(model: Column, prices: Mapping[str, float], default: float) -> Column:
-    """Price of a model from a short price list that is part of the job's settings."""
-    if len(prices) > MOST_PRICES:
-        raise ValueError(f"price list has more than {MOST_PRICES} models")
-    if not prices:
-        return F.lit(float(default))
-    pairs = [F.lit(part) for name, price in prices.items() for part in (name, float(price))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), model), F.lit(float(default)))

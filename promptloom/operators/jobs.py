@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.operators.chunks import open_work
-from promptloom.operators.skew import join_hot_keys
 from promptloom.schemas import TERMINAL_STATES
 
 
@@ -35,10 +34,10 @@ def jobs_with_open_work(jobs: DataFrame, items: DataFrame, as_of: Column) -> Dat
 
 def purge_jobs(items: DataFrame, deleted: DataFrame) -> DataFrame:
     """Items left after their jobs were deleted."""
-    gone = deleted.select("job_id").distinct()
-    return join_hot_keys(items, gone, ["job_id"], "left_anti", ["external_id"])
+    gone = deleted.select("job_id")
+    return items.join(gone, "job_id", "left_anti")
 
 
 def orphan_items(items: DataFrame, jobs: DataFrame) -> DataFrame:
     """Items whose job does not exist."""
-    return join_hot_keys(items, jobs.select("job_id").distinct(), ["job_id"], "left_anti", ["external_id"])
+    return items.join(jobs.select("job_id"), "job_id", "left_anti")

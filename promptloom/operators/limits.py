@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions.money import cost_usd
 from promptloom.functions.text import estimated_tokens
-from promptloom.operators.skew import join_hot_keys
 from promptloom.operators.validate import Rule
 
 # Default limits.
@@ -45,20 +42,24 @@ def batch_limits(
     )
 
 
-def fits_context(windows: Mapping[str, int] | int, output_tokens: int = OUTPUT_TOKENS) -> Rule:
-    """Row rule: prompt plus output must fit the context window (of the row's ``model``)."""
+def with_windows(items: DataFrame, windows: DataFrame) -> DataFrame:
+    """Items with the context window of their model: ``windows`` is (model, window), of any length."""
+    return items.join(windows.select("model", F.col("window").alias("context_window")), "model", "left")
+
+
+def fits_context(output_tokens: int = OUTPUT_TOKENS, window: int | None = None) -> Rule:
+    """Row rule: prompt plus output must fit the context window.
+
+    That is ``window`` for all rows, or the row's ``context_window`` (see ``with_windows``).
+    """
 
     def rule():
-        if isinstance(windows, int):
-            window = F.lit(windows)
-        else:
-            pairs = [F.lit(x) for pair in windows.items() for x in pair]
-            window = F.try_element_at(F.create_map(*pairs), F.col("model"))
+        limit = F.col("context_window") if window is None else F.lit(window)
         need = estimated_tokens(F.col("prompt")) + output_tokens
         return F.when(
-            need > window,
+            need > limit,
             F.concat(
-                F.lit("prompt and output need "), need.cast("string"), F.lit(" tokens, window is "), window.cast("string")
+                F.lit("prompt and output need "), need.cast("string"), F.lit(" tokens, window is "), limit.cast("string")
             ),
         )
 
@@ -77,7 +78,7 @@ def no_placeholder() -> Rule:
 
 def unknown_models(jobs: DataFrame, allowed: DataFrame) -> DataFrame:
     """Jobs whose model is not in the list of allowed ones."""
-    return join_hot_keys(jobs, allowed.select("model").distinct(), ["model"], "left_anti", ["job_id"])
+    return jobs.join(allowed.select("model"), "model", "left_anti")
 
 
 def batches_with_repeats(items: DataFrame) -> DataFrame:

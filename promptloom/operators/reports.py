@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.functions.money import cost_usd, price_of
+from promptloom.functions.money import cost_usd
 from promptloom.functions.text import estimated_tokens
 from promptloom.operators.prefix import running_totals
 
@@ -79,26 +78,24 @@ def failure_report(failures: DataFrame) -> DataFrame:
 
 def token_cost(
     rows: DataFrame,
-    input_prices: Mapping[str, float],
-    output_prices: Mapping[str, float],
+    prices: DataFrame,
     default_price: float,
     output_tokens: Column,
 ) -> DataFrame:
-    """Token and cost totals per job and model. Tokens are summed as whole numbers first."""
+    """Token and cost totals per job and model. Tokens are summed as whole numbers first.
+
+    ``prices`` is the price table, of any length: (model, input_price, output_price) with one
+    row per model. It is joined to the totals, which have one row per job and model.
+    """
     totals = rows.groupBy("job_id", "model").agg(
         F.count("*").alias("rows"),
         F.sum(estimated_tokens(F.col("prompt"))).alias("prompt_tokens"),
         F.sum(output_tokens).alias("output_tokens"),
     )
-    return totals.withColumn(
-        "cost_usd",
-        cost_usd(
-            F.col("prompt_tokens"),
-            F.col("output_tokens"),
-            price_of(F.col("model"), input_prices, default_price),
-            price_of(F.col("model"), output_prices, default_price),
-        ),
-    )
+    priced = totals.join(prices.select("model", "input_price", "output_price"), "model", "left")
+    input_price, output_price = (F.coalesce(name, F.lit(float(default_price))) for name in ("input_price", "output_price"))
+    cost = cost_usd(F.col("prompt_tokens"), F.col("output_tokens"), input_price, output_price)
+    return priced.select(*totals.columns, cost.alias("cost_usd"))
 
 
 def budget_cutoff(

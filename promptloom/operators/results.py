@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from promptloom.functions.outcomes import SUCCESS, elapsed_ms, response_text
 from promptloom.functions.text import last_segment
 from promptloom.operators.chunks import chunk_key
-from promptloom.operators.skew import join_hot_keys
 from promptloom.schemas import ACTIVE_STATES
 
 _ITEM = ["job_id", "external_id"]
@@ -56,23 +55,24 @@ def guarded_completion(items: DataFrame, results: DataFrame, applied: Sequence[s
 
     A result counts only for an item that is CLAIMED by the worker that sent it. Of several
     results for one item the first in ``applied`` order counts; copies are combined on the
-    map side before the join, which then meets each item at most once.
+    map side before the join, which then meets each item at most once. Items that are not
+    claimed take no part in it.
     """
     key = [*_ITEM, "worker_id"]
     fields = ["status", "result_ref", "error", "attempts"]
     first = results.groupBy(*key).agg(
         F.min_by(F.struct(*[F.col(f).alias(f) for f in fields]), F.struct(*applied)).alias("_new")
     )
-    joined = items.join(first, key, "left").withColumn(
-        "committed", F.col("_new").isNotNull() & (F.col("status") == "CLAIMED")
-    )
+    is_claimed = F.coalesce(F.col("status") == "CLAIMED", F.lit(False))
+    joined = items.where(is_claimed).join(first, key, "left").withColumn("committed", F.col("_new").isNotNull())
 
     def taken(new: Column, name: str) -> Column:
         return F.when(F.col("committed"), new).otherwise(F.col(name)).alias(name)
 
     changed = {f: taken(F.col(f"_new.{f}"), f) for f in fields}
     changed["chunk_id"] = taken(last_segment(F.col("_new.result_ref")), "chunk_id")
-    return joined.select(*[changed.get(name, F.col(name)) for name in items.columns], "committed")
+    applied_rows = joined.select(*[changed.get(name, F.col(name)) for name in items.columns], "committed")
+    return applied_rows.unionByName(items.where(~is_claimed).withColumn("committed", F.lit(False)))
 
 
 def replay_winners(results: DataFrame, items: DataFrame, written: Sequence[str | Column]) -> DataFrame:
@@ -126,7 +126,7 @@ def resume_set(
     """Accepted items of interrupted jobs that have no final result yet."""
     active = jobs.where(F.col("state").isin(*states)).select("job_id")
     waiting = items.where(F.col("status").isin("PENDING", "CLAIMED"))
-    finished = results.where(F.col("status").isin("SUCCEEDED", "FAILED")).select(*_ITEM).distinct()
-    return join_hot_keys(waiting, active, ["job_id"], "left_semi", ["external_id"]).join(
-        finished, _ITEM, "left_anti"
-    )
+    # Results of jobs that are done are left out before anything is moved; files lie by job.
+    final = results.where(F.col("status").isin("SUCCEEDED", "FAILED")).select(*_ITEM)
+    finished = final.join(active, "job_id", "left_semi").distinct()
+    return waiting.join(active, "job_id", "left_semi").join(finished, _ITEM, "left_anti")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from promptloom.functions.outcomes import RETRYABLE, SUCCESS, wait_ceiling
 from promptloom.functions.text import route_template
 from promptloom.operators.prefix import running_totals
-from promptloom.operators.skew import join_hot_keys
 
 # Upper bounds of the latency buckets in seconds; +Inf comes last.
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -67,7 +66,7 @@ def exact_percentiles(rows: DataFrame, by: Sequence[str], value: str, ranks: Seq
     low, high = F.floor("at"), F.ceil("at")
     first, last = F.col("_upto") - F.col("_n"), F.col("_upto") - 1
     hits = (
-        join_hot_keys(placed, targets, by, "inner", ["_v"])
+        placed.join(targets, list(by))
         .select(*by, "_v", "_n", "_upto", F.explode("_targets").alias("_t"))
         .select(*by, "_v", "_n", "_upto", "_t.rank", "_t.at")
         .where(((low >= first) & (low <= last)) | ((high >= first) & (high <= last)))

@@ -342,8 +342,9 @@ FROM sized
 """)
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts that leave no room for the output in their model's window."""
-    rules = [limits.fits_context(_WINDOWS)]
-    return validate(document_items(spark, sf_dir), rules, reject_duplicates=False).select("external_id", "ok", "error")
+    windows = spark.createDataFrame(list(_WINDOWS.items()), "model string, window int")
+    items = limits.with_windows(document_items(spark, sf_dir), windows)
+    return validate(items, [limits.fits_context()], reject_duplicates=False).select("external_id", "ok", "error")
 
 
 @query(r"""

@@ -220,8 +220,7 @@ def failure_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.failure_report(failed.withColumnRenamed("event_id", "row_number"))
 
 
-PRICES_IN = {"en": 0.5, "fr": 0.75, "de": 1.0}
-PRICES_OUT = {"en": 1.5, "fr": 2.0}
+PRICES = [("en", 0.5, 1.5), ("fr", 0.75, 2.0), ("de", 1.0, None)]
 
 _TOKENS_SQL = "CASE WHEN length(prompt) = 0 THEN 0 ELSE greatest(1, length(prompt) // 4) END"
 
@@ -238,7 +237,8 @@ FROM totals
 """)
 def token_cost_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and cost by batch and model."""
-    costs = reports.token_cost(document_items(spark, sf_dir), PRICES_IN, PRICES_OUT, 2.5, F.lit(5))
+    prices = spark.createDataFrame(PRICES, "model string, input_price double, output_price double")
+    costs = reports.token_cost(document_items(spark, sf_dir), prices, 2.5, F.lit(5))
     return costs.withColumn("cost_usd", F.round("cost_usd", 9))
 
 

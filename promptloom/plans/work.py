@@ -247,7 +247,7 @@ totals AS (SELECT CAST(o_custkey AS VARCHAR) AS job_id, count(*) AS total FROM o
 SELECT CAST(c.c_custkey AS VARCHAR) AS job_id, coalesce(l.state, 'PENDING') AS state,
        'batches/' || c.c_name AS input_path,
        CASE WHEN c.c_mktsegment = 'MACHINERY' THEN 'standard' ELSE c.c_mktsegment END AS model,
-       CAST(coalesce(t.total, 0) AS INTEGER) AS total_items, l.error AS error
+       CAST(coalesce(t.total, 0) AS BIGINT) AS total_items, l.error AS error
 FROM customer c
 LEFT JOIN latest l ON l.job_id = CAST(c.c_custkey AS VARCHAR)
 LEFT JOIN totals t ON t.job_id = CAST(c.c_custkey AS VARCHAR)

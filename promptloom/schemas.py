@@ -23,7 +23,7 @@ ACTIVE_STATES = ("INGESTING", "RUNNING")
 ITEM_STATUSES = ("PENDING", "CLAIMED", "SUCCEEDED", "FAILED")
 
 JOBS = _schema(
-    "job_id string, state string, input_path string, model string, total_items int, "
+    "job_id string, state string, input_path string, model string, total_items bigint, "
     "config string, error string, created_at timestamp, updated_at timestamp"
 )
 

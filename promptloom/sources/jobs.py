@@ -17,7 +17,7 @@ def job_rows(submitted: DataFrame, default_model: str) -> DataFrame:
         F.lit("PENDING").alias("state"),
         "input_path",
         model_or_default(F.col("model"), default_model).alias("model"),
-        F.lit(0).alias("total_items"),
+        F.lit(0).cast("bigint").alias("total_items"),
         F.coalesce("config", F.lit("{}")).alias("config"),
         F.lit(None).cast("string").alias("error"),
         "created_at",
@@ -49,7 +49,7 @@ def current_jobs(jobs: DataFrame, transitions: DataFrame, totals: DataFrame) ->
             {
                 "state": F.coalesce("_now.state", "state"),
                 "error": F.when(F.col("_now").isNotNull(), F.col("_now.error")).otherwise(F.col("error")),
-                "total_items": F.coalesce(F.col("total").cast("int"), F.col("total_items")),
+                "total_items": F.coalesce(F.col("total").cast("bigint"), F.col("total_items")),
             }
         )
         .select(*JOBS.fieldNames())

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from promptloom.operators import reports
 from promptloom.functions import money, outcomes, text
 
 
@@ -90,10 +91,10 @@ def test_json_keeps_nulls(spark):
 def test_cost_and_prices(spark):
     cost = money.cost_usd(F.lit(2_000_000), F.lit(500_000), F.lit(0.5), F.lit(2.0))
     assert spark.range(1).select(cost).first()[0] == pytest.approx(2.0)
-    prices = money.price_of(F.col("m"), {"a": 1.0, "b": 2.0}, 9.0)
-    assert values(spark, [("a",), ("b",), ("c",), (None,)], "m string", prices) == [1.0, 2.0, 9.0, 9.0]
-    with pytest.raises(ValueError):
-        money.price_of(F.col("m"), {str(i): 1.0 for i in range(1001)}, 0.0)
+    prices = spark.createDataFrame([(f"m{i}", float(i), 2.0 * i) for i in range(5000)], "model string, input_price double, output_price double")
+    rows = spark.createDataFrame([("j", m, "x" * 400) for m in ("m7", "m4999", "other", None)], "job_id string, model string, prompt string")
+    report = reports.token_cost(rows, prices, 9.0, F.lit(1000)).collect()
+    assert {r.model: round(r.cost_usd * 1e6) for r in report} == {"m7": 14700, "m4999": 10497900, "other": 9900, None: 9900}
 
 
 @pytest.mark.parametrize("count", [0, 1, 2, 3, 40])

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from promptloom.operators.jobs import orphan_items
 from promptloom.operators.prefix import number_rows, placed_rows, running_totals
-from promptloom.operators.skew import hot_keys, join_hot_keys
 from promptloom.operators.telemetry import approximate_percentiles, exact_percentiles, inflight, peak_inflight
 
 
@@ -94,20 +94,30 @@ def test_ends_come_before_starts(spark):
     assert inflight(calls, ["model"]).agg(F.min("open_calls")).first()[0] == 0
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_hot_key_join_equals_plain_join(spark, how):
-    rows = [("hot", i) for i in range(500)] + [(f"k{i % 7}", 500 + i) for i in range(200)] + [(None, 900 + i) for i in range(300)]
-    many = spark.createDataFrame(rows, "k string, i bigint")
-    one = spark.createDataFrame([("hot", "x"), ("k1", "y"), ("k3", "z"), ("other", "o")], "k string, v string")
-    split = join_hot_keys(many, one, ["k"], how, ["i"], fan=8, least_rows=50)
-    plain = many.join(one, ["k"], how)
-    assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
-
-
-def test_hot_keys_are_found(spark):
-    rows = [("hot",)] * 90 + [(f"k{i}",) for i in range(10)]
-    frame = spark.createDataFrame(rows, "k string")
-    assert [r.k for r in hot_keys(frame, ["k"], least_rows=50).collect()] == ["hot"]
-    assert hot_keys(frame, ["k"]) is None
-    with pytest.raises(ValueError):
-        join_hot_keys(frame, frame, ["k"], "full", [])
+@pytest.mark.parametrize("how", ["left_semi", "left_anti"])
+def test_a_hot_key_below_a_thousandth_is_split_while_the_join_runs(spark, how):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        number = F.col("id")
+        key = F.when(number % 1100 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (number % 50_000).cast("string")))
+        items = spark.range(0, 3_000_000, 1, 16).select(key.alias("job_id"), F.sha2(number.cast("string"), 256).alias("external_id"))
+        jobs = spark.createDataFrame([("hot",), ("k3",)], "job_id string")
+        left = orphan_items(items, jobs) if how == "left_anti" else items.join(jobs, "job_id", how)
+        counts = left.groupBy((F.col("job_id") == "hot").alias("hot")).count()
+        found = {r["hot"]: r["count"] for r in counts.collect()}
+        assert found == ({False: 3_000_000 - 2728 - 60} if how == "left_anti" else {True: 2728, False: 60})
+        assert "skew=true" in counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -182,7 +182,9 @@ def test_row_rules_that_depend_on_the_model(spark):
     items = spark.createDataFrame(rows, "external_id string, prompt string, model string").withColumns(
         {"job_id": F.lit("j"), "row_number": F.lit(1), "is_malformed": F.lit(False)}
     )
-    rules = [limits.fits_context({"small": 2050, "large": 4096}), limits.no_placeholder()]
+    windows = [("small", 2050), ("large", 4096)] + [(f"m{i}", 10) for i in range(5000)]
+    items = limits.with_windows(items, spark.createDataFrame(windows, "model string, window int"))
+    rules = [limits.fits_context(), limits.no_placeholder()]
     got = {r.external_id: r.errors for r in validate(items, rules, reject_duplicates=False).collect()}
     assert got["a"] == ["prompt and output need 2058 tokens, window is 2050"]
     assert got["b"] == [] and got["d"] == []
