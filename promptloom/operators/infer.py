@@ -18,10 +18,11 @@ from typing import Any, Protocol
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from promptloom.functions.outcomes import PERMANENT, RETRYABLE, SUCCESS, UNEXPECTED
 from promptloom.schemas import ATTEMPTS
-from promptloom.session import materialise, ship_package
+from promptloom.session import materialise, path_exists, ship_package
 
 
 class RetryableError(Exception):
@@ -270,3 +271,37 @@ def infer(
 def run_inference(requests: DataFrame, client_factory: Callable[[], Client], **options: Any) -> DataFrame:
     """``infer``, with the attempts table written before anyone reads it."""
     return materialise(infer(requests, client_factory, **options), "attempts")
+
+
+def resumable_inference(
+    requests: DataFrame,
+    client_factory: Callable[[], Client],
+    path: str,
+    rows_per_group: int = 100_000,
+    **options: Any,
+) -> DataFrame:
+    """``infer`` that keeps its progress below ``path``; the attempts of all requests.
+
+    The requests are stored first, divided into groups of chunks of about ``rows_per_group``
+    rows. Each group's attempts are stored as it finishes. Called again with the same path,
+    after a crash or a stop, it reads the stored requests and sends only the groups that are
+    not complete: no stored call is repeated, and at most one group of calls is lost. A
+    group bounds the rows a call layout deals out, however many requests there are.
+    """
+    spark = requests.sparkSession
+    planned, done = f"{path}/requests", f"{path}/attempts"
+    if not path_exists(spark, f"{planned}/_SUCCESS"):
+        groups = max(1, -(-requests.count() // rows_per_group))
+        chunk = F.xxhash64("job_id", "chunk_no")
+        dealt = requests.withColumn("call_group", F.pmod(chunk, F.lit(groups)))
+        spread = F.pmod(F.shiftright(chunk, 32), F.lit(4))
+        dealt.repartition("call_group", spread).write.mode("overwrite").partitionBy("call_group").parquet(planned)
+    stored = spark.read.schema(T.StructType([*requests.schema.fields, T.StructField("call_group", T.LongType())])).parquet(planned)
+    for (group,) in stored.select("call_group").distinct().orderBy("call_group").toLocalIterator():
+        target = f"{done}/call_group={group}"
+        if not path_exists(spark, f"{target}/_SUCCESS"):
+            mine = stored.where(F.col("call_group") == group).drop("call_group")
+            infer(mine, client_factory, **options).write.mode("overwrite").parquet(target)
+    if not path_exists(spark, done):
+        return spark.createDataFrame([], ATTEMPTS)
+    return spark.read.schema(ATTEMPTS).parquet(done)

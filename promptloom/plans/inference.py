@@ -95,6 +95,16 @@ def infer_retry_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.collapse_attempts(attempts).drop("latency_ms")
 
 
+@query(FLAKY_SQL)
+def infer_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``infer_retry_accounting``, by a run that keeps its progress and is called twice."""
+    requests, path = flaky_requests(table(spark, sf_dir, "events")), new_folder(spark, "progress")
+    rows = -(-requests.count() // 4)
+    infer.resumable_inference(requests, FlakyClient, path, rows, rule=NO_WAIT)
+    attempts = infer.resumable_inference(requests, FlakyClient, path, rows, rule=NO_WAIT)
+    return results.collapse_attempts(attempts).drop("latency_ms")
+
+
 # Results as the labels tell them: quality decides the status, unlabelled documents fail.
 
 

@@ -154,3 +154,38 @@ def test_chunks_cover_and_do_not_overlap(spark):
     assert sizes == {("a", 0): 25, ("a", 1): 25, ("a", 2): 25, ("a", 3): 5, ("b", 0): 25, ("b", 1): 15}
     assert {(r.row_number, r.chunk_id) for r in first} == {(r.row_number, r.chunk_id) for r in again}
     assert len({r.chunk_id for r in first}) == 6
+
+
+def test_a_stopped_run_goes_on_where_it_was(spark, tmp_path):
+    calls, limit = tmp_path / "calls", tmp_path / "limit"
+    calls.mkdir()
+    limit.write_text("")
+
+    class Counting:
+        def __init__(self):
+            if limit.exists() and len(list(calls.iterdir())) >= 40:
+                raise RuntimeError("stopped")
+
+        def complete(self, request):
+            (calls / f"{request.prompt}-{time.time_ns()}").write_text("")
+            return infer.Response("fine", 1, 1)
+
+    asked, path = requests(spark, [f"e{n}" for n in range(1, 201)]), str(tmp_path / "run")
+    options = {"rows_per_group": 30, "layout": infer.CallLayout(2, 2)}
+    with pytest.raises(Exception, match="stopped"):
+        infer.resumable_inference(asked, Counting, path, **options)
+    stored = {r.external_id for r in spark.read.parquet(f"{path}/attempts/call_group=*/*.parquet").select("external_id").collect()}
+    assert 40 <= len(stored) < 200
+    limit.unlink()
+    attempts = infer.resumable_inference(asked, Counting, path, **options)
+    assert sorted(r.external_id for r in attempts.collect()) == sorted(f"e{n}" for n in range(1, 201))
+    sent = [name.name.rsplit("-", 1)[0] for name in calls.iterdir()]
+    assert all(sent.count(name) == 1 for name in stored)
+    before = len(sent)
+    assert infer.resumable_inference(asked, Counting, path, **options).count() == 200
+    assert len(list(calls.iterdir())) == before
+
+
+def test_a_resumable_run_without_requests(spark, tmp_path):
+    none = requests(spark, ["p"]).limit(0)
+    assert infer.resumable_inference(none, lambda: EchoClient(refuse="x"), str(tmp_path / "run")).count() == 0
