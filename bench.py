@@ -12,40 +12,7 @@ import time
 from promptloom.plans import QUERIES
 from promptloom.session import build_session
 
-HEADLINE = (
-    "ingest_batch",
-    "item_normalize",
-    "batch_array_read",
-    "validate_rules",
-    "judged_load",
-    "idempotent_load",
-    "chunk_plan",
-    "item_ids",
-    "open_work",
-    "job_status_report",
-    "guarded_completion",
-    "purge_jobs",
-    "resume_set",
-    "job_latest_state",
-    "infer_echo",
-    "infer_retry_accounting",
-    "attempt_rollup",
-    "latency_histogram",
-    "latency_percentiles",
-    "peak_inflight",
-    "attempt_gaps",
-    "token_cost_by_job",
-    "budget_cutoff",
-    "results_roundtrip",
-    "results_array",
-    "replay_dedup",
-    "traffic_by_route",
-    "log_parse",
-    "log_correlation",
-    "stream_ingest",
-    "stream_dedup",
-    "stream_throughput",
-)
+HEADLINE = tuple(QUERIES)  # every query of the library
 
 
 def main() -> None:

@@ -6,15 +6,16 @@ from promptloom.operators.infer import PermanentError, Request, Response, Retrya
 
 
 class EchoClient:
-    """Answers with the prompt; can refuse prompts that contain a text."""
+    """Answers with the prompt and counts words as tokens; prompts with the text ``refuse`` fail for good."""
 
     def __init__(self, refuse: str | None = None) -> None:
         self.refuse = refuse
 
     def complete(self, request: Request) -> Response:
-        if self.refuse and self.refuse in request.prompt:
+        if self.refuse is not None and self.refuse in request.prompt:
             raise PermanentError("refused")
-        return Response(f"echo: {request.prompt}", max(1, len(request.prompt) // 4), 5)
+        answer = f"echo: {request.prompt}"
+        return Response(answer, len(request.prompt.split()), len(answer.split()))
 
 
 class FlakyClient:
