@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,21 +17,11 @@ from promptloom.session import ship_package
 # White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
-_MOST_WORDS_KEPT = 400_000  # words a task remembers the hash of; forgetting costs time only
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-class WordHashes(dict):
-    """64-bit hashes of words; the same on every machine and in every run."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MOST_WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: Sequence[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_PIECE = 1 << 16  # bytes of a text that are hashed at once
+_SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -41,6 +31,47 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+
+
+def _powers(base: np.uint64, count: int) -> np.ndarray:
+    factors = np.full(count, base, np.uint64)
+    factors[:1] = 1
+    return np.cumprod(factors, dtype=np.uint64)
+
+
+_POWERS, _BACK_POWERS = _powers(_ODD, 2 * _PIECE), _powers(_BACK, 2 * _PIECE)
+
+
+def _piece_hashes(piece: bytes) -> np.ndarray:
+    """A word's hash is a polynomial in the codes of its bytes, from differences of running sums."""
+    codes = np.frombuffer(piece, np.uint8)
+    inside = np.concatenate([[False], ~_SPACES[codes], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, stops = edges[::2], edges[1::2]
+    if len(codes) < len(_POWERS):
+        up, back = _POWERS[: len(codes)], _BACK_POWERS[starts]
+    else:  # one word as long as this
+        up, back = _powers(_ODD, len(codes)), _powers(_BACK, len(codes))[starts]
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(_CODES[codes] * up, dtype=np.uint64, out=sums[1:])
+    return mix((sums[stops] - sums[starts]) * back)
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    """64-bit hashes of the words of ``text``, which stand between white space, in order."""
+    text = text or b""
+    if len(text) <= _PIECE:
+        return _piece_hashes(text)
+    pieces, at = [], 0
+    while at < len(text):
+        end = _SPACE.search(text, at + _PIECE)
+        stop = end.start() if end else len(text)
+        pieces.append(_piece_hashes(text[at:stop]))
+        at = stop
+    return np.concatenate(pieces)
+
+
 def runs_of_words(hashes: np.ndarray, width: int) -> np.ndarray:
     """One hash for each run of ``width`` consecutive words, in order."""
     count = len(hashes) - width + 1

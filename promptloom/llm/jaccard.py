@@ -7,11 +7,13 @@ its transpose. Only entries that can reach the threshold are computed:
    ``s - ceil(t s) + 1`` n-grams in a common order. These columns of the matrix are the
    candidates' postings. The order puts n-grams that very many documents hold last.
 2. Rows with equal sets are one row of the matrix.
-3. Each posting's smallest row is compared with the others of that posting. Blocks of sparse
-   rows are multiplied with the row of the smallest one, overlaps are accumulated, and pairs
-   below the bound that the two sizes give are discarded.
+3. Each row is multiplied with the smallest row that shares a posting with it, in blocks of
+   columns. The first block holds a sixteenth of all columns; the overlap in it and the sizes
+   bound the overlap in the rest, and pairs that can't reach the threshold are discarded. For
+   the others the overlap is accumulated over all columns.
 4. What that links is merged to components. Postings whose rows now lie in one component
-   are done. In the others, the pairs of different components are multiplied as well.
+   are done. In the others, the rows of other components than the posting's smallest row are
+   multiplied with that one, and then all pairs that still lie in different components.
 
 So no link between different components is lost, and large groups of copies cost one
 comparison per row. Links inside a component are not listed one by one.
@@ -19,7 +21,6 @@ comparison per row. Links inside a component are not listed one by one.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptloom.llm.common import WordHashes, add_columns, runs_of_words, table
+from promptloom.llm.common import add_columns, runs_of_words, table, word_hashes
 from promptloom.llm.components import components
 from promptloom.llm.registry import query
 from promptloom.session import materialise
@@ -38,29 +39,23 @@ PERCENT, WIDTH = 85, 4
 # An n-gram of more than 1/FREQUENT of all documents comes last in the order. There are at
 # most FREQUENT times the mean set size of them, and the order decides costs only.
 FREQUENT, FREQUENT_LEAST, FREQUENT_MOST = 2000, 50, 500_000
-ROWS_PER_BLOCK = 2000
 
-_KEY = T.LongType()
+_FIRST_BLOCK = np.uint64(15 << 60)  # the first block: n-grams whose hash is this or above
 
 
-def _gram_set(text: bytes | None, hashes: WordHashes, width: int) -> np.ndarray:
-    words = text.lower().split() if text else []
-    return np.unique(runs_of_words(hashes.of(words), min(width, max(len(words), 1))))
+def _gram_set(text: bytes | None, width: int) -> np.ndarray:
+    words = word_hashes(text.lower() if text else b"")
+    return np.unique(runs_of_words(words, min(width, max(len(words), 1))))
 
 
 def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def _set_key(grams: np.ndarray) -> int | None:
-    return _signed(xxhash.xxh3_64_intdigest(grams.tobytes())) if len(grams) else None
-
-
 def _frequent_in_batches(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [_gram_set(x.as_py(), hashes, width) for x in batch.column(0)]
+            sets = [_gram_set(x.as_py(), width) for x in batch.column(0)]
             grams, counts = np.unique(np.concatenate(sets or [np.empty(0, np.uint64)]), return_counts=True)
             many = counts >= max(5, len(sets) // FREQUENT)
             yield pa.RecordBatch.from_arrays(
@@ -78,180 +73,165 @@ def frequent_grams(texts: DataFrame, width: int, rows: int) -> np.ndarray:
     return np.sort(found.to_numpy().view(np.uint64))
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, frequent) -> DataFrame:
-    """``id, size, set_key, prefix`` of each row; the prefix as bytes of n-gram hashes."""
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """``id, size, set_key, block``: what is kept of each row. The key is null for an empty set."""
     fields = T.StructType(
         [
             T.StructField("size", T.LongType(), False),
-            T.StructField("set_key", _KEY),
-            T.StructField("prefix", T.BinaryType()),
+            T.StructField("set_key", T.BinaryType()),
+            T.StructField("block", T.BinaryType()),
         ]
     )
 
     def make():
-        hashes, often = WordHashes(), frequent.value
 
         def step(batch: pa.RecordBatch) -> list:
-            sizes, keys, prefixes = [], [], []
-            for text in batch.column(0):
-                grams = _gram_set(text.as_py(), hashes, width)
-                size = len(grams)
-                length = size - -(-size * percent // 100) + 1 if size else 0
-                late = np.isin(grams, often, assume_unique=True)
-                rare = grams[~late][:length]
-                prefix = np.concatenate([rare, grams[late][: length - len(rare)]])
-                sizes.append(size)
-                keys.append(_set_key(grams))
-                prefixes.append(prefix.tobytes())
-            return [sizes, keys, prefixes]
+            sets = [_gram_set(x.as_py(), width) for x in batch.column(0)]
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            blocks = [x[np.searchsorted(x, _FIRST_BLOCK) :].tobytes() for x in sets]
+            return [[len(x) for x in sets], keys, blocks]
 
         return step
 
-    return add_columns(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), [F.col("text").cast("binary")], fields, make, ["id"])
+    return add_columns(texts, ["text"], fields, make, ["id"])
 
 
-def _postings(sets: DataFrame) -> DataFrame:
-    """``gram, row``: one row per n-gram of a prefix. ``row`` holds the set key."""
+def _postings(texts: DataFrame, width: int, percent: int, frequent) -> DataFrame:
+    """``gram, id``: one row per n-gram of a prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = frequent.value
         for batch in batches:
-            keys, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-            parts = [np.frombuffer(batch.column(1)[i].as_py(), np.int64) for i in first]
-            grams = np.concatenate(parts or [np.empty(0, np.int64)])
-            rows = np.repeat(keys, [len(p) for p in parts])
-            for at in range(0, len(grams), 100_000):
-                part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[part]), pa.array(rows[part])], ["gram", "row"])
-
-    return sets.where("set_key IS NOT NULL").select("set_key", "prefix").mapInArrow(run, "gram long, row long")
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                prefixes = []
+                for text in part.column(1):
+                    grams = _gram_set(text.as_py(), width)
+                    length = len(grams) - -(-len(grams) * percent // 100) + 1 if len(grams) else 0
+                    late = np.isin(grams, often, assume_unique=True)
+                    rare = grams[~late][:length]
+                    prefixes.append(np.concatenate([rare, grams[late][: length - len(rare)]]))
+                ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in prefixes])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(ids)], ["gram", "id"]
+                )
+
+    return texts.mapInArrow(run, "gram long, id long")
+
+
+def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs (a, b)`` that sizes and the first block of columns leave over."""
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}")), x)
+    fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    both = materialise(pairs.where(fits), "sized")
+    for x in "ab":
+        both = both.join(sets.select(F.col("id").alias(x), F.col("block").alias(f"block_{x}")), x)
+    both = both.select("a", "b", "size_a", "size_b", "block_a", "block_b")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for size_a, size_b, a, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                block_a, block_b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                apart = len(block_a) + len(block_b) - 2 * _overlap(block_a, block_b)
+                least = -(-percent * (size_a + size_b) // (100 + percent))  # the overlap a link needs
+                keep.append(apart <= size_a + size_b - 2 * least)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-def _rows_of(docs: DataFrame, id_col: str, text_col: str, width: int, wanted: DataFrame) -> DataFrame:
-    """``row, grams`` of the rows ``wanted (row, id)``; one text per row is read."""
-    fields = T.StructType([T.StructField("key", _KEY), T.StructField("grams", T.BinaryType())])
-
-    def make():
-        hashes = WordHashes()
+    return materialise(both.mapInArrow(run, "a long, b long").distinct(), "pairs")
 
-        def step(batch: pa.RecordBatch) -> list:
-            sets = [_gram_set(x.as_py(), hashes, width) for x in batch.column(0)]
-            return [[_set_key(x) for x in sets], [x.tobytes() for x in sets]]
 
-        return step
+def _overlap(one: np.ndarray, other: np.ndarray) -> int:
+    small, large = (one, other) if len(one) <= len(other) else (other, one)
+    if not len(small):
+        return 0
+    return int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
 
-    texts = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text"))
-    mine = texts.join(wanted, F.col("d_id").eqNullSafe(F.col("id"))).select("row", "text")
-    made = add_columns(mine, [F.col("text").cast("binary")], fields, make, ["row"])
-    return made.where("key = row").select("row", "grams")
 
+def _links(pairs: DataFrame, texts: DataFrame, percent: int, width: int, few: bool) -> DataFrame:
+    """The ``pairs (a, b)`` whose overlap over all columns reaches the threshold.
 
-def _multiply(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs (a, b)`` of rows whose overlap reaches the bound their sizes give.
-
-    Rows ``b`` are multiplied in blocks with row ``a``. A block is one of ``fan`` parts of the
-    partners of a, so a row with very many partners is spread over many tasks.
+    ``few`` says that most texts are in no pair; then those in pairs are fetched first.
     """
-    fan = max(1, pairs.count() // ROWS_PER_BLOCK)
-    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(fan)))
-    heads = dealt.select("a", "part").distinct().join(rows, F.col("a") == F.col("row"))
-    members = dealt.join(rows, F.col("b") == F.col("row"))
-    columns = ["a", "part"]
-    both = heads.select(*columns, F.lit(None).cast("long").alias("b"), "grams").unionByName(
-        members.select(*columns, "b", "grams")
-    )
-    ordered = both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    if few:
+        ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+        texts = materialise(texts.join(ids, "id", "left_semi"), "rows")
+    first, second = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = np.empty(0, np.uint64)
+        last, row = None, None
         for batch in batches:
-            found: list[tuple[int, int]] = []
-            for a, b, grams in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                row = np.frombuffer(grams.as_py(), np.uint64)
-                if b is None:
-                    head = row
-                    continue
-                small, large = sorted((row, head), key=len)
-                if len(small) * 100 < percent * len(large):
-                    continue
-                spots = np.searchsorted(large, small)
-                overlap = int(np.count_nonzero(large[np.minimum(spots, len(large) - 1)] == small))
-                if overlap * 100 >= percent * (len(row) + len(head) - overlap):
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"]
-            )
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = a.as_py(), b.as_py()
+                if a != last:
+                    last, row = a, _gram_set(a, width)
+                other = _gram_set(b, width)
+                overlap = _overlap(row, other)
+                keep.append(overlap * 100 >= percent * (len(row) + len(other) - overlap))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return ordered.select("a", "b", "grams").mapInArrow(run, "a long, b long")
+    return materialise(both.mapInArrow(run, "a long, b long"), "links")
 
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, row``: one row per row of ``docs``.
+    """``doc_id, n_shingles, component_id``: one row per row of ``docs``.
 
     Texts are folded to lower case (A-Z) and split at white space. A text of fewer words than
     ``width`` has its whole word sequence as its only n-gram; a null, empty or blank text has
-    none, links with nothing and is a component of its own. Documents link if 100 times the
-    size of the intersection is at least ``percent`` times that of the union. ``component_id``
-    is the smallest id reachable by links (null ids do not count unless there are no others);
-    equal ids are separate rows. ``row`` identifies equal sets.
-    An empty table gives an empty result; other columns are ignored.
+    none and links with nothing. Documents link if 100 times the size of the intersection is
+    at least ``percent`` times that of the union. ``component_id`` is the smallest id that
+    links reach. Rows with equal ids are one document with several texts, which links where
+    any of them does. A row with a null id links with nothing and has a null component.
+    An empty table gives an empty result; other columns are ignored. Ids are integers.
     """
     context = docs.sparkSession.sparkContext
-    texts = docs.select(F.col(text_col).cast("binary"))
-    frequent = context.broadcast(frequent_grams(texts, width, docs.count()))
-    sets = materialise(_sets(docs, id_col, text_col, width, percent, frequent), "sets")
-    postings = _postings(sets)
-
-    ends = postings.groupBy("gram").agg(F.min("row").alias("a"), F.max("row").alias("last"))
-    shared = materialise(
-        postings.join(ends.where("a < last").select("gram", "a"), "gram").select("gram", "a", "row").distinct(), "shared"
-    )
-    stars = materialise(shared.where("row <> a").select("a", F.col("row").alias("b")).distinct(), "pairs")
-
-    # Sizes give a first bound; what is left needs the rows themselves.
-    known = materialise(sets.where("set_key IS NOT NULL").groupBy(F.col("set_key").alias("row")).agg(F.min("id").alias("id"), F.min("size").alias("size")), "known")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        size = known.select("row", "size")
-        with_a = pairs.join(size.withColumnsRenamed({"row": "a", "size": "size_a"}), "a")
-        with_b = with_a.join(size.withColumnsRenamed({"row": "b", "size": "size_b"}), "b")
-        fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-        return materialise(with_b.where(fits).select("a", "b"), "sized")
-
-    first = sized(stars)
-    wanted = shared.select("row").distinct().join(known.select("row", "id"), "row")
-    rows = materialise(_rows_of(docs, id_col, text_col, width, wanted), "rows")
-    links = materialise(_multiply(first, rows, percent), "links")
-    labels = components(links)
-
-    labelled = (
-        shared.join(labels, F.col("row") == F.col("node"), "left")
-        .select("gram", "row", F.coalesce("root", "row").alias("label"))
-    )
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    frequent = context.broadcast(frequent_grams(texts.select("text"), width, docs.count()))
+    sets = materialise(_sets(texts, width), "sets")
+    named = sets.where("id IS NOT NULL AND set_key IS NOT NULL")
+    first = named.groupBy("set_key").agg(F.min("id").alias("row"))
+    copies = materialise(named.select("id", "set_key").join(first, "set_key").where("id <> row").select("id", "row"), "copies")
+
+    postings = _postings(texts.where("id IS NOT NULL"), width, percent, frequent)
+    ends = postings.groupBy("gram").agg(F.min("id").alias("a"), F.count("*").alias("n"))
+    shared = postings.join(ends.where("n > 1").select("gram", "a"), "gram")
+    rows = shared.join(copies.distinct(), "id", "left").select("gram", "a", F.coalesce("row", "id").alias("row"))
+    shared = materialise(rows.distinct(), "shared")
+    stars = shared.where("row <> a").select("a", F.col("row").alias("b"))
+
+    def linked(pairs: DataFrame, few: bool) -> DataFrame:
+        return _links(_may_link(pairs, sets, percent), texts, percent, width, few)
+
+    def labels_of(links: DataFrame, rows: DataFrame, row: str, label: str) -> DataFrame:
+        roots = components(links).select(F.col("node").alias(row), F.col("root").alias("known"))
+        return rows.join(roots, row, "left").withColumn(label, F.coalesce("known", row)).drop("known")
+
+    done = materialise(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    links = linked(done, few=False)
+
+    both = labels_of(links, labels_of(links, stars.distinct(), "a", "label_a"), "b", "label_b")
+    apart = both.where("label_a <> label_b").select("a", "b").join(done, ["a", "b"], "left_anti")
+    apart = materialise(apart, "pairs")
+    links, done = links.unionByName(linked(apart, few=True)), done.unionByName(apart)
+
+    labelled = labels_of(links, shared.select("gram", "row"), "row", "label")
     mixed = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     open_rows = materialise(labelled.join(mixed.select("gram"), "gram"), "open")
     other = open_rows.select("gram", F.col("row").alias("b"), F.col("label").alias("label_b"))
-    across = (
-        open_rows.withColumnRenamed("row", "a")
-        .join(other, "gram")
-        .where("a < b AND label <> label_b")
-        .select("a", "b")
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
-    )
-    more = materialise(_multiply(sized(across), rows, percent), "links")
-    roots = materialise(components(links.unionByName(more)), "roots")
+    across = open_rows.withColumnRenamed("row", "a").join(other, "gram").where("a < b AND label <> label_b")
+    more = linked(across.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), few=True)
 
-    named = sets.join(roots, F.col("set_key") == F.col("node"), "left").select(
-        "id", "size", "set_key", F.coalesce("root", "set_key").alias("label")
-    )
-    smallest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component"))
-    return named.join(smallest, "label", "left").select(
-        F.col("id").alias("doc_id"),
-        F.col("size").alias("n_shingles"),
-        F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"),
-        F.col("set_key").alias("row"),
+    same = copies.select(F.col("id").alias("a"), F.col("row").alias("b"))
+    roots = components(links.unionByName(more).unionByName(same))
+    return sets.join(roots, F.col("id") == F.col("node"), "left").select(
+        F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")
     )
 
 
@@ -278,15 +258,15 @@ GROUP BY reach.a, x.doc_id"""
 @query(ORACLE)
 def op7_jaccard_join(spark, sf_dir):
     """Component of every document under shingle similarity."""
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("row")
+    return jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component.
 
-    Of repeated rows and equal ids one text per component stays. Rows without words, which
-    link with nothing, all stay. The columns are those of ``docs``.
+    All rows with such an id stay, and so do rows without words, which link with nothing, and
+    rows with a null id. The columns are those of ``docs``.
     """
-    kept = jaccard_components(docs, id_col, text_col).where("doc_id <=> component_id")
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    gone = jaccard_components(docs, id_col, text_col).where("doc_id <> component_id")
+    ids = gone.select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(ids, docs[id_col] == F.col("__gone_id"), "left_anti")

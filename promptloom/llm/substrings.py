@@ -20,7 +20,6 @@ automaton of one document at a time.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptloom.llm.common import WordHashes, add_columns, runs_of_words, table
+from promptloom.llm.common import add_columns, runs_of_words, table, word_hashes
 from promptloom.llm.registry import query
 from promptloom.session import materialise
 
@@ -93,24 +92,38 @@ class SuffixAutomaton:
             yield matched
 
 
-def _named_runs(words: list[bytes], hashes: WordHashes, window: int, run: int) -> np.ndarray:
-    """For each window of ``words`` the hash of the run that it names."""
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` consecutive values, by doubling."""
+    count, reach = len(values) - width + 1, 1
+    while 2 * reach <= width:
+        values = np.minimum(values[:-reach], values[reach:])
+        reach *= 2
+    return np.minimum(values[:count], values[width - reach : width - reach + count])
+
+
+def _named_runs(text: bytes | None, window: int, run: int) -> np.ndarray:
+    """For each window of words of ``text`` the hash of the run that it names."""
+    words = word_hashes(text)
     if len(words) < window:
         return np.empty(0, np.int64)
-    runs = runs_of_words(hashes.of(words), run)
+    runs = runs_of_words(words, run)
     if run < window:
         # Runs only lead to shards, and five bytes tell them apart well enough.
-        runs = np.lib.stride_tricks.sliding_window_view(runs >> np.uint64(24), window - run + 1).min(1)
+        runs = _least(runs >> np.uint64(24), window - run + 1)
     return runs.view(np.int64)
 
 
 def _runs(passages: DataFrame, window: int, run: int) -> DataFrame:
+    """``run, id`` of all windows; neighbours that name the same run give one row."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                named = [np.unique(_named_runs((x.as_py() or b"").split(), hashes, window, run)) for x in part.column(1)]
+                named = []
+                for text in part.column(1):
+                    own = _named_runs(text.as_py(), window, run)
+                    named.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if len(own) else own)
                 ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in named])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(named)), pa.array(ids)], ["run", "id"])
 
@@ -127,7 +140,6 @@ def _routed(passages: DataFrame, window: int, run: int) -> DataFrame:
     rows = passages.join(led, "id").select("id", "tag", "start", "words", "runs", "routes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -135,13 +147,13 @@ def _routed(passages: DataFrame, window: int, run: int) -> DataFrame:
                 for i in range(part.num_rows):
                     number, tag, start, text = (part.column(c)[i].as_py() for c in range(4))
                     words = text.split()
-                    named = _named_runs(words, hashes, window, run)
+                    named = _named_runs(text, window, run)
                     own, routes = (np.asarray(part.column(c)[i].values, np.int64) for c in (4, 5))
                     order = np.argsort(own)
                     own, routes = own[order], routes[order]
                     spot = np.minimum(np.searchsorted(own, named), len(own) - 1)
-                    to = np.where(own[spot] == named, routes[spot], -1) if len(named) else named
-                    leads = own[spot] == named if len(named) else np.empty(0, bool)
+                    leads = own[spot] == named
+                    to = np.where(leads, routes[spot], -1)
                     breaks = np.flatnonzero((np.diff(to) != 0) | (np.diff(leads.astype(np.int8)) != 0)) + 1
                     for first, stop in zip([0, *breaks], [*breaks, len(named)], strict=True):
                         if first < stop and leads[first]:
@@ -157,6 +169,15 @@ _ROUTED_ARROW = pa.schema([("route", pa.int64()), ("id", pa.int64()), ("tag", pa
 _FOUND_ARROW = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("words", pa.binary())])
 
 
+def _ranges(automaton: SuffixAutomaton, words: list[bytes], window: int) -> Iterator[tuple[int, int, bytes | None]]:
+    """Ranges of words that windows in the shard cover, and with their words those of the others."""
+    length = np.fromiter(automaton.statistics(words), np.int64, len(words))
+    hit = length[window - 1 :] >= window
+    breaks = np.flatnonzero(hit[1:] != hit[:-1]) + 1
+    for first, stop in zip([0, *breaks.tolist()], [*breaks.tolist(), len(hit)], strict=True):
+        yield first, stop + window - 1, None if hit[first] else b" ".join(words[first : stop + window - 1])
+
+
 def _streamed(routed: DataFrame, window: int) -> DataFrame:
     """Matched ranges of words (``words`` is null) and the passages of other windows."""
     queries, shards = routed.where("id <> route"), routed.where("id = route")
@@ -172,26 +193,25 @@ def _streamed(routed: DataFrame, window: int) -> DataFrame:
     ordered = both.repartition("route", "part").sortWithinPartitions("route", "part", "role")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, automaton, open_shard = None, SuffixAutomaton(), False
+        shard, automaton = None, SuffixAutomaton()
+        known: dict[bytes, list[tuple[int, int, bytes | None]]] = {}  # copies get the same answer
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 out: list[tuple] = []
                 columns = [part.column(c).to_pylist() for c in range(7)]
                 for route, copy, role, number, tag, start, text in zip(*columns, strict=True):
-                    words = text.split()
                     if role == 0:
                         if shard != (route, copy):
-                            shard, automaton, open_shard = (route, copy), SuffixAutomaton(), True
-                        automaton.add(words)
+                            shard, automaton = (route, copy), SuffixAutomaton()
+                            known.clear()
+                        automaton.add(text.split())
                         continue
-                    length = np.fromiter(automaton.statistics(words), np.int64, len(words))
-                    hit = length[window - 1 :] >= window
-                    breaks = np.flatnonzero(np.diff(hit.astype(np.int8))) + 1
-                    for first, stop in zip([0, *breaks], [*breaks, len(hit)], strict=True):
-                        first, stop = int(first), int(stop) + window - 1
-                        rest = None if hit[first] else b" ".join(words[first:stop])
-                        out.append((number, tag, start + first, start + stop, rest))
+                    if text not in known:
+                        if len(known) >= 1000:
+                            known.clear()
+                        known[text] = list(_ranges(automaton, text.split(), window))
+                    out += [(number, tag, start + first, start + stop, rest) for first, stop, rest in known[text]]
                 yield pa.RecordBatch.from_pylist(
                     [dict(zip(_FOUND_ARROW.names, x, strict=True)) for x in out], _FOUND_ARROW
                 )
@@ -241,12 +261,14 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
             counts, removed, texts = [], [], []
             for text, ranges in zip(batch.column(0), batch.column(1), strict=True):
                 words = (text.as_py() or b"").split()
-                kept = np.ones(len(words), bool)
-                for start, stop in ranges.as_py() or ():
-                    kept[start:stop] = False
                 counts.append(len(words))
-                removed.append(len(words) - int(kept.sum()))
-                texts.append(b" ".join(w for w, k in zip(words, kept.tolist(), strict=True) if k).decode())
+                at, kept = 0, []
+                for start, stop in sorted(ranges.as_py() or ()):
+                    kept += words[at:start]
+                    at = max(at, stop)
+                kept = kept + words[at:] if at else words
+                removed.append(len(words) - len(kept))
+                texts.append(b" ".join(kept).decode())
             return [counts, removed, texts]
 
         return step
