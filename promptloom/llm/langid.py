@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,21 +49,20 @@ def words_of(text: str | None) -> list[bytes]:
     return words if any(w.isalpha() for w in words) or any(c.isalpha() for c in text) else []
 
 
-def _hash(kind: bytes, part: bytes) -> int:
-    return zlib.crc32(part, zlib.crc32(kind)) % BUCKETS
+_WORD, _START, _END, _GRAM, _LEXICON = (zlib.crc32(kind) for kind in (b"word", b"start", b"end", b"gram", b"lexicon"))
 
 
 def features(word: bytes, shares: tuple[float, ...] | None) -> list[int]:
-    """Buckets of affixes, n-grams, the word, and the word's shares in the lexicon."""
-    chars = word.decode("utf-8", "replace")
-    found = [_hash(b"word", word)]
-    for n in range(1, min(4, len(chars)) + 1):
-        found.append(_hash(b"start", chars[:n].encode()))
-        found.append(_hash(b"end", chars[-n:].encode()))
-    for n in (2, 3):
-        found += [_hash(b"gram", chars[i : i + n].encode()) for i in range(len(chars) - n + 1)]
-    for label, share in enumerate(shares or ()):
-        found.append(_hash(b"lexicon", b"%d %d" % (label, round(share * 5))))
+    """Buckets of affixes, n-grams (both in bytes), the word, and its shares in the lexicon."""
+    crc, last, size = zlib.crc32, BUCKETS - 1, len(word)
+    found = [crc(word, _WORD) & last]
+    for n in range(1, min(5, size) + 1):
+        found.append(crc(word[:n], _START) & last)
+        found.append(crc(word[-n:], _END) & last)
+    found += [crc(word[i : i + 2], _GRAM) & last for i in range(size - 1)]
+    found += [crc(word[i : i + 3], _GRAM) & last for i in range(size - 2)]
+    if shares:
+        found += [crc(b"%d %d" % (label, round(share * 5)), _LEXICON) & last for label, share in enumerate(shares)]
     return found
 
 
@@ -99,7 +99,9 @@ class Field:
     lexicon: dict[bytes, tuple[float, ...]] = field(repr=False)
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        return np.array([self.weights[features(w, self.lexicon.get(w))].sum(0) for w in words]).reshape(-1, len(self.labels))
+        lists = [features(w, self.lexicon.get(w)) for w in words]
+        starts = np.cumsum([0, *map(len, lists[:-1])])
+        return np.add.reduceat(self.weights[list(chain.from_iterable(lists))], starts, axis=0)
 
 
 class Labeller:
@@ -109,9 +111,9 @@ class Labeller:
         self.model, self.numbers = model, {}
         self.scores = np.empty((0, len(model.labels)))
 
-    def _numbered(self, words: list[bytes]) -> np.ndarray:
+    def _learn(self, words: set[bytes]) -> None:
         numbers = self.numbers
-        if fresh := [w for w in dict.fromkeys(words) if w not in numbers]:
+        if fresh := sorted(words - numbers.keys()):
             scores = self.model.word_scores(fresh)
             scores = np.exp(np.clip(scores - scores.max(1, keepdims=True), -30, 0))
             if len(numbers) + len(fresh) > len(self.scores):
@@ -120,7 +122,9 @@ class Labeller:
                 self.scores = grown
             self.scores[len(numbers) : len(numbers) + len(fresh)] = scores
             numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh)), strict=True))
-        return np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+
+    def _numbered(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
 
     def shares(self, texts: list[list[bytes]]) -> np.ndarray:
         """Mean label probabilities of each text; zeros for one without words."""
@@ -139,6 +143,7 @@ class Labeller:
             at = stop
             if len(self.numbers) > _MOST_WORDS:
                 self.numbers.clear()
+            self._learn(set().union(*(texts[i] for i in block)))
             numbers = [self._numbered(texts[i]) for i in block]
             lengths = np.array([len(n) for n in numbers])
             scores = np.ones((lengths.max(), len(block), labels))
