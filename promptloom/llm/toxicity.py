@@ -271,7 +271,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sent = spark.sparkContext.broadcast(chars)
     marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    counts = materialise(_feature_counts(texts.join(marks, "id"), sent).where(F.col("toxic") + F.col("clean") >= LEAST_TEXTS), "features")
+    # Texts and labels are dealt by id at any size, so the plan for few labels is that for many.
+    counts = materialise(_feature_counts(texts.join(marks.hint("merge"), "id"), sent).where(F.col("toxic") + F.col("clean") >= LEAST_TEXTS), "features")
     number = {r["label"]: r["count"] for r in marks.join(texts.select("id"), "id").groupBy("label").count().collect()}
     toxic, clean = number.get(1, 0), number.get(0, 0)
     if not toxic or not clean:
@@ -291,7 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = spark.sparkContext.broadcast(set(features))
     hashed = (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) + 0.5) / (1 << 20)
     rate = F.when(F.col("label") == 1, min(1.0, SAMPLE / toxic)).otherwise(min(1.0, SAMPLE / clean))
-    drawn = texts.join(marks.where(hashed < rate), "id")
+    most = min(1.0, SAMPLE / min(toxic, clean))
+    drawn = texts.where(hashed < most).join(marks.where(hashed < rate).hint("merge"), "id")
     rows = sorted((r["label"], list(r["features"])) for r in _sampled(drawn, sent, chosen).collect())
     weights, bias = _fit(rows, features, toxic / (toxic + clean))
     return ToxicModel(chars, weights, bias)
