@@ -12,7 +12,7 @@ double precision. A pair counts in the first block where it is within the part,
 counts twice and no pair leaves its task: tasks return numbers of links by vector, and links
 that span what they have connected.
 
-Equal vectors are one vector with a weight. Cells of more than ``CELL`` vectors are divided
+Equal vectors are one vector with a weight. Cells of more than ``cell`` vectors are divided
 into parts, and every pair of parts is a task of its own.
 """
 
@@ -31,7 +31,8 @@ from promptloom.llm.registry import query
 from promptloom.operators.prefix import number_rows
 from promptloom.session import materialise, ship_package
 
-LEAST_COSINE, BLOCKS, CELL, SAMPLE = 0.9, 4, 1000, 4096
+LEAST_COSINE, BLOCKS, CELL, SAMPLE = 0.9, 4, 16_000, 4096
+_PROBES = 500  # rows that are compared with a cell's residents at once
 _SLACK = 1e-5  # more than the rounding of coordinates to single precision
 _KEY = ("dims", "block", "x", "y", "part", "slice")
 
@@ -98,8 +99,8 @@ def _distinct(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(work, "id long, dims long, bytes binary").withColumn("digest", F.unhex(F.md5("bytes")))
 
 
-def _counted_cells(nodes: DataFrame, turns) -> dict[tuple, int]:
-    """Number of parts of each cell that needs more than one; at most blocks * rows / CELL cells."""
+def _counted_cells(nodes: DataFrame, turns, cell: int) -> dict[tuple, int]:
+    """Number of parts of each cell that needs more than one; at most blocks * rows / cell cells."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,8 +115,8 @@ def _counted_cells(nodes: DataFrame, turns) -> dict[tuple, int]:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(5)], ["dims", "block", "x", "y", "n"])
 
     counts = nodes.select("dims", "bytes").mapInArrow(work, "dims long, block long, x long, y long, n long")
-    large = counts.groupBy("dims", "block", "x", "y").agg(F.sum("n").alias("n")).where(F.col("n") > CELL)
-    return {tuple(row[:4]): -(-row[4] // CELL) for row in large.toLocalIterator()}
+    large = counts.groupBy("dims", "block", "x", "y").agg(F.sum("n").alias("n")).where(F.col("n") > cell)
+    return {tuple(row[:4]): -(-row[4] // cell) for row in large.toLocalIterator()}
 
 
 def _dealt(nodes: DataFrame, turns, parts) -> DataFrame:
@@ -158,12 +159,15 @@ class _Task:
     def __init__(self, key: tuple, rotation: Rotation, least: float):
         self.key, self.rotation, self.least = key, rotation, least
         self.rows: list[tuple[int, bytes, int]] = []
-        self.home = None
+        self.home = self.columns = None
 
     def settle(self, counts: dict, links: list) -> None:
         """All residents are there: compare them with each other, once."""
         self.home = self._made(self.rows)
         self.rows = []
+        block = self.home[5]
+        ones = np.ones((len(block), 1), np.float32)
+        self.columns = np.vstack([block.T, ones.T, (block**2).sum(1)])
         if self.key[5] == 0:
             self._compare(self.home, True, counts, links)
 
@@ -175,16 +179,25 @@ class _Task:
         raw, norms, unit = _unit([r[1] for r in rows], self.key[0])
         start, stop = self.rotation.bounds[self.key[1] : self.key[1] + 2]
         turned = self.rotation.turn(unit)
-        return np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), raw, norms, turned, turned[:, start:stop]
+        return np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), raw, norms, turned, turned[:, start:stop].astype(np.float32)
 
     def _compare(self, given: tuple, same: bool, counts: dict, links: list) -> None:
+        for at in range(0, len(given[0]), _PROBES):
+            self._compare_some([part[at : at + _PROBES] for part in given], at if same else None, counts, links)
+
+    def _compare_some(self, given: list, offset: int | None, counts: dict, links: list) -> None:
+        """Compare rows with the residents; with an offset they are residents from there on."""
         nodes, weights, raw, norms, turned, block = given
         home_nodes, home_weights, home_raw, home_norms, home_turned, home_block = self.home
-        squares = (block**2).sum(1)[:, None] + (home_block**2).sum(1) - 2 * block @ home_block.T
-        near = squares <= self.rotation.parts[self.key[1]] + 2 * _SLACK
-        if same:
-            near = np.triu(near, 1)
-        a, b = np.nonzero(near)
+        # Squared distances in one product: |a|^2 + |b|^2 - 2 a b.
+        ones = np.ones((len(block), 1), np.float32)
+        left = np.hstack([-2 * block, (block**2).sum(1, keepdims=True), ones])
+        squares = left @ self.columns
+        places = np.flatnonzero(squares <= np.float32(self.rotation.parts[self.key[1]] + 2 * _SLACK))
+        a, b = np.divmod(places, len(home_nodes))
+        if offset is not None:
+            later = b > a + offset
+            a, b = a[later], b[later]
         for at in range(0, len(a), 20_000):
             i, j = a[at : at + 20_000], b[at : at + 20_000]
             first = self.rotation.within(turned[i], home_turned[j])
@@ -232,7 +245,7 @@ def _joined(dealt: DataFrame, turns, least: float) -> DataFrame:
             at = 0
             while at < len(keys):
                 stop = at
-                while stop < len(keys) and stop - at < CELL and (keys[stop], roles[stop]) == (keys[at], roles[at]):
+                while stop < len(keys) and stop - at < _PROBES and (keys[stop], roles[stop]) == (keys[at], roles[at]):
                     stop += 1
                 if task is None or task.key != keys[at]:
                     if task is not None and task.home is None:
@@ -266,7 +279,7 @@ def _result(counts: dict[int, int], links: list[tuple[int, int]]) -> pa.RecordBa
 
 
 def near_vectors(
-    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST_COSINE, blocks: int = BLOCKS
+    vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST_COSINE, blocks: int = BLOCKS, cell: int = CELL
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row per row of ``vectors``.
 
@@ -289,7 +302,7 @@ def near_vectors(
         sample = nodes.where(F.col("dims") == dims).orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("bytes").collect()
         turns[dims] = Rotation(_unit([bytes(r[0]) for r in sample], dims)[2], 2 - 2 * least, blocks)
     sent = spark.sparkContext.broadcast(turns)
-    parts = spark.sparkContext.broadcast(_counted_cells(nodes, sent))
+    parts = spark.sparkContext.broadcast(_counted_cells(nodes, sent, cell))
     found = materialise(_joined(_dealt(nodes, sent, parts), sent, least), "near")
 
     degrees = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
