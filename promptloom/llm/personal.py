@@ -33,7 +33,7 @@ from promptloom.llm.spans import Span, digest_columns, find_spans, overlaps
 from promptloom.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS, STRETCHES, ROUNDS, BUCKETS = 16, 250, 25, 1 << 15
+MOST_TOKENS, STRETCHES, ROUNDS, BUCKETS = 16, 120, 15, 1 << 15
 _NEVER = -1e6
 MOST_BYTES = 400  # longer stretches are not drawn for training
 
