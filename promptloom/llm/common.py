@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from promptloom.session import ship_package
+from promptloom.session import materialise, ship_package
 
 # White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
@@ -120,5 +120,16 @@ def add_columns(
     return rows.mapInArrow(run, schema)
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``materialise``, and let Spark remove the shuffle files of what has been written.
+
+    Spark removes them when the driver collects its garbage, which an idle driver seldom does;
+    a job of many steps would keep the files of all of them.
+    """
+    result = materialise(df, label)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return result
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

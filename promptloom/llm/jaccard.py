@@ -30,10 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptloom.llm.common import add_columns, runs_of_words, table, word_hashes
+from promptloom.llm.common import add_columns, runs_of_words, stored, table, word_hashes
 from promptloom.llm.components import components
 from promptloom.llm.registry import query
-from promptloom.session import materialise
 
 PERCENT, WIDTH = 85, 4
 # An n-gram of more than 1/FREQUENT of all documents comes last in the order. There are at
@@ -124,7 +123,7 @@ def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     for x in "ab":
         pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}")), x)
     fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-    both = materialise(pairs.where(fits), "sized")
+    both = stored(pairs.where(fits), "sized")
     for x in "ab":
         both = both.join(sets.select(F.col("id").alias(x), F.col("block").alias(f"block_{x}")), x)
     both = both.select("a", "b", "size_a", "size_b", "block_a", "block_b")
@@ -140,7 +139,7 @@ def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return materialise(both.mapInArrow(run, "a long, b long").distinct(), "pairs")
+    return stored(both.mapInArrow(run, "a long, b long").distinct(), "pairs")
 
 
 def _overlap(one: np.ndarray, other: np.ndarray) -> int:
@@ -156,8 +155,8 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, width: int, few: bo
     ``few`` says that most texts are in no pair; then those in pairs are fetched first.
     """
     if few:
-        ids = materialise(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-        texts = materialise(texts.join(ids, "id", "left_semi"), "rows")
+        ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+        texts = stored(texts.join(ids, "id", "left_semi"), "rows")
     first, second = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
 
@@ -175,7 +174,7 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, width: int, few: bo
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return materialise(both.mapInArrow(run, "a long, b long"), "links")
+    return stored(both.mapInArrow(run, "a long, b long"), "links")
 
 
 def jaccard_components(
@@ -194,16 +193,16 @@ def jaccard_components(
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     frequent = context.broadcast(frequent_grams(texts.select("text"), width, docs.count()))
-    sets = materialise(_sets(texts, width), "sets")
+    sets = stored(_sets(texts, width), "sets")
     named = sets.where("id IS NOT NULL AND set_key IS NOT NULL")
     first = named.groupBy("set_key").agg(F.min("id").alias("row"))
-    copies = materialise(named.select("id", "set_key").join(first, "set_key").where("id <> row").select("id", "row"), "copies")
+    copies = stored(named.select("id", "set_key").join(first, "set_key").where("id <> row").select("id", "row"), "copies")
 
     postings = _postings(texts.where("id IS NOT NULL"), width, percent, frequent)
     ends = postings.groupBy("gram").agg(F.min("id").alias("a"), F.count("*").alias("n"))
     shared = postings.join(ends.where("n > 1").select("gram", "a"), "gram")
     rows = shared.join(copies.distinct(), "id", "left").select("gram", "a", F.coalesce("row", "id").alias("row"))
-    shared = materialise(rows.distinct(), "shared")
+    shared = stored(rows.distinct(), "shared")
     stars = shared.where("row <> a").select("a", F.col("row").alias("b"))
 
     def linked(pairs: DataFrame, few: bool) -> DataFrame:
@@ -213,17 +212,17 @@ def jaccard_components(
         roots = components(links).select(F.col("node").alias(row), F.col("root").alias("known"))
         return rows.join(roots, row, "left").withColumn(label, F.coalesce("known", row)).drop("known")
 
-    done = materialise(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    done = stored(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     links = linked(done, few=False)
 
     both = labels_of(links, labels_of(links, stars.distinct(), "a", "label_a"), "b", "label_b")
     apart = both.where("label_a <> label_b").select("a", "b").join(done, ["a", "b"], "left_anti")
-    apart = materialise(apart, "pairs")
+    apart = stored(apart, "pairs")
     links, done = links.unionByName(linked(apart, few=True)), done.unionByName(apart)
 
     labelled = labels_of(links, shared.select("gram", "row"), "row", "label")
     mixed = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    open_rows = materialise(labelled.join(mixed.select("gram"), "gram"), "open")
+    open_rows = stored(labelled.join(mixed.select("gram"), "gram"), "open")
     other = open_rows.select("gram", F.col("row").alias("b"), F.col("label").alias("label_b"))
     across = open_rows.withColumnRenamed("row", "a").join(other, "gram").where("a < b AND label <> label_b")
     more = linked(across.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), few=True)

@@ -28,9 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptloom.llm.common import add_columns, runs_of_words, table, word_hashes
+from promptloom.llm.common import add_columns, runs_of_words, stored, table, word_hashes
 from promptloom.llm.registry import query
-from promptloom.session import materialise
 
 WINDOW, RUN = 13, 5
 QUERIES_PER_TASK = 1000  # passages that one copy of a shard answers
@@ -162,7 +161,7 @@ def _routed(passages: DataFrame, window: int, run: int) -> DataFrame:
                     [dict(zip(("route", "id", "tag", "start", "words"), x, strict=True)) for x in out], _ROUTED_ARROW
                 )
 
-    return materialise(rows.mapInArrow(work, _ROUTED), "routed")
+    return stored(rows.mapInArrow(work, _ROUTED), "routed")
 
 
 _ROUTED_ARROW = pa.schema([("route", pa.int64()), ("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("words", pa.binary())])
@@ -217,7 +216,7 @@ def _streamed(routed: DataFrame, window: int) -> DataFrame:
                 )
 
     columns = ["route", "part", "role", "id", "tag", "start", "words"]
-    return materialise(ordered.select(*columns).mapInArrow(work, _FOUND), "streamed")
+    return stored(ordered.select(*columns).mapInArrow(work, _FOUND), "streamed")
 
 
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, run: int = RUN) -> DataFrame:
