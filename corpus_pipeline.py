@@ -30,8 +30,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    return keep_one_of_each(docs)
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Near copies share 80 % of their five-word shingles; op7's own contract has other values.
+    """
+    return keep_one_of_each(docs, percent=80, width=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -260,12 +260,14 @@ def op7_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH
+) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component.
 
     All rows with such an id stay, and so do rows without words, which link with nothing, and
     rows with a null id. The columns are those of ``docs``.
     """
-    gone = jaccard_components(docs, id_col, text_col).where("doc_id <> component_id")
+    gone = jaccard_components(docs, id_col, text_col, percent, width).where("doc_id <> component_id")
     ids = gone.select(F.col("doc_id").alias("__gone_id")).distinct()
     return docs.join(ids, docs[id_col] == F.col("__gone_id"), "left_anti")

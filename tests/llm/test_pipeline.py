@@ -35,3 +35,27 @@ def test_mix(spark):
     sources = {r["source_size"]: r["target"] for r in rows}
     assert sum(sources.values()) <= 1.5 * total * 1.001
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mix_documents(docs.repartition(5)).collect()), key=str)
+
+
+def test_near_copies_share_four_fifths_of_their_five_word_shingles(spark):
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    rows = []
+    for d in range(40):
+        words = cases.prose(d // 4, 100 + d // 4).split()
+        words[50 : 50 + d % 4 * 2] = [f"w{d}x{k}" for k in range(d % 4 * 2)]
+        rows.append((d, " ".join(words)))
+    reach = {d: {d} for d, _ in rows}
+    for a, x in rows:
+        for b, y in rows:
+            if 100 * len(shingles(x) & shingles(y)) >= 80 * len(shingles(x) | shingles(y)):
+                joined = reach[a] | reach[b]
+                for d in joined:
+                    reach[d] = joined
+    expected = {d for d, _ in rows if min(reach[d]) == d}
+    by_op7 = {d for d, _, c in jaccard_brute_force(rows) if c == d}
+    assert len(expected) < len(by_op7)  # some pairs link by these values only
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF_DIR).collect()} == expected
