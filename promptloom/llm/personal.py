@@ -2,9 +2,10 @@
 
 A segment is a run of tokens with one type: email, ip, card, phone, or other. Its features are
 those of the whole span: its shape, lengths, digit counts, check digits, separators, and what
-stands left and right of it. Dynamic programming over segments of at most ``MOST_TOKENS``
-tokens chooses boundaries and types together. Only stretches of text with digits or at-signs
-are decoded, as no segment lies elsewhere.
+stands left and right of it. Dynamic programming over segments chooses boundaries and types
+together. A segment is what its kinds can hold: 19 digits and any signs between them, or an
+address of at most ``MOST_TOKENS`` tokens, where a mark such as ``(at)`` or ``[.]`` is one token.
+Only stretches of text with digits or at-signs are decoded, as no segment lies elsewhere.
 
 Training. Stretches are drawn by a hash from all documents, ``STRETCHES`` with matches of the
 fixed patterns and as many without. Matches are the segments to learn. Each also teaches its
@@ -33,16 +34,19 @@ from promptloom.llm.spans import Span, digest_columns, find_spans, overlaps
 from promptloom.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
-MOST_TOKENS, STRETCHES, ROUNDS, BUCKETS = 16, 120, 15, 1 << 15
-_NEVER = -1e6
 MOST_BYTES = 400  # longer stretches are not drawn for training
+MOST_TOKENS = MOST_BYTES  # so no match that is drawn has more, nor has any spelling of it
+STRETCHES, ROUNDS, BUCKETS = 120, 15, 1 << 15
+_NEVER = -1e6
+_SPACED = 16  # tokens of an address with blanks at other places than beside its marks
 
 _EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 
-_TOKEN = re.compile(rb"[0-9]+|[A-Za-z]+|[\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]")
+_TOKEN = re.compile(rb"[0-9]+|[A-Za-z]+|[\x80-\xff]+|[(\[{](?:at|dot|\.)[)\]}]|[^\sA-Za-z0-9\x80-\xff]", re.I)
+_AT = re.compile(rb"@|[(\[{]at[)\]}]", re.I)
 _CHUNK = re.compile(rb"\S+")
 _MARK = re.compile(rb"[(\[{](?:at|dot)[)\]}]", re.I)
 _SEED = re.compile(rb"[0-9@]|[(\[{](?:at|dot)[)\]}]", re.I)
@@ -132,28 +136,53 @@ def _possible(span: bytes) -> list[bool]:
     digits, letters = b"".join(_DIGITS.findall(span)), bool(re.search(rb"[A-Za-z\x80-\xff]", span))
     groups = re.findall(rb"[0-9]+", span)
     return [
-        letters and bool(re.search(rb"@|[(\[{]at[)\]}]", span, re.I)),
-        not letters and len(groups) == 4 and all(len(g) < 4 and int(g) < 256 for g in groups),
+        letters and bool(_AT.search(span)),
+        not letters and len(groups) == 4 and all(len(part := g.lstrip(b"0")) < 4 and int(part or 0) < 256 for g in groups),
         not letters and 13 <= len(digits) <= 19 and luhn(digits),
-        not letters and 10 <= len(digits) <= 15,
+        not letters and (10 <= len(digits) <= 15 or 15 < len(digits) <= 17 and digits[:2] == b"00"),
     ]
 
 
 def _segments(text: bytes, start: int, stop: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Tokens of a stretch, and the runs of tokens (first, one past the last) that may be entities."""
+    """Tokens of a stretch, and the runs of tokens (first, one past the last) that may be entities.
+
+    A run of digits and signs ends with a group of digits and holds up to 19 digits or four
+    groups. Others hold an at-sign or its mark.
+    """
     tokens = [m.span() for m in _TOKEN.finditer(text, start, stop)]
+    count = len(tokens)
+    heads = [text[a] for a, _ in tokens]
+    digit = [48 <= h <= 57 for h in heads]
+    at = [bool(_AT.match(text, a)) for a, _ in tokens]
+    mark = [at[i] or b - a > 1 and text[a : a + 1] in b"([{" for i, (a, b) in enumerate(tokens)]
+    word = [h >= 128 or chr(h).isalpha() or mark[i] and text[tokens[i][0] + 1 : tokens[i][0] + 2].isalpha() for i, h in enumerate(heads)]
+    glued = [i > 0 and (tokens[i - 1][1] == tokens[i][0] or mark[i - 1] or mark[i]) for i in range(count)]
     runs = []
-    for i, (a, _) in enumerate(tokens):
-        if not re.match(rb"[0-9A-Za-z+(]", text[a : a + 1]):
-            continue
-        seen = False
-        for j in range(i, min(len(tokens), i + MOST_TOKENS)):
-            seen = seen or bool(_SEED.match(text, *tokens[j]) or _MARK.match(text, tokens[j][0]))
-            if seen and j > i and re.match(rb"[0-9A-Za-z]", text[tokens[j][1] - 1 : tokens[j][1]]):
-                runs.append((i, j + 1))
-        if tokens[i][1] - a >= 7 and _SEED.match(text, a):
-            runs.append((i, i + 1))
-    return tokens, runs
+    following = [count] * (count + 1)  # the next group of digits, or a letter
+    next_at = [count] * (count + 1)
+    for i in range(count - 1, -1, -1):
+        following[i] = i if digit[i] or word[i] else following[i + 1]
+        next_at[i] = i if at[i] else next_at[i + 1]
+    for i in range(count):
+        if digit[i] or heads[i] in b"+(" and not mark[i]:
+            digits = groups = 0
+            j = following[i]
+            while j < count and digit[j]:
+                digits, groups = digits + tokens[j][1] - tokens[j][0], groups + 1
+                if digits > 19 and groups > 4:
+                    break
+                if j > i or digits >= 7:
+                    runs.append((i, j + 1))
+                j = following[j + 1]
+        if next_at[i] < min(count, i + MOST_TOKENS) and not mark[i] and (digit[i] or word[i] or heads[i] in b"._%+-("):
+            whole = True
+            for j in range(i + 1, min(count, i + MOST_TOKENS)):
+                whole = whole and glued[j]
+                if not whole and (j >= i + _SPACED or next_at[i] >= i + _SPACED):
+                    break
+                if j > next_at[i] and (digit[j] or heads[j] < 128 and word[j] and not mark[j] or heads[j] == 45):
+                    runs.append((i, j + 1))
+    return tokens, sorted(set(runs))
 
 
 @dataclass
@@ -162,6 +191,7 @@ class SpanField:
 
     weights: np.ndarray = field(repr=False)  # BUCKETS x kinds
     moves: np.ndarray = field(repr=False)  # types x types, the last type is "other"
+    skipped: int = 0  # training cases with a span that is no segment
 
     def scores(self, text: bytes, places: list[tuple[int, int]]) -> np.ndarray:
         """Scores of the spans at ``places`` by kind; impossible kinds are out of reach."""
@@ -277,7 +307,8 @@ def fit(drawn: list[tuple[bytes, int, int]], rounds: int = ROUNDS) -> SpanField:
         path, at = np.zeros_like(model.moves), 0
         before = other
         if any((a, b) not in places for _, a, b in spans):
-            continue  # a match longer than a segment may be
+            model.skipped += 1
+            continue
         for kind, a, b in spans:
             number = places[a, b]
             truth[number, KINDS.index(kind)] = 1

@@ -140,3 +140,32 @@ def test_awkward_rows(spark):
     assert text[mail["start"] : mail["stop"]] == "joe@x.example.com"
     (token,) = secrets.find_secrets(row).first()["base_spans"]
     assert text[token["start"] : token["stop"]] == "token=abcdefgh1"
+
+
+def test_no_spelling_of_a_match_is_too_long_for_a_segment():
+    long_name = ".".join(["ab"] * 60)
+    texts = [
+        "to first.last@mail.example.co.uk now",
+        f"to {long_name}@{'x-1.' * 30}example.org now",
+        "to _a.b%c+d@x-y.example.com- now",
+        "card 4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1 or 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 there",
+        "call +1 (5)(5)(5) 5-5-5-1-2-3-4 or +49--30--((1234))--567890 or +123456789012345 today",
+        "host 192.168.100.200 and 0010.000000000.0000000000000.1 up",
+    ]
+    drawn = [(t, a, b) for t in (x.encode() for x in texts) for a, b in personal.stretches(t)]
+    cases_made = personal.training_cases(drawn)
+    assert {k for _, _, _, spans in cases_made for k, _, _ in spans} == set(personal.KINDS)
+    for text, start, stop, spans in cases_made:
+        tokens, runs = personal._segments(text, start, stop)
+        places = {(tokens[i][0], tokens[j - 1][1]) for i, j in runs}
+        for kind, a, b in spans:
+            assert (a, b) in places, text[a:b]
+            assert personal._possible(text[a:b])[personal.KINDS.index(kind)], text[a:b]
+    assert personal.fit(drawn, rounds=1).skipped == 0
+
+
+def test_long_spellings_are_found_whole():
+    known = [f"mail to user{i}.x@host{i}.example.org today or to a.b{i}@mail.example.co.uk" for i in range(20)]
+    known += [f"card 4111 1111 1111 1111 there in 20{10 + i} with {i} items and 10.{i}.{2 * i}.7" for i in range(20)]
+    text = b"ask first.last (at) mail (dot) example (dot) co (dot) uk in 2024"
+    assert [(k, text[a:b]) for k, a, b in finder(known)(text)[1]] == [("email", b"first.last (at) mail (dot) example (dot) co (dot) uk")]
