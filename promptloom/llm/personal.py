@@ -7,8 +7,9 @@ together. A segment is what its kinds can hold: 19 digits and any signs between
 address of at most ``MOST_TOKENS`` tokens, where a mark such as ``(at)`` or ``[.]`` is one token.
 Only stretches of text with digits or at-signs are decoded, as no segment lies elsewhere.
 
-Training. Stretches are drawn by a hash from all documents, ``STRETCHES`` with matches of the
-fixed patterns and as many without. Matches are the segments to learn. Each also teaches its
+Training. Stretches are drawn by a hash from all documents: for each kind the ``STRETCHES`` of
+smallest hashes among those with a match of its fixed pattern, and as many without any match,
+so a kind that is rare beside others has its own share. Matches are the segments to learn. Each also teaches its
 usual spellings that the patterns miss (``name (at) host (dot) com``, numbers with other
 separators or without a plus sign), so the field adds such spans. What overlaps a match of a
 pattern is never added.
@@ -31,12 +32,12 @@ from pyspark.sql import functions as F
 from promptloom.llm.common import table
 from promptloom.llm.registry import query
 from promptloom.llm.spans import Span, digest_columns, find_spans, overlaps
-from promptloom.session import ship_package
+from promptloom.session import materialise, ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_BYTES = 400  # longer stretches are not drawn for training
 MOST_TOKENS = MOST_BYTES  # so no match that is drawn has more, nor has any spelling of it
-STRETCHES, ROUNDS, BUCKETS = 120, 15, 1 << 15
+STRETCHES, ROUNDS, BUCKETS = 250, 25, 1 << 15
 _NEVER = -1e6
 _SPACED = 16  # tokens of an address with blanks at other places than beside its marks
 
@@ -230,36 +231,48 @@ class SpanField:
         return found[::-1]
 
 
-def _expected(count: int, runs: list[tuple[int, int]], scores: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of each run and kind, and expected moves, by forward-backward over segments."""
-    other = len(KINDS)
-    ending: dict[int, list[int]] = {}
-    starting: dict[int, list[int]] = {}
-    for number, (first, stop) in enumerate(runs):
-        ending.setdefault(stop, []).append(number)
-        starting.setdefault(first, []).append(number)
-    ahead = np.full((count + 1, other + 1), -np.inf)
-    ahead[0, other] = 0.0
-    for at in range(1, count + 1):
-        ahead[at, other] = np.logaddexp.reduce(ahead[at - 1] + moves[:, other])
-        for number in ending.get(at, ()):
-            value = np.logaddexp.reduce(ahead[runs[number][0]][:, None] + moves[:, :other], axis=0) + scores[number]
-            ahead[at, :other] = np.logaddexp(ahead[at, :other], value)
-    behind = np.full((count + 1, other + 1), -np.inf)
-    behind[count] = 0.0
-    whole = np.logaddexp.reduce(ahead[count])
+def _expected(
+    counts: np.ndarray, owner: np.ndarray, places: np.ndarray, scores: np.ndarray, moves: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each run and kind, and expected moves, by forward-backward over all cases at once.
+
+    ``counts`` are the tokens of the cases and fall from case to case; ``owner`` is the case of
+    each run and ``places`` its first token and the one past its last.
+    """
+    other, most = len(KINDS), int(counts.max(initial=0))
+    firsts, stops = places[:, 0], places[:, 1]
+    active = np.searchsorted(-counts, -np.arange(most + 2), side="right")  # cases of so many tokens or more
+    by_stop, by_first = np.lexsort((owner, stops)), np.lexsort((owner, firsts))
+    stop_at = np.searchsorted(stops[by_stop], np.arange(most + 2))
+    first_at = np.searchsorted(firsts[by_first], np.arange(most + 2))
+    ahead = np.full((most + 1, len(counts), other + 1), -np.inf)
+    ahead[0, :, other] = 0.0
+    for at in range(1, most + 1):
+        now = active[at]
+        ahead[at, :now, other] = np.logaddexp.reduce(ahead[at - 1, :now] + moves[:, other], axis=1)
+        own = by_stop[stop_at[at] : stop_at[at + 1]]
+        if len(own):
+            value = np.logaddexp.reduce(ahead[firsts[own], owner[own]][:, :, None] + moves[:, :other], axis=1) + scores[own]
+            cases, starts = np.unique(owner[own], return_index=True)
+            ahead[at, cases, :other] = np.logaddexp.reduceat(value, starts, axis=0)
+    behind = np.full_like(ahead, -np.inf)
+    behind[counts, np.arange(len(counts))] = 0.0
+    whole = np.logaddexp.reduce(ahead[counts, np.arange(len(counts))], axis=1)
     chances, steps = np.zeros_like(scores), np.zeros_like(moves)
-    for at in range(count - 1, -1, -1):
-        value = moves[:, other] + behind[at + 1, other]
-        steps[:, other] += np.exp(ahead[at] + value - whole)
-        total = value
-        for number in starting.get(at, ()):
-            value = moves[:, :other] + scores[number] + behind[runs[number][1], :other]
-            joint = np.exp(ahead[at][:, None] + value - whole)
-            chances[number] = joint.sum(0)
-            steps[:, :other] += joint
-            total = np.logaddexp(total, np.logaddexp.reduce(value, axis=1))
-        behind[at] = total
+    for at in range(most - 1, -1, -1):
+        now = active[at + 1]
+        total = moves[:, other] + behind[at + 1, :now, other][:, None]
+        steps[:, other] += np.exp(ahead[at, :now] + total - whole[:now, None]).sum(0)
+        own = by_first[first_at[at] : first_at[at + 1]]
+        if len(own):
+            value = moves[:, :other] + (scores[own] + behind[stops[own], owner[own], :other])[:, None, :]
+            joint = np.exp(ahead[at, owner[own]][:, :, None] + value - whole[owner[own]][:, None, None])
+            chances[own] = joint.sum(1)
+            steps[:, :other] += joint.sum(0)
+            cases, starts = np.unique(owner[own], return_index=True)
+            more = np.logaddexp.reduceat(np.logaddexp.reduce(value, axis=2), starts, axis=0)
+            total[cases] = np.logaddexp(total[cases], more)
+        behind[at, :now] = total
     return chances, steps
 
 
@@ -280,18 +293,26 @@ def _spellings(kind: str, span: bytes) -> list[bytes]:
     return [span[1:], span[1:].replace(b" ", b"-"), b"00" + span[1:], span.replace(b" ", b"/")]
 
 
-def training_cases(drawn: list[tuple[bytes, int, int]]) -> list[tuple[bytes, int, int, list[Span]]]:
-    """``text, start, stop, spans`` of stretches with their matches, and of other spellings."""
+def _spelled(kind: str, span: bytes) -> Iterator[tuple[bytes, int, int, list[Span]]]:
+    """Cases of other spellings of a match, each in the stretch that is decoded around it."""
+    for other in _spellings(kind, span):
+        text, stop = b"x " + other + b" x", 2 + len(other)
+        around = next((s for s in stretches(text) if s[0] <= 2 and s[1] >= stop), (2, stop))
+        yield text, *around, [(kind, 2, stop)]
+
+
+def training_cases(drawn: list[tuple[bytes, int, int]], plain: bool = True) -> list[tuple[bytes, int, int, list[Span]]]:
+    """``text, start, stop, spans`` of other spellings, and with ``plain`` of the stretches with their matches."""
     cases = []
     for text, start, stop in drawn:
         spans: list[Span] = []
         for span in sorted(base_spans(text), key=lambda s: (s[1], -s[2])):
             if span[1] >= start and span[2] <= stop and not overlaps(span[1], span[2], spans):
                 spans.append(span)
-        cases.append((text, start, stop, spans))
+        if plain:
+            cases.append((text, start, stop, spans))
         for kind, a, b in spans:
-            for other in _spellings(kind, text[a:b]):
-                cases.append((b"x " + other + b" x", 2, 2 + len(other), [(kind, 2, 2 + len(other))]))
+            cases += _spelled(kind, text[a:b])
     return cases
 
 
@@ -325,20 +346,18 @@ def fit(drawn: list[tuple[bytes, int, int]], rounds: int = ROUNDS) -> SpanField:
     if not any(case[3].any() for case in made):
         model.weights[_code("bias")] = -30.0  # nothing to learn from: nothing is added
         return model
+    made.sort(key=lambda case: -case[0])
     flat = np.fromiter(chain.from_iterable(f for case in made for f in case[2]), np.int64)
     owner = np.repeat(np.arange(sum(len(c[1]) for c in made)), [len(f) for case in made for f in case[2]])
     truth, possible = (np.concatenate([case[i] for case in made]) for i in (3, 5))
+    counts, cases = np.array([case[0] for case in made]), np.repeat(np.arange(len(made)), [len(case[1]) for case in made])
+    runs = np.array([run for case in made for run in case[1]], np.int64).reshape(-1, 2)
     seen = sum(case[4] for case in made)
     past_w, past_m = np.full_like(model.weights, 1e-8), np.full_like(model.moves, 1e-8)
     for _ in range(rounds):
         scores = np.stack([np.bincount(owner, model.weights[flat, k], len(truth)) for k in range(kinds)], 1)
         scores = np.where(possible, scores, _NEVER)
-        chances, steps, at = np.empty_like(scores), np.zeros_like(seen), 0
-        for count, runs, *_ in made:
-            own = slice(at, at + len(runs))
-            chances[own], moved = _expected(count, runs, scores[own], model.moves)
-            steps += moved
-            at += len(runs)
+        chances, steps = _expected(counts, cases, runs, scores, model.moves)
         gap = truth - chances
         up_w = np.stack([np.bincount(flat, gap[owner, k], BUCKETS) for k in range(kinds)], 1) - 0.02 * model.weights
         up_m = seen - steps - 0.02 * model.moves
@@ -350,11 +369,12 @@ def fit(drawn: list[tuple[bytes, int, int]], rounds: int = ROUNDS) -> SpanField:
 
 
 def _drawn(docs: DataFrame, text_col: str, many: int) -> list[tuple[bytes, int, int]]:
-    """Stretches with a little text around them: those of the smallest hashes, with and without matches."""
+    """Stretches with a little text around them: those of the smallest hashes for each kind and without matches."""
+    groups = range(len(KINDS) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[set[tuple[int, bytes, int, int]]] = [set() for _ in groups]
         for batch in batches:
-            best: list[list[tuple[int, bytes, int, int]]] = [[], []]
             for value in batch.column(0):
                 text = value.as_py() or b""
                 spans = None
@@ -364,20 +384,40 @@ def _drawn(docs: DataFrame, text_col: str, many: int) -> list[tuple[bytes, int,
                     spans = base_spans(text) if spans is None else spans
                     low, high = max(0, a - 20), min(len(text), b + 20)
                     part = text[low:high]
-                    best[overlaps(a, b, spans)].append((xxhash.xxh64_intdigest(part) >> 1, part, a - low, b - low))
-            rows = [(hit, *row) for hit in (0, 1) for row in sorted(set(best[hit]))[:many]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))],
-                ["hit", "hash", "part", "start", "stop"],
-            )
+                    row = (xxhash.xxh64_intdigest(part) >> 1, part, a - low, b - low)
+                    for group in {KINDS.index(k) for k, x, y in spans if x >= a and y <= b} or {len(KINDS)} - {
+                        len(KINDS) for _, x, y in spans if x < b and a < y
+                    }:
+                        best[group].add(row)
+                        if len(best[group]) > 4 * many:
+                            best[group] = set(sorted(best[group])[:many])
+        rows = [(group, *row) for group in groups for row in sorted(best[group])[:many]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))],
+            ["group", "hash", "part", "start", "stop"],
+        )
 
     texts = docs.where(F.col(text_col).rlike(r"[0-9@(\[{]")).select(F.col(text_col).cast("binary"))
-    found = texts.mapInArrow(run, "hit long, hash long, part binary, start long, stop long")
-    rows = []
-    for hit in (0, 1):
-        part = found.where(F.col("hit") == hit).distinct().orderBy("hash", "part", "start").limit(many)
-        rows += [(bytes(r["part"]), r["start"], r["stop"]) for r in part.collect()]
-    return rows
+    found = materialise(texts.mapInArrow(run, "group long, hash long, part binary, start long, stop long"), "stretches")
+    rows = {}
+    for group in groups:
+        part = found.where(F.col("group") == group).distinct().orderBy("hash", "part", "start", "stop").limit(many)
+        rows.update(dict.fromkeys((bytes(r["part"]), r["start"], r["stop"]) for r in part.collect()))
+    return list(rows)
+
+
+def recall(model: SpanField, drawn: list[tuple[bytes, int, int]]) -> dict[str, tuple[int, int]]:
+    """By kind, how many other spellings of the matches in ``drawn`` are found with their ends, and of how many.
+
+    Spellings that a fixed pattern matches are not counted.
+    """
+    find, result = Finder(model), {kind: (0, 0) for kind in KINDS}
+    for text, _, _, spans in training_cases(drawn, plain=False):
+        base, added = find(text)
+        if not base:
+            right, total = result[spans[0][0]]
+            result[spans[0][0]] = right + (spans[0] in added), total + 1
+    return result
 
 
 def train(docs: DataFrame, text_col: str = "text", many: int = STRETCHES) -> SpanField:

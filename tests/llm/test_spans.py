@@ -169,3 +169,54 @@ def test_long_spellings_are_found_whole():
     known += [f"card 4111 1111 1111 1111 there in 20{10 + i} with {i} items and 10.{i}.{2 * i}.7" for i in range(20)]
     text = b"ask first.last (at) mail (dot) example (dot) co (dot) uk in 2024"
     assert [(k, text[a:b]) for k, a, b in finder(known)(text)[1]] == [("email", b"first.last (at) mail (dot) example (dot) co (dot) uk")]
+
+
+def test_every_kind_has_its_share_of_the_drawn_stretches(spark):
+    rows = [f"mail to user{i}.x@host{i}.example.org" for i in range(900)]
+    rows += [f"host 10.{i}.{2 * i}.7 here" for i in range(20)] + [f"call +1 (55{i % 10}) 555-12{10 + i} and" for i in range(20)]
+    rows += [f"card 4111 1111 1111 1111 in room {i}" for i in range(20)] + [f"the {i} of 20{10 + i}" for i in range(20)]
+    docs = spark.createDataFrame([(x,) for x in rows], "text string").repartition(3)
+    drawn = personal._drawn(docs, "text", 15)
+    kinds = [{k for k, _, _ in personal.base_spans(t)} for t, _, _ in drawn]
+    assert [sum(k in own for own in kinds) for k in personal.KINDS] == [15] * 4 and kinds.count(set()) == 15
+    found = personal.recall(personal.train(docs), personal._drawn(docs, "text", 200))
+    assert all(total and right / total > 0.9 for right, total in found.values()), found
+
+
+def test_expected_segments_agree_with_all_segmentations():
+    import itertools
+
+    import numpy as np
+
+    draw = np.random.default_rng(3)
+    moves = draw.normal(size=(5, 5))
+    counts = np.array([4, 3, 2])
+    own_runs = [[(0, 1), (0, 2), (1, 3), (2, 4)], [(0, 3), (1, 2)], []]
+    own_scores = [draw.normal(size=(len(r), 4)) for r in own_runs]
+    chances, steps, whole = [], np.zeros((5, 5)), []
+    for count, runs, scores in zip(counts, own_runs, own_scores, strict=True):
+        held, moved, total = np.zeros((len(runs), 4)), np.zeros((5, 5)), 0.0
+        for size in range(len(runs) + 1):
+            for chosen in itertools.combinations(range(len(runs)), size):
+                order = sorted(chosen, key=lambda n: runs[n])
+                if any(runs[a][1] > runs[b][0] for a, b in itertools.pairwise(order)):
+                    continue
+                for kinds in itertools.product(range(4), repeat=size):
+                    path, at = [4], 0
+                    for n, kind in zip(order, kinds, strict=True):
+                        path += [4] * (runs[n][0] - at) + [kind]
+                        at = runs[n][1]
+                    path += [4] * (int(count) - at)
+                    pairs = list(itertools.pairwise(path))
+                    value = math.exp(sum(moves[p] for p in pairs) + sum(scores[n, k] for n, k in zip(order, kinds, strict=True)))
+                    total += value
+                    for n, kind in zip(order, kinds, strict=True):
+                        held[n, kind] += value
+                    for p in pairs:
+                        moved[p] += value
+        chances.append(held / total)
+        steps += moved / total
+    owner = np.repeat(np.arange(3), [len(r) for r in own_runs])
+    places = np.array([r for runs in own_runs for r in runs])
+    found, found_steps = personal._expected(counts, owner, places, np.concatenate(own_scores), moves)
+    assert np.allclose(found, np.concatenate(chances)) and np.allclose(found_steps, steps)
