@@ -6,8 +6,10 @@ Forward-backward gives the probability of each label at each word, also where a
 its language. A document's language is the label with the largest mean probability, and its
 score is that mean.
 
-Training. The lexicon comes from counts of every word of every labelled text, made by Spark;
-the ``LEXICON`` most frequent words are kept. The field is fitted to segments of labelled
+Training. The lexicon has the shares of every word of every labelled text, counted by Spark and
+stored as a table. Each language's most frequent words, ``LEXICON`` in all, are sent to the
+tasks; the others are joined with the words of the texts, so that number decides costs only. In
+training a word's shares leave out the segments themselves. The field is fitted to segments of labelled
 texts, drawn by a hash at a rate that gives about ``SEGMENTS`` per language. A part of them
 is spliced with segments of other languages, so that transitions see changes.
 """
@@ -17,7 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import chain
 
 import numpy as np
@@ -31,7 +33,7 @@ from promptloom.llm.common import add_columns, table
 from promptloom.llm.registry import query
 from promptloom.session import materialise, ship_package
 
-LEXICON, SEGMENTS, SEGMENT_WORDS, ROUNDS = 20_000, 600, 48, 40
+LEXICON, SEGMENTS, SEGMENT_WORDS, ROUNDS = 200_000, 600, 48, 40
 BUCKETS = 1 << 17
 UNKNOWN = "und"
 LEAST_SCORE = 0.35  # below it a document is rejected: no language has a clear share
@@ -53,14 +55,17 @@ _WORD, _START, _END, _GRAM, _LEXICON = (zlib.crc32(kind) for kind in (b"word", b
 
 
 def features(word: bytes, shares: tuple[float, ...] | None) -> list[int]:
-    """Buckets of affixes, n-grams (both in bytes), the word, and its shares in the lexicon."""
-    crc, last, size = zlib.crc32, BUCKETS - 1, len(word)
+    """Buckets of affixes, n-grams (both in characters), the word, and its shares in the lexicon."""
+    crc, last = zlib.crc32, BUCKETS - 1
+    # Byte offsets of the characters: all bytes but UTF-8 continuations start one.
+    at = range(len(word) + 1) if word.isascii() else [i for i, c in enumerate(word) if c & 0xC0 != 0x80] + [len(word)]
+    size = len(at) - 1
     found = [crc(word, _WORD) & last]
     for n in range(1, min(5, size) + 1):
-        found.append(crc(word[:n], _START) & last)
-        found.append(crc(word[-n:], _END) & last)
-    found += [crc(word[i : i + 2], _GRAM) & last for i in range(size - 1)]
-    found += [crc(word[i : i + 3], _GRAM) & last for i in range(size - 2)]
+        found.append(crc(word[: at[n]], _START) & last)
+        found.append(crc(word[at[size - n] :], _END) & last)
+    found += [crc(word[at[i] : at[i + 2]], _GRAM) & last for i in range(size - 1)]
+    found += [crc(word[at[i] : at[i + 3]], _GRAM) & last for i in range(size - 2)]
     if shares:
         found += [crc(b"%d %d" % (label, round(share * 5)), _LEXICON) & last for label, share in enumerate(shares)]
     return found
@@ -97,9 +102,11 @@ class Field:
     weights: np.ndarray = field(repr=False)
     moves: np.ndarray = field(repr=False)
     lexicon: dict[bytes, tuple[float, ...]] = field(repr=False)
+    rest: DataFrame | None = field(default=None, repr=False)  # word, rates: the words that are not in the lexicon
 
-    def word_scores(self, words: list[bytes]) -> np.ndarray:
-        lists = [features(w, self.lexicon.get(w)) for w in words]
+    def word_scores(self, words: list[bytes], more: dict[bytes, tuple[float, ...]] | None = None) -> np.ndarray:
+        more = more or {}
+        lists = [features(w, self.lexicon.get(w) or more.get(w)) for w in words]
         starts = np.cumsum([0, *map(len, lists[:-1])])
         return np.add.reduceat(self.weights[list(chain.from_iterable(lists))], starts, axis=0)
 
@@ -111,10 +118,10 @@ class Labeller:
         self.model, self.numbers = model, {}
         self.scores = np.empty((0, len(model.labels)))
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: set[bytes], more: dict[bytes, tuple[float, ...]] | None) -> None:
         numbers = self.numbers
         if fresh := sorted(words - numbers.keys()):
-            scores = self.model.word_scores(fresh)
+            scores = self.model.word_scores(fresh, more)
             scores = np.exp(np.clip(scores - scores.max(1, keepdims=True), -30, 0))
             if len(numbers) + len(fresh) > len(self.scores):
                 grown = np.empty((2 * (len(numbers) + len(fresh)), scores.shape[1]))
@@ -126,8 +133,11 @@ class Labeller:
     def _numbered(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
 
-    def shares(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Mean label probabilities of each text; zeros for one without words."""
+    def shares(self, texts: list[list[bytes]], more: dict[bytes, tuple[float, ...]] | None = None) -> np.ndarray:
+        """Mean label probabilities of each text; zeros for one without words.
+
+        ``more`` has the shares of all words of the texts that only the stored lexicon has.
+        """
         labels = len(self.model.labels)
         result = np.zeros((len(texts), labels))
         if not labels:
@@ -143,7 +153,7 @@ class Labeller:
             at = stop
             if len(self.numbers) > _MOST_WORDS:
                 self.numbers.clear()
-            self._learn(set().union(*(texts[i] for i in block)))
+            self._learn(set().union(*(texts[i] for i in block)), more)
             numbers = [self._numbered(texts[i]) for i in block]
             lengths = np.array([len(n) for n in numbers])
             scores = np.ones((lengths.max(), len(block), labels))
@@ -261,14 +271,65 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
     counts = materialise(counts, "words")
     totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     labels = sorted(totals)
-    often = counts.groupBy("word").agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "word").limit(LEXICON)
-    rates: dict[bytes, list[float]] = {}
-    for row in counts.join(often, "word").select("word", "label", "n").toLocalIterator():
-        rates.setdefault(bytes(row["word"]), [0.0] * len(labels))[labels.index(row["label"])] = row["n"] / totals[row["label"]]
-    lexicon = {w: tuple(x / sum(own) for x in own) for w, own in rates.items()}
     share = {label: min(1.0, SEGMENTS * SEGMENT_WORDS / max(1, n)) for label, n in totals.items()}
     drawn = sorted((labels.index(r["label"]), bytes(r["words"])) for r in _segments(rows, share).collect())
-    return fit(labels, [(label, words.split()) for label, words in drawn], lexicon)
+    segments = [(label, words.split()) for label, words in drawn]
+    own: dict[bytes, list[int]] = {}
+    for label, words in segments:
+        for word in words:
+            own.setdefault(word, [0] * len(labels))[label] += 1
+    asked = labelled.sparkSession.createDataFrame([(w,) for w in own], "word binary")
+    left = {w: [-n for n in ns] for w, ns in own.items()}
+    for row in counts.join(F.broadcast(asked), "word").toLocalIterator():
+        left[bytes(row["word"])][labels.index(row["label"])] += row["n"]
+    rates = {w: [(i, n / totals[labels[i]]) for i, n in enumerate(ns) if n > 0] for w, ns in left.items()}
+    model = fit(labels, segments, {w: _shares(found, len(labels)) for w, found in rates.items() if found})
+
+    numbered = F.create_map(*[x for i, label in enumerate(labels) for x in (F.lit(label), F.lit(i))]) if labels else F.lit(None)
+    summed = F.create_map(*[x for label in labels for x in (F.lit(label), F.lit(float(totals[label])))]) if labels else F.lit(None)
+    if not labels:
+        return model
+    rate = F.struct(numbered[F.col("label")].alias("label"), (F.col("n") / summed[F.col("label")]).alias("rate"))
+    lexicon = materialise(counts.groupBy("word").agg(F.collect_list(rate).alias("rates")), "lexicon")
+    model.lexicon, same = {}, {}
+    for label in labels:
+        often = counts.where(F.col("label") == label).orderBy(F.desc("n"), "word").limit(max(1, LEXICON // len(labels)))
+        for row in lexicon.join(often.select("word"), "word").select("word", "rates").toLocalIterator():
+            found = _shares(row["rates"], len(labels))
+            model.lexicon[bytes(row["word"])] = same.setdefault(found, found)
+    if lexicon.count() > len(model.lexicon):
+        model.rest = lexicon.select("word", "rates")
+    return model
+
+
+def _shares(rates: list, labels: int) -> tuple[float, ...]:
+    """A word's shares by label, rounded to fifths as features see them."""
+    found = [0.0] * labels
+    for label, rate in rates:
+        found[label] = rate
+    total = sum(found)
+    return tuple(round(x / total * 5) / 5 for x in found)
+
+
+def _with_rest(docs: DataFrame, model: Field, sent, text_col: str) -> DataFrame:
+    """``docs`` with ``__rest``: the words of each text that only the stored lexicon has, and their rates.
+
+    Texts are named by their digest, so equal texts are looked up once.
+    """
+    digest = F.md5(F.col(f"`{text_col}`").cast("binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value.lexicon
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                words = [list(set(words_of(x.as_py())) - known.keys()) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.list_(pa.binary()))], ["__digest", "words"])
+
+    asked = docs.select(digest.alias("__digest"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
+    pairs = asked.mapInArrow(run, "__digest string, words array<binary>").select("__digest", F.explode("words").alias("word"))
+    found = pairs.join(model.rest, "word").groupBy("__digest").agg(F.collect_set(F.struct("word", "rates")).alias("__rest"))
+    return docs.withColumn("__digest", digest).join(found, "__digest", "left").drop("__digest")
 
 
 def predict(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
@@ -278,7 +339,10 @@ def predict(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
     was learned. Equal shares go to the first label by code point. Columns of ``docs`` with
     the new names are replaced; others stay.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None))
+    columns, inputs = docs.columns, [text_col]
+    if model.rest is not None:
+        docs, inputs = _with_rest(docs, model, sent, text_col), [text_col, "__rest"]
     fields = T.StructType([T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
 
     def make():
@@ -289,7 +353,10 @@ def predict(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
             names, scores = [], []
             for at in range(0, batch.num_rows, 500):
                 texts = [words_of(x.as_py()) for x in batch.column(0)[at : at + 500]]
-                for words, share in zip(texts, labeller.shares(texts), strict=True):
+                more = {}
+                for found in batch.column(1)[at : at + 500].to_pylist() if len(inputs) > 1 else ():
+                    more.update((r["word"], _shares([(x["label"], x["rate"]) for x in r["rates"]], len(labels))) for r in found or ())
+                for words, share in zip(texts, labeller.shares(texts, more), strict=True):
                     known = bool(words) and bool(labels)
                     best = int(share.argmax()) if known else 0
                     names.append(labels[best] if known else UNKNOWN)
@@ -298,7 +365,7 @@ def predict(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
 
         return step
 
-    return add_columns(docs, [text_col], fields, make)
+    return add_columns(docs, inputs, fields, make, columns)
 
 
 def _remainder(id_col: str):

@@ -100,3 +100,27 @@ def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.score_toxicity(docs, toxicity.train(docs, none)).where("score > 0.001").count() == 0
     assert toxicity.score_toxicity(cases.empty(spark), toxicity.train(cases.empty(spark), none)).count() == 0
+
+
+def test_affixes_and_grams_are_characters():
+    found = set(langid.features("привет".encode(), None))
+    for text, kind in (("при", langid._GRAM), ("ве", langid._GRAM), ("приве", langid._START), ("ет", langid._END)):
+        assert langid.zlib.crc32(text.encode(), kind) % langid.BUCKETS in found
+    assert langid.zlib.crc32("пр".encode()[:3], langid._GRAM) % langid.BUCKETS not in found
+    assert len(langid.features("привет".encode(), None)) == len(langid.features(b"privet", None))
+
+
+def test_words_of_rare_languages_keep_their_shares_at_any_size_of_the_cache(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    syllables = {"x": ["ba", "bo", "bi", "bu", "ka", "ko"], "y": ["ba", "bo", "ze", "zo", "za", "zu"]}
+    rows = [(d, " ".join("".join(draw.choice(syllables[k], 3)) for _ in range(30)), k) for d in range(90) for k in ["y" if d % 10 == 0 else "x"]]
+    docs = spark.createDataFrame(rows + [(90, rows[0][1], None), (91, None, "x")], "doc_id long, text string, lang string").repartition(3)
+    whole = langid.train(docs)
+    words = {w for _, text, _ in rows for w in langid.words_of(text)}
+    assert whole.rest is None and whole.lexicon.keys() == words
+    monkeypatch.setattr(langid, "LEXICON", 8)
+    small = langid.train(docs)
+    assert 0 < len(small.lexicon) <= 8
+    assert {bytes(r["word"]) for r in small.rest.collect()} == words
+    found = [sorted(map(str, langid.predict(docs, m).collect())) for m in (whole, small)]
+    assert found[0] == found[1] and len(found[0]) == len(rows) + 2
