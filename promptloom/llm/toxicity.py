@@ -5,11 +5,13 @@ resembles, a repeated letter for one or two, letters set apart for a word or for
 Viterbi path of highest probability under a character language model, times the channel's, is
 the restored word. A word whose lattice has one path only is its own restoration.
 
-The language model counts the character trigrams of all words of all documents, by Spark; the
-``MOST_TRIGRAMS`` most frequent are kept. The score is a logistic regression on the words and
-beginnings of words that a text holds. Which of these count for anything is decided from
-counts over all labelled training texts; the weights are fitted to a sample of ``SAMPLE``
-labelled texts per label, drawn by a hash.
+The language model has the counts of all character trigrams of all words of all documents, made
+by Spark. The score is a logistic regression on the words and beginnings of words that a text
+holds. Which of these count for anything is decided from counts over all labelled training
+texts, with no limit to their number; the weights are fitted to a sample of ``SAMPLE``
+labelled texts per label, drawn by a hash. A feature too rare to stand in the sample has the
+lower bound of its log ratio in the counts as its weight. Both models are sent to the tasks
+whole, so their memory grows with the numbers of trigrams and of features with evidence.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from promptloom.llm.common import add_columns, table
 from promptloom.llm.registry import query
 from promptloom.session import materialise, ship_package
 
-MOST_TRIGRAMS, MOST_FEATURES, SAMPLE, LEAST_TEXTS = 200_000, 4000, 2500, 3
+SAMPLE, LEAST_TEXTS = 2500, 3
 LEAST_EVIDENCE = 3.0  # standard errors by which a feature's shares must differ: many features are looked at
 
 PENALTY = 1e-4
@@ -154,10 +156,10 @@ def _trigram_counts(docs: DataFrame) -> DataFrame:
 
 
 def train_char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
-    """Counts over all texts; the most frequent trigrams are kept."""
+    """Counts of all trigrams over all texts."""
     ship_package(docs.sparkSession)
-    often = _trigram_counts(docs.select(text_col)).orderBy(F.desc("n"), "gram").limit(MOST_TRIGRAMS).collect()
-    return char_model({r["gram"]: r["n"] for r in often})
+    counts = _trigram_counts(docs.select(text_col)).toArrow()
+    return char_model(dict(sorted(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist(), strict=True))))
 
 
 class Reader:
@@ -281,24 +283,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     both = (F.col("toxic") + F.col("clean")) / F.lit(toxic + clean)
     spread = F.sqrt(both * (1 - both) * F.lit(1 / toxic + 1 / clean) + 1e-12)
     evidence = (p - q) / spread
-    kept = (
-        counts.select("feature", evidence.alias("evidence"))
-        .where(F.col("evidence") >= LEAST_EVIDENCE)
-        .orderBy(F.desc("evidence"), "feature")
-        .limit(MOST_FEATURES)
-        .collect()
-    )
-    features = sorted(r["feature"] for r in kept)
-    chosen = spark.sparkContext.broadcast(set(features))
+    kept = counts.where(evidence >= LEAST_EVIDENCE).select("feature", "toxic", "clean").toArrow()
+    held = sorted(zip(*(kept.column(i).to_pylist() for i in range(3)), strict=True))
+    chosen = spark.sparkContext.broadcast({f for f, _, _ in held})
     hashed = (F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20)) + 0.5) / (1 << 20)
     rate = F.when(F.col("label") == 1, min(1.0, SAMPLE / toxic)).otherwise(min(1.0, SAMPLE / clean))
     most = min(1.0, SAMPLE / min(toxic, clean))
     drawn = texts.where(hashed < most).join(marks.where(hashed < rate).hint("merge"), "id")
     rows = sorted((r["label"], list(r["features"])) for r in _sampled(drawn, sent, chosen).collect())
-    weights, bias = _fit(rows, features, toxic / (toxic + clean))
+    seen = sorted({f for _, fs in rows for f in fs})
+    weights, bias = _fit(rows, seen, toxic / (toxic + clean))
+    own = set(seen)
+    for feature, with_toxic, with_clean in held:
+        if feature not in own and (weight := _ratio(with_toxic, with_clean, toxic, clean)) > 0:
+            weights[feature] = weight
     return ToxicModel(chars, weights, bias)
 
 
+def _ratio(with_toxic: int, with_clean: int, toxic: int, clean: int) -> float:
+    """Lower bound (one side, 95 %) of the log ratio of a feature's shares among toxic and clean texts."""
+    p, q = with_toxic + 0.5, with_clean + 0.5
+    return math.log(p / (toxic + 1) * (clean + 1) / q) - 1.64 * math.sqrt(1 / p + 1 / q)
+
+
 def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on); whole texts are read.
 

@@ -124,3 +124,27 @@ def test_words_of_rare_languages_keep_their_shares_at_any_size_of_the_cache(spar
     assert {bytes(r["word"]) for r in small.rest.collect()} == words
     found = [sorted(map(str, langid.predict(docs, m).collect())) for m in (whole, small)]
     assert found[0] == found[1] and len(found[0]) == len(rows) + 2
+
+
+def test_all_trigrams_are_kept(spark):
+    draw = np.random.default_rng(8)
+    texts = ["".join(map(chr, draw.integers(0x4E00, 0x9000, 80_000))) for _ in range(3)]
+    grams = {g for t in texts for g in (f"  {t} "[i : i + 3] for i in range(len(t) + 1))}
+    model = toxicity.train_char_model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert len(grams) > 200_000 and model.trigrams.keys() == grams
+
+
+def test_words_too_rare_for_the_sample_make_a_text_toxic(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 12)
+    rows, labels = [], []
+    for d in range(600):
+        toxic = d % 4 == 0
+        word = f"{'qvxzjk'[d // 4 % 6]}orgblat" if d < 192 else "idiot"
+        rows.append((d, cases.prose(d, 30) + (f" {word}" if toxic else "")))
+        labels.append((d, int(toxic)))
+    rows += [(1000 + k, cases.prose(2000 + k, 30) + f" {c}orgblat") for k, c in enumerate("qvxzjk")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert [found[1000 + k] for k in range(6)] == [1] * 6
+    assert sum(found[d] == label for d, label in labels) > 590
