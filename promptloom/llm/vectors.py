@@ -59,7 +59,7 @@ class Rotation:
     def cells(self, turned: np.ndarray, block: int) -> np.ndarray:
         start, stop = self.bounds[block : block + 2]
         lead = turned[:, start : min(start + 2, stop)]
-        found = np.floor(lead / (np.sqrt(self.parts[block]) + _SLACK)).astype(np.int64)
+        found = np.floor(lead / np.sqrt(self.parts[block] + 2 * _SLACK)).astype(np.int64)
         return found if found.shape[1] == 2 else np.column_stack([found, np.zeros(len(found), np.int64)])
 
     def within(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:

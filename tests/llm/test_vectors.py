@@ -1,7 +1,9 @@
 import math
 import random
 
-from promptloom.llm.vectors import near_vectors
+import numpy as np
+
+from promptloom.llm.vectors import Rotation, near_vectors
 
 
 def cosine(x, y):
@@ -44,3 +46,28 @@ def test_awkward_vectors_agree_with_brute_force(spark):
 
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pairs_within_a_part_lie_in_neighbouring_cells():
+    draw = np.random.default_rng(9)
+    low_rank = draw.normal(size=(400, 2)) @ draw.normal(size=(2, 12))
+    low_rank /= np.sqrt((low_rank**2).sum(1))[:, None]
+    rotation = Rotation(low_rank, 0.2, 4)
+    assert rotation.parts.min() < 1e-5
+    one = rotation.turn(low_rank)
+    other = one + draw.normal(size=one.shape) * 1.5e-3
+    within = rotation.within(one, other)
+    assert within.any(0).all()
+    for block in range(4):
+        apart = np.abs(rotation.cells(one, block) - rotation.cells(other, block)).max(1)
+        assert (apart[within[:, block]] <= 1).all()
+
+
+def test_low_rank_vectors_agree_with_brute_force(spark):
+    draw = np.random.default_rng(10)
+    rows = draw.normal(size=(200, 2)) @ draw.normal(size=(2, 12)) + draw.normal(size=(200, 12)) * 1e-3
+    unit = rows / np.sqrt((rows**2).sum(1))[:, None]
+    near = unit @ unit.T >= 0.9
+    degrees = near.sum(1) - 1
+    found = near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"))
+    assert [r["n_links"] for r in sorted(found.collect(), key=lambda r: r["vec_id"])] == degrees.tolist()
