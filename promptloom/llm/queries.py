@@ -2,6 +2,7 @@
 
 from promptloom.llm import (  # noqa: F401
     decontaminate,
+    divergence,
     jaccard,
     langid,
     linedup,
