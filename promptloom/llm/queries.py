@@ -7,6 +7,7 @@ from promptloom.llm import (  # noqa: F401
     langid,
     linedup,
     mixture,
+    negatives,
     pages,
     personal,
     secrets,
