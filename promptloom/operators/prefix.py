@@ -8,12 +8,16 @@ which is made from counts and never from rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from promptloom.session import materialise
+from promptloom.session import materialise, ship_package
 
 _PART, _PLACE = "_part", "_place"
 _PLACE_BITS = 33  # layout of monotonically_increasing_id
@@ -110,3 +114,54 @@ def running_totals(
     return joined.withColumns({name: F.col(name) + F.col(f"_b{name}") for name in values}).drop(
         _PART, _PLACE, *[f"_b{name}" for name in values]
     )
+
+
+def running_sums(
+    df: DataFrame, group: Sequence[str], order: Sequence[str | Column], values: Mapping[str, str]
+) -> DataFrame:
+    """``running_totals`` of BIGINT columns, summed right where the rows have been sorted.
+
+    The rows are shuffled once, by range. Arrow batches are summed as they leave the sort and
+    stored, and what a group holds in earlier partitions is added from a table with one row per
+    group and partition. A null counts as 0.
+    """
+    ship_package(df.sparkSession)
+    keys, names = [*group, *order], list(values)
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(_PART, F.spark_partition_id())
+    schema = T.StructType([*ranged.schema.fields, *(T.StructField(name, T.LongType(), False) for name in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, dict.fromkeys(names, 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = [batch.column(g)[0] for g in group]
+            starts = _group_starts([batch.column(g) for g in group], batch.num_rows)
+            starts[0] = last is None or not all(a.equals(b) for a, b in zip(first, last, strict=True))
+            begin = np.maximum.accumulate(np.where(starts, np.arange(batch.num_rows), -1))
+            columns = []
+            for name, column in values.items():
+                own = pc.fill_null(batch.column(column).cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+                upto = np.cumsum(own)
+                sums = upto - np.where(begin >= 0, (upto - own)[begin], -carried[name])
+                carried[name] = int(sums[-1])
+                columns.append(pa.array(sums, pa.int64()))
+            last = [batch.column(g)[batch.num_rows - 1] for g in group]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+
+    local = materialise(ranged.mapInArrow(run, schema), "running")
+    earlier = Window.partitionBy(*group).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    parts = local.groupBy(*group, _PART).agg(*[F.sum(F.col(column).cast("bigint")).alias(name) for name, column in values.items()])
+    before = parts.select(*group, _PART, *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_b{name}") for name in names])
+    joined = _join_parts(local, materialise(before, "parts"), [*group, _PART])
+    return joined.withColumns({name: F.col(name) + F.col(f"_b{name}") for name in names}).drop(_PART, *[f"_b{name}" for name in names])
+
+
+def _group_starts(columns: list[pa.Array], rows: int) -> np.ndarray:
+    """Rows that differ from the one before in any of the columns; nulls are equal."""
+    starts = np.zeros(rows, bool)
+    for column in columns:
+        one, other = column.slice(0, rows - 1), column.slice(1)
+        differ = pc.fill_null(pc.not_equal(one, other), False)
+        starts[1:] |= pc.or_(differ, pc.xor(pc.is_null(one), pc.is_null(other))).to_numpy(zero_copy_only=False)
+    return starts

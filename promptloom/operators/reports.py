@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.money import cost_usd
 from promptloom.functions.text import estimated_tokens
-from promptloom.operators.prefix import running_totals
+from promptloom.operators.prefix import running_sums
 
 
 def count_by_status(items: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def budget_cutoff(
         estimated_tokens(F.col("prompt")).alias("prompt_tokens"),
         output_tokens.cast("bigint").alias("output_tokens"),
     )
-    so_far = running_totals(
+    so_far = running_sums(
         sized,
         ["job_id"],
         ["row_number"],

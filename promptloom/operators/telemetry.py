@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.outcomes import RETRYABLE, SUCCESS, wait_ceiling
 from promptloom.functions.text import route_template
-from promptloom.operators.prefix import running_totals
+from promptloom.operators.prefix import running_sums
 
 # Upper bounds of the latency buckets in seconds; +Inf comes last.
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
@@ -58,7 +58,7 @@ def exact_percentiles(rows: DataFrame, by: Sequence[str], value: str, ranks: Seq
     counted = (
         rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     )
-    placed = running_totals(counted, by, ["_v"], {"_upto": "_n"})
+    placed = running_sums(counted, by, ["_v"], {"_upto": "_n"})
     sizes = counted.groupBy(*by).agg(F.sum("_n").alias("_size"))
     wanted = F.array(*[F.struct(F.lit(r).alias("rank"), (F.lit(r) * (F.col("_size") - 1)).alias("at")) for r in ranks])
     targets = sizes.select(*by, wanted.alias("_targets"))
@@ -101,6 +101,9 @@ def success_rate(attempts: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+_MOMENTS = 10**18  # above any moment in microseconds that a timestamp can hold
+
+
 def inflight(calls: DataFrame, by: Sequence[str]) -> DataFrame:
     """Open calls after every moment at which a call starts or ends: (…, at, open_calls).
 
@@ -118,15 +121,19 @@ def inflight(calls: DataFrame, by: Sequence[str]) -> DataFrame:
         .groupBy(*by, F.col("_s.at").alias("at"), F.col("_s.change").alias("change"))
         .agg(F.sum("_s.change").alias("delta"))
     )
-    return running_totals(changes, by, ["at", "change"], {"open_calls": "delta"}).select(*by, "at", "open_calls")
+    return running_sums(changes, by, ["at", "change"], {"open_calls": "delta"}).select(*by, "at", "open_calls")
 
 
 def peak_inflight(calls: DataFrame, by: Sequence[str]) -> DataFrame:
     """Largest number of open calls and the moment it was first reached."""
     level = inflight(calls, by)
-    top = F.max(F.struct("open_calls", (-F.unix_micros("at")).alias("_early")))
-    return level.groupBy(*by).agg(top.alias("_top")).select(
-        *by, F.col("_top.open_calls").alias("peak"), (-F.col("_top._early")).alias("reached_at_us")
+    # Calls and moment in one number: the largest has the most calls, then the earliest moment.
+    # Such a number is compared in a hash aggregation; a struct would have to be sorted.
+    unit = F.lit(_MOMENTS).cast("decimal(19,0)")
+    top = F.max(F.col("open_calls").cast("decimal(18,0)") * unit - F.unix_micros("at")).alias("_top")
+    peak = F.ceil(F.col("_top") / unit).cast("bigint")
+    return level.groupBy(*by).agg(top).select(
+        *by, peak.alias("peak"), (peak.cast("decimal(18,0)") * unit - F.col("_top")).cast("bigint").alias("reached_at_us")
     )
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from promptloom.operators.jobs import orphan_items
-from promptloom.operators.prefix import number_rows, placed_rows, running_totals
+from promptloom.operators.prefix import number_rows, placed_rows, running_sums, running_totals
 from promptloom.operators.telemetry import approximate_percentiles, exact_percentiles, inflight, peak_inflight
 
 
@@ -56,7 +56,8 @@ def test_hot_group_spans_partitions(spark, skewed):
     assert spread > 1
 
 
-def test_running_totals(spark, skewed):
+@pytest.mark.parametrize("running_totals", [running_totals, running_sums])
+def test_running_totals(spark, skewed, running_totals):
     frame = spark.createDataFrame(skewed, "g string, p bigint, v bigint").withColumn("w", F.col("v") * 2)
     got = {(r.g, r.p): (r.a, r.b) for r in running_totals(frame, ["g"], ["p"], {"a": "v", "b": "w"}).collect()}
     sums = defaultdict(int)
@@ -65,10 +66,32 @@ def test_running_totals(spark, skewed):
         assert got[g, p] == (sums[g], 2 * sums[g])
 
 
+def test_running_sums_take_null_groups_and_any_batch_size(spark):
+    rows = [(None if k % 3 == 0 else "g" if k % 3 == 1 else "", k % 2, k, None if k % 11 == 0 else k - 50) for k in range(200)]
+    frame = spark.createDataFrame(rows, "g string, h int, p long, v long").repartition(4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.g, r.h, r.p): r.s for r in running_sums(frame, ["g", "h"], ["p"], {"s": "v"}).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    sums = defaultdict(int)
+    for g, h, p, v in rows:
+        sums[g, h] += v or 0
+        assert got[g, h, p] == sums[g, h]
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_running_sums_move_rows_once(spark, skewed, by):
+    frame = spark.createDataFrame(skewed, "g string, p bigint, v bigint")
+    plan = running_sums(frame, by, ["p"], {"s": "v"})._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning" not in plan.split("Scan parquet")[0]
+
+
 def test_empty_frames(spark):
     none = spark.createDataFrame([], "g string, p bigint, v bigint")
     assert number_rows(none, ["g"], ["p"], last="end").count() == 0
     assert running_totals(none, [], ["p"], {"t": "v"}).count() == 0
+    assert running_sums(none, ["g"], ["p"], {"t": "v"}).count() == 0
 
 
 def test_exact_percentiles(spark):
