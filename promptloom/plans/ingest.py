@@ -140,6 +140,59 @@ def batch_array_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _array_kinds(rows: Column) -> Column:
+    """Texts of array files, whole and broken ones, around the elements ``rows`` (JSON texts)."""
+    whole = F.concat(F.lit("["), F.array_join(rows, ", "), F.lit("]"))
+    kinds = {
+        "whole": whole,
+        "spaced": F.concat(F.lit(" \n"), F.lit("[ "), F.array_join(rows, " ,\n\t"), F.lit("\n]\n\n")),
+        "empty": F.concat(F.lit(" ["), F.repeat(F.lit(" "), F.size(rows) % 7), F.lit("] ")),
+        "blank": F.repeat(F.lit("\n"), F.size(rows)),
+        "cut": F.concat(F.lit("["), F.array_join(rows, ",")),
+        "cut_element": F.concat(F.lit("["), F.array_join(rows, ","), F.lit(', {"id": "open, "prompt": 1}]')),
+        "concatenated": F.concat(whole, F.lit("\n"), whole),
+        "brace_behind": F.concat(whole, F.lit("}")),
+        "object": F.concat(F.lit('{"rows": '), whole, F.lit("}")),
+        "single_quoted": F.concat(F.lit("["), F.array_join(rows, ","), F.lit(", {'id': 'a', 'prompt': 'b'}]")),
+        "non_finite": F.concat(F.lit("["), F.array_join(rows, ","), F.lit(", NaN]")),
+        "comma_behind": F.concat(F.lit("["), F.array_join(rows, ","), F.lit(",]")),
+        "bad_bytes": F.concat(F.lit('[{"id": "'), F.lit(b"\xff").cast("string"), F.lit('"}, '), F.array_join(rows, ","), F.lit("]")),
+    }
+    return F.array(*[F.struct(F.lit(kind).alias("kind"), text.alias("value")) for kind, text in kinds.items()])
+
+
+@query(f"""
+WITH batches AS (SELECT event_id // {BATCH_ROWS} AS batch, count(*) AS n FROM events GROUP BY 1)
+SELECT kind, sum(CASE WHEN kind IN ('whole', 'spaced') THEN n ELSE 0 END)::BIGINT AS elements,
+       sum(CASE WHEN kind IN ('whole', 'spaced') THEN n * (n + 1) // 2 ELSE 0 END)::BIGINT AS row_numbers,
+       sum(CASE WHEN kind IN ('whole', 'spaced', 'empty') THEN 0 ELSE 1 END)::BIGINT AS refused
+FROM batches, (SELECT unnest(['whole', 'spaced', 'blank', 'cut', 'cut_element', 'concatenated', 'brace_behind', 'object',
+                              'single_quoted', 'non_finite', 'comma_behind', 'bad_bytes']) AS kind)
+GROUP BY kind
+""")
+def batch_array_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Array files of every kind, made of all events: what is read of them and what is refused."""
+    folder = new_folder(spark, "array-kinds")
+    ordered = F.sort_array(F.collect_list(F.struct("event_id", "value")))
+    (
+        _event_elements(spark, sf_dir)
+        .groupBy(F.floor(F.col("event_id") / BATCH_ROWS).alias("batch"))
+        .agg(ordered.alias("rows"))
+        .select(F.explode(_array_kinds(F.col("rows.value"))).alias("file"))
+        .select("file.kind", "file.value")
+        .write.option("maxRecordsPerFile", 1)
+        .partitionBy("kind")
+        .text(folder)
+    )
+    read = batches.read_json_arrays(spark, f"{folder}/*")
+    kind = F.regexp_extract("path", r"kind=(\w+)", 1).alias("kind")
+    return read.groupBy(kind).agg(
+        F.count("row_number").alias("elements"),
+        F.coalesce(F.sum("row_number"), F.lit(0)).alias("row_numbers"),
+        F.count("batch_error").alias("refused"),
+    )
+
+
 @query(f"""
 WITH batches AS (SELECT DISTINCT event_id // {BATCH_ROWS} AS batch FROM events)
 SELECT 'array' AS input, true AS ok, '' AS errors, count(*) AS batches FROM batches HAVING count(*) > 0

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptloom.operators.prefix import number_placed
+from promptloom.operators.prefix import number_placed, running_sums
 from promptloom.session import materialise, ship_package
 
 BROKEN_BATCH = "batch is not a JSON array"
@@ -49,10 +50,13 @@ HEAD_BYTES = 64
 
 PIECE_BYTES = 1 << 20
 
-# JSON outside and inside strings. A string that is not closed ends with the piece.
-_OUTSIDE = re.compile(r'"(?:[^"\\]+|\\.)*(?:"|\Z)|[\[\]{},]', re.S)
-_INSIDE = re.compile(r'(?:[^"\\]+|\\.)*(?:"|\Z)', re.S)
-_BLANK = " \t\r\n"
+_BLANK = b" \t\r\n"
+_QUOTE, _ESCAPE, _COMMA = b'"\\,'
+_STEPS = np.zeros(256, np.int64)
+_STEPS[list(b"[{")], _STEPS[list(b"]}")] = 1, -1
+
+_CHUNK = "path string, split bigint, seq bigint, size bigint, data binary, bytes bigint, odd bigint, depth bigint, depth_inside bigint, filled bigint"
+_KEYS = ["path", "split", "seq"]
 
 
 def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
@@ -63,199 +67,207 @@ def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
     before or after the array, a missing bracket, bytes that are not UTF-8, or an element that
     is not strict JSON. Errors of the file system are raised.
 
-    Files of any size are read the same way, from any store Spark reads, and are split. Text
-    is cut at closing braces. A first pass tells for each split how it changes the state of a
-    scan (within a string, depth), for both states it may begin in; there is one small row per
-    split. A second pass cuts out the elements. Parts of those that cross splits are put
-    together by number. A task holds one piece or one element at a time.
+    Files of any size are read the same way, from any store Spark reads, and are split. The
+    source is scanned once: text is cut at closing braces into chunks, which are stored with
+    their place in the file and with how they change the state of a scan (within a string,
+    depth). All that follows works on the stored chunks, so it does not matter how Spark splits
+    the files, nor whether executors come or go meanwhile. The state in which each chunk begins
+    comes from running sums over the chunks of a file, spread over partitions: first of quotes,
+    whose parity tells strings from the rest, then of the depth. A third one numbers the
+    elements. A task holds one chunk or one element at a time, and nothing is gathered on the
+    driver but Spark's own list of files.
     """
     ship_package(spark)
-    listed = spark.read.text(path).inputFiles()  # also the empty files, which no scan reads
-    pieces = (
-        spark.read.option("lineSep", "}")
-        .text(path)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("split"),
-            F.col("value").cast("binary").alias("value"),
-        )
+    scan = spark.read.option("lineSep", "}").text(path)
+    listed = scan.inputFiles()  # also the empty files, which no scan reads
+    pieces = scan.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.col("_metadata.file_size").alias("size"),
+        F.col("value").cast("binary").alias("value"),
     )
-    changes = pieces.mapInArrow(_split_changes, "path string, split bigint, odd boolean, blank boolean, depth bigint, depth_inside bigint")
-    entered = spark.sparkContext.broadcast(_entry_states(changes.collect()))
-    cut = materialise(
-        pieces.mapInArrow(
-            lambda batches: _cut_elements(batches, entered.value),
-            "path string, split bigint, place bigint, text string, opens boolean, closes boolean, broken boolean",
+    chunks = materialise(pieces.mapInArrow(_chunks, _CHUNK), "chunks")
+    entered = _entry_states(chunks.drop("data"))
+    texts = chunks.select(*_KEYS, "data")
+    counted = materialise(
+        texts.join(entered, _KEYS).mapInArrow(
+            _count_elements, "path string, split bigint, seq bigint, closed bigint, filled boolean, broken boolean"
         ),
-        "elements",
+        "counted",
     )
-
-    # Elements before each split: a comma or the end of the array closes one.
-    closed = cut.groupBy("path", "split").agg(F.sum(F.col("closes").cast("bigint")).alias("n"))
-    earlier = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    before = closed.select("path", "split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    numbered = cut.where("NOT broken").join(before, ["path", "split"]).withColumn("row_number", F.col("before") + F.col("place") + 1)
-    whole = numbered.where("opens AND closes").select("path", "row_number", "text")
-    parts = (
-        numbered.where("NOT (opens AND closes)")
+    files = counted.groupBy("path").agg(
+        F.sum("closed").alias("n"), F.bool_or("filled").alias("filled"), F.bool_or("broken").alias("broken")
+    )
+    broken = files.where("broken").select("path")
+    whole = files.where("NOT broken AND (n > 1 OR filled)").select("path")  # others are empty arrays
+    numbered = running_sums(counted.select(*_KEYS, "closed"), ["path"], ["split", "seq"], {"upto": "closed"})
+    begin = entered.join(numbered.select(*_KEYS, (F.col("upto") - F.col("closed")).alias("before")), _KEYS)
+    parts = texts.join(begin.join(whole, "path", "left_semi"), _KEYS).mapInArrow(
+        _cut_elements, "path string, split bigint, seq bigint, row_number bigint, text string, whole boolean"
+    )
+    # Parsed as they are cut; only the text of elements that span chunks is kept.
+    text = F.when(~F.col("whole"), F.col("text"))
+    read = parse_elements(parts.select("*", text.alias("part")), "text").withColumn("valid", F.col("element").isNotNull())
+    read = materialise(read, "elements")
+    joined = (
+        read.where("NOT whole")
         .groupBy("path", "row_number")
-        .agg(F.array_sort(F.collect_list(F.struct("split", "text"))).alias("parts"))
-        .select("path", "row_number", F.array_join("parts.text", "").alias("text"))
+        .agg(F.array_sort(F.collect_list(F.struct("split", "seq", "part"))).alias("parts"))
+        .select("path", "row_number", F.array_join("parts.part", "").alias("text"))
     )
-    texts = materialise(whole.unionByName(parts), "texts")
-    alone = texts.groupBy("path").agg(F.count("*").alias("n"), F.max(F.trim("text", F.lit(_BLANK)) == "").alias("blank"))
-    none = alone.where("n = 1 AND blank").select("path")
-    parsed = parse_elements(texts.join(none, "path", "left_anti"), "text")
+    joined = materialise(parse_elements(joined, "text"), "joined")
+    parsed = read.where("whole").select("path", "row_number", "element").unionByName(joined)
     # The list comes from the driver's file index, which is as long as the number of files.
     # It writes local paths as file:///x, rows name them file:/x.
     names = spark.createDataFrame([(name.replace("file:///", "file:/", 1),) for name in listed], "path string")
-    unread = names.join(cut.select("path").distinct(), "path", "left_anti")
-    broken = unread.unionByName(cut.where("broken").select("path")).unionByName(parsed.where(F.col("element").isNull()).select("path")).distinct()
-    kept = parsed.join(broken, "path", "left_anti").select(
+    unread = names.join(counted.select("path").distinct(), "path", "left_anti")
+    invalid = read.where("whole AND NOT valid").select("path").unionByName(joined.where("element IS NULL").select("path"))
+    refused = materialise(unread.unionByName(broken).unionByName(invalid).distinct(), "refused")
+    kept = parsed.join(refused, "path", "left_anti").select(
         "path", "row_number", "element", F.lit(None).cast("string").alias("batch_error")
     )
-    refused = broken.select("path", F.lit(BROKEN_BATCH).alias("batch_error"))
-    return kept.unionByName(refused, allowMissingColumns=True)
+    return kept.unionByName(refused.select("path", F.lit(BROKEN_BATCH).alias("batch_error")), allowMissingColumns=True)
 
 
-def _joined_pieces(batches: Iterator[pa.RecordBatch], entered: dict | None = None) -> Iterator[tuple[str, int, str | None, bool]]:
-    """Text of each split in order, about ``PIECE_BYTES`` at a time, and whether the split goes on.
+def _entry_states(marks: DataFrame) -> DataFrame:
+    """State in which each chunk begins: (…, inside, at_depth, begun, last, brace).
 
-    None stands for bytes that are not UTF-8. Braces that the reader took off are put back,
-    but for the end of a file, which is known once there are entry states.
+    ``begun``: there is text before it; ``last``: it is the file's last one; ``brace``: the brace
+    that ends it stands in the file. The reader takes braces off, also one that ends a file,
+    so the bytes read are one more than the file's unless it ends with a brace.
     """
-    key, held, size = None, [], 0
+    quotes = running_sums(marks, ["path"], ["split", "seq"], {"quotes": "odd", "read": "bytes", "texts": "filled"})
+    inside = F.pmod(F.col("quotes") - F.col("odd"), F.lit(2)) == 1
+    step = F.when(inside, F.col("depth_inside")).otherwise(F.col("depth"))
+    known = quotes.select(*_KEYS, "size", "read", inside.alias("inside"), (F.col("texts") > F.col("filled")).alias("begun"), step.alias("step"))
+    depths = running_sums(known, ["path"], ["split", "seq"], {"reached": "step"})
+    ends = depths.groupBy("path").agg(F.max("read").alias("end"))
+    last = F.col("read") == F.col("end")
+    return materialise(
+        depths.join(ends, "path").select(
+            *_KEYS, "inside", (F.col("reached") - F.col("step")).alias("at_depth"), "begun",
+            last.alias("last"), (~last | (F.col("end") == F.col("size"))).alias("brace"),
+        ),
+        "states",
+    )
+
 
-    def text(more: bool) -> tuple[str, int, str | None, bool]:
-        at_end = not more and entered is not None and entered[key][3]
-        data = b"}".join(held) + (b"" if at_end else b"}")
-        try:
-            return *key, data.decode("utf-8"), more
-        except UnicodeDecodeError:
-            return *key, None, more
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """About ``PIECE_BYTES`` of each split at a time, with braces put back, and what they change."""
+    key, held, size, seq = None, [], 0, 0
+
+    def packed() -> pa.RecordBatch:
+        data = b"}".join(held) + b"}"
+        quotes, brackets, steps = _structure(data)
+        odd = np.searchsorted(quotes, brackets) & 1
+        row = (*key[:2], seq, key[2], data, len(data), len(quotes) & 1, int(steps[odd == 0].sum()), int(steps[odd == 1].sum()), int(bool(data[:-1].strip(_BLANK))))
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5)
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], [c.split()[0] for c in _CHUNK.split(", ")])
 
     for batch in batches:
-        for path, split, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if key != (path, split) or size > PIECE_BYTES:
+        for *found, value in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+            if key != found or size > PIECE_BYTES:
                 if key is not None:
-                    yield text(key == (path, split))
-                key, held, size = (path, split), [], 0
+                    yield packed()
+                seq = seq + 1 if key == found else 0
+                key, held, size = found, [], 0
             piece = value.as_py()
             held.append(piece)
             size += len(piece) + 1
     if key is not None:
-        yield text(False)
-
-
-def _split_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per split: whether it has an odd number of quotes, no text at all, and its change of depth.
-
-    The depth is counted twice, for a split that begins outside and for one inside a string.
+        yield packed()
+
+
+def _structure(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of quotes that are not escaped, places of brackets, and what those add to the depth."""
+    codes = np.frombuffer(data, np.uint8)
+    quotes = np.flatnonzero(codes == _QUOTE)
+    slashes = np.flatnonzero(codes == _ESCAPE)
+    if len(slashes) and len(quotes):
+        # A quote is escaped by an odd number of backslashes right before it.
+        first = np.concatenate([[True], slashes[1:] != slashes[:-1] + 1])
+        begin = slashes[np.maximum.accumulate(np.where(first, np.arange(len(slashes)), 0))]
+        at = np.searchsorted(slashes, quotes) - 1
+        run = np.where((at >= 0) & (slashes[at] == quotes - 1), slashes[at] - begin[at] + 1, 0)
+        quotes = quotes[run % 2 == 0]
+    steps = _STEPS[codes]
+    brackets = np.flatnonzero(steps)
+    return quotes, brackets, steps[brackets]
+
+
+def _boundaries(data: bytes, inside: bool, depth: int, begun: bool, last: bool) -> tuple[int, list[int], bool] | None:
+    """Where the elements of a chunk begin, where they end, and whether the array is over.
+
+    None if the file is no array; an empty list and True if the chunk lies outside the array.
     """
-    rows: list[list] = []
-    for path, split, text, _ in _joined_pieces(batches):
-        if not rows or rows[-1][:2] != [path, split]:
-            rows.append([path, split, False, True, 0, 0])
-        row = rows[-1]
-        bare = re.sub(r"\\.", "", text or "x", flags=re.S).split('"')
-        for at, part in enumerate(bare):
-            deeper = part.count("{") + part.count("[") - part.count("}") - part.count("]")
-            row[4 + (at % 2 != row[2])] += deeper
-        row[2] ^= len(bare) % 2 == 0
-        row[3] &= not (text or "x").removesuffix("}").strip(_BLANK)
-    types = (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
-    names = ("path", "split", "odd", "blank", "depth", "depth_inside")
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+    if begun and depth <= 0 and not inside:
+        return (0, [], True) if depth == 0 and not data.strip(_BLANK) else None
+    start = 0
+    if not begun:
+        start = len(data) - len(data.lstrip(_BLANK))
+        if start == len(data):
+            return None if last else (0, [], True)
+        if data[start : start + 1] != b"[":
+            return None
+    codes = np.frombuffer(data, np.uint8)
+    quotes, brackets, steps = _structure(data)
+    out = (np.searchsorted(quotes, brackets) + inside) & 1 == 0
+    brackets, depths = brackets[out], depth + np.cumsum(steps[out])
+    commas = np.flatnonzero(codes == _COMMA)
+    commas = commas[(np.searchsorted(quotes, commas) + inside) & 1 == 0]
+    held = np.searchsorted(brackets, commas)
+    ends = commas[np.concatenate([[depth], depths])[held] == 1]
+    closed = np.flatnonzero(depths <= 0)
+    if not len(closed):
+        return None if last else (start + (not begun), ends.tolist(), False)
+    end = int(brackets[closed[0]])
+    if codes[end] != ord("]") or data[end + 1 :].strip(_BLANK):
+        return None
+    return start + (not begun), [*ends[ends < end].tolist(), end], True
+
+
+def _each_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes, tuple | None]]:
+    for batch in batches:
+        for at in range(batch.num_rows):
+            row = {name: batch.column(name)[at].as_py() for name in batch.schema.names}
+            data = row.pop("data") if row["brace"] else row.pop("data")[:-1]
+            yield row, data, _boundaries(data, row["inside"], row["at_depth"], row["begun"], row["last"])
+
+
+def _count_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk the elements that end in it, whether it has any text of elements, and faults."""
+    rows = []
+    for row, data, found in _each_chunk(batches):
+        start, ends, over = found or (0, [], True)
+        text = b"" if over and not ends else data[start : ends[-1] if over else len(data)]
+        rows.append((row["path"], row["split"], row["seq"], len(ends), bool(text.strip(_BLANK)), found is None))
+    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+    names = ("path", "split", "seq", "closed", "filled", "broken")
     yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], t) for i, t in enumerate(types)], names)
 
 
-def _entry_states(changes: list) -> dict[tuple[str, int], tuple[bool, int, bool, bool]]:
-    """Per split: it begins inside a string, the depth there, text came before it, it is the last."""
-    states: dict[tuple[str, int], tuple[bool, int, bool, bool]] = {}
-    ordered = sorted(changes, key=lambda r: (r["path"], r["split"]))
-    for at, row in enumerate(ordered):
-        if at == 0 or row["path"] != ordered[at - 1]["path"]:
-            inside, depth, begun = False, 0, False
-        last = at + 1 == len(ordered) or ordered[at + 1]["path"] != row["path"]
-        states[row["path"], row["split"]] = (inside, depth, begun, last)
-        depth += row["depth_inside"] if inside else row["depth"]
-        inside ^= row["odd"]
-        begun |= not row["blank"]
-    return states
-
-
-def _cut_elements(batches: Iterator[pa.RecordBatch], entered: dict) -> Iterator[pa.RecordBatch]:
-    """Elements and parts of elements: (path, split, place, text, opens, closes, broken).
-
-    ``place`` counts the elements that ended earlier in the split. ``opens`` and ``closes``
-    tell whether the part has the element's beginning and end. ``broken`` marks a row without
-    text: the file is no array.
-    """
-    rows: list[tuple] = []
-    key, held = None, 0
-
-    def packed() -> pa.RecordBatch:
-        types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
-        names = ("path", "split", "place", "text", "opens", "closes", "broken")
-        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-        rows.clear()
-        return batch
-
-    for path, split, text, more in _joined_pieces(batches, entered):
-        if key != (path, split):
-            key = (path, split)
-            inside, depth, started, last = entered[key]
-            over = started and not inside and depth <= 0
-            opens, place, broken, part = not started or over, 0, False, []
-        broken |= text is None
-        at = 0
-        while text is not None and not broken and at < len(text):
-            if over:
-                broken = bool(text[at:].strip(_BLANK))
-                break
-            if not started:
-                rest = text[at:].lstrip(_BLANK)
-                if rest:
-                    broken = rest[0] != "["
-                    at, started, depth = len(text) - len(rest) + 1, True, 1
-                    continue
-                break
-            found = (_INSIDE if inside else _OUTSIDE).search(text, at)
-            if found is None:
-                part.append(text[at:])
-                break
-            token = found.group()
-            if inside or token[0] == '"':
-                closed = token.endswith('"') and (inside or len(token) > 1) and not _ends_escaped(token)
-                part.append(text[at : found.end()])
-                inside, at = not closed, found.end()
-                continue
-            depth += (token in "[{") - (token in "]}")
-            if depth > 1 or depth == 1 and token != ",":
-                part.append(text[at : found.end()])
-            else:  # a comma between elements, or the end of the array
-                part.append(text[at : found.start()])
-                value = "".join(part)
-                rows.append((path, split, place, value, opens, True, False))
-                held += len(value)
-                part, opens, place = [], True, place + 1
-                if depth == 0:
-                    over, broken = True, token != "]"
-            at = found.end()
-        if not more:
-            if part or not opens:
-                rows.append((path, split, place, "".join(part), opens, False, False))
-            if broken or last and not over:  # the end of the file has to be behind the end of the array
-                rows.append((path, split, place, None, False, False, True))
-        if held > PIECE_BYTES:
-            yield packed()
-            held = 0
-    yield packed()
-
-
-def _ends_escaped(token: str) -> bool:
-    """Whether the last quote of a string token is escaped, so that the string goes on."""
-    body = token[:-1]
-    return (len(body) - len(body.rstrip("\\"))) % 2 == 1
+def _cut_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements and parts of elements with their numbers."""
+    for row, data, (start, ends, over) in _each_chunk(batches):
+        if over and not ends:
+            continue
+        places = [start, *(end + 1 for end in ends)]
+        texts = [data[a:b] for a, b in zip(places, [*ends, *([] if over else [len(data)])], strict=False)]
+        # The first element began in an earlier chunk, unless the array begins here; the last
+        # one goes on in the next chunk, unless the array ends here.
+        whole = [True] * len(texts)
+        whole[0] &= not row["begun"]
+        whole[-1] &= over
+        count = len(texts)
+        columns = ([row["path"]] * count, [row["split"]] * count, [row["seq"]] * count, range(row["before"] + 1, row["before"] + 1 + count))
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(c, t) for c, t in zip(columns, (pa.string(), *[pa.int64()] * 3), strict=True)), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(whole)],
+            ["path", "split", "seq", "row_number", "text", "whole"],
+        )
 
 
 def parse_elements(rows: DataFrame, column: str) -> DataFrame:

@@ -186,9 +186,12 @@ ARRAYS = {
     "o.json": '[{"a":1}}]',
     "p.json": '[{"id":"open',
     "q.json": "  \n" * 50 + '[{"id":"late"},' + " " * 300 + '{"id":"later"}' + "\n" * 200 + "]" + " " * 100,
+    "t.json": "[1]}",
+    "u.json": '[{"a":1}',
+    "v.json": '[{"a":1}, {"b":"\\\\\\""}]',
     "r.json": json.dumps([{"id": f"i{n}", "prompt": "x}{" * (n % 40)} for n in range(60)]),
 }
-REFUSED = {"c.json", "d.json", "e.json", "f.json", "h.json", "i.json", "j.json", "k.json", "m.json", "n.json", "o.json", "p.json", "s.json"}
+REFUSED = {"c.json", "d.json", "e.json", "f.json", "h.json", "i.json", "j.json", "k.json", "m.json", "n.json", "o.json", "p.json", "s.json", "t.json", "u.json"}
 
 
 def array_rows(spark, folder, bytes_per_split):
@@ -220,6 +223,24 @@ def test_arrays_of_any_size_have_one_contract(spark, tmp_path, monkeypatch, byte
             assert json.loads(text) == json.loads(ARRAYS[name])[at - 1]
 
 
+def test_arrays_do_not_depend_on_how_each_scan_is_split(spark, tmp_path, monkeypatch):
+    values = [{"id": f"i{n}", "prompt": 'x}{"\\' * (n % 9)} for n in range(4000)]
+    folder = write(tmp_path, "a.json", json.dumps(values))
+    counts, inner = iter([8, 1, 3, 6, 2, 7, 1, 5, 4] * 9), batches.materialise
+
+    def other_splits(df, label):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(next(counts)))
+        return inner(df, label)
+
+    monkeypatch.setattr(batches, "materialise", other_splits)
+    monkeypatch.setattr(batches, "PIECE_BYTES", 5000)
+    try:
+        rows = batches.read_json_arrays(spark, folder).withColumn("text", F.to_json("element")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    assert [json.loads(r.text) for r in sorted(rows, key=lambda r: r.row_number)] == values
+
+
 def test_a_missing_file_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         batches.read_json_arrays(spark, str(tmp_path / "gone")).collect()
