@@ -18,7 +18,6 @@ from typing import Any, Protocol
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from promptloom.functions.outcomes import PERMANENT, RETRYABLE, SUCCESS, UNEXPECTED
 from promptloom.schemas import ATTEMPTS
@@ -273,35 +272,46 @@ def run_inference(requests: DataFrame, client_factory: Callable[[], Client], **o
     return materialise(infer(requests, client_factory, **options), "attempts")
 
 
+def committed_inference(
+    requests: DataFrame, client_factory: Callable[[], Client], path: str, rows_per_task: int = 5000, **options: Any
+) -> DataFrame:
+    """``infer`` in one job whose tasks each commit their attempts to ``path`` as they end.
+
+    A task has whole chunks, about ``rows_per_task`` rows, and one file, which its own commit
+    puts in place (committer algorithm 2). So what a stopped run has finished is there without
+    any job commit. Called again, it lists the chunks that are stored and sends the others:
+    a call is repeated only if its task had not ended. ``requests`` must be the same each time.
+    On stores without atomic renames, give Spark a committer that publishes files whole.
+    """
+    spark = requests.sparkSession
+    if path_exists(spark, path):
+        chunks = spark.read.schema(ATTEMPTS).parquet(path).select("job_id", "chunk_no").distinct()
+        requests = requests.join(chunks, ["job_id", "chunk_no"], "left_anti")
+    rows = requests.count()
+    if rows:
+        slots = spark.sparkContext.defaultParallelism
+        layout = options.pop("layout", None) or CallLayout(slots, 4)
+        if layout.partitions >= slots:  # fewer ones hold the number of open calls down
+            layout = CallLayout(max(layout.partitions, -(-rows // rows_per_task)), layout.calls_per_task)
+        infer(requests, client_factory, layout=layout, **options).write.mode("append").option(
+            "mapreduce.fileoutputcommitter.algorithm.version", "2"
+        ).parquet(path)
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], ATTEMPTS)
+    return spark.read.schema(ATTEMPTS).parquet(path)
+
+
 def resumable_inference(
-    requests: DataFrame,
-    client_factory: Callable[[], Client],
-    path: str,
-    rows_per_group: int = 100_000,
-    **options: Any,
+    requests: DataFrame, client_factory: Callable[[], Client], path: str, rows_per_task: int = 5000, **options: Any
 ) -> DataFrame:
-    """``infer`` that keeps its progress below ``path``; the attempts of all requests.
+    """``committed_inference`` below ``path`` that also pins the requests; the attempts of all of them.
 
-    The requests are stored first, divided into groups of chunks of about ``rows_per_group``
-    rows. Each group's attempts are stored as it finishes. Called again with the same path,
-    after a crash or a stop, it reads the stored requests and sends only the groups that are
-    not complete: no stored call is repeated, and at most one group of calls is lost. A
-    group bounds the rows a call layout deals out, however many requests there are.
+    The requests are stored first. Called again with the same path, after a crash or a stop,
+    it reads the stored ones, so chunks are the same however the requests were made.
     """
     spark = requests.sparkSession
-    planned, done = f"{path}/requests", f"{path}/attempts"
+    planned = f"{path}/requests"
     if not path_exists(spark, f"{planned}/_SUCCESS"):
-        groups = max(1, -(-requests.count() // rows_per_group))
-        chunk = F.xxhash64("job_id", "chunk_no")
-        dealt = requests.withColumn("call_group", F.pmod(chunk, F.lit(groups)))
-        spread = F.pmod(F.shiftright(chunk, 32), F.lit(4))
-        dealt.repartition("call_group", spread).write.mode("overwrite").partitionBy("call_group").parquet(planned)
-    stored = spark.read.schema(T.StructType([*requests.schema.fields, T.StructField("call_group", T.LongType())])).parquet(planned)
-    for (group,) in stored.select("call_group").distinct().orderBy("call_group").toLocalIterator():
-        target = f"{done}/call_group={group}"
-        if not path_exists(spark, f"{target}/_SUCCESS"):
-            mine = stored.where(F.col("call_group") == group).drop("call_group")
-            infer(mine, client_factory, **options).write.mode("overwrite").parquet(target)
-    if not path_exists(spark, done):
-        return spark.createDataFrame([], ATTEMPTS)
-    return spark.read.schema(ATTEMPTS).parquet(done)
+        requests.write.mode("overwrite").parquet(planned)
+    stored = spark.read.schema(requests.schema).parquet(planned)
+    return committed_inference(stored, client_factory, f"{path}/attempts", rows_per_task, **options)

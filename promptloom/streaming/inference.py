@@ -9,10 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from promptloom.operators.infer import Client, infer
+from promptloom.operators.infer import Client, committed_inference
 from promptloom.operators.results import collapse_attempts
-from promptloom.schemas import ATTEMPTS
-from promptloom.session import path_exists
 from promptloom.streaming.runs import run_folder
 
 
@@ -21,18 +19,15 @@ def infer_stream(
 ) -> DataStreamWriter:
     """Writer that sends a stream of requests and stores attempts, then results, per micro-batch.
 
-    Results are derived from the stored attempts. A micro-batch that is repeated after a crash
-    reuses attempts that were completely written, and calls again only if they were not; its
-    results replace themselves.
+    Results are derived from the stored attempts. Each task of a micro-batch commits its own
+    attempts; one that is repeated after a crash sends only the chunks that were not stored.
+    Its results replace themselves.
     """
 
     def send(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         folder = run_folder(spark, epoch)
-        tries = f"{path}/attempts/{folder}"
-        if not path_exists(spark, f"{tries}/_SUCCESS"):
-            infer(batch, client_factory, **options).write.mode("overwrite").parquet(tries)
-        stored = spark.read.schema(ATTEMPTS).parquet(tries)
+        stored = committed_inference(batch, client_factory, f"{path}/attempts/{folder}", **options)
         results = collapse_attempts(stored, ["row_number", "chunk_no", "ended_at"])
         results.write.mode("overwrite").parquet(f"{path}/results/{folder}")
 
