@@ -19,7 +19,7 @@ from promptloom.plans.tables import (
     winners_sql,
 )
 from promptloom.session import materialise, new_folder
-from promptloom.sources import batches
+from promptloom.sources import batches, items
 
 # Small enough for many documents to fail the length rule.
 TOKENS = 1000
@@ -273,6 +273,19 @@ def judged_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.select("job_id", "row_number", "external_id", "status", "error", "disposition")
 
 
+@query(f"""
+WITH {CONVERSATION_ITEMS_SQL}, {judged_sql("conv_items")}, {winners_sql(FLUSH)}
+SELECT load, row_number, external_id, status, error, CASE WHEN is_winner AND ok AND load = 1 THEN prompt END AS prompt,
+       CASE WHEN NOT is_winner THEN 'dropped_in_batch' WHEN load = 1 THEN 'inserted' ELSE 'dropped_existing' END AS disposition
+FROM won, (VALUES (1), (2)) AS loads(load)
+""")
+def item_table_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations loaded twice into a stored item table: N rows, then none."""
+    path, rows = f"{new_folder(spark, 'item-table')}/items", conversation_items(spark, sf_dir)
+    loads = [items.load_items(rows, path, f"load-{n}", 0, flush_rows=FLUSH).withColumn("load", F.lit(n)) for n in (1, 2)]
+    return loads[0].unionByName(loads[1]).select("load", "row_number", "external_id", "status", "error", "prompt", "disposition")
+
+
 @query(f"""
 WITH {CONVERSATION_ITEMS_SQL}, {judged_sql("conv_items")}, {winners_sql(FLUSH)}
 SELECT row_number, external_id, status,

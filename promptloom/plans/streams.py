@@ -9,11 +9,12 @@ from promptloom.operators.validate import standard_rules
 from promptloom.plans.clients import FlakyClient
 from promptloom.plans.inference import FLAKY_SQL, NO_WAIT, flaky_requests
 from promptloom.plans.registry import query
-from promptloom.plans.tables import DOCUMENT_ITEMS_SQL, judged_sql
+from promptloom.plans.tables import DOCUMENT_ITEMS_SQL, judged_sql, table
 from promptloom.session import new_folder
 from promptloom.streaming import duplicates, progress
 from promptloom.streaming.inference import infer_stream, read_stream_results
-from promptloom.streaming.ingest import STORED, ingest_stream
+from promptloom.sources.items import read_items, read_loads
+from promptloom.streaming.ingest import ingest_stream
 from promptloom.streaming.runs import run_available, stream_table
 
 TOKENS = 1000
@@ -39,8 +40,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = standard_rules(max_tokens=TOKENS)
     run_available(ingest_stream(items, f"{root}/items", rules), f"{root}/first")
     run_available(ingest_stream(items, f"{root}/items", rules), f"{root}/second")
-    stored = spark.read.schema(STORED).parquet(f"{root}/items")
-    return stored.select(
+    return read_items(spark, f"{root}/items").select(
         "job_id",
         "row_number",
         "external_id",
@@ -58,6 +58,69 @@ def _event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PARTS = 3
+
+
+def _event_parts(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
+    """All events as a stream of ``PARTS`` micro-batches, in the order of their ids."""
+    events = table(spark, sf_dir, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.col("event_id") * PARTS / (last + 1))
+    for number in range(PARTS):  # written one after the other, so they are read in this order
+        events.where(part == number).coalesce(1).write.mode("append").parquet(f"{root}/events.parquet")
+    return stream_table(spark, root, "events.parquet", files_per_trigger=1).select(
+        F.col("event_type").alias("job_id"),
+        (F.col("event_id") + 1).alias("row_number"),
+        F.col("user_id").cast("string").alias("external_id"),
+        F.col("props").alias("prompt"),
+        F.col("props").isNull().alias("is_malformed"),
+    )
+
+
+_PARTS_SQL = f"""
+parts AS (
+  SELECT event_type AS job_id, CAST(user_id AS VARCHAR) AS external_id, event_id + 1 AS row_number,
+         CAST(floor(event_id * {PARTS}::DOUBLE / ((SELECT max(event_id) FROM events) + 1)) AS INTEGER) AS part
+  FROM events),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY job_id, external_id, part ORDER BY row_number) AS place,
+         min(row_number) OVER (PARTITION BY job_id, external_id) AS first_row,
+         min(part) OVER (PARTITION BY job_id, external_id) AS first_part
+  FROM parts)
+"""
+
+
+@query(f"""
+WITH {_PARTS_SQL}
+SELECT job_id, external_id, row_number, first_row, 'duplicate external id: ' || external_id AS error
+FROM placed WHERE row_number > first_row
+""")
+def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event whose id came before, in its micro-batch or an earlier one, reported as it arrives."""
+    root = new_folder(spark, "stream-repeats")
+    found = duplicates.repeated_items(_event_parts(spark, sf_dir, root), keep_for_seconds=86_400)
+    writer = found.writeStream.format("parquet").option("path", f"{root}/out")
+    run_available(writer, f"{root}/checkpoint", spark)
+    return spark.read.schema(found.schema).parquet(f"{root}/out")
+
+
+@query(f"""
+WITH {_PARTS_SQL}
+SELECT job_id, CAST(part AS BIGINT) AS epoch, CASE WHEN place = 1 THEN 'PENDING' ELSE 'FAILED' END AS status,
+       CASE WHEN place > 1 THEN 'dropped_in_batch' WHEN part > first_part THEN 'dropped_existing' ELSE 'inserted' END AS disposition,
+       count(*) AS rows, CAST(sum(row_number) AS BIGINT) AS row_numbers
+FROM placed GROUP BY ALL
+""")
+def stream_ingest_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every event of a stream in several micro-batches."""
+    root = new_folder(spark, "stream-dispositions")
+    run_available(ingest_stream(_event_parts(spark, sf_dir, root), f"{root}/items"), f"{root}/checkpoint")
+    loads = read_loads(spark, f"{root}/items")
+    return loads.groupBy("job_id", "epoch", "status", "disposition").agg(
+        F.count("*").alias("rows"), F.sum("row_number").alias("row_numbers")
+    )
+
+
 @query("SELECT DISTINCT event_type AS job_id, CAST(user_id AS VARCHAR) AS external_id FROM events")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids that pass the streaming duplicate check."""

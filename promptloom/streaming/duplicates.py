@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from promptloom.session import ship_package
 
 
 def distinct_items(items: DataFrame, fan: int = 32) -> DataFrame:
@@ -31,3 +38,50 @@ def seen_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("job_id", "external_id").agg(
         F.min("row_number").alias("first_row"), F.count("*").alias("rows")
     )
+
+
+_REPEAT = "job_id string, external_id string, row_number bigint, first_row bigint, error string"
+
+
+def repeated_items(items: DataFrame, keep_for_seconds: float) -> DataFrame:
+    """The rows whose id came before: (job_id, external_id, row_number, first_row, error).
+
+    The counterpart of ``distinct_items`` that reports what that one drops. An id is remembered
+    for ``keep_for_seconds`` after its first row, then it counts as new; so the state is
+    bounded by the ids of that time. Of rows of one micro-batch the smallest number is the
+    first. Only ids and numbers move; the rows of one id and micro-batch meet in one task,
+    which holds their numbers. Null ids are ids like others.
+    """
+    ship_package(items.sparkSession)
+    keep_ms = max(1, int(keep_for_seconds * 1000))
+
+    def report(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        # The rows of a micro-batch come in no order.
+        numbers = np.concatenate([part["row_number"].to_numpy(np.int64) for part in parts])
+        now = state.getCurrentProcessingTimeMs()
+        if state.exists and now < state.get[1]:
+            first, ends = state.get
+        else:
+            first, ends = int(numbers.min()), now + keep_ms
+            state.update((first, ends))
+            numbers = np.delete(numbers, numbers.argmin())  # a repeated number is a repeat, too
+        state.setTimeoutDuration(max(1, ends - now))
+        if len(numbers):
+            job_id, external_id = key
+            yield pd.DataFrame(
+                {
+                    "job_id": job_id,
+                    "external_id": external_id,
+                    "row_number": numbers,
+                    "first_row": first,
+                    "error": None if external_id is None else f"duplicate external id: {external_id}",
+                }
+            )
+
+    keyed = items.select("job_id", "external_id", F.col("row_number").cast("bigint").alias("row_number"))
+    return keyed.groupBy("job_id", "external_id").applyInPandasWithState(
+        report, _REPEAT, "first_row bigint, ends bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+    )

@@ -5,45 +5,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from promptloom.operators.load import FLUSH_ROWS, item_rows, judge_and_load
+from promptloom.operators.load import FLUSH_ROWS
 from promptloom.operators.validate import Rule
-from promptloom.session import path_exists
+from promptloom.sources.items import load_items
 from promptloom.streaming.runs import run_folder
 
-STORED = (
-    "job_id string, row_number bigint, external_id string, prompt string, status string, error string, "
-    "run_id string, epoch bigint"
-)
-_ITEM = ["job_id", "external_id"]
-
 
 def load_batch(batch: DataFrame, epoch: int, path: str, rules: Sequence[Rule] | None, flush_rows: int) -> None:
-    """Judge a micro-batch, drop what the item table has and write the rest to its own folder.
-
-    A repeated micro-batch overwrites its folder with the same rows, so no row is stored twice.
-    """
-    spark = batch.sparkSession
-    folder = run_folder(spark, epoch)
-    existing = None
-    if path_exists(spark, path):
-        run_id = folder.split("/")[0].removeprefix("run_id=")
-        repeated = (F.col("run_id") == run_id) & (F.col("epoch") >= epoch)
-        earlier = spark.read.schema(STORED).parquet(path).where(~repeated)
-        # The table is scanned for this batch's ids only; it is not shuffled if they are few.
-        existing = earlier.select(*_ITEM).join(batch.select(*_ITEM).distinct(), _ITEM, "left_semi")
-    rows = item_rows(judge_and_load(batch, rules, flush_rows, existing))
-    rows.write.mode("overwrite").parquet(f"{path}/{folder}")
+    """Load a micro-batch into the item table; a repeated one writes the same rows again."""
+    run_id = run_folder(batch.sparkSession, epoch).split("/")[0].removeprefix("run_id=")
+    load_items(batch, path, run_id, epoch, rules, flush_rows)
 
 
 def ingest_stream(
     items: DataFrame, path: str, rules: Sequence[Rule] | None = None, flush_rows: int = FLUSH_ROWS
 ) -> DataStreamWriter:
-    """Writer that loads a stream of items into the item table below ``path``.
+    """Writer that loads a stream of items into the item table at ``path``.
 
     A batch whose ids repeat should arrive in one micro-batch; across micro-batches the
-    earlier one wins.
+    earlier one wins. What became of every row of the stream is in ``items.read_loads``.
     """
     return items.writeStream.foreachBatch(lambda batch, epoch: load_batch(batch, epoch, path, rules, flush_rows))

@@ -1,5 +1,7 @@
 """Streams against their batch answers, over several micro-batches and restarts."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +10,8 @@ from promptloom.plans.clients import FlakyClient
 from promptloom.plans.inference import NO_WAIT, flaky_requests
 from promptloom.streaming import duplicates, progress
 from promptloom.streaming.inference import infer_stream, read_stream_results
-from promptloom.streaming.ingest import STORED, ingest_stream
+from promptloom.sources.items import known_items, load_items, read_items, read_loads
+from promptloom.streaming.ingest import ingest_stream
 from promptloom.streaming.runs import run_available, stream_table
 
 ITEMS = "job_id string, row_number bigint, external_id string, prompt string, is_malformed boolean"
@@ -31,7 +34,7 @@ def test_ingest_equals_batch_and_is_idempotent(spark, batches):
     path = f"{source}/table"
     stream = stream_table(spark, source, "items.parquet", files_per_trigger=1)
     run_available(ingest_stream(stream, path), f"{source}/ck1")
-    stored = spark.read.schema(STORED).parquet(path)
+    stored = read_items(spark, path)
     assert stored.select("run_id", "epoch").distinct().count() == 4
     whole = load.item_rows(load.judge_and_load(spark.read.parquet(f"{source}/items.parquet")))
     expected = sorted(map(tuple, whole.collect()), key=str)
@@ -39,10 +42,52 @@ def test_ingest_equals_batch_and_is_idempotent(spark, batches):
 
     run_available(ingest_stream(stream, path), f"{source}/ck1")  # restart: nothing new
     run_available(ingest_stream(stream, path), f"{source}/ck2")  # handed in again
-    again = spark.read.schema(STORED).parquet(path)
+    again = read_items(spark, path)
     assert sorted(map(tuple, again.drop("run_id", "epoch").collect()), key=str) == expected
 
 
+    loads = read_loads(spark, path)
+    assert loads.count() == 2 * 120  # every row handed in has its outcome
+    assert loads.where("disposition = 'dropped_existing'").count() == len(expected)
+
+
+def test_a_load_reads_the_buckets_of_its_batch_and_can_be_repeated(spark, batches):
+    path, rows = f"{batches}/stored", spark.read.parquet(f"{batches}/items.parquet")
+    first = load_items(rows, path, "a")
+    count = read_items(spark, path).count()
+    assert first.where("disposition = 'inserted'").count() == count > 0
+    again = load_items(rows, path, "a")  # as after a crash: the same load
+    assert again.where("disposition = 'inserted'").count() == count == read_items(spark, path).count()
+    one = rows.where("job_id = 'job2' AND external_id = 'e3'")
+    known = known_items(one, path, "b", 0)
+    assert [tuple(r) for r in known.collect()] == [("job2", "e3")]
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(known._jdf.queryExecution(), "formatted")
+    pruned = next(line for line in plan.splitlines() if line.startswith("PartitionFilters"))
+    assert "job_bucket" in pruned and "id_bucket" in pruned and "disposition" in pruned
+    second = load_items(rows, path, "b")
+    assert second.where("disposition = 'inserted'").count() == 0 and read_items(spark, path).count() == count
+
+
+def test_repeats_are_reported_until_their_id_is_forgotten(spark, tmp_path):
+    source, rows = f"{tmp_path}/rows.parquet", "job_id string, external_id string, row_number long"
+
+    def run(numbers, keep):
+        spark.createDataFrame([("j", x, n) for x, n in numbers], rows).coalesce(1).write.mode("append").parquet(source)
+        stream = stream_table(spark, str(tmp_path), "rows.parquet")
+        writer = duplicates.repeated_items(stream, keep).writeStream.format("parquet").option("path", f"{tmp_path}/out{keep}")
+        run_available(writer, f"{tmp_path}/ck{keep}", spark)
+        return sorted(((r.external_id, r.row_number, r.first_row) for r in spark.read.parquet(f"{tmp_path}/out{keep}").collect()), key=str)
+
+    first = [("a", 5, 3), (None, 2, 1)]
+    assert run([("a", 5), ("a", 3), ("b", 4), (None, 1), (None, 2)], 3600) == sorted(first, key=str)
+    assert run([("a", 9), ("c", 6), ("c", 6)], 3600) == sorted([*first, ("a", 9, 3), ("c", 6, 6)], key=str)
+    found = spark.read.parquet(f"{tmp_path}/out3600").where("row_number = 9").first()
+    assert found.error == "duplicate external id: a"
+    before = run([("d", 1)], 1)  # this stream reads all rows so far at once
+    time.sleep(2)
+    assert run([("d", 2), ("a", 10)], 1) == before
+
+
 def test_distinct_items_over_micro_batches(spark, batches):
     stream = stream_table(spark, str(batches), "items.parquet", files_per_trigger=1).where("NOT is_malformed")
     passed = duplicates.distinct_items(stream.withColumn("job_id", F.lit("one")), fan=3)
