@@ -17,7 +17,7 @@ from promptloom.session import materialise, ship_package
 # White space between words: blank, tab, line feed, vertical tab, form feed, carriage return.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PIECE = 1 << 16  # bytes of a text that are hashed at once
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -31,7 +31,7 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-_CODES = mix(np.arange(1, 257, dtype=np.uint64) * _ODD)
+_CODES = mix(np.arange(1, 257, dtype=np.uint64) * ODD)
 
 
 def _powers(base: np.uint64, count: int) -> np.ndarray:
@@ -40,7 +40,7 @@ def _powers(base: np.uint64, count: int) -> np.ndarray:
     return np.cumprod(factors, dtype=np.uint64)
 
 
-_POWERS, _BACK_POWERS = _powers(_ODD, 2 * _PIECE), _powers(_BACK, 2 * _PIECE)
+_POWERS, _BACK_POWERS = _powers(ODD, 2 * _PIECE), _powers(_BACK, 2 * _PIECE)
 
 
 def _piece_hashes(piece: bytes) -> np.ndarray:
@@ -52,7 +52,7 @@ def _piece_hashes(piece: bytes) -> np.ndarray:
     if len(codes) < len(_POWERS):
         up, back = _POWERS[: len(codes)], _BACK_POWERS[starts]
     else:  # one word as long as this
-        up, back = _powers(_ODD, len(codes)), _powers(_BACK, len(codes))[starts]
+        up, back = _powers(ODD, len(codes)), _powers(_BACK, len(codes))[starts]
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(_CODES[codes] * up, dtype=np.uint64, out=sums[1:])
     return mix((sums[stops] - sums[starts]) * back)
@@ -79,7 +79,7 @@ def runs_of_words(hashes: np.ndarray, width: int) -> np.ndarray:
         return hashes[:0]
     value = hashes[:count].copy()
     for step in range(1, width):
-        value = value * _ODD + hashes[step : step + count]
+        value = value * ODD + hashes[step : step + count]
     return mix(value)
 
 

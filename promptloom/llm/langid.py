@@ -7,8 +7,9 @@ its language. A document's language is the label with the largest mean probabili
 score is that mean.
 
 Training. The lexicon has the shares of every word of every labelled text, counted by Spark and
-stored as a table. Each language's most frequent words, ``LEXICON`` in all, are sent to the
-tasks; the others are joined with the words of the texts, so that number decides costs only. In
+stored as a table. Up to ``LEXICON`` words, the most frequent ones of each language, are sent to
+the tasks as 12 bytes each; if there are more, the others are joined with the words of the
+texts, so that number decides costs only. In
 training a word's shares leave out the segments themselves. The field is fitted to segments of labelled
 texts, drawn by a hash at a rate that gives about ``SEGMENTS`` per language. A part of them
 is spliced with segments of other languages, so that transitions see changes.
@@ -20,27 +21,29 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptloom.llm.common import add_columns, table
+from promptloom.llm.common import ODD, add_columns, mix, table
 from promptloom.llm.registry import query
 from promptloom.session import materialise, ship_package
 
-LEXICON, SEGMENTS, SEGMENT_WORDS, ROUNDS = 200_000, 600, 48, 40
+LEXICON, SEGMENTS, SEGMENT_WORDS, ROUNDS = 3_000_000, 600, 48, 40
 BUCKETS = 1 << 17
 UNKNOWN = "und"
 LEAST_SCORE = 0.35  # below it a document is rejected: no language has a clear share
 
 _LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 _MOST_WORDS = 300_000  # words whose scores a task remembers
-_CELLS = 1_000_000  # (word, label) cells that are decoded at once
+_CELLS = 2_000_000  # (word, label) cells that are decoded at once
+_TEXTS = 2000  # texts that are decoded together
+_RESCALE = 8
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,23 +55,44 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 _WORD, _START, _END, _GRAM, _LEXICON = (zlib.crc32(kind) for kind in (b"word", b"start", b"end", b"gram", b"lexicon"))
+_AFFIX = 5  # characters of the longest affix
 
 
-def features(word: bytes, shares: tuple[float, ...] | None) -> list[int]:
-    """Buckets of affixes, n-grams (both in characters), the word, and its shares in the lexicon."""
-    crc, last = zlib.crc32, BUCKETS - 1
-    # Byte offsets of the characters: all bytes but UTF-8 continuations start one.
-    at = range(len(word) + 1) if word.isascii() else [i for i, c in enumerate(word) if c & 0xC0 != 0x80] + [len(word)]
-    size = len(at) - 1
-    found = [crc(word, _WORD) & last]
-    for n in range(1, min(5, size) + 1):
-        found.append(crc(word[: at[n]], _START) & last)
-        found.append(crc(word[at[size - n] :], _END) & last)
-    found += [crc(word[at[i] : at[i + 2]], _GRAM) & last for i in range(size - 1)]
-    found += [crc(word[at[i] : at[i + 3]], _GRAM) & last for i in range(size - 2)]
-    if shares:
-        found += [crc(b"%d %d" % (label, round(share * 5)), _LEXICON) & last for label, share in enumerate(shares)]
-    return found
+def _buckets(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return (mix(hashes ^ np.uint64(kind)) & np.uint64(BUCKETS - 1)).astype(np.int64)
+
+
+@cache
+def _lexicon_buckets(code: str) -> tuple[int, ...]:
+    return tuple(zlib.crc32(b"%d %s" % (label, share.encode()), _LEXICON) % BUCKETS for label, share in enumerate(code))
+
+
+def features(words: list[bytes], codes: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Feature buckets of all words, and which word each belongs to.
+
+    Features are affixes and n-grams (both in characters), the word, and its shares in the
+    lexicon (one digit per label). They are hashed for all words at once.
+    """
+    texts = [w.decode("utf-8", "replace") for w in words]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = sizes[owner] - place  # characters from this one to the word's end
+    flat = [np.array([zlib.crc32(w, _WORD) % BUCKETS for w in words], np.int64)]
+    owners = [np.arange(len(words))]
+    hashes = np.zeros(len(chars), np.uint64)
+    for n in range(1, _AFFIX + 1):
+        # The n characters that start at each place; those beyond the word's end are not used.
+        hashes[: len(chars) - n + 1] = hashes[: len(chars) - n + 1] * ODD + chars[n - 1 :] + np.uint64(1)
+        for kind, at in ((_START, (place == 0) & (left >= n)), (_END, left == n), (_GRAM, (left >= n) if n in (2, 3) else None)):
+            if at is not None:
+                flat.append(_buckets(hashes[at], kind + n))
+                owners.append(owner[at])
+    known = [(i, _lexicon_buckets(code)) for i, code in enumerate(codes) if code]
+    flat.append(np.array([x for _, found in known for x in found], np.int64))
+    owners.append(np.repeat(np.array([i for i, _ in known], np.int64), [len(found) for _, found in known]))
+    return np.concatenate(flat), np.concatenate(owners)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -77,23 +101,67 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, moves: np.ndarray)
     ``scores`` is (time, sequence, label) of exponentiated scores, ``moves`` the
     exponentiated transitions; times from a sequence's length on are left out.
     """
-    steps, count, labels = scores.shape
-    ahead = np.empty_like(scores)
-    state = np.full((count, labels), 1.0 / labels)
-    for t in range(steps):
-        state = (state @ moves if t else state) * scores[t]
-        state /= state.sum(1, keepdims=True)
-        ahead[t] = state
-    behind = np.ones((count, labels))
+    steps, _, labels = scores.shape
+    order = np.argsort(lengths, kind="stable")
+    if (order[1:] < order[:-1]).any():
+        found = np.empty_like(scores)
+        found[:, order] = forward_backward(scores[:, order], lengths[order], moves)
+        return found
+    # Shorter sequences come first, so those that reach a time are the last columns. The best
+    # label of a word has the score 1, so sums shrink by a bounded factor at each time and
+    # are brought back to 1 every _RESCALE times only.
+    first = np.searchsorted(lengths, np.arange(steps + 1), "right")
+    ahead = np.full_like(scores, 1.0 / labels)
+    np.multiply(ahead[0], scores[0], out=ahead[0])
+    for t in range(1, steps):
+        state = ahead[t, first[t] :]
+        np.matmul(ahead[t - 1, first[t] :], moves, out=state)
+        state *= scores[t, first[t] :]
+        if t % _RESCALE == 0:
+            state /= state.sum(1, keepdims=True)
+    behind, back = np.ones(scores.shape[1:]), np.ascontiguousarray(moves.T)
     for t in range(steps - 2, -1, -1):
-        state = (behind * scores[t + 1]) @ moves.T
-        state /= state.sum(1, keepdims=True)
-        behind = np.where((t + 1 < lengths)[:, None], state, 1.0)
-        ahead[t] *= behind
+        state = behind[first[t + 1] :]
+        state[:] = (state * scores[t + 1, first[t + 1] :]) @ back
+        if t % _RESCALE == 0:
+            state /= state.sum(1, keepdims=True)
+        ahead[t, first[t + 1] :] *= state
     ahead /= ahead.sum(2, keepdims=True)
     return ahead
 
 
+@dataclass
+class Lexicon:
+    """Words, named by 64-bit hashes, and their shares by label (one digit each): 12 bytes a word."""
+
+    hashes: np.ndarray = field(repr=False)  # sorted
+    kinds: np.ndarray = field(repr=False)  # places in ``codes``
+    codes: list[str] = field(repr=False)
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, codes: list[str]) -> Lexicon:
+        names = sorted(set(codes))
+        place = {name: i for i, name in enumerate(names)}
+        order = np.argsort(hashes)
+        return cls(hashes[order], np.array([place[c] for c in codes], np.int32)[order], names)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def find(self, words: list[bytes]) -> list[str | None]:
+        if not len(self.hashes):
+            return [None] * len(words)
+        asked = word_keys(words)
+        at = np.minimum(np.searchsorted(self.hashes, asked), len(self.hashes) - 1)
+        kinds = np.where(self.hashes[at] == asked, self.kinds[at], -1)
+        return [self.codes[k] if k >= 0 else None for k in kinds.tolist()]
+
+
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """What Spark's ``xxhash64`` gives for the words."""
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
+
+
 @dataclass
 class Field:
     """A fitted conditional random field."""
@@ -101,14 +169,13 @@ class Field:
     labels: list[str]
     weights: np.ndarray = field(repr=False)
     moves: np.ndarray = field(repr=False)
-    lexicon: dict[bytes, tuple[float, ...]] = field(repr=False)
-    rest: DataFrame | None = field(default=None, repr=False)  # word, rates: the words that are not in the lexicon
+    lexicon: Lexicon = field(repr=False)
+    rest: DataFrame | None = field(default=None, repr=False)  # word, code: all words, also those not in the lexicon
 
-    def word_scores(self, words: list[bytes], more: dict[bytes, tuple[float, ...]] | None = None) -> np.ndarray:
+    def word_scores(self, words: list[bytes], more: dict[bytes, str] | None = None) -> np.ndarray:
         more = more or {}
-        lists = [features(w, self.lexicon.get(w) or more.get(w)) for w in words]
-        starts = np.cumsum([0, *map(len, lists[:-1])])
-        return np.add.reduceat(self.weights[list(chain.from_iterable(lists))], starts, axis=0)
+        flat, owner = features(words, [code or more.get(w) for w, code in zip(words, self.lexicon.find(words), strict=True)])
+        return np.stack([np.bincount(owner, self.weights[flat, k], len(words)) for k in range(len(self.labels))], 1)
 
 
 class Labeller:
@@ -118,9 +185,9 @@ class Labeller:
         self.model, self.numbers = model, {}
         self.scores = np.empty((0, len(model.labels)))
 
-    def _learn(self, words: set[bytes], more: dict[bytes, tuple[float, ...]] | None) -> None:
+    def _learn(self, words: set[bytes], more: dict[bytes, str] | None) -> None:
         numbers = self.numbers
-        if fresh := sorted(words - numbers.keys()):
+        if fresh := [w for w in words if w not in numbers]:
             scores = self.model.word_scores(fresh, more)
             scores = np.exp(np.clip(scores - scores.max(1, keepdims=True), -30, 0))
             if len(numbers) + len(fresh) > len(self.scores):
@@ -133,7 +200,7 @@ class Labeller:
     def _numbered(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
 
-    def shares(self, texts: list[list[bytes]], more: dict[bytes, tuple[float, ...]] | None = None) -> np.ndarray:
+    def shares(self, texts: list[list[bytes]], more: dict[bytes, str] | None = None) -> np.ndarray:
         """Mean label probabilities of each text; zeros for one without words.
 
         ``more`` has the shares of all words of the texts that only the stored lexicon has.
@@ -186,6 +253,7 @@ def _counted(labelled: DataFrame) -> DataFrame:
 def _segments(labelled: DataFrame, rates: dict[str, float]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            # Copies of a passage are drawn or left together; the caller keeps one of them.
             found: list[tuple[str, bytes]] = []
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 words, most = words_of(text.as_py()), rates.get(label, 0.0) * 2.0**64
@@ -218,16 +286,15 @@ def _splice(segments: list[tuple[int, list[bytes]]], seed: int = 0) -> list[tupl
     return made
 
 
-def fit(labels: list[str], segments: list[tuple[int, list[bytes]]], lexicon: dict[bytes, tuple[float, ...]], rounds: int = ROUNDS) -> Field:
+def fit(labels: list[str], segments: list[tuple[int, list[bytes]]], lexicon: dict[bytes, str], rounds: int = ROUNDS) -> Field:
     """Maximum likelihood with a quadratic penalty, by adaptive gradient steps over all segments."""
     size = len(labels)
-    model = Field(labels, np.zeros((BUCKETS, size)), np.zeros((size, size)), lexicon)
+    model = Field(labels, np.zeros((BUCKETS, size)), np.zeros((size, size)), Lexicon.of(word_keys(list(lexicon)), list(lexicon.values())))
     made = _splice(segments)
     if not made or size < 2:
         return model
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in made for w in words))}
-    lists = [features(w, lexicon.get(w)) for w in vocabulary]
-    flat, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat, owner = features(list(vocabulary), [lexicon.get(w) for w in vocabulary])
     used, flat = np.unique(flat, return_inverse=True)
     lengths = np.array([len(words) for words, _ in made])
     steps = lengths.max()
@@ -272,7 +339,7 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
     totals = {r["label"]: r["n"] for r in counts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     labels = sorted(totals)
     share = {label: min(1.0, SEGMENTS * SEGMENT_WORDS / max(1, n)) for label, n in totals.items()}
-    drawn = sorted((labels.index(r["label"]), bytes(r["words"])) for r in _segments(rows, share).collect())
+    drawn = sorted((labels.index(r["label"]), bytes(r["words"])) for r in _segments(rows, share).distinct().collect())
     segments = [(label, words.split()) for label, words in drawn]
     own: dict[bytes, list[int]] = {}
     for label, words in segments:
@@ -282,54 +349,60 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang")
     left = {w: [-n for n in ns] for w, ns in own.items()}
     for row in counts.join(F.broadcast(asked), "word").toLocalIterator():
         left[bytes(row["word"])][labels.index(row["label"])] += row["n"]
-    rates = {w: [(i, n / totals[labels[i]]) for i, n in enumerate(ns) if n > 0] for w, ns in left.items()}
-    model = fit(labels, segments, {w: _shares(found, len(labels)) for w, found in rates.items() if found})
-
-    numbered = F.create_map(*[x for i, label in enumerate(labels) for x in (F.lit(label), F.lit(i))]) if labels else F.lit(None)
-    summed = F.create_map(*[x for label in labels for x in (F.lit(label), F.lit(float(totals[label])))]) if labels else F.lit(None)
+    rates = {w: [max(n, 0) / totals[labels[i]] for i, n in enumerate(ns)] for w, ns in left.items()}
+    model = fit(labels, segments, {w: _code(found) for w, found in rates.items() if any(found)})
     if not labels:
         return model
-    rate = F.struct(numbered[F.col("label")].alias("label"), (F.col("n") / summed[F.col("label")]).alias("rate"))
-    lexicon = materialise(counts.groupBy("word").agg(F.collect_list(rate).alias("rates")), "lexicon")
-    model.lexicon, same = {}, {}
-    for label in labels:
-        often = counts.where(F.col("label") == label).orderBy(F.desc("n"), "word").limit(max(1, LEXICON // len(labels)))
-        for row in lexicon.join(often.select("word"), "word").select("word", "rates").toLocalIterator():
-            found = _shares(row["rates"], len(labels))
-            model.lexicon[bytes(row["word"])] = same.setdefault(found, found)
-    if lexicon.count() > len(model.lexicon):
-        model.rest = lexicon.select("word", "rates")
+    rate = [F.sum(F.when(F.col("label") == label, F.col("n") / F.lit(float(totals[label]))).otherwise(0.0)).alias(f"r{i}") for i, label in enumerate(labels)]
+    whole = sum((F.col(f"r{i}") for i in range(len(labels))), F.lit(0.0))
+    digits = [F.rint(F.col(f"r{i}") / whole * 5).cast("int").cast("string") for i in range(len(labels))]
+    lexicon = materialise(counts.groupBy("word").agg(*rate).select("word", F.concat(*digits).alias("code")), "lexicon")
+    sent = lexicon
+    if lexicon.count() > LEXICON:
+        ranked = Window.partitionBy("label").orderBy(F.desc("n"), "word")
+        often = counts.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= max(1, LEXICON // len(labels)))
+        sent, model.rest = lexicon.join(often.select("word").distinct(), "word"), lexicon
+    found = sent.select(F.xxhash64("word").alias("key"), "code").toArrow()
+    model.lexicon = Lexicon.of(found["key"].to_numpy(), found["code"].to_pylist())
     return model
 
 
-def _shares(rates: list, labels: int) -> tuple[float, ...]:
-    """A word's shares by label, rounded to fifths as features see them."""
-    found = [0.0] * labels
-    for label, rate in rates:
-        found[label] = rate
-    total = sum(found)
-    return tuple(round(x / total * 5) / 5 for x in found)
+def _code(rates: list[float]) -> str:
+    """A word's shares by label in fifths, one digit each."""
+    total = sum(rates)
+    return "".join(str(round(x / total * 5)) for x in rates)
 
 
 def _with_rest(docs: DataFrame, model: Field, sent, text_col: str) -> DataFrame:
-    """``docs`` with ``__rest``: the words of each text that only the stored lexicon has, and their rates.
+    """``docs`` with ``__rest``: the words of each text that only the stored lexicon has, and their codes.
 
-    Texts are named by their digest, so equal texts are looked up once.
+    Texts are named by a 64-bit hash: texts that share it get the words of both, which does no
+    harm. A task asks once for the words of equal texts.
     """
-    digest = F.md5(F.col(f"`{text_col}`").cast("binary"))
+    key = F.xxhash64(F.col(f"`{text_col}`").cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value.lexicon
+        known, seen = sent.value.lexicon, set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                words = [list(set(words_of(x.as_py())) - known.keys()) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.list_(pa.binary()))], ["__digest", "words"])
-
-    asked = docs.select(digest.alias("__digest"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
-    pairs = asked.mapInArrow(run, "__digest string, words array<binary>").select("__digest", F.explode("words").alias("word"))
-    found = pairs.join(model.rest, "word").groupBy("__digest").agg(F.collect_set(F.struct("word", "rates")).alias("__rest"))
-    return docs.withColumn("__digest", digest).join(found, "__digest", "left").drop("__digest")
+                if len(seen) > _MOST_WORDS:
+                    seen.clear()
+                keys, words = [], []
+                for name, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    if name not in seen:
+                        seen.add(name)
+                        own = list(set(words_of(text.as_py())))
+                        fresh = [w for w, code in zip(own, known.find(own), strict=True) if code is None]
+                        keys += [name] * len(fresh)
+                        words += fresh
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(words, pa.binary())], ["__key", "word"])
+
+    asked = docs.select(key.alias("__key"), F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL")
+    pairs = asked.mapInArrow(run, "__key long, word binary")
+    found = pairs.join(model.rest, "word").groupBy("__key").agg(F.collect_set(F.struct("word", "code")).alias("__rest"))
+    # Stored, so that Spark can split the join where very many texts are equal.
+    return docs.withColumn("__key", key).join(materialise(found, "rest"), "__key", "left").drop("__key")
 
 
 def predict(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
@@ -351,11 +424,11 @@ def predict(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> list:
             names, scores = [], []
-            for at in range(0, batch.num_rows, 500):
-                texts = [words_of(x.as_py()) for x in batch.column(0)[at : at + 500]]
+            for at in range(0, batch.num_rows, _TEXTS):
+                texts = [words_of(x.as_py()) for x in batch.column(0)[at : at + _TEXTS]]
                 more = {}
-                for found in batch.column(1)[at : at + 500].to_pylist() if len(inputs) > 1 else ():
-                    more.update((r["word"], _shares([(x["label"], x["rate"]) for x in r["rates"]], len(labels))) for r in found or ())
+                for found in batch.column(1)[at : at + _TEXTS].to_pylist() if len(inputs) > 1 else ():
+                    more.update((r["word"], r["code"]) for r in found or ())
                 for words, share in zip(texts, labeller.shares(texts, more), strict=True):
                     known = bool(words) and bool(labels)
                     best = int(share.argmax()) if known else 0

@@ -103,11 +103,21 @@ def test_toxicity_without_labels_or_rows(spark):
 
 
 def test_affixes_and_grams_are_characters():
-    found = set(langid.features("привет".encode(), None))
-    for text, kind in (("при", langid._GRAM), ("ве", langid._GRAM), ("приве", langid._START), ("ет", langid._END)):
-        assert langid.zlib.crc32(text.encode(), kind) % langid.BUCKETS in found
-    assert langid.zlib.crc32("пр".encode()[:3], langid._GRAM) % langid.BUCKETS not in found
-    assert len(langid.features("привет".encode(), None)) == len(langid.features(b"privet", None))
+    def bucket(text, kind):
+        value = 0
+        for c in text:
+            value = (value * int(langid.ODD) + ord(c) + 1) % 2**64
+        return int(langid._buckets(np.array([value], np.uint64), kind + len(text))[0])
+
+    words = ["привет", "a", "é", "privet", "слово", "ab"]
+    flat, owner = langid.features([w.encode() for w in words], [None, "05", None, None, "50", None])
+    for i, word in enumerate(words):
+        expected = [langid.zlib.crc32(word.encode(), langid._WORD) % langid.BUCKETS]
+        expected += [bucket(word[:n], langid._START) for n in range(1, min(5, len(word)) + 1)]
+        expected += [bucket(word[-n:], langid._END) for n in range(1, min(5, len(word)) + 1)]
+        expected += [bucket(word[j : j + n], langid._GRAM) for n in (2, 3) for j in range(len(word) - n + 1)]
+        expected += {1: langid._lexicon_buckets("05"), 4: langid._lexicon_buckets("50")}.get(i, ())
+        assert sorted(flat[owner == i]) == sorted(expected)
 
 
 def test_words_of_rare_languages_keep_their_shares_at_any_size_of_the_cache(spark, monkeypatch):
@@ -117,7 +127,7 @@ def test_words_of_rare_languages_keep_their_shares_at_any_size_of_the_cache(spar
     docs = spark.createDataFrame(rows + [(90, rows[0][1], None), (91, None, "x")], "doc_id long, text string, lang string").repartition(3)
     whole = langid.train(docs)
     words = {w for _, text, _ in rows for w in langid.words_of(text)}
-    assert whole.rest is None and whole.lexicon.keys() == words
+    assert whole.rest is None and len(whole.lexicon) == len(words) and all(whole.lexicon.find(list(words)))
     monkeypatch.setattr(langid, "LEXICON", 8)
     small = langid.train(docs)
     assert 0 < len(small.lexicon) <= 8
