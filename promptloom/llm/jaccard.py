@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,26 +150,35 @@ def _overlap(one: np.ndarray, other: np.ndarray) -> int:
     return int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
 
 
-def _links(pairs: DataFrame, texts: DataFrame, percent: int, width: int, few: bool) -> DataFrame:
-    """The ``pairs (a, b)`` whose overlap over all columns reaches the threshold.
+def _packed(texts: DataFrame) -> DataFrame:
+    """``id, text`` with compressed texts, stored: pairs carry them through shuffles."""
 
-    ``few`` says that most texts are in no pair; then those in pairs are fetched first.
-    """
-    if few:
-        ids = stored(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-        texts = stored(texts.join(ids, "id", "left_semi"), "rows")
+    def make():
+        packer = zstandard.ZstdCompressor(level=3)
+        return lambda batch: [[None if x.as_py() is None else packer.compress(x.as_py()) for x in batch.column(0)]]
+
+    fields = T.StructType([T.StructField("text", T.BinaryType())])
+    return stored(add_columns(texts.where("id IS NOT NULL"), ["text"], fields, make, ["id"]), "texts")
+
+
+def _links(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """The ``pairs (a, b)`` whose overlap over all columns reaches the threshold."""
     first, second = (texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, row = None, None
+        last, row, packer = None, None, zstandard.ZstdDecompressor()
+
+        def grams(packed: bytes | None) -> np.ndarray:
+            return _gram_set(packed and packer.decompress(packed), width)
+
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = a.as_py(), b.as_py()
-                if a != last:
-                    last, row = a, _gram_set(a, width)
-                other = _gram_set(b, width)
+                a = a.as_py()
+                if row is None or a != last:
+                    last, row = a, grams(a)
+                other = grams(b.as_py())
                 overlap = _overlap(row, other)
                 keep.append(overlap * 100 >= percent * (len(row) + len(other) - overlap))
             mask = pa.array(keep, pa.bool_())
@@ -205,27 +215,29 @@ def jaccard_components(
     shared = stored(rows.distinct(), "shared")
     stars = shared.where("row <> a").select("a", F.col("row").alias("b"))
 
-    def linked(pairs: DataFrame, few: bool) -> DataFrame:
-        return _links(_may_link(pairs, sets, percent), texts, percent, width, few)
+    packed = _packed(texts)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _links(_may_link(pairs, sets, percent), packed, percent, width)
 
     def labels_of(links: DataFrame, rows: DataFrame, row: str, label: str) -> DataFrame:
         roots = components(links).select(F.col("node").alias(row), F.col("root").alias("known"))
         return rows.join(roots, row, "left").withColumn(label, F.coalesce("known", row)).drop("known")
 
     done = stored(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    links = linked(done, few=False)
+    links = linked(done)
 
     both = labels_of(links, labels_of(links, stars.distinct(), "a", "label_a"), "b", "label_b")
     apart = both.where("label_a <> label_b").select("a", "b").join(done, ["a", "b"], "left_anti")
     apart = stored(apart, "pairs")
-    links, done = links.unionByName(linked(apart, few=True)), done.unionByName(apart)
+    links, done = links.unionByName(linked(apart)), done.unionByName(apart)
 
     labelled = labels_of(links, shared.select("gram", "row"), "row", "label")
     mixed = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     open_rows = stored(labelled.join(mixed.select("gram"), "gram"), "open")
     other = open_rows.select("gram", F.col("row").alias("b"), F.col("label").alias("label_b"))
     across = open_rows.withColumnRenamed("row", "a").join(other, "gram").where("a < b AND label <> label_b")
-    more = linked(across.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), few=True)
+    more = linked(across.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
 
     same = copies.select(F.col("id").alias("a"), F.col("row").alias("b"))
     roots = components(links.unionByName(more).unionByName(same))
