@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.outcomes import outcome_class, retryable_status, wait_ceiling
 from promptloom.functions.text import route_template
-from promptloom.operators import reports, telemetry
+from promptloom.operators import reports, sketches, telemetry
 from promptloom.operators.results import collapse_attempts
 from promptloom.plans.registry import query
 from promptloom.plans.tables import (
@@ -19,6 +19,7 @@ from promptloom.plans.tables import (
     event_requests,
     table,
 )
+from promptloom.session import new_folder
 
 _ROLLED_SQL = f"""
 {EVENT_ATTEMPTS_SQL},
@@ -100,6 +101,31 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.withColumn("value", F.round("value", 6))
 
 
+RUNS = 3
+RANK_ERROR = 0.01
+
+
+@query(f"""
+WITH {EVENT_ATTEMPTS_SQL}
+SELECT model, unnest([0.5::DOUBLE, 0.95::DOUBLE, 0.99::DOUBLE]) AS rank, count(*) AS calls, true AS holds
+FROM attempts WHERE outcome = 'success' GROUP BY model
+""")
+def latency_sketch_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles from sketches by model and hour of several runs, held against the ranks of all values."""
+    path = new_folder(spark, "latency-sketches")
+    rows = event_attempts(spark, sf_dir).where(F.col("outcome") == "success")
+    for run in range(RUNS):
+        own = rows.where(F.pmod(F.xxhash64("job_id", "external_id"), F.lit(RUNS)) == run)
+        sketches.store_sketches(sketches.value_sketches(own, ["model", sketches.hour_of("started_at")], "seconds"), path, f"r{run}")
+    found = sketches.merged_percentiles(sketches.read_sketches(spark, path), ["model"], [0.5, 0.95, 0.99])
+    placed = rows.join(F.broadcast(found), "model").groupBy("model", "rank", "n").agg(
+        F.count_if(F.col("seconds") < F.col("value")).alias("below"), F.count_if(F.col("seconds") <= F.col("value")).alias("upto"), F.count("*").alias("calls")
+    )
+    low, high = F.col("below") / F.col("calls") - RANK_ERROR, F.col("upto") / F.col("calls") + RANK_ERROR
+    holds = (F.col("n") == F.col("calls")) & (low <= F.col("rank")) & (F.col("rank") <= high)
+    return placed.select("model", "rank", "calls", holds.alias("holds"))
+
+
 @query(f"""
 WITH {EVENT_ATTEMPTS_SQL}
 SELECT model, count(*) AS attempts,

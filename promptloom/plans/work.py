@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promptloom.operators import chunks, jobs, limits, load, reports, results
+from promptloom.operators import chunks, jobs, limits, load, reports, results, sketches
 from promptloom.plans.registry import query
 from promptloom.plans.tables import (
     DOCUMENT_ITEMS_SQL,
@@ -90,6 +90,25 @@ def chunks_per_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.chunks_per_job(_labelled_results(spark, sf_dir))
 
 
+RUNS = 3
+COUNT_ERROR = 0.05
+
+
+@query(f"""
+WITH {_LABELLED_SQL} SELECT job_id, count(*) AS rows, count(DISTINCT chunk_no) AS chunks, true AS holds FROM done GROUP BY 1
+""")
+def chunks_per_job_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct chunks per job from the stored sketches of several runs, held against the exact count."""
+    path, rows = new_folder(spark, "chunk-sketches"), _labelled_results(spark, sf_dir)
+    for run in range(RUNS):
+        own = rows.where(F.pmod(F.col("row_number"), F.lit(RUNS)) == run)
+        sketches.store_sketches(sketches.distinct_sketches(own, ["job_id"], "chunk_no"), path, f"r{run}")
+    found = sketches.merged_distinct(sketches.read_sketches(spark, path), ["job_id"])
+    exact = reports.chunks_per_job(rows)
+    near = F.abs(F.col("distinct") - F.col("chunks")) <= F.greatest(F.lit(1), F.col("chunks") * COUNT_ERROR)
+    return found.join(exact, "job_id").select("job_id", F.col("n").alias("rows"), "chunks", near.alias("holds"))
+
+
 @query(f"WITH {LINE_ITEMS_SQL} SELECT job_id, external_id, status FROM items WHERE {OPEN_SQL}")
 def open_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Waiting and stalled items."""
