@@ -42,7 +42,7 @@ def shared_root(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):  # local-cluster has executors
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     app = context.applicationId
     if app not in _LOCAL_FOLDERS:

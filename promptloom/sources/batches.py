@@ -37,6 +37,7 @@ TOPICS = (
 )
 
 # Hadoop's names of object stores and those of the file-system library.
+_SCHEME = re.compile(r"([A-Za-z][A-Za-z0-9+.-]+):(/.*)", re.S)
 _STORES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs", "gs": "gs"}
 
 # Messages of the preflight check.
@@ -322,20 +323,20 @@ def sample_batch(spark: SparkSession, count: int) -> DataFrame:
 
 def _head(path: str) -> tuple[str, bytes, str | None]:
     """State of a path (found / missing / unreadable) and its first bytes."""
-    # Hadoop writes local paths as file:/x; the URI form needs three slashes.
-    local = "://" not in path or path.startswith("file:///")
-    if local:
-        system, inner = fs.LocalFileSystem(), path.removeprefix("file:").replace("///", "/", 1)
-    else:
-        scheme, _, rest = path.partition("://")
-        # An unknown store is an error of the caller, not a fault of the batch, and is raised.
-        system, inner = fs.FileSystem.from_uri(f"{_STORES.get(scheme, scheme)}://{rest}")
+    # Hadoop writes paths without an authority as file:/x or hdfs:/x; the URI form needs three slashes.
+    scheme, rest = found.groups() if (found := _SCHEME.match(path)) else ("file", path)
     try:
+        if scheme == "file":
+            system, inner = fs.LocalFileSystem(), re.sub(r"^/{2,}", "/", rest)
+        else:
+            rest = rest if rest.startswith("//") else f"//{rest}"
+            system, inner = fs.FileSystem.from_uri(f"{_STORES.get(scheme, scheme)}:{rest}")
         if system.get_file_info(inner).type != fs.FileType.File:
             return "missing", b"", None
         with system.open_input_stream(inner) as stream:
             return "found", stream.read(HEAD_BYTES), None
-    except OSError as error:
+    except (OSError, ValueError, NotImplementedError) as error:
+        # Also a store or a name that the library does not know: other batches are still checked.
         return "unreadable", b"", str(error)
 
 

@@ -291,6 +291,18 @@ def test_preflight_collects_all_messages(spark, tmp_path):
     assert batches.check_sources(manifest, "standard").where("ok").count() == 1
 
 
+def test_preflight_names_paths_it_cannot_read_and_goes_on(spark, tmp_path):
+    good = tmp_path / "go od.json"
+    good.write_text("[1]")
+    odd = ["dbfs:/mnt/x.json", "nostore://a/b c.json", "s3a://bu cket/x y.json", "a:b", ""]
+    rows = [(path, "m") for path in [str(good), f"file:{good}", f"file://{good}", *odd]]
+    manifest = spark.createDataFrame(rows, "input_path string, model string").coalesce(1)
+    got = {r.input_path: r.errors for r in batches.check_sources(manifest).collect()}
+    assert len(got) == len(rows) and got[str(good)] == got[f"file:{good}"] == got[f"file://{good}"] == []
+    assert all(len(got[path]) == 1 for path in odd)
+    assert got["dbfs:/mnt/x.json"][0].startswith("cannot read input file: ")
+
+
 def test_item_ids_continue(spark):
     items = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1)], "job_id string, row_number bigint")
     got = {(r.job_id, r.row_number): r.id for r in load.with_item_ids(items, after=10).collect()}
