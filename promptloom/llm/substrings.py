@@ -131,7 +131,7 @@ def _runs(passages: DataFrame, window: int, run: int) -> DataFrame:
 
 def _routed(passages: DataFrame, window: int, run: int) -> DataFrame:
     """Parts of the passages whose windows name repeated runs, with the document they lead to."""
-    runs = _runs(passages, window, run)
+    runs = stored(_runs(passages, window, run), "runs")  # read twice below
     ends = runs.groupBy("run").agg(F.min("id").alias("route"), F.max("id").alias("last")).where("route < last")
     led = runs.join(ends.select("run", "route"), "run").groupBy("id").agg(
         F.collect_list("run").alias("runs"), F.collect_list("route").alias("routes")
