@@ -19,9 +19,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,11 @@ STRETCHES, ROUNDS, BUCKETS = 250, 25, 1 << 15
 _NEVER = -1e6
 _SPACED = 16  # tokens of an address with blanks at other places than beside its marks
 
-_EMAIL = re.compile(rb"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# An address in two parts, and numbers from their first digit on, so that a long run is read once.
+_NAME = re.compile(rb"[A-Za-z0-9._%+-]++@")
+_NEXT_NAME = re.compile(rb"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@")
+_HOST = re.compile(rb"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+_IP = re.compile(rb"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -60,11 +65,21 @@ def luhn(digits: bytes) -> bool:
     return sum(values[::2] + [2 * d - 9 * (d > 4) for d in values[1::2]]) % 10 == 0
 
 
+def _emails(text: bytes) -> Iterator[Span]:
+    """Leftmost addresses that do not overlap. A name may begin where the match before it ended."""
+    at = 0
+    while name := _NAME.match(text, at) or _NEXT_NAME.search(text, at):
+        host = _HOST.match(text, name.end())
+        if host:
+            yield "email", name.start(), host.end()
+        at = host.end() if host else name.end()
+
+
 def base_spans(text: bytes) -> list[Span]:
     """Matches of the fixed patterns that pass their checks, by kind."""
     found: list[Span] = []
     if b"@" in text:
-        found += [("email", m.start(), m.end()) for m in _EMAIL.finditer(text)]
+        found += _emails(text)
     for m in _IP.finditer(text):
         if all(len(part := x.lstrip(b"0")) < 4 and int(part or 0) <= 255 for x in m.group().split(b".")):
             found.append(("ip", m.start(), m.end()))
@@ -144,14 +159,22 @@ def _possible(span: bytes) -> list[bool]:
     ]
 
 
-def _segments(text: bytes, start: int, stop: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def _segments(
+    text: bytes, start: int, stop: int, taken: Sequence[tuple[int, int]] = ()
+) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Tokens of a stretch, and the runs of tokens (first, one past the last) that may be entities.
 
     A run of digits and signs ends with a group of digits and holds up to 19 digits or four
-    groups. Others hold an at-sign or its mark.
+    groups. Others hold one at-sign or mark of it, and no sign that addresses do not have. No
+    run has a token in the ``taken`` ranges, which are sorted and apart.
     """
     tokens = [m.span() for m in _TOKEN.finditer(text, start, stop)]
     count = len(tokens)
+    wall, number = [], 0
+    for a, b in tokens:
+        while number < len(taken) and taken[number][1] <= a:
+            number += 1
+        wall.append(number < len(taken) and taken[number][0] < b)
     heads = [text[a] for a, _ in tokens]
     digit = [48 <= h <= 57 for h in heads]
     at = [bool(_AT.match(text, a)) for a, _ in tokens]
@@ -160,24 +183,32 @@ def _segments(text: bytes, start: int, stop: int) -> tuple[list[tuple[int, int]]
     glued = [i > 0 and (tokens[i - 1][1] == tokens[i][0] or mark[i - 1] or mark[i]) for i in range(count)]
     runs = []
     following = [count] * (count + 1)  # the next group of digits, or a letter
-    next_at = [count] * (count + 1)
+    next_at = [count] * (count + 2)
+    next_wall = [count] * (count + 1)
+    no_address = [count] * (count + 1)  # the next token that is in no address
     for i in range(count - 1, -1, -1):
         following[i] = i if digit[i] or word[i] else following[i + 1]
         next_at[i] = i if at[i] else next_at[i + 1]
+        next_wall[i] = i if wall[i] else next_wall[i + 1]
+        fits = digit[i] or word[i] or mark[i] or heads[i] in b"@._%+-()[]{}"
+        no_address[i] = no_address[i + 1] if fits and not wall[i] else i
     for i in range(count):
-        if digit[i] or heads[i] in b"+(" and not mark[i]:
+        if wall[i]:
+            continue
+        if digit[i] or heads[i] in b"+(" and not mark[i] and following[i] - i <= 2:
             digits = groups = 0
-            j = following[i]
-            while j < count and digit[j]:
+            j, limit = following[i], next_wall[i]
+            while j < limit and digit[j]:
                 digits, groups = digits + tokens[j][1] - tokens[j][0], groups + 1
                 if digits > 19 and groups > 4:
                     break
                 if j > i or digits >= 7:
                     runs.append((i, j + 1))
                 j = following[j + 1]
-        if next_at[i] < min(count, i + MOST_TOKENS) and not mark[i] and (digit[i] or word[i] or heads[i] in b"._%+-("):
+        limit = min(no_address[i], next_at[next_at[i] + 1], i + MOST_TOKENS)
+        if next_at[i] < limit and not mark[i] and (digit[i] or word[i] or heads[i] in b"._%+-("):
             whole = True
-            for j in range(i + 1, min(count, i + MOST_TOKENS)):
+            for j in range(i + 1, limit):
                 whole = whole and glued[j]
                 if not whole and (j >= i + _SPACED or next_at[i] >= i + _SPACED):
                     break
@@ -202,7 +233,25 @@ class SpanField:
         return np.where([_possible(text[a:b]) for a, b in places], found, _NEVER)
 
     def decode(self, count: int, runs: list[tuple[int, int]], scores: np.ndarray) -> list[tuple[int, int, int]]:
-        """Best segmentation of ``count`` tokens: ``(first, stop, kind)`` of its entities."""
+        """Best segmentation of ``count`` tokens: ``(first, stop, kind)`` of its entities.
+
+        ``runs`` are sorted. Tokens outside of them are no entities, so what lies between such
+        tokens is decoded for itself, and the work grows with the runs and not with the tokens.
+        """
+        found, begin = [], 0
+        while begin < len(runs):
+            low, high = runs[begin]
+            end = begin + 1
+            while end < len(runs) and runs[end][0] <= high:
+                high, end = max(high, runs[end][1]), end + 1
+            part = [(a - low, b - low) for a, b in runs[begin:end]]
+            for first, stop, kind in self._decode_part(high - low, part, scores[begin:end], high < count):
+                found.append((first + low, stop + low, kind))
+            begin = end
+        return found
+
+    def _decode_part(self, count: int, runs: list[tuple[int, int]], scores: np.ndarray, more: bool) -> list[tuple[int, int, int]]:
+        """``decode`` of all tokens together; with ``more``, a token that is no entity follows."""
         other = len(KINDS)
         ending: dict[int, list[int]] = {}
         for number, (_, stop) in enumerate(runs):
@@ -222,7 +271,7 @@ class SpanField:
                     value = step[befores[kind], kind]
                     if value > best[at, kind]:
                         best[at, kind], back[at][kind] = value, (first, int(befores[kind]))
-        found, at, kind = [], count, int(best[count].argmax())
+        found, at, kind = [], count, int((best[count] + self.moves[:, other] * more).argmax())
         while at:
             first, before = back[at][kind]
             if kind != other:
@@ -426,6 +475,17 @@ def train(docs: DataFrame, text_col: str = "text", many: int = STRETCHES) -> Spa
     return fit(_drawn(docs, text_col, many))
 
 
+def _union(spans: list[Span]) -> list[tuple[int, int]]:
+    """The ranges that spans cover, sorted and apart."""
+    ranges: list[tuple[int, int]] = []
+    for _, a, b in sorted(spans, key=itemgetter(1)):
+        if ranges and a <= ranges[-1][1]:
+            ranges[-1] = ranges[-1][0], max(b, ranges[-1][1])
+        else:
+            ranges.append((a, b))
+    return ranges
+
+
 class Finder:
     """Finds the fixed patterns and what the field adds in one text."""
 
@@ -435,10 +495,11 @@ class Finder:
     def __call__(self, text: bytes) -> tuple[list[Span], list[Span]]:
         base = base_spans(text)
         added: list[Span] = []
+        taken = _union(base)
         for start, stop in stretches(text):
-            near = [s for s in base if s[1] < stop and start < s[2]]
-            tokens, runs = _segments(text, start, stop)
-            runs = [r for r in runs if not near or not overlaps(tokens[r[0]][0], tokens[r[1] - 1][1], near)]
+            near = taken[bisect_right(taken, start, key=itemgetter(1)) : bisect_left(taken, stop, key=itemgetter(0))]
+            tokens, runs = _segments(text, start, stop, near)
+            runs = [r for r in runs if any(_possible(text[tokens[r[0]][0] : tokens[r[1] - 1][1]]))]
             if runs:
                 scores = self.model.scores(text, [(tokens[i][0], tokens[j - 1][1]) for i, j in runs])
                 for first, last, kind in self.model.decode(len(tokens), runs, scores):

@@ -220,3 +220,43 @@ def test_expected_segments_agree_with_all_segmentations():
     places = np.array([r for runs in own_runs for r in runs])
     found, found_steps = personal._expected(counts, owner, places, np.concatenate(own_scores), moves)
     assert np.allclose(found, np.concatenate(chances)) and np.allclose(found_steps, steps)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "7" * 1_000_000,
+        "x" * 500_000 + "@" + "y" * 500_000,
+        ",".join(f"user{i}.x@host{i}.example.org" for i in range(20_000)),
+        "a@" * 20_000,
+        "(" * 200_000 + "1 2 3 4" + "+" * 200_000 + "1" + "1.2.3 " * 1000,
+        "a@b.c%d@e.f.@g.h" * 5000,
+    ],
+    ids=["digits", "letters", "addresses", "at-signs", "brackets", "chained"],
+)
+def test_long_texts_without_blanks_take_linear_time(text):
+    import time
+
+    plain = finder([f"mail to user{i}.x@host{i}.example.org and 10.{i}.{2 * i}.7 now" for i in range(20)])
+    start = time.monotonic()
+    base, added = plain(text.encode())
+    assert time.monotonic() - start < 60
+    taken = sorted((a, b) for _, a, b in base)
+    # The patterns as given are quadratic here, so they are compared on a part of the text.
+    part = text[:2000] + text[-2000:]
+    expected = personal_spans(part)
+    found = personal.base_spans(part.encode())
+    assert [[(a, b) for k, a, b in found if k == kind] for kind in personal.KINDS] == expected
+    for _, a, b in added:
+        assert not any(a < y and x < b for x, y in taken[:1000])
+
+
+def test_addresses_and_numbers_agree_with_the_plain_patterns():
+    import random
+
+    draw = random.Random(8)
+    for _ in range(3000):
+        text = "".join(draw.choice("aZ0019.@@-+%_ (),é") for _ in range(draw.randrange(60)))
+        found = personal.base_spans(text.encode())
+        if text.isascii():
+            assert [[(a, b) for k, a, b in found if k == kind] for kind in personal.KINDS] == personal_spans(text), text
