@@ -8,12 +8,14 @@ its transpose. Only entries that can reach the threshold are computed:
    candidates' postings. The order puts n-grams that very many documents hold last.
 2. Rows with equal sets are one row of the matrix.
 3. Each row is multiplied with the smallest row that shares a posting with it, in blocks of
-   columns. The first block holds a sixteenth of all columns; the overlap in it and the sizes
-   bound the overlap in the rest, and pairs that can't reach the threshold are discarded. For
-   the others the overlap is accumulated over all columns.
+   columns: a sixteenth of them, an eighth, then the rest. The overlap of a pair is accumulated
+   block by block, and a pair is discarded as soon as the columns that are left to its smaller
+   side can't make up what it still needs. Pairs carry a block at a time. Only those that pass
+   three sixteenths of the columns are multiplied over whole texts.
 4. What that links is merged to components. Postings whose rows now lie in one component
    are done. In the others, the rows of other components than the posting's smallest row are
-   multiplied with that one, and then all pairs that still lie in different components.
+   multiplied with that one, and then the pairs that still lie in different components. There,
+   postings are split into bands of sizes, and a row meets only its own band and the next ones.
 
 So no link between different components is lost, and large groups of copies cost one
 comparison per row. Links inside a component are not listed one by one.
@@ -21,6 +23,7 @@ comparison per row. Links inside a component are not listed one by one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,8 @@ PERCENT, WIDTH = 85, 4
 # most FREQUENT times the mean set size of them, and the order decides costs only.
 FREQUENT, FREQUENT_LEAST, FREQUENT_MOST = 2000, 50, 500_000
 
-_FIRST_BLOCK = np.uint64(15 << 60)  # the first block: n-grams whose hash is this or above
+# The first blocks of columns: n-grams whose hash is in these ranges.
+_BLOCKS = ((15 << 60, (1 << 64) - 1), (13 << 60, (15 << 60) - 1))
 
 
 def _gram_set(text: bytes | None, width: int) -> np.ndarray:
@@ -74,12 +78,12 @@ def frequent_grams(texts: DataFrame, width: int, rows: int) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """``id, size, set_key, block``: what is kept of each row. The key is null for an empty set."""
+    """``id, size, set_key`` and the first blocks of each row. The key is null for an empty set."""
     fields = T.StructType(
         [
             T.StructField("size", T.LongType(), False),
             T.StructField("set_key", T.BinaryType()),
-            T.StructField("block", T.BinaryType()),
+            *[T.StructField(f"block_{n}", T.BinaryType()) for n in range(len(_BLOCKS))],
         ]
     )
 
@@ -88,8 +92,11 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
         def step(batch: pa.RecordBatch) -> list:
             sets = [_gram_set(x.as_py(), width) for x in batch.column(0)]
             keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-            blocks = [x[np.searchsorted(x, _FIRST_BLOCK) :].tobytes() for x in sets]
-            return [[len(x) for x in sets], keys, blocks]
+            blocks = [
+                [x[np.searchsorted(x, np.uint64(low)) : np.searchsorted(x, np.uint64(high), "right")].tobytes() for x in sets]
+                for low, high in _BLOCKS
+            ]
+            return [[len(x) for x in sets], keys, *blocks]
 
         return step
 
@@ -120,27 +127,40 @@ def _postings(texts: DataFrame, width: int, percent: int, frequent) -> DataFrame
 
 
 def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs (a, b)`` that sizes and the first block of columns leave over."""
-    for x in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("size").alias(f"size_{x}")), x)
-    fits = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-    both = stored(pairs.where(fits), "sized")
-    for x in "ab":
-        both = both.join(sets.select(F.col("id").alias(x), F.col("block").alias(f"block_{x}")), x)
-    both = both.select("a", "b", "size_a", "size_b", "block_a", "block_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for size_a, size_b, a, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                block_a, block_b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                apart = len(block_a) + len(block_b) - 2 * _overlap(block_a, block_b)
-                least = -(-percent * (size_a + size_b) // (100 + percent))  # the overlap a link needs
-                keep.append(apart <= size_a + size_b - 2 * least)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+    """The ``pairs (a, b)`` that sizes and the first blocks of columns leave over.
 
-    return stored(both.mapInArrow(run, "a long, b long").distinct(), "pairs")
+    ``need`` is the overlap that a pair lacks for a link, ``left_a`` and ``left_b`` how many
+    n-grams of its rows are in blocks to come.
+    """
+    for x in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("size").alias(f"left_{x}")), x)
+    both = F.col("left_a") + F.col("left_b")
+    need = F.ceil(percent * both / F.lit(100 + percent)).cast("long")
+    state = pairs.select("a", "b", need.alias("need"), "left_a", "left_b")
+    open_pairs = F.col("need") <= F.least("left_a", "left_b")
+    state = stored(state.where(open_pairs).distinct(), "sized")
+    for number in range(len(_BLOCKS)):
+        for x in "ab":
+            state = state.join(sets.select(F.col("id").alias(x), F.col(f"block_{number}").alias(f"block_{x}")), x)
+        state = state.select("a", "b", "need", "left_a", "left_b", "block_a", "block_b")
+        counted = state.mapInArrow(_add_block, "a long, b long, need long, left_a long, left_b long")
+        state = stored(counted.where(open_pairs).distinct(), "pairs")
+    return state.select("a", "b").distinct()
+
+
+def _add_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Accumulate the overlap in one block of columns."""
+    for batch in batches:
+        need, left_a, left_b = (batch.column(i).to_numpy().copy() for i in (2, 3, 4))
+        for i, (a, b) in enumerate(zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)):
+            block_a, block_b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            need[i] -= _overlap(block_a, block_b)
+            left_a[i] -= len(block_a)
+            left_b[i] -= len(block_b)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(need), pa.array(left_a), pa.array(left_b)],
+            ["a", "b", "need", "left_a", "left_b"],
+        )
 
 
 def _overlap(one: np.ndarray, other: np.ndarray) -> int:
@@ -234,9 +254,13 @@ def jaccard_components(
 
     labelled = labels_of(links, shared.select("gram", "row"), "row", "label")
     mixed = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    open_rows = stored(labelled.join(mixed.select("gram"), "gram"), "open")
-    other = open_rows.select("gram", F.col("row").alias("b"), F.col("label").alias("label_b"))
-    across = open_rows.withColumnRenamed("row", "a").join(other, "gram").where("a < b AND label <> label_b")
+    # Sizes of a link differ by a factor of 100 / percent at most; a band is a little wider than that.
+    band = F.floor(F.log("size") / (math.log(100 / percent) + 1e-6))
+    bands = sets.select(F.col("id").alias("row"), band.cast("long").alias("band")).distinct()
+    open_rows = stored(labelled.join(mixed.select("gram"), "gram").join(bands, "row"), "open")
+    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
+    other = open_rows.select("gram", F.col("row").alias("b"), F.col("label").alias("label_b"), near)
+    across = open_rows.withColumnRenamed("row", "a").join(other, ["gram", "band"]).where("a < b AND label <> label_b")
     more = linked(across.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
 
     same = copies.select(F.col("id").alias("a"), F.col("row").alias("b"))

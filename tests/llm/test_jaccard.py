@@ -47,6 +47,13 @@ def test_chains_of_near_copies(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_a_passage_that_every_document_holds(spark):
+    passage = cases.prose(5, 60)
+    rows = [(d, f"{passage} {cases.prose(1000 + d, 4 + 3 * (d % 23))}") for d in range(90)]
+    rows += [(200 + d, f"{passage} {cases.prose(1000 + d, 4 + 3 * (d % 23))} more{d}") for d in range(0, 90, 3)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (3, 3), (2, 3), (9, 7), (8, 9), (20, 19)] + [(100 + i, 101 + i) for i in range(30)]
     found = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
