@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from promptloom.operators import logs
 from promptloom.plans.registry import query
 from promptloom.plans.tables import EVENT_LOG_SQL, event_log_lines
+from promptloom.session import new_folder
+from promptloom.streaming.runs import run_available, stream_table
+from promptloom.streaming.sessions import log_sessions
+
+SILENCE, SILENCE_US = "30 seconds", 30_000_000
 
 
 @query(f"""
@@ -85,3 +90,30 @@ FROM log WHERE level = 'ERROR' GROUP BY 1, 2, 3
 def log_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error lines by logger and upstream message."""
     return logs.errors_by_logger(logs.good_lines(logs.parse_lines(event_log_lines(spark, sf_dir))))
+
+
+@query(f"""
+WITH {EVENT_LOG_SQL},
+marked AS (
+  SELECT worker_id AS id, at_us, level,
+         CASE WHEN at_us > lag(at_us) OVER (PARTITION BY worker_id ORDER BY at_us) + {SILENCE_US} THEN 1 ELSE 0 END AS new
+  FROM log),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY at_us) AS session FROM marked),
+sessions AS (
+  SELECT id, session, min(at_us) AS first_us, max(at_us) AS last_us, count(*) AS lines,
+         CASE max(CASE level WHEN 'ERROR' THEN 4 WHEN 'WARNING' THEN 3 ELSE 2 END)
+           WHEN 4 THEN 'ERROR' WHEN 3 THEN 'WARNING' ELSE 'INFO' END AS worst_level
+  FROM numbered GROUP BY 1, 2)
+SELECT id, first_us, last_us, lines, worst_level FROM sessions
+WHERE last_us + {SILENCE_US} <= (SELECT max(at_us) FROM log) // 1000 * 1000 - 600000000
+""")
+def stream_log_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of lines by worker that silence has closed, each emitted once by a stream."""
+    root = new_folder(spark, "log-sessions")
+    event_log_lines(spark, sf_dir).select("value").write.parquet(f"{root}/lines.parquet")
+    parsed = logs.good_lines(logs.parse_lines(stream_table(spark, root, "lines.parquet")))
+    found = log_sessions(parsed, "worker_id", SILENCE)
+    run_available(found.writeStream.format("parquet").option("path", f"{root}/out"), f"{root}/checkpoint")
+    return spark.read.schema(found.schema).parquet(f"{root}/out").select(
+        "id", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"), "lines", "worst_level"
+    )
