@@ -16,6 +16,8 @@ its transpose. Only entries that can reach the threshold are computed:
    are done. In the others, the rows of other components than the posting's smallest row are
    multiplied with that one, and then the pairs that still lie in different components. There,
    postings are split into bands of sizes, and a row meets only its own band and the next ones.
+   The columns that no row of another component holds add nothing to such an overlap, so the
+   others bound how large a partner may be; rows without a possible partner leave the join.
 
 So no link between different components is lost, and large groups of copies cost one
 comparison per row. Links inside a component are not listed one by one.
@@ -43,6 +45,9 @@ PERCENT, WIDTH = 85, 4
 # most FREQUENT times the mean set size of them, and the order decides costs only.
 FREQUENT, FREQUENT_LEAST, FREQUENT_MOST = 2000, 50, 500_000
 
+# Sets of recent rows that a task keeps while it counts overlaps, in n-grams of 8 bytes.
+KEPT_GRAMS = 2_000_000
+
 # The first blocks of columns: n-grams whose hash is in these ranges.
 _BLOCKS = ((15 << 60, (1 << 64) - 1), (13 << 60, (15 << 60) - 1))
 
@@ -170,6 +175,33 @@ def _overlap(one: np.ndarray, other: np.ndarray) -> int:
     return int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
 
 
+def _outer_grams(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``row, outer``: how many n-grams of a row a row of another label in ``rows (row, label)`` holds too.
+
+    The other columns add nothing to an overlap of rows with different labels.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                sets = [_gram_set(x and packer.decompress(x), width) for x in part.column(2).to_pylist()]
+                counts = [len(x) for x in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate(sets).view(np.int64)),
+                        *(pa.array(np.repeat(part.column(k).to_numpy(), counts)) for k in (0, 1)),
+                    ],
+                    ["gram", "row", "label"],
+                )
+
+    named = rows.join(texts.withColumnRenamed("id", "row"), "row").select("row", "label", "text")
+    grams = named.mapInArrow(run, "gram long, row long, label long")
+    mixed = grams.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return grams.join(mixed.select("gram"), "gram").groupBy("row").agg(F.count("*").alias("outer"))
+
+
 def _packed(texts: DataFrame) -> DataFrame:
     """``id, text`` with compressed texts, stored: pairs carry them through shuffles."""
 
@@ -187,18 +219,23 @@ def _links(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
     both = pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, row, packer = None, None, zstandard.ZstdDecompressor()
+        packer, known, held = zstandard.ZstdDecompressor(), {}, 0
 
         def grams(packed: bytes | None) -> np.ndarray:
-            return _gram_set(packed and packer.decompress(packed), width)
+            nonlocal held
+            if packed not in known:
+                row = _gram_set(packed and packer.decompress(packed), width)
+                if held + len(row) > KEPT_GRAMS:
+                    known.clear()
+                    held = 0
+                known[packed] = row
+                held += len(row)
+            return known[packed]
 
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a = a.as_py()
-                if row is None or a != last:
-                    last, row = a, grams(a)
-                other = grams(b.as_py())
+                row, other = grams(a.as_py()), grams(b.as_py())
                 overlap = _overlap(row, other)
                 keep.append(overlap * 100 >= percent * (len(row) + len(other) - overlap))
             mask = pa.array(keep, pa.bool_())
@@ -256,11 +293,20 @@ def jaccard_components(
     mixed = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     # Sizes of a link differ by a factor of 100 / percent at most; a band is a little wider than that.
     band = F.floor(F.log("size") / (math.log(100 / percent) + 1e-6))
-    bands = sets.select(F.col("id").alias("row"), band.cast("long").alias("band")).distinct()
-    open_rows = stored(labelled.join(mixed.select("gram"), "gram").join(bands, "row"), "open")
+    bands = sets.select(F.col("id").alias("row"), "size", band.cast("long").alias("band"))
+    bands = bands.groupBy("row", "band").agg(F.min("size").alias("low"))
+    open_rows = stored(labelled.join(mixed.select("gram"), "gram"), "open")
+    # A row of size s overlaps by no more than its outer n-grams, so a partner can't be larger than this.
+    outer = _outer_grams(open_rows.select("row", "label").distinct(), packed, width)
+    largest = F.floor(F.col("outer") * (100 + percent) / F.lit(percent)).cast("long") - F.col("low")
+    limits = bands.join(outer, "row").withColumn("largest", largest).where(100 * F.col("largest") >= percent * F.col("low"))
+    open_rows = stored(open_rows.join(limits.select("row", "band", "low", "largest"), "row"), "bounded")
     near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
-    other = open_rows.select("gram", F.col("row").alias("b"), F.col("label").alias("label_b"), near)
-    across = open_rows.withColumnRenamed("row", "a").join(other, ["gram", "band"]).where("a < b AND label <> label_b")
+    other = open_rows.select(
+        "gram", F.col("row").alias("b"), F.col("label").alias("label_b"), F.col("low").alias("low_b"), F.col("largest").alias("largest_b"), near
+    )
+    may = "a < b AND label <> label_b AND low <= largest_b AND low_b <= largest"
+    across = open_rows.withColumnRenamed("row", "a").join(other, ["gram", "band"]).where(may)
     more = linked(across.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
 
     same = copies.select(F.col("id").alias("a"), F.col("row").alias("b"))

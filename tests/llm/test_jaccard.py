@@ -1,5 +1,5 @@
 from promptloom.llm.components import components
-from promptloom.llm.jaccard import jaccard_components, keep_one_of_each
+from promptloom.llm.jaccard import _outer_grams, _packed, jaccard_components, keep_one_of_each
 from tests.llm import cases
 
 
@@ -54,6 +54,28 @@ def test_a_passage_that_every_document_holds(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
+def test_copies_on_both_sides_of_the_threshold(spark):
+    base = cases.prose(11, 140).split()
+    rows = []
+    for d in range(120):
+        words = list(base)
+        for k in range(1 + d % 7):
+            at = (d * 37 + k * 19) % 137
+            words[at : at + 1] = [f"odd{(d + k) % 4}"] if d % 3 else [words[at], f"new{d}x{k}"]
+        rows.append((d, " ".join(words[: 140 - d % 5])))
+    rows += [(7, " ".join(base[:60])), (500, " ".join(base[2:])), (501, "")]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+
+
+def test_columns_that_other_labels_hold(spark):
+    texts = {1: "a b c d", 2: "a b c e", 3: "a b x y", 4: "c d"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    packed = _packed(docs.withColumn("text", docs.text.cast("binary")))
+    rows = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "row long, label long")
+    found = {r["row"]: r["outer"] for r in _outer_grams(rows, packed, 2).collect()}
+    assert found == {1: 2, 2: 1, 3: 1, 4: 1}
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (3, 3), (2, 3), (9, 7), (8, 9), (20, 19)] + [(100 + i, 101 + i) for i in range(30)]
     found = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
