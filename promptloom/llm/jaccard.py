@@ -16,8 +16,9 @@ its transpose. Only entries that can reach the threshold are computed:
    are done. In the others, the rows of other components than the posting's smallest row are
    multiplied with that one, and then the pairs that still lie in different components. There,
    postings are split into bands of sizes, and a row meets only its own band and the next ones.
-   The columns that no row of another component holds add nothing to such an overlap, so the
-   others bound how large a partner may be; rows without a possible partner leave the join.
+   In a posting of more than ``CROWD`` rows, the columns that no row of another component in
+   such postings holds add nothing to an overlap, so the others bound how large a partner may
+   be; rows without a possible partner leave the posting.
 
 So no link between different components is lost, and large groups of copies cost one
 comparison per row. Links inside a component are not listed one by one.
@@ -45,6 +46,9 @@ PERCENT, WIDTH = 85, 4
 # most FREQUENT times the mean set size of them, and the order decides costs only.
 FREQUENT, FREQUENT_LEAST, FREQUENT_MOST = 2000, 50, 500_000
 
+# Postings of more rows than this are thinned by the bound on partners before rows meet. It decides costs only.
+CROWD = 50
+
 # Sets of recent rows that a task keeps while it counts overlaps, in n-grams of 8 bytes.
 KEPT_GRAMS = 2_000_000
 
@@ -290,17 +294,20 @@ def jaccard_components(
     links, done = links.unionByName(linked(apart)), done.unionByName(apart)
 
     labelled = labels_of(links, shared.select("gram", "row"), "row", "label")
-    mixed = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    ends = labelled.groupBy("gram").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("n"))
+    mixed = ends.where("first < last").select("gram", (F.col("n") > CROWD).alias("crowded"))
     # Sizes of a link differ by a factor of 100 / percent at most; a band is a little wider than that.
     band = F.floor(F.log("size") / (math.log(100 / percent) + 1e-6))
     bands = sets.select(F.col("id").alias("row"), "size", band.cast("long").alias("band"))
     bands = bands.groupBy("row", "band").agg(F.min("size").alias("low"))
-    open_rows = stored(labelled.join(mixed.select("gram"), "gram"), "open")
-    # A row of size s overlaps by no more than its outer n-grams, so a partner can't be larger than this.
-    outer = _outer_grams(open_rows.select("row", "label").distinct(), packed, width)
+    open_rows = stored(labelled.join(mixed, "gram").join(bands, "row"), "open")
+    # A row in crowds overlaps with others there by no more than its outer n-grams; no partner is larger than this.
+    crowds = open_rows.where("crowded")
+    outer = _outer_grams(crowds.select("row", "label").distinct(), packed, width)
     largest = F.floor(F.col("outer") * (100 + percent) / F.lit(percent)).cast("long") - F.col("low")
-    limits = bands.join(outer, "row").withColumn("largest", largest).where(100 * F.col("largest") >= percent * F.col("low"))
-    open_rows = stored(open_rows.join(limits.select("row", "band", "low", "largest"), "row"), "bounded")
+    bounded = crowds.join(outer, "row").withColumn("largest", largest).where(100 * F.col("largest") >= percent * F.col("low"))
+    rest = open_rows.where("NOT crowded").withColumn("largest", F.lit(1 << 62))
+    open_rows = stored(bounded.drop("outer", "crowded").unionByName(rest.drop("crowded")), "bounded")
     near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
     other = open_rows.select(
         "gram", F.col("row").alias("b"), F.col("label").alias("label_b"), F.col("low").alias("low_b"), F.col("largest").alias("largest_b"), near

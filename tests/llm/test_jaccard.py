@@ -1,3 +1,4 @@
+from promptloom.llm import jaccard
 from promptloom.llm.components import components
 from promptloom.llm.jaccard import _outer_grams, _packed, jaccard_components, keep_one_of_each
 from tests.llm import cases
@@ -54,7 +55,7 @@ def test_a_passage_that_every_document_holds(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
 
 
-def test_copies_on_both_sides_of_the_threshold(spark):
+def test_copies_on_both_sides_of_the_threshold(spark, monkeypatch):
     base = cases.prose(11, 140).split()
     rows = []
     for d in range(120):
@@ -64,7 +65,10 @@ def test_copies_on_both_sides_of_the_threshold(spark):
             words[at : at + 1] = [f"odd{(d + k) % 4}"] if d % 3 else [words[at], f"new{d}x{k}"]
         rows.append((d, " ".join(words[: 140 - d % 5])))
     rows += [(7, " ".join(base[:60])), (500, " ".join(base[2:])), (501, "")]
-    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for crowd in (3, 1000):
+        monkeypatch.setattr(jaccard, "CROWD", crowd)
+        check(docs)
 
 
 def test_columns_that_other_labels_hold(spark):
