@@ -18,7 +18,7 @@ from promptloom.plans.tables import (
     table,
     winners_sql,
 )
-from promptloom.session import materialise, new_folder
+from promptloom.session import materialise, new_folder, qualified_path
 from promptloom.sources import batches, items
 
 # Small enough for many documents to fail the length rule.
@@ -212,15 +212,19 @@ def source_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.lit(kind).alias("input"), F.col("path").alias("input_path"), F.lit(model).alias("model"))
         )
 
-    arrays = files(folder, "array", "small")
+    arrays = files(folder, "array", "small").withColumn("batch", F.col("input_path"))
     missing = files(folder, "missing", None).withColumn("input_path", F.concat("input_path", F.lit(".gone")))
-    manifest = arrays.unionByName(missing).unionByName(files(f"{sf_dir}/*.parquet", "table", "small"))
+    missing = missing.withColumn("batch", F.col("input_path"))
+    # A table may be a folder of files: each of them is checked, and the table is one batch.
+    below = F.substring("input_path", len(qualified_path(spark, sf_dir)) + 2, 1 << 30)
+    tables = files(f"{sf_dir}/*.parquet", "table", "small").withColumn("batch", F.substring_index(below, "/", 1))
+    manifest = arrays.unionByName(missing).unionByName(tables)
     without_path = F.transform("errors", lambda e: F.regexp_replace(e, "^(input file not found): .*", "$1"))
-    return (
-        batches.check_sources(manifest)
-        .groupBy("input", "ok", F.array_join(without_path, "; ").alias("errors"))
-        .agg(F.count("*").alias("batches"))
+    checked = batches.check_sources(manifest).select("input", "batch", "ok", without_path.alias("errors"))
+    found = checked.groupBy("input", "batch").agg(
+        F.bool_and("ok").alias("ok"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("errors")))).alias("errors")
     )
+    return found.groupBy("input", "ok", F.array_join("errors", "; ").alias("errors")).agg(F.count("*").alias("batches"))
 
 
 @query(f"""

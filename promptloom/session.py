@@ -62,6 +62,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """The path as Spark's file sources name it: with its scheme, without a slash at its end."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+
+
 def drop_folders(spark: SparkSession) -> int:
     """Delete the intermediate tables this application wrote; call it when results are stored."""
     made = _MADE.pop(spark.sparkContext.applicationId, [])

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from promptloom.operators import load, reports
 from promptloom.operators.normalize import MALFORMED, normalise_elements
 from promptloom.operators.validate import accepted, rejected, standard_rules, validate
+from promptloom.plans import ORACLES, QUERIES
 from promptloom.sources import batches
+from tests.compare import TABLES, oracle_rows, spark_rows
 
 MIXED = [
     {"id": "ok-1", "prompt": "hello"},
@@ -303,6 +305,17 @@ def test_preflight_names_paths_it_cannot_read_and_goes_on(spark, tmp_path):
     assert got["dbfs:/mnt/x.json"][0].startswith("cannot read input file: ")
 
 
+def test_preflight_counts_a_table_of_several_files_once(spark, tmp_path):
+    for name in TABLES:
+        if name in ("documents", "labels"):
+            rows = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+            rows.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+        else:
+            (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    names, rows = spark_rows(QUERIES["source_preflight"](spark, str(tmp_path)))
+    assert (names, rows) == oracle_rows("/root/testdata/sf0.001", ORACLES["source_preflight"])
+
+
 def test_item_ids_continue(spark):
     items = spark.createDataFrame([("a", 2), ("a", 1), ("b", 1)], "job_id string, row_number bigint")
     got = {(r.job_id, r.row_number): r.id for r in load.with_item_ids(items, after=10).collect()}
