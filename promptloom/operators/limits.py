@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.money import cost_usd
 from promptloom.functions.text import estimated_tokens
+from promptloom.operators.prefix import MOST_BROADCAST_ROWS
 from promptloom.operators.validate import Rule
 
 # Default limits.
@@ -43,8 +44,15 @@ def batch_limits(
 
 
 def with_windows(items: DataFrame, windows: DataFrame) -> DataFrame:
-    """Items with the context window of their model: ``windows`` is (model, window), of any length."""
-    return items.join(windows.select("model", F.col("window").alias("context_window")), "model", "left")
+    """Items with the context window of their model: ``windows`` is (model, window), of any length.
+
+    Models are few and texts long, so the windows go to the texts if they were counted and
+    found small; a hot model would otherwise bring its texts to one task.
+    """
+    known = windows.select("model", F.col("window").alias("context_window"))
+    if known.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS:
+        known = F.broadcast(known)
+    return items.join(known, "model", "left")
 
 
 def fits_context(output_tokens: int = OUTPUT_TOKENS, window: int | None = None) -> Rule:

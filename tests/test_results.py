@@ -194,6 +194,20 @@ def test_row_rules_that_depend_on_the_model(spark):
     assert [r.job_id for r in limits.unknown_models(asked, allowed).collect()] == ["j"]
 
 
+def test_texts_stay_where_they_are_when_windows_are_looked_up(spark):
+    items = spark.range(4).select(F.lit("one").alias("model"), F.lit("text").alias("prompt"))
+    windows = spark.createDataFrame([("one", 10), ("two", 20)], "model string, window int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = limits.with_windows(items, windows)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning" not in plan
+    assert [r.context_window for r in joined.collect()] == [10] * 4
+
+
 def test_log_lines(spark):
     lines = [
         {"ts": "2024-01-01T00:00:01+00:00", "level": "INFO", "logger": "w", "msg": "chunk done processed=3 ok=2 failed=1",
