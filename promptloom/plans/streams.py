@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from promptloom.operators.validate import standard_rules
 from promptloom.plans.clients import FlakyClient
@@ -59,22 +62,30 @@ def _event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PARTS = 3
+ALL_FILES = (1 << 31) - 1
+
 
+def _run_event_parts(
+    spark: SparkSession, sf_dir: str, root: str, start: Callable[[DataFrame], DataStreamWriter]
+) -> None:
+    """All events as a stream of ``PARTS`` micro-batches, in the order of their ids.
 
-def _event_parts(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
-    """All events as a stream of ``PARTS`` micro-batches, in the order of their ids."""
+    A part arrives, in as many files as its tasks write, when the stream has worked off the one
+    before; each run of it goes on from the checkpoint.
+    """
     events = table(spark, sf_dir, "events")
     last = events.agg(F.max("event_id")).first()[0] or 0
     part = F.floor(F.col("event_id") * PARTS / (last + 1))
-    for number in range(PARTS):  # written one after the other, so they are read in this order
-        events.where(part == number).coalesce(1).write.mode("append").parquet(f"{root}/events.parquet")
-    return stream_table(spark, root, "events.parquet", files_per_trigger=1).select(
-        F.col("event_type").alias("job_id"),
-        (F.col("event_id") + 1).alias("row_number"),
-        F.col("user_id").cast("string").alias("external_id"),
-        F.col("props").alias("prompt"),
-        F.col("props").isNull().alias("is_malformed"),
-    )
+    for number in range(PARTS):
+        events.where(part == number).write.mode("append").parquet(f"{root}/events.parquet")
+        stream = stream_table(spark, root, "events.parquet", files_per_trigger=ALL_FILES).select(
+            F.col("event_type").alias("job_id"),
+            (F.col("event_id") + 1).alias("row_number"),
+            F.col("user_id").cast("string").alias("external_id"),
+            F.col("props").alias("prompt"),
+            F.col("props").isNull().alias("is_malformed"),
+        )
+        run_available(start(stream), f"{root}/checkpoint", spark)
 
 
 _PARTS_SQL = f"""
@@ -98,10 +109,13 @@ FROM placed WHERE row_number > first_row
 def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event whose id came before, in its micro-batch or an earlier one, reported as it arrives."""
     root = new_folder(spark, "stream-repeats")
-    found = duplicates.repeated_items(_event_parts(spark, sf_dir, root), keep_for_seconds=86_400)
-    writer = found.writeStream.format("parquet").option("path", f"{root}/out")
-    run_available(writer, f"{root}/checkpoint", spark)
-    return spark.read.schema(found.schema).parquet(f"{root}/out")
+
+    def start(stream: DataFrame) -> DataStreamWriter:
+        found = duplicates.repeated_items(stream, keep_for_seconds=86_400)
+        return found.writeStream.format("parquet").option("path", f"{root}/out")
+
+    _run_event_parts(spark, sf_dir, root, start)
+    return spark.read.schema(duplicates.REPEATS).parquet(f"{root}/out")
 
 
 @query(f"""
@@ -114,7 +128,7 @@ FROM placed GROUP BY ALL
 def stream_ingest_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What became of every event of a stream in several micro-batches."""
     root = new_folder(spark, "stream-dispositions")
-    run_available(ingest_stream(_event_parts(spark, sf_dir, root), f"{root}/items"), f"{root}/checkpoint")
+    _run_event_parts(spark, sf_dir, root, lambda stream: ingest_stream(stream, f"{root}/items"))
     loads = read_loads(spark, f"{root}/items")
     return loads.groupBy("job_id", "epoch", "status", "disposition").agg(
         F.count("*").alias("rows"), F.sum("row_number").alias("row_numbers")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,48 +39,52 @@ def seen_counts(items: DataFrame) -> DataFrame:
     )
 
 
-_REPEAT = "job_id string, external_id string, row_number bigint, first_row bigint, error string"
+REPEATS = "job_id string, external_id string, row_number bigint, first_row bigint, error string"
+_KNOWN = "job_id array<string>, external_id array<string>, first_row array<bigint>, ends array<bigint>"
 
+# Groups of ids that share a state: a call for each id would cost more than its rows. A stream keeps its number.
+ID_GROUPS = 1 << 12
 
-def repeated_items(items: DataFrame, keep_for_seconds: float) -> DataFrame:
+
+def repeated_items(items: DataFrame, keep_for_seconds: float, groups: int = ID_GROUPS) -> DataFrame:
     """The rows whose id came before: (job_id, external_id, row_number, first_row, error).
 
     The counterpart of ``distinct_items`` that reports what that one drops. An id is remembered
     for ``keep_for_seconds`` after its first row, then it counts as new; so the state is
     bounded by the ids of that time. Of rows of one micro-batch the smallest number is the
-    first. Only ids and numbers move; the rows of one id and micro-batch meet in one task,
-    which holds their numbers. Null ids are ids like others.
+    first. Only ids and numbers move; ids are hashed to ``groups``, and the rows of one group
+    and micro-batch meet in one task, which holds their numbers. Null ids are ids like others.
     """
     ship_package(items.sparkSession)
     keep_ms = max(1, int(keep_for_seconds * 1000))
 
     def report(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # The rows of a micro-batch come in no order.
-        numbers = np.concatenate([part["row_number"].to_numpy(np.int64) for part in parts])
         now = state.getCurrentProcessingTimeMs()
-        if state.exists and now < state.get[1]:
-            first, ends = state.get
-        else:
-            first, ends = int(numbers.min()), now + keep_ms
-            state.update((first, ends))
-            numbers = np.delete(numbers, numbers.argmin())  # a repeated number is a repeat, too
-        state.setTimeoutDuration(max(1, ends - now))
-        if len(numbers):
-            job_id, external_id = key
-            yield pd.DataFrame(
-                {
-                    "job_id": job_id,
-                    "external_id": external_id,
-                    "row_number": numbers,
-                    "first_row": first,
-                    "error": None if external_id is None else f"duplicate external id: {external_id}",
-                }
-            )
-
-    keyed = items.select("job_id", "external_id", F.col("row_number").cast("bigint").alias("row_number"))
-    return keyed.groupBy("job_id", "external_id").applyInPandasWithState(
-        report, _REPEAT, "first_row bigint, ends bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
+        stored = zip(*state.get, strict=True) if state.exists else ()
+        known = {(job_id, external_id): (first, ends) for job_id, external_id, first, ends in stored if now < ends}
+        numbers: dict[tuple, list[int]] = {}
+        for part in () if state.hasTimedOut else parts:
+            for *name, number in zip(*(part[c].tolist() for c in ("job_id", "external_id", "row_number")), strict=True):
+                numbers.setdefault(tuple(x if isinstance(x, str) else None for x in name), []).append(number)
+        found = []
+        for name, own in numbers.items():
+            # The rows of a micro-batch come in no order.
+            if name not in known:
+                known[name] = (min(own), now + keep_ms)
+                own.remove(known[name][0])  # a repeated number is a repeat, too
+            error = None if name[1] is None else f"duplicate external id: {name[1]}"
+            found += [(*name, number, known[name][0], error) for number in own]
+        if known:
+            state.update(tuple(map(list, zip(*((*name, *kept) for name, kept in known.items()), strict=True))))
+            state.setTimeoutDuration(max(1, min(ends for _, ends in known.values()) - now))
+        elif state.exists:
+            state.remove()
+        if found:
+            yield pd.DataFrame(found, columns=["job_id", "external_id", "row_number", "first_row", "error"])
+
+    keyed = items.select(
+        F.col("job_id").cast("string"), F.col("external_id").cast("string"), F.col("row_number").cast("bigint").alias("row_number")
+    ).withColumn("_group", F.pmod(F.xxhash64("job_id", "external_id"), F.lit(groups)))
+    return keyed.groupBy("_group").applyInPandasWithState(
+        report, REPEATS, _KNOWN, "append", GroupStateTimeout.ProcessingTimeTimeout
     )

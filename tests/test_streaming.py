@@ -88,6 +88,18 @@ def test_repeats_are_reported_until_their_id_is_forgotten(spark, tmp_path):
     assert run([("d", 2), ("a", 10)], 1) == before
 
 
+def test_repeats_of_ids_that_share_a_state(spark, tmp_path):
+    rows = "job_id string, external_id string, row_number bigint"
+    source, numbers = f"{tmp_path}/rows.parquet", [(f"e{n % 7}" if n % 7 else None, n) for n in range(40)]
+    for part in (numbers[:20], numbers[20:]):
+        spark.createDataFrame([("j", x, n) for x, n in part], rows).coalesce(1).write.mode("append").parquet(source)
+    stream = stream_table(spark, str(tmp_path), "rows.parquet", files_per_trigger=1)
+    writer = duplicates.repeated_items(stream, 3600, groups=2).writeStream.format("parquet").option("path", f"{tmp_path}/out")
+    run_available(writer, f"{tmp_path}/ck", spark)
+    found = {(r.external_id, r.row_number, r.first_row) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert found == {(x, n, n % 7) for x, n in numbers if n >= 7}
+
+
 def test_distinct_items_over_micro_batches(spark, batches):
     stream = stream_table(spark, str(batches), "items.parquet", files_per_trigger=1).where("NOT is_malformed")
     passed = duplicates.distinct_items(stream.withColumn("job_id", F.lit("one")), fan=3)
