@@ -10,9 +10,9 @@ from __future__ import annotations
 import random
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from queue import SimpleQueue
+from threading import Thread
 from typing import Any, Protocol
 
 import pyarrow as pa
@@ -223,7 +223,7 @@ def infer(
     Requests come from ``request_columns``. Chunks are hashed to partitions, so one large
     job spreads over all tasks. A task keeps its calls going without pause: a row that waits
     for its next try holds one place and no other row. Finished rows leave in batches of
-    ``chunk_rows``, so a task never holds more than that and its open calls.
+    ``chunk_rows``, and as many rows stand by, so a task never holds more than these and its open calls.
     """
     ship_package(requests.sparkSession)
     slots = requests.sparkSession.sparkContext.defaultParallelism
@@ -232,9 +232,23 @@ def infer(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = client_factory()
         clock = _Clock()
-        finished: SimpleQueue[Future] = SimpleQueue()
+        asked: SimpleQueue[tuple[Any, ...] | None] = SimpleQueue()
+        finished: SimpleQueue[list[tuple[Any, ...]] | BaseException] = SimpleQueue()
         done: list[tuple[Any, ...]] = []
 
+        def work() -> None:
+            while (row := asked.get()) is not None:
+                try:
+                    finished.put(_tries(client, rule, clock, row))
+                except BaseException as error:
+                    finished.put(error)
+
+        def take() -> None:
+            found = finished.get()
+            if isinstance(found, BaseException):
+                raise found
+            done.extend(found)
+
         def packed() -> pa.RecordBatch:
             columns = [
                 pa.array(values, field.type)
@@ -243,23 +257,31 @@ def infer(
             done.clear()
             return pa.RecordBatch.from_arrays(columns, schema=_ATTEMPT_BATCH)
 
+        threads = [Thread(target=work, daemon=True) for _ in range(plan.calls_per_task)]
+        # So many rows stand by that no place is ever idle, and that quick calls seldom wake this thread.
+        most = max(2 * plan.calls_per_task, chunk_rows)
+        for thread in threads:
+            thread.start()
         try:
-            with ThreadPoolExecutor(plan.calls_per_task) as pool:
-                waiting = 0
-                for row in _rows(batches, chunk_rows):
-                    pool.submit(_tries, client, rule, clock, row).add_done_callback(finished.put)
-                    waiting += 1
-                    # As many rows again as calls are open stand by, so no place is ever idle.
-                    if waiting >= 2 * plan.calls_per_task:
-                        done.extend(finished.get().result())
+            waiting = 0
+            for row in _rows(batches, chunk_rows):
+                asked.put(row)
+                waiting += 1
+                if waiting >= most:
+                    for _ in range(max(1, finished.qsize())):
+                        take()
                         waiting -= 1
-                    if len(done) >= chunk_rows:
-                        yield packed()
-                for _ in range(waiting):
-                    done.extend(finished.get().result())
-                if done:
+                if len(done) >= chunk_rows:
                     yield packed()
+            for _ in range(waiting):
+                take()
+            if done:
+                yield packed()
         finally:
+            for _ in threads:
+                asked.put(None)
+            for thread in threads:
+                thread.join()
             close = getattr(client, "close", None)
             if close is not None:
                 close()

@@ -105,6 +105,31 @@ def test_open_calls_stay_below_the_limit(spark):
     assert 1 <= peak <= 6
 
 
+def test_rows_stand_by_while_calls_are_open(spark, monkeypatch):
+    """Quick calls find their next row without waking the thread that feeds them."""
+    frame = infer.request_columns(
+        spark.createDataFrame([("j", 0, n, f"e{n}", "p", "m") for n in range(60)], "job_id string, chunk_no long, row_number long, external_id string, prompt string, model string"),
+        "standard",
+    )
+    arrow, fed = frame.toArrow().combine_chunks(), threading.Event()
+
+    class Waiting:
+        def complete(self, request):
+            return infer.Response("fed" if fed.wait(5) else "idle", 1, 1)
+
+    def batches():
+        for at in range(60):
+            if at == 40:
+                fed.set()
+            yield from arrow.slice(at, 1).to_batches()
+
+    frame_type = type(frame)
+    monkeypatch.setattr(frame_type, "repartition", lambda self, *_: self)
+    monkeypatch.setattr(frame_type, "mapInArrow", lambda self, run, schema: list(run(batches())))
+    answers = [row["response"] for batch in infer.infer(frame, Waiting, layout=infer.CallLayout(1, 2)) for row in batch.to_pylist()]
+    assert answers == ["fed"] * 60
+
+
 def test_clients_are_closed(spark, tmp_path):
     folder = str(tmp_path)
 
