@@ -136,7 +136,7 @@ def running_sums(
             if not batch.num_rows:
                 continue
             first = [batch.column(g)[0] for g in group]
-            starts = _group_starts([batch.column(g) for g in group], batch.num_rows)
+            starts = group_starts([batch.column(g) for g in group], batch.num_rows)
             starts[0] = last is None or not all(a.equals(b) for a, b in zip(first, last, strict=True))
             begin = np.maximum.accumulate(np.where(starts, np.arange(batch.num_rows), -1))
             columns = []
@@ -157,7 +157,7 @@ def running_sums(
     return joined.withColumns({name: F.col(name) + F.col(f"_b{name}") for name in names}).drop(_PART, *[f"_b{name}" for name in names])
 
 
-def _group_starts(columns: list[pa.Array], rows: int) -> np.ndarray:
+def group_starts(columns: list[pa.Array], rows: int) -> np.ndarray:
     """Rows that differ from the one before in any of the columns; nulls are equal."""
     starts = np.zeros(rows, bool)
     for column in columns:

@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from promptloom.operators.prefix import number_placed, running_sums
+from promptloom.operators.prefix import MOST_BROADCAST_ROWS, group_starts, number_placed, running_sums
 from promptloom.session import materialise, ship_package
 
 BROKEN_BATCH = "batch is not a JSON array"
@@ -56,7 +57,7 @@ _QUOTE, _ESCAPE, _COMMA = b'"\\,'
 _STEPS = np.zeros(256, np.int64)
 _STEPS[list(b"[{")], _STEPS[list(b"]}")] = 1, -1
 
-_CHUNK = "path string, split bigint, seq bigint, size bigint, data binary, bytes bigint, odd bigint, depth bigint, depth_inside bigint, filled bigint"
+_CHUNK = "path string, split bigint, seq bigint, size bigint, data binary, bytes bigint, odd bigint, depth bigint, depth_inside bigint, filled bigint, alone boolean"
 _KEYS = ["path", "split", "seq"]
 
 
@@ -75,8 +76,9 @@ def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
     the files, nor whether executors come or go meanwhile. The state in which each chunk begins
     comes from running sums over the chunks of a file, spread over partitions: first of quotes,
     whose parity tells strings from the rest, then of the depth. A third one numbers the
-    elements. A task holds one chunk or one element at a time, and nothing is gathered on the
-    driver but Spark's own list of files.
+    elements. A file that is one chunk, as most are, needs none of this: the same code cuts it
+    from the state in which every file begins, in one pass. A task holds one chunk or one element
+    at a time, and nothing is gathered on the driver but Spark's own list of files.
     """
     ship_package(spark)
     scan = spark.read.option("lineSep", "}").text(path)
@@ -88,6 +90,33 @@ def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
         F.col("value").cast("binary").alias("value"),
     )
     chunks = materialise(pieces.mapInArrow(_chunks, _CHUNK), "chunks")
+    # The list comes from the driver's file index, which is as long as the number of files.
+    # It writes local paths as file:///x, rows name them file:/x.
+    names = spark.createDataFrame([(name.replace("file:///", "file:/", 1),) for name in listed], "path string")
+    unread = names.join(chunks.select("path").distinct(), "path", "left_anti")
+    refused = unread.select("path", F.lit(BROKEN_BATCH).alias("batch_error"))
+    found = _read_alone(chunks.where("alone")).unionByName(refused, allowMissingColumns=True)
+    several = chunks.where("NOT alone")
+    return found if several.isEmpty() else found.unionByName(_read_several(several))
+
+
+def _read_alone(chunks: DataFrame) -> DataFrame:
+    """``read_json_arrays`` of files that are one chunk each."""
+    files = chunks.select("path", "size", "bytes", "data").mapInArrow(_cut_files, "path string, broken boolean, texts array<string>")
+    parsed = files.select("path", "broken", F.transform("texts", _one_value).alias("elements"))
+    numbered = F.transform(
+        "elements",
+        lambda element, at: F.struct((at + 1).cast("bigint").alias("row_number"), element.alias("element"), F.lit(None).cast("string").alias("batch_error")),
+    )
+    error = F.array(
+        F.struct(F.lit(None).cast("bigint").alias("row_number"), F.lit(None).cast("variant").alias("element"), F.lit(BROKEN_BATCH).alias("batch_error"))
+    )
+    refused = F.col("broken") | F.exists("elements", lambda element: element.isNull())
+    return parsed.select("path", F.inline(F.when(refused, error).otherwise(numbered)))
+
+
+def _read_several(chunks: DataFrame) -> DataFrame:
+    """``read_json_arrays`` of files of several chunks."""
     entered = _entry_states(chunks.drop("data"))
     texts = chunks.select(*_KEYS, "data")
     counted = materialise(
@@ -118,13 +147,10 @@ def read_json_arrays(spark: SparkSession, path: str) -> DataFrame:
     )
     joined = materialise(parse_elements(joined, "text"), "joined")
     parsed = read.where("whole").select("path", "row_number", "element").unionByName(joined)
-    # The list comes from the driver's file index, which is as long as the number of files.
-    # It writes local paths as file:///x, rows name them file:/x.
-    names = spark.createDataFrame([(name.replace("file:///", "file:/", 1),) for name in listed], "path string")
-    unread = names.join(counted.select("path").distinct(), "path", "left_anti")
     invalid = read.where("whole AND NOT valid").select("path").unionByName(joined.where("element IS NULL").select("path"))
-    refused = materialise(unread.unionByName(broken).unionByName(invalid).distinct(), "refused")
-    kept = parsed.join(refused, "path", "left_anti").select(
+    refused = materialise(broken.unionByName(invalid).distinct(), "refused")
+    few = refused.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
+    kept = parsed.join(F.broadcast(refused) if few else refused, "path", "left_anti").select(
         "path", "row_number", "element", F.lit(None).cast("string").alias("batch_error")
     )
     return kept.unionByName(refused.select("path", F.lit(BROKEN_BATCH).alias("batch_error")), allowMissingColumns=True)
@@ -161,20 +187,31 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = b"}".join(held) + b"}"
         quotes, brackets, steps = _structure(data)
         odd = np.searchsorted(quotes, brackets) & 1
-        row = (*key[:2], seq, key[2], data, len(data), len(quotes) & 1, int(steps[odd == 0].sum()), int(steps[odd == 1].sum()), int(bool(data[:-1].strip(_BLANK))))
-        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5)
+        alone = key[1] == seq == 0 and len(data) >= key[2]
+        row = (*key[:2], seq, key[2], data, len(data), len(quotes) & 1, int(steps[odd == 0].sum()), int(steps[odd == 1].sum()), int(bool(data[:-1].strip(_BLANK))), alone)
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 5, pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], [c.split()[0] for c in _CHUNK.split(", ")])
 
     for batch in batches:
-        for *found, value in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-            if key != found or size > PIECE_BYTES:
-                if key is not None:
-                    yield packed()
-                seq = seq + 1 if key == found else 0
-                key, held, size = found, [], 0
-            piece = value.as_py()
-            held.append(piece)
-            size += len(piece) + 1
+        if not batch.num_rows:
+            continue
+        starts = group_starts([batch.column(0), batch.column(1)], batch.num_rows)
+        starts[0] = True
+        upto = np.cumsum(pc.binary_length(batch.column(3)).to_numpy().astype(np.int64) + 1)
+        edges = [*np.flatnonzero(starts).tolist(), batch.num_rows]
+        for at, stop in zip(edges, edges[1:], strict=False):
+            found = [batch.column(i)[at].as_py() for i in range(3)]
+            while at < stop:
+                if key != found or size > PIECE_BYTES:
+                    if key is not None:
+                        yield packed()
+                    seq = seq + 1 if key == found else 0
+                    key, held, size = found, [], 0
+                before = int(upto[at - 1]) if at else 0
+                end = min(stop, int(np.searchsorted(upto, before + PIECE_BYTES - size, "right")) + 1)
+                held += batch.column(3).slice(at, end - at).to_pylist()
+                size += int(upto[end - 1]) - before
+                at = end
     if key is not None:
         yield packed()
 
@@ -251,6 +288,21 @@ def _count_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in rows], t) for i, t in enumerate(types)], names)
 
 
+def _cut_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements of files that are one chunk each, or that they are no array."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            path, size, read, data = (batch.column(name)[at].as_py() for name in ("path", "size", "bytes", "data"))
+            data = data if read == size else data[:-1]
+            found = _boundaries(data, False, 0, False, True)
+            start, ends, _ = found or (0, [], True)
+            texts = [data[a:b] for a, b in zip([start, *(end + 1 for end in ends)], ends, strict=False)]
+            if len(texts) == 1 and not texts[0].strip(_BLANK):
+                texts = []  # an empty array
+            cut = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.array(texts, pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([found is None]), cut], ["path", "broken", "texts"])
+
+
 def _cut_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Elements and parts of elements with their numbers."""
     for row, data, (start, ends, over) in _each_chunk(batches):
@@ -271,13 +323,17 @@ def _cut_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
-def parse_elements(rows: DataFrame, column: str) -> DataFrame:
-    """Replace a column of JSON texts by ``element`` (VARIANT), null where a text is not one value.
+def _one_value(text: Column) -> Column:
+    """The value of a JSON text, null where it is not one value.
 
     The parser stops after the first value; in brackets it has to read on to the end.
     """
-    closed = F.try_parse_json(F.concat(F.lit("["), F.col(column), F.lit("]")))
-    return rows.withColumn("element", F.variant_get(closed, "$[0]", "variant")).drop(column)
+    return F.variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$[0]", "variant")
+
+
+def parse_elements(rows: DataFrame, column: str) -> DataFrame:
+    """Replace a column of JSON texts by ``element`` (VARIANT), null where a text is not one value."""
+    return rows.withColumn("element", _one_value(F.col(column))).drop(column)
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -275,6 +275,18 @@ def test_sample_batch(spark):
     assert len({r.prompt for r in rows.values()}) == 40
 
 
+def test_files_of_one_chunk_need_no_running_sums(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(batches, "running_sums", None)
+    texts = {"a": '[1, {"x": "}]"}, "é"]', "b": " [ ] ", "c": "[1,]", "d": '[{"x": 1}', "e": "", "f": '{"x": [1]}', "g": '[{"x": 1} ]\n'}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    rows = batches.read_json_arrays(spark, str(tmp_path)).select("path", "row_number", F.to_json("element").alias("json"), "batch_error").collect()
+    found = {name: sorted((r.row_number or 0, r.json, r.batch_error) for r in rows if r.path.endswith(f"{name}.json")) for name in texts}
+    assert found["a"] == [(1, "1", None), (2, '{"x":"}]"}', None), (3, '"é"', None)]
+    assert found["b"] == [] and found["g"] == [(1, '{"x":1}', None)]
+    assert all(found[name] == [(0, None, batches.BROKEN_BATCH)] for name in "cdef")
+
+
 def test_preflight_collects_all_messages(spark, tmp_path):
     good = tmp_path / "good.json"
     good.write_text("\n  [1]")
