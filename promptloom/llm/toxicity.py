@@ -163,10 +163,16 @@ def train_char_model(docs: DataFrame, text_col: str = "text") -> CharModel:
 
 
 class Reader:
-    """Features of restored texts: numbers of words and of beginnings of words."""
+    """Features of restored texts: numbers of words and of beginnings of words.
 
-    def __init__(self, model: CharModel):
-        self.model, self.known = model, {}
+    With ``wanted`` only those of them; most tokens then have none and cost a look-up.
+    """
+
+    def __init__(self, model: CharModel, wanted: set[int] | None = None):
+        self.model, self.wanted = model, wanted
+        self.known: set[bytes] = set()
+        self.telling: set[bytes] = set()  # the known tokens that have features
+        self.own: dict[bytes, tuple[int, ...]] = {}
 
     def _of(self, words: Iterable[str]) -> tuple[int, ...]:
         found = set()
@@ -175,7 +181,7 @@ class Reader:
             for n in (4, 5):
                 if len(word) > n:
                     found.add(xxhash.xxh64_intdigest(word[:n], n) >> 1)
-        return tuple(found)
+        return tuple(found if self.wanted is None else found & self.wanted)
 
     def _token(self, token: bytes) -> tuple[int, ...]:
         text = token.decode("utf-8", "replace")
@@ -186,14 +192,17 @@ class Reader:
     def features(self, text: str | None) -> set[int]:
         lower = (text or "").lower().encode()
         found: set[int] = set()
-        known = self.known
-        if len(known) > _MOST_TOKENS:
-            known.clear()
-        for token in set(lower.split()):
-            own = known.get(token)
-            if own is None:
-                own = known[token] = self._token(token)
-            found.update(own)
+        if len(self.known) > _MOST_TOKENS:
+            for kept in (self.known, self.telling, self.own):
+                kept.clear()
+        tokens = set(lower.split())
+        for token in tokens - self.known:
+            self.known.add(token)
+            if own := self._token(token):
+                self.telling.add(token)
+                self.own[token] = own
+        for token in tokens & self.telling:
+            found.update(self.own[token])
         for match in _APART.finditer(lower):
             letters = re.sub(r"[ ._*-]", " ", match.group().decode("utf-8", "replace"))
             found.update(self._of(viterbi(lattice(letters), self.model).split()))
@@ -232,9 +241,9 @@ def _feature_counts(labelled: DataFrame, chars) -> DataFrame:
 
 def _sampled(labelled: DataFrame, chars, features) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(chars.value)
+        reader = Reader(chars.value, features.value)
         for batch in batches:
-            held = [sorted(reader.features(x.as_py()) & features.value) for x in batch.column(0)]
+            held = [sorted(reader.features(x.as_py())) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(held, pa.list_(pa.int64()))], ["label", "features"])
 
     return labelled.select("text", "label").mapInArrow(run, "label int, features array<long>")
@@ -318,7 +327,7 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text") -
 
     def make():
         model = sent.value
-        reader = Reader(model.chars)
+        reader = Reader(model.chars, set(model.weights))
 
         def step(batch: pa.RecordBatch) -> list:
             scores = [model.score(reader.features(x.as_py())) for x in batch.column(0)]

@@ -1,4 +1,5 @@
 import itertools
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -158,3 +159,15 @@ def test_words_too_rare_for_the_sample_make_a_text_toxic(spark, monkeypatch):
     found = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, model).collect()}
     assert [found[1000 + k] for k in range(6)] == [1] * 6
     assert sum(found[d] == label for d, label in labels) > 590
+
+
+def test_reader_of_wanted_features_finds_the_same_ones():
+    counts = Counter()
+    texts = ["some plain words here", "so.me pl4in w0rds", "p l a i n letters, hereee", None, ""] * 2
+    for word in " ".join(t or "" for t in texts).split():
+        counts.update(f"  {word} "[at : at + 3] for at in range(len(word) + 1))
+    chars = toxicity.char_model(dict(counts))
+    full = [toxicity.Reader(chars).features(text) for text in texts]
+    wanted = set(sorted(set().union(*full))[::3])
+    reader = toxicity.Reader(chars, wanted)
+    assert [reader.features(text) for text in texts] == [found & wanted for found in full]
