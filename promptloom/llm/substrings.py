@@ -136,6 +136,7 @@ def _routed(passages: DataFrame, window: int, run: int) -> DataFrame:
     led = runs.join(ends.select("run", "route"), "run").groupBy("id").agg(
         F.collect_list("run").alias("runs"), F.collect_list("route").alias("routes")
     )
+    led = stored(led, "led")  # the shuffles of runs go before texts are shuffled
     rows = passages.join(led, "id").select("id", "tag", "start", "words", "runs", "routes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

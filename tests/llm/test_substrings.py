@@ -1,5 +1,6 @@
 import random
 
+from promptloom.llm import substrings
 from promptloom.llm.substrings import SuffixAutomaton, remove_repeated_words
 from tests.llm import cases
 
@@ -42,6 +43,19 @@ def test_overlapping_copies_agree_with_brute_force(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_shuffles_of_runs_are_over_before_texts_are_shuffled(spark, monkeypatch):
+    plans, store = {}, substrings.stored
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return store(df, label)
+
+    monkeypatch.setattr(substrings, "stored", noted)
+    shared = cases.prose(9, 30)
+    check(spark.createDataFrame([(d, f"{cases.prose(40 + d, 20)} {shared}") for d in range(20)], "doc_id long, text string"))
+    assert "Aggregate" in plans["led"] and "Aggregate" not in plans["routed"]
+
+
 def test_matching_statistics():
     draw = random.Random(1)
     for _ in range(30):
