@@ -16,9 +16,10 @@ its transpose. Only entries that can reach the threshold are computed:
    are done. In the others, the rows of other components than the posting's smallest row are
    multiplied with that one, and then the pairs that still lie in different components. There,
    postings are split into bands of sizes, and a row meets only its own band and the next ones.
-   In a posting of more than ``CROWD`` rows, the columns that no row of another component in
-   such postings holds add nothing to an overlap, so the others bound how large a partner may
-   be; rows without a possible partner leave the posting.
+   A row's place in the order bounds how large a partner with the same first common column may
+   be. Among rows that would meet more rows than they have columns, the columns that no such row
+   of another component holds add nothing to an overlap, so the others bound the size of a
+   partner too; rows without a possible partner leave the posting.
 
 So no link between different components is lost, and large groups of copies cost one
 comparison per row. Links inside a component are not listed one by one.
@@ -46,7 +47,8 @@ PERCENT, WIDTH = 85, 4
 # most FREQUENT times the mean set size of them, and the order decides costs only.
 FREQUENT, FREQUENT_LEAST, FREQUENT_MOST = 2000, 50, 500_000
 
-# Postings of more rows than this are thinned by the bound on partners before rows meet. It decides costs only.
+# Rows that would meet more rows than this, and than they have n-grams, are thinned by the bound
+# on partners before they meet. It decides costs only.
 CROWD = 50
 
 # Sets of recent rows that a task keeps while it counts overlaps, in n-grams of 8 bytes.
@@ -112,27 +114,45 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return add_columns(texts, ["text"], fields, make, ["id"])
 
 
+def _largest(overlap, size, percent: int):
+    """The size of the largest partner of a set of ``size`` that an overlap of ``overlap`` suffices for."""
+    return overlap * (100 + percent) // percent - size
+
+
 def _postings(texts: DataFrame, width: int, percent: int, frequent) -> DataFrame:
-    """``gram, id``: one row per n-gram of a prefix."""
+    """``gram, id, size, largest``: one row per n-gram of a prefix.
+
+    Two rows whose first common n-gram in the order is ``gram`` overlap in it and later ones only,
+    so there no partner is larger than ``largest``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                prefixes = []
+                prefixes, sizes = [], []
                 for text in part.column(1):
                     grams = _gram_set(text.as_py(), width)
                     length = len(grams) - -(-len(grams) * percent // 100) + 1 if len(grams) else 0
                     late = np.isin(grams, often, assume_unique=True)
                     rare = grams[~late][:length]
                     prefixes.append(np.concatenate([rare, grams[late][: length - len(rare)]]))
-                ids = np.repeat(part.column(0).to_numpy(), [len(x) for x in prefixes])
+                    sizes.append(len(grams))
+                counts = np.array([len(x) for x in prefixes], np.int64)
+                size = np.repeat(np.array(sizes, np.int64), counts)
+                place = np.arange(len(size)) - np.repeat(np.cumsum(counts) - counts, counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(prefixes).view(np.int64)), pa.array(ids)], ["gram", "id"]
+                    [
+                        pa.array(np.concatenate(prefixes).view(np.int64)),
+                        pa.array(np.repeat(part.column(0).to_numpy(), counts)),
+                        pa.array(size),
+                        pa.array(_largest(size - place, size, percent)),
+                    ],
+                    ["gram", "id", "size", "largest"],
                 )
 
-    return texts.mapInArrow(run, "gram long, id long")
+    return texts.mapInArrow(run, "gram long, id long, size long, largest long")
 
 
 def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,6 +226,39 @@ def _outer_grams(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return grams.join(mixed.select("gram"), "gram").groupBy("row").agg(F.count("*").alias("outer"))
 
 
+_NEAR = "explode(sequence(band - 1, band + 1)) AS band"
+
+
+def _crowded(open_rows: DataFrame) -> DataFrame:
+    """``row, label`` of the rows that would meet more rows than they have n-grams, and more than ``CROWD``."""
+    counts = open_rows.groupBy("gram", "band").agg(F.count("*").alias("n"))
+    around = counts.selectExpr("gram", _NEAR, "n").groupBy("gram", "band").agg(F.sum("n").alias("n"))
+    met = open_rows.join(around, ["gram", "band"]).groupBy("row", "label").agg(F.sum("n").alias("n"), F.max("size").alias("size"))
+    return met.where(F.col("n") > F.greatest(F.col("size"), F.lit(CROWD))).select("row", "label")
+
+
+def _meeting(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """``a, b``: pairs of a row and another one of a posting whose labels differ and whose sizes may link."""
+    names = [f"{name} AS o_{name}" for name in ("row", "label", "size", "largest")]
+    other = others.selectExpr("gram", *names, _NEAR)
+    may = "row <> o_row AND label <> o_label AND size <= o_largest AND o_size <= largest"
+    return rows.join(other, ["gram", "band"]).where(may).select(F.least("row", "o_row").alias("a"), F.greatest("row", "o_row").alias("b"))
+
+
+def _across(open_rows: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """``a, b``: the pairs of rows with different labels that ``open_rows`` leaves to be compared.
+
+    Two crowded rows overlap by no more than the outer n-grams of either; others meet every row.
+    """
+    crowded = stored(_crowded(open_rows), "crowded")
+    few = open_rows.join(crowded.select("row"), "row", "left_anti")
+    outer = _outer_grams(crowded, texts, width)
+    bound = F.floor(F.col("outer") * (100 + percent) / F.lit(percent)).cast("long") - F.col("size")
+    bounded = open_rows.join(outer, "row").withColumn("largest", F.least("largest", bound))
+    many = stored(bounded.where(100 * F.col("largest") >= percent * F.col("size")).select(*open_rows.columns), "bounded")
+    return _meeting(few, open_rows).unionByName(_meeting(many, many)).distinct()
+
+
 def _packed(texts: DataFrame) -> DataFrame:
     """``id, text`` with compressed texts, stored: pairs carry them through shuffles."""
 
@@ -269,10 +322,11 @@ def jaccard_components(
     first = named.groupBy("set_key").agg(F.min("id").alias("row"))
     copies = stored(named.select("id", "set_key").join(first, "set_key").where("id <> row").select("id", "row"), "copies")
 
-    postings = _postings(texts.where("id IS NOT NULL"), width, percent, frequent)
+    # Read twice below; making them takes longer than writing them.
+    postings = stored(_postings(texts.where("id IS NOT NULL"), width, percent, frequent), "postings")
     ends = postings.groupBy("gram").agg(F.min("id").alias("a"), F.count("*").alias("n"))
     shared = postings.join(ends.where("n > 1").select("gram", "a"), "gram")
-    rows = shared.join(copies.distinct(), "id", "left").select("gram", "a", F.coalesce("row", "id").alias("row"))
+    rows = shared.join(copies.distinct(), "id", "left").select("gram", "a", F.coalesce("row", "id").alias("row"), "size", "largest")
     shared = stored(rows.distinct(), "shared")
     stars = shared.where("row <> a").select("a", F.col("row").alias("b"))
 
@@ -293,28 +347,14 @@ def jaccard_components(
     apart = stored(apart, "pairs")
     links, done = links.unionByName(linked(apart)), done.unionByName(apart)
 
-    labelled = labels_of(links, shared.select("gram", "row"), "row", "label")
-    ends = labelled.groupBy("gram").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("n"))
-    mixed = ends.where("first < last").select("gram", (F.col("n") > CROWD).alias("crowded"))
+    labelled = labels_of(links, shared.select("gram", "row", "size", "largest"), "row", "label")
+    ends = labelled.groupBy("gram").agg(F.min("label").alias("first"), F.max("label").alias("last"))
     # Sizes of a link differ by a factor of 100 / percent at most; a band is a little wider than that.
-    band = F.floor(F.log("size") / (math.log(100 / percent) + 1e-6))
-    bands = sets.select(F.col("id").alias("row"), "size", band.cast("long").alias("band"))
-    bands = bands.groupBy("row", "band").agg(F.min("size").alias("low"))
-    open_rows = stored(labelled.join(mixed, "gram").join(bands, "row"), "open")
-    # A row in crowds overlaps with others there by no more than its outer n-grams; no partner is larger than this.
-    crowds = open_rows.where("crowded")
-    outer = _outer_grams(crowds.select("row", "label").distinct(), packed, width)
-    largest = F.floor(F.col("outer") * (100 + percent) / F.lit(percent)).cast("long") - F.col("low")
-    bounded = crowds.join(outer, "row").withColumn("largest", largest).where(100 * F.col("largest") >= percent * F.col("low"))
-    rest = open_rows.where("NOT crowded").withColumn("largest", F.lit(1 << 62))
-    open_rows = stored(bounded.drop("outer", "crowded").unionByName(rest.drop("crowded")), "bounded")
-    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")
-    other = open_rows.select(
-        "gram", F.col("row").alias("b"), F.col("label").alias("label_b"), F.col("low").alias("low_b"), F.col("largest").alias("largest_b"), near
-    )
-    may = "a < b AND label <> label_b AND low <= largest_b AND low_b <= largest"
-    across = open_rows.withColumnRenamed("row", "a").join(other, ["gram", "band"]).where(may)
-    more = linked(across.select("a", "b").distinct().join(done, ["a", "b"], "left_anti"))
+    band = F.floor(F.log("size") / (math.log(100 / percent) + 1e-6)).cast("long")
+    mixed = labelled.join(ends.where("first < last").select("gram"), "gram")
+    open_rows = stored(mixed.where(100 * F.col("largest") >= percent * F.col("size")).withColumn("band", band), "open")
+    across = _across(open_rows, packed, percent, width)
+    more = linked(stored(across.join(done, ["a", "b"], "left_anti"), "across"))
 
     same = copies.select(F.col("id").alias("a"), F.col("row").alias("b"))
     roots = components(links.unionByName(more).unionByName(same))

@@ -71,6 +71,20 @@ def test_copies_on_both_sides_of_the_threshold(spark, monkeypatch):
         check(docs)
 
 
+def test_columns_of_rows_that_meet_few_others_are_not_moved(spark, monkeypatch):
+    passage, counted, outer_grams = cases.prose(17, 12), [], jaccard._outer_grams
+
+    def noted(rows, texts, width):
+        counted.append(rows.count())
+        return outer_grams(rows, texts, width)
+
+    monkeypatch.setattr(jaccard, "CROWD", 10)
+    monkeypatch.setattr(jaccard, "_outer_grams", noted)
+    rows = [(d, f"{passage} {cases.prose(3000 + d, 150)}") for d in range(40)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert counted == [0]
+
+
 def test_columns_that_other_labels_hold(spark):
     texts = {1: "a b c d", 2: "a b c e", 3: "a b x y", 4: "c d"}
     docs = spark.createDataFrame(list(texts.items()), "id long, text string")
