@@ -124,7 +124,8 @@ def resume_set(
     jobs: DataFrame, items: DataFrame, results: DataFrame, states: Sequence[str] = ACTIVE_STATES
 ) -> DataFrame:
     """Accepted items of interrupted jobs that have no final result yet."""
-    active = jobs.where(F.col("state").isin(*states)).select("job_id")
+    # Jobs have one row each, so a task holds its share of them and sorts neither items nor results.
+    active = jobs.where(F.col("state").isin(*states)).select("job_id").hint("shuffle_hash")
     waiting = items.where(F.col("status").isin("PENDING", "CLAIMED"))
     # Results of jobs that are done are left out before anything is moved; files lie by job.
     final = results.where(F.col("status").isin("SUCCEEDED", "FAILED")).select(*_ITEM)

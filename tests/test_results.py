@@ -128,6 +128,15 @@ def test_integrity_and_resume(spark):
     assert {r.job_id for r in more.collect()} == {"j", "k"}
 
 
+def test_a_resume_sorts_nothing_to_find_active_jobs(spark):
+    items, finished = claimed(spark), spark.createDataFrame([("j", "a", "FAILED"), ("j", "a", "FAILED")], "job_id string, external_id string, status string")
+    states = spark.createDataFrame([("j", "RUNNING"), ("k", "COMPLETED")], "job_id string, state string")
+    left = results.resume_set(states, items, finished)
+    assert [(r.job_id, r.external_id) for r in left.collect()] == [("j", "b")]
+    plan = left._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2
+
+
 def test_replays_keep_one_result(spark):
     items = spark.createDataFrame(
         [("j", "a", "jobs/j/chunks/one"), ("j", "b", None)], "job_id string, external_id string, result_ref string"
