@@ -41,6 +41,7 @@ from pyspark.sql import types as T
 from promptloom.llm.common import add_columns, runs_of_words, stored, table, word_hashes
 from promptloom.llm.components import components
 from promptloom.llm.registry import query
+from promptloom.session import drop_table
 
 PERCENT, WIDTH = 85, 4
 # An n-gram of more than 1/FREQUENT of all documents comes last in the order. There are at
@@ -328,6 +329,7 @@ def jaccard_components(
     shared = postings.join(ends.where("n > 1").select("gram", "a"), "gram")
     rows = shared.join(copies.distinct(), "id", "left").select("gram", "a", F.coalesce("row", "id").alias("row"), "size", "largest")
     shared = stored(rows.distinct(), "shared")
+    drop_table(postings)
     stars = shared.where("row <> a").select("a", F.col("row").alias("b"))
 
     packed = _packed(texts)

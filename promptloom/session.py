@@ -77,6 +77,17 @@ def drop_folders(spark: SparkSession) -> int:
     return len(made)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete the table that ``materialise`` returned as ``df``, once no later step reads it."""
+    context = df.sparkSession.sparkContext
+    made = _MADE.get(context.applicationId, [])
+    names = {name.rsplit("/", 2)[-2] for name in df.inputFiles()}
+    for path in [path for path in made if path.rsplit("/", 1)[-1] in names]:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        made.remove(path)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

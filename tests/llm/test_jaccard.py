@@ -1,3 +1,4 @@
+from promptloom import session
 from promptloom.llm import jaccard
 from promptloom.llm.components import components
 from promptloom.llm.jaccard import _outer_grams, _packed, jaccard_components, keep_one_of_each
@@ -85,6 +86,14 @@ def test_columns_of_rows_that_meet_few_others_are_not_moved(spark, monkeypatch):
     assert counted == [0]
 
 
+def test_postings_are_deleted_once_the_shared_ones_are_stored(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_root", lambda spark: str(tmp_path))
+    docs = spark.createDataFrame([(d, cases.prose(60 + d // 2, 20)) for d in range(10)], "doc_id long, text string")
+    check(docs)
+    labels = {path.name.split("-")[0] for path in (tmp_path / "promptloom").iterdir()}
+    assert "shared" in labels and "postings" not in labels
+
+
 def test_columns_that_other_labels_hold(spark):
     texts = {1: "a b c d", 2: "a b c e", 3: "a b x y", 4: "c d"}
     docs = spark.createDataFrame(list(texts.items()), "id long, text string")
