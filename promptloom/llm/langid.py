@@ -40,9 +40,10 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.35  # below it a document is rejected: no language has a clear share
 
 _LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
-_MOST_WORDS = 300_000  # words whose scores a task remembers
-_CELLS = 2_000_000  # (word, label) cells that are decoded at once
-_TEXTS = 2000  # texts that are decoded together
+_MOST_WORDS = 150_000  # words whose scores a task remembers
+_LEARNED = 10_000  # words whose features a task holds at once
+_CELLS = 500_000  # (word, label) cells that are decoded at once
+_WORDS = 200_000  # words of texts that are decoded together; a longer text is decoded alone
 _RESCALE = 8
 
 
@@ -187,11 +188,13 @@ class Labeller:
 
     def _learn(self, words: set[bytes], more: dict[bytes, str] | None) -> None:
         numbers = self.numbers
-        if fresh := [w for w in words if w not in numbers]:
+        unknown = [w for w in words if w not in numbers]
+        for at in range(0, len(unknown), _LEARNED):
+            fresh = unknown[at : at + _LEARNED]
             scores = self.model.word_scores(fresh, more)
             scores = np.exp(np.clip(scores - scores.max(1, keepdims=True), -30, 0))
             if len(numbers) + len(fresh) > len(self.scores):
-                grown = np.empty((2 * (len(numbers) + len(fresh)), scores.shape[1]))
+                grown = np.empty((3 * (len(numbers) + len(fresh)) // 2, scores.shape[1]))
                 grown[: len(numbers)] = self.scores[: len(numbers)]
                 self.scores = grown
             self.scores[len(numbers) : len(numbers) + len(fresh)] = scores
@@ -405,6 +408,20 @@ def _with_rest(docs: DataFrame, model: Field, sent, text_col: str) -> DataFrame:
     return docs.withColumn("__key", key).join(materialise(found, "rest"), "__key", "left").drop("__key")
 
 
+def _together(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The words of texts in parts of about ``_WORDS``, with the place of each part's first text."""
+    first, texts, held = 0, [], 0
+    for place, text in enumerate(column):
+        words = words_of(text.as_py())
+        if texts and held + len(words) > _WORDS:
+            yield first, texts
+            first, texts, held = place, [], 0
+        texts.append(words)
+        held += len(words)
+    if texts:
+        yield first, texts
+
+
 def predict(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; whole texts are read.
 
@@ -424,10 +441,9 @@ def predict(docs: DataFrame, model: Field, text_col: str = "text") -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> list:
             names, scores = [], []
-            for at in range(0, batch.num_rows, _TEXTS):
-                texts = [words_of(x.as_py()) for x in batch.column(0)[at : at + _TEXTS]]
+            for at, texts in _together(batch.column(0)):
                 more = {}
-                for found in batch.column(1)[at : at + _TEXTS].to_pylist() if len(inputs) > 1 else ():
+                for found in batch.column(1)[at : at + len(texts)].to_pylist() if len(inputs) > 1 else ():
                     more.update((r["word"], r["code"]) for r in found or ())
                 for words, share in zip(texts, labeller.shares(texts, more), strict=True):
                     known = bool(words) and bool(labels)

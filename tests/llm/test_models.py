@@ -1,7 +1,9 @@
 import itertools
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from promptloom.llm import langid, toxicity
@@ -171,3 +173,22 @@ def test_reader_of_wanted_features_finds_the_same_ones():
     wanted = set(sorted(set().union(*full))[::3])
     reader = toxicity.Reader(chars, wanted)
     assert [reader.features(text) for text in texts] == [found & wanted for found in full]
+
+
+def test_many_texts_of_rare_words_are_labelled_in_bounded_memory():
+    texts = [" ".join(f"w{chr(97 + i % 26)}{'abcdefghij'[i % 7]}é{chr(0x4E00 + (300 * t + i) % 20000)}{chr(0x4E00 + t)}" for i in range(300)) for t in range(1000)]
+    column = pa.array([*texts, None, "", "x"])
+    draw = np.random.default_rng(5)
+    model = langid.Field(["x", "y"], draw.normal(size=(langid.BUCKETS, 2)), np.zeros((2, 2)), langid.Lexicon.of(np.empty(0, np.int64), []))
+    labeller = langid.Labeller(model)
+    tracemalloc.start()
+    parts = [(at, len(own), labeller.shares(own)) for at, own in langid._together(column)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130e6
+    assert [at for at, _, _ in parts] == [0, *np.cumsum([n for _, n, _ in parts])[:-1]] and len(parts) > 1
+    found = np.concatenate([x for _, _, x in parts])
+    assert len(found) == len(column) and (found[-3:-1] == 0).all()
+    for place in (0, 500, 999):
+        alone = langid.Labeller(model).shares([langid.words_of(texts[place])])[0]
+        assert np.allclose(found[place], alone)
