@@ -68,15 +68,22 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def _often(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that at least ``least`` of the ``sets`` hold, sorted, and how many do. Empties the list."""
+    grams = np.concatenate(sets or [np.empty(0, np.uint64)])
+    sets.clear()
+    grams.sort()
+    ahead = grams[least - 1 :]
+    found = np.unique(ahead[ahead == grams[: len(ahead)]])
+    return found, np.searchsorted(grams, found, "right") - np.searchsorted(grams, found)
+
+
 def _frequent_in_batches(texts: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [_gram_set(x.as_py(), width) for x in batch.column(0)]
-            grams, counts = np.unique(np.concatenate(sets or [np.empty(0, np.uint64)]), return_counts=True)
-            many = counts >= max(5, len(sets) // FREQUENT)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["gram", "n"]
-            )
+            grams, counts = _often(sets, max(5, batch.num_rows // FREQUENT))
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts.astype(np.int64))], ["gram", "n"])
 
     return texts.mapInArrow(run, "gram long, n long")
 

@@ -1,3 +1,7 @@
+import tracemalloc
+
+import numpy as np
+
 from promptloom import session
 from promptloom.llm import jaccard
 from promptloom.llm.components import components
@@ -108,3 +112,19 @@ def test_components(spark):
     found = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {(2, 1), (3, 1), (9, 7), (8, 7), (20, 19)} | {(101 + i, 100) for i in range(30)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_frequent_grams_of_a_batch_are_counted_in_bounded_memory():
+    draw = np.random.default_rng(6)
+    common = draw.integers(0, 1 << 63, 40, np.uint64)
+    sets = [np.unique(np.concatenate([draw.integers(0, 1 << 63, 400, np.uint64), common[: n % 41]])) for n in range(3000)]
+    grams, counts = np.unique(np.concatenate(sets), return_counts=True)
+    size = sum(x.nbytes for x in sets)
+    tracemalloc.start()
+    found, times = jaccard._often(sets, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (found == grams[counts >= 5]).all() and (times == counts[counts >= 5]).all()
+    assert peak < 1.5 * size
+    assert [len(x) for x in jaccard._often([], 5)] == [0, 0]
+    assert [len(x) for x in jaccard._often([common[:3]], 5)] == [0, 0]
