@@ -344,19 +344,21 @@ def jaccard_components(
     def linked(pairs: DataFrame) -> DataFrame:
         return _links(_may_link(pairs, sets, percent), packed, percent, width)
 
-    def labels_of(links: DataFrame, rows: DataFrame, row: str, label: str) -> DataFrame:
-        roots = components(links).select(F.col("node").alias(row), F.col("root").alias("known"))
-        return rows.join(roots, row, "left").withColumn(label, F.coalesce("known", row)).drop("known")
+    def labels_of(roots: DataFrame, rows: DataFrame, row: str, label: str) -> DataFrame:
+        known = roots.select(F.col("node").alias(row), F.col("root").alias("known"))
+        return rows.join(known, row, "left").withColumn(label, F.coalesce("known", row)).drop("known")
 
     done = stored(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    links = linked(done)
+    roots = components(linked(done))
 
-    both = labels_of(links, labels_of(links, stars.distinct(), "a", "label_a"), "b", "label_b")
+    both = labels_of(roots, labels_of(roots, stars.distinct(), "a", "label_a"), "b", "label_b")
     apart = both.where("label_a <> label_b").select("a", "b").join(done, ["a", "b"], "left_anti")
     apart = stored(apart, "pairs")
-    links, done = links.unionByName(linked(apart)), done.unionByName(apart)
+    # The links to roots join what the links did, with fewer rounds to go.
+    roots = components(roots.toDF("a", "b").unionByName(linked(apart)))
+    done = done.unionByName(apart)
 
-    labelled = labels_of(links, shared.select("gram", "row", "size", "largest"), "row", "label")
+    labelled = labels_of(roots, shared.select("gram", "row", "size", "largest"), "row", "label")
     ends = labelled.groupBy("gram").agg(F.min("label").alias("first"), F.max("label").alias("last"))
     # Sizes of a link differ by a factor of 100 / percent at most; a band is a little wider than that.
     band = F.floor(F.log("size") / (math.log(100 / percent) + 1e-6)).cast("long")
@@ -366,7 +368,7 @@ def jaccard_components(
     more = linked(stored(across.join(done, ["a", "b"], "left_anti"), "across"))
 
     same = copies.select(F.col("id").alias("a"), F.col("row").alias("b"))
-    roots = components(links.unionByName(more).unionByName(same))
+    roots = components(roots.toDF("a", "b").unionByName(more).unionByName(same))
     return sets.join(roots, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")
     )

@@ -13,10 +13,12 @@ maximal repeated runs: a run of L lines is covered by the copies of depth 2^k <=
 start and at its end. Copies that share a line form one run. Runs of at least ``min_words``
 words are deleted wherever they are later copies.
 
-Every step is a join or an aggregation over (place, rank). Ranks are numbers of groups, made
-by range partitioning. A line that a third of all documents hold is one group of many rows,
+Every step is a join or an aggregation over (place, rank). Ranks grow in the order of the
+groups, which are range-sorted, and may have gaps, so nothing has to be counted across partitions.
+A line that a third of all documents hold is one group of many rows,
 which is counted on the map side and whose join Spark splits. Levels are written to the
-shared folder.
+shared folder. Pairs of ranks are written too, as they are read twice: jobs, stages and tasks
+cost the driver memory, however few rows they have.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from promptloom.llm.common import NOT_SPACE, add_columns, table
 from promptloom.llm.registry import query
 from promptloom.operators.prefix import number_rows
-from promptloom.session import materialise
+from promptloom.session import drop_table, materialise
 
 MIN_WORDS = 5
 _LOWEST = -(1 << 63)
@@ -54,10 +56,16 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``at, rank, first`` of the rows whose ``keys`` occur more than once; equal keys, equal rank."""
+    """``at, end, rank, first`` of the stored ``rows`` whose ``keys`` occur more than once.
+
+    Equal keys have equal ranks, and ranks grow with the keys.
+    """
     groups = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("at").alias("first")).where("n > 1").drop("n")
-    ranks = number_rows(groups.withColumn("every", F.lit(1)), ["every"], keys, "rank").drop("every")
-    return materialise(rows.join(ranks, keys).select("at", "rank", "first"), "ranks")
+    in_order = groups.repartitionByRange(*[F.col(key) for key in keys]).sortWithinPartitions(*keys)
+    ranks = materialise(in_order.withColumn("rank", F.monotonically_increasing_id()), "order")
+    ranked = materialise(rows.join(ranks, keys).select("at", "end", "rank", "first"), "ranks")
+    drop_table(ranks)
+    return ranked
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,13 +81,14 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stretch = Window.partitionBy("doc", "tag", F.col("at") - F.col("line"))
     places = materialise(numbered.withColumn("end", F.max("at").over(stretch) + 1), "places")
 
-    depth, level = 1, _ranked(places.select("at", "id"), ["id"])
-    ends = places.select("at", "end")
+    depth, level = 1, _ranked(places.select("at", "end", "id"), ["id"])
     copies = level.where("first < at").select("at", F.lit(1).cast("bigint").alias("length"))
     while True:
         ahead = level.select((F.col("at") - depth).alias("at"), F.col("rank").alias("next"))
-        pairs = level.join(ahead, "at").join(ends, "at").where(F.col("at") + 2 * depth <= F.col("end"))
-        depth, level = 2 * depth, _ranked(pairs.select("at", "rank", "next").withColumnRenamed("rank", "before"), ["before", "next"])
+        pairs = level.join(ahead, "at").where(F.col("at") + 2 * depth <= F.col("end"))
+        pairs = materialise(pairs.select("at", "end", F.col("rank").alias("before"), "next"), "pairs")
+        depth, level = 2 * depth, _ranked(pairs, ["before", "next"])
+        drop_table(pairs)
         if level.isEmpty():
             break
         copies = copies.unionByName(level.where("first < at").select("at", F.lit(depth).cast("bigint").alias("length")))

@@ -107,6 +107,17 @@ def test_columns_that_other_labels_hold(spark):
     assert found == {1: 2, 2: 1, 3: 1, 4: 1}
 
 
+def test_each_set_of_links_is_merged_once(spark, tmp_path, monkeypatch):
+    """Rounds cost the driver jobs: finished stars are stored once, and later merges start from them."""
+    monkeypatch.setattr(session, "shared_root", lambda spark: str(tmp_path))
+    links = [(1, 1 + n) for n in range(1, 30)] + [(50, 60)]
+    assert components(spark.createDataFrame(links, "a long, b long")).count() == 30
+    assert len(list((tmp_path / "promptloom").glob("stars-*"))) == 1
+    docs = spark.createDataFrame([(d, cases.prose(60 + d // 2, 20)) for d in range(10)], "doc_id long, text string")
+    check(docs)
+    assert len(list((tmp_path / "promptloom").glob("stars-*"))) == 1 + 3
+
+
 def test_components(spark):
     links = [(1, 2), (3, 2), (3, 3), (2, 3), (9, 7), (8, 9), (20, 19)] + [(100 + i, 101 + i) for i in range(30)]
     found = {tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

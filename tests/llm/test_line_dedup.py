@@ -3,6 +3,7 @@ import random
 
 import pytest
 
+from promptloom import session
 from promptloom.llm.linedup import drop_repeated_lines, op2_line_dedup, without_repeated_lines
 from tests.llm import cases
 
@@ -61,3 +62,15 @@ def test_awkward_rows(spark):
     assert 2 not in ids and 1 not in ids  # the row with a null id comes first and holds their line
     assert ids.count(16) == 3 and {7, 8, 9, 12, None} <= set(ids)
     assert without_repeated_lines(cases.empty(spark)).count() == 0
+
+
+def test_levels_count_no_ranks_across_partitions(spark, tmp_path, monkeypatch):
+    """Jobs of each level cost the driver memory; only the places in reading order are numbered."""
+    monkeypatch.setattr(session, "shared_root", lambda spark: str(tmp_path))
+    text = "\n".join(f"a line of its own {n}" for n in range(9))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    assert [r["n_removed"] for r in drop_repeated_lines(docs).orderBy("doc_id").collect()] == [0, 9]
+    made = [path.name.split("-")[0] for path in (tmp_path / "promptloom").iterdir()]
+    assert made.count("ranks") == 5  # runs of 1, 2, 4, 8 lines, none of 16
+    assert made.count("placed") == made.count("parts") == 1
+    assert not {"order", "pairs"} & {name for name, n in zip(made, map(made.count, made), strict=True) if n > 1}
