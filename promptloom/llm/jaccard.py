@@ -164,21 +164,21 @@ def _postings(texts: DataFrame, width: int, percent: int, frequent) -> DataFrame
 
 
 def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs (a, b)`` that sizes and the first blocks of columns leave over.
+    """The distinct ``pairs (a, b)`` that sizes and the first blocks of columns leave over.
 
     ``need`` is the overlap that a pair lacks for a link, ``left_a`` and ``left_b`` how many
     n-grams of its rows are in blocks to come.
     """
-    for x in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(x), F.col("size").alias(f"left_{x}")), x)
-    both = F.col("left_a") + F.col("left_b")
-    need = F.ceil(percent * both / F.lit(100 + percent)).cast("long")
-    state = pairs.select("a", "b", need.alias("need"), "left_a", "left_b")
     open_pairs = F.col("need") <= F.least("left_a", "left_b")
-    state = stored(state.where(open_pairs).distinct(), "sized")
+    state = pairs
     for number in range(len(_BLOCKS)):
+        # Sizes come with the first block, from the same rows of the table.
         for x in "ab":
-            state = state.join(sets.select(F.col("id").alias(x), F.col(f"block_{number}").alias(f"block_{x}")), x)
+            own = [F.col("id").alias(x), F.col(f"block_{number}").alias(f"block_{x}")]
+            state = state.join(sets.select(*own, *[F.col("size").alias(f"left_{x}")] * (number == 0)), x)
+        if number == 0:
+            both = F.col("left_a") + F.col("left_b")
+            state = state.withColumn("need", F.ceil(percent * both / F.lit(100 + percent)).cast("long")).where(open_pairs)
         state = state.select("a", "b", "need", "left_a", "left_b", "block_a", "block_b")
         counted = state.mapInArrow(_add_block, "a long, b long, need long, left_a long, left_b long")
         state = stored(counted.where(open_pairs).distinct(), "pairs")

@@ -116,6 +116,7 @@ def test_each_set_of_links_is_merged_once(spark, tmp_path, monkeypatch):
     docs = spark.createDataFrame([(d, cases.prose(60 + d // 2, 20)) for d in range(10)], "doc_id long, text string")
     check(docs)
     assert len(list((tmp_path / "promptloom").glob("stars-*"))) == 1 + 3
+    assert not list((tmp_path / "promptloom").glob("sized-*"))  # sizes come with the first block
 
 
 def test_components(spark):
